@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, hilbert, licences, quality_rules, secrets, url_filters
+from tallyfold.llm import bpe, decontaminate, hilbert, licences, quality_rules, secrets, simhash, url_filters
 from tallyfold.llm.common import table
 
 
@@ -19,6 +19,12 @@ def op2_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
 
 
+def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontaminate.matches(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark"))
+    found = found.select("doc_id", "matches").where(F.size("matches") > 0)
+    return found.select("doc_id", F.array_join(F.transform("matches", lambda m: m["item_id"].cast("string")), ",").alias("items"), F.array_min(F.transform("matches", lambda m: m["distance"])).alias("least_distance"))
+
+
 def op4_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
     count = lambda k: F.size(F.filter("base", lambda x: x["k"] == k)).cast("long")
@@ -30,6 +36,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = simhash.components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -42,7 +53,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op4_secret_scans, op5_quality_rules, op7_byte_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_decontamination, op4_secret_scans, op5_quality_rules, op6_simhash, op7_byte_bpe, op10_sharding)}
 
 ORACLES = {
     "op1_url_filters": r"""
