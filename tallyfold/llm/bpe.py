@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import bounded_batches
+from tallyfold.llm.common import python_ready
 
 MAX_RANK_BYTES = 64 << 20
 #: Texts are cut into pieces of about so many characters where that is safe.
@@ -80,7 +80,7 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", with_
     gives back.
     """
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_ready(spark)
     ranks = spark.sparkContext.broadcast(read_ranks(path))
     schema = "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
 

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -56,8 +58,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def bounded_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches to Python small, so that a worker holds few long texts at a time."""
+def python_ready(spark: SparkSession, rows: int = 512) -> None:
+    """Send this package to the Python workers once, and keep Arrow batches small, so that a worker holds few long texts."""
+    if not any("tallyfold" in name for name in spark.sparkContext._python_includes):
+        root = Path(__file__).resolve().parents[1]
+        with zipfile.ZipFile(Path(tempfile.mkdtemp(prefix="package-"), "tallyfold.zip"), "w") as out:
+            for source in root.rglob("*.py"):
+                out.write(source, source.relative_to(root.parent))
+        spark.sparkContext.addPyFile(str(out.filename))
     if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
         spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 

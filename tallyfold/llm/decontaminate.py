@@ -23,7 +23,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import bounded_batches
+from tallyfold.llm.common import python_ready
 
 ERROR_SHARE = 10
 ANCHOR = 8
@@ -158,7 +158,7 @@ def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int
 def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """Add ``matches``: an array of (item_id, distance) of the items that the text holds. A column of this name is replaced."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    python_ready(spark)
 
     def column(block: list[tuple[int, str]]) -> Column:
         sent = spark.sparkContext.broadcast(block)

@@ -93,3 +93,15 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", keep: tup
     """Rule counts and verdicts of all documents, with the columns in ``keep`` but without texts."""
     slim = docs.select(*[F.col(c) for c in keep], F.col(text).alias("_text"), F.col(host).alias("_source"))
     return judge(materialize(measure(slim, "_text").drop("_text")), "_source").drop("_source")
+
+
+def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
+    """The rows that neither the base rules nor their host's verdict reject, with their columns unchanged.
+
+    Only the rejected hosts are joined to the texts; their table is written first, so that Spark knows its size.
+    """
+    packed = docs.select(F.col(text).alias("_text"), F.col(host).alias("_source"), F.struct("*").alias("_row"))
+    counted = materialize(measure(packed.select("_text", "_source"), "_text").select("_source", "base_failed"))
+    rejected = materialize(host_verdicts(counted, "_source").where(~F.col("host_kept")).select(F.col("host").alias("_rejected")))
+    good = measure(packed, "_text").where(~F.col("base_failed"))
+    return good.join(rejected, F.col("_source").eqNullSafe(F.col("_rejected")), "left_anti").select("_row.*")

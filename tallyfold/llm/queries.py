@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, hilbert, licences, quality_rules, secrets, simhash, url_filters
+from tallyfold.llm import bpe, decontaminate, hilbert, licences, pu_quality, quality_rules, secrets, simhash, toxicity, url_filters
 from tallyfold.llm.common import table
 
 
@@ -49,11 +49,21 @@ def op7_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = toxicity.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "toxic"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pu_quality.score(table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return out.select("doc_id", "held_out", "score", "predicted")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_decontamination, op4_secret_scans, op5_quality_rules, op6_simhash, op7_byte_bpe, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_decontamination, op4_secret_scans, op5_quality_rules, op6_simhash, op7_byte_bpe, op8_toxicity, op9_quality_classifier, op10_sharding)}
 
 ORACLES = {
     "op1_url_filters": r"""

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import bounded_batches, materialize
+from tallyfold.llm.common import python_ready, materialize
 
 BITS = 2  # of difference that link
 SAMPLE = 1 << 15
@@ -50,7 +50,7 @@ def fingerprint(text: str | None) -> int:
 
 
 def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    bounded_batches(docs.sparkSession)
+    python_ready(docs.sparkSession)
 
     @F.pandas_udf("long")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
