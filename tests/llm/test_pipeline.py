@@ -9,6 +9,7 @@ import numpy as np
 import public_tokenizers as P
 
 from tallyfold.llm import bpe, decontaminate, secrets, simhash
+from tallyfold.llm.common import materialize
 
 
 def repeats(text):
@@ -77,8 +78,7 @@ def test_stages_on_odd_rows(spark, sf_dir):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, part, sf_dir)
             assert out.columns == docs.columns
-            part = out
-            out.collect()
+            part = materialize(out)
         corpus_pipeline.STAGES[-1][1](spark, part, sf_dir).collect()
 
 
