@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.sources.shared import materialize
+
 MAX_ROUNDS = 1000
 
 
@@ -108,14 +110,14 @@ def closure(edges: DataFrame, roots: DataFrame, kinds: Sequence[str] | None = No
     """``(id, level)`` of everything reachable from the roots (column ``id``), level 0 for the roots; cycles end by themselves.
 
     One join of the frontier with the edges for each level; visited nodes are dropped by an anti join. Each round is written
-    to the checkpoint folder.
+    to the shared folder.
     """
-    edges = (edges.where(F.col("kind").isin(*kinds)) if kinds else edges).select("source", "target").distinct().checkpoint()
-    visited = roots.select("id").distinct().withColumn("level", F.lit(0)).checkpoint()
+    edges = materialize((edges.where(F.col("kind").isin(*kinds)) if kinds else edges).select("source", "target").distinct())
+    visited = materialize(roots.select("id").distinct().withColumn("level", F.lit(0)))
     frontier = visited
     for level in range(1, MAX_ROUNDS):
         reached = frontier.join(edges, frontier["id"] == edges["source"]).select(F.col("target").alias("id")).distinct()
-        fresh = reached.join(visited, "id", "left_anti").withColumn("level", F.lit(level)).checkpoint()
+        fresh = materialize(reached.join(visited, "id", "left_anti").withColumn("level", F.lit(level)))
         if fresh.isEmpty():
             return visited
         visited, frontier = visited.unionByName(fresh), fresh
@@ -132,11 +134,11 @@ def cyclic(edges: DataFrame) -> DataFrame:
 
     What remains has, for each node, a predecessor and a successor that also remain. ``on_cycle`` tells true members apart.
     """
-    rest = edges.select("source", "target").distinct().checkpoint()
+    rest = materialize(edges.select("source", "target").distinct())
     n = rest.count()
     while True:
         fed = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        both = fed.join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target").checkpoint()
+        both = materialize(fed.join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
         left = both.count()
         if left == n:
             return both.select(F.col("source").alias("id")).union(both.select(F.col("target").alias("id"))).distinct()
@@ -144,17 +146,17 @@ def cyclic(edges: DataFrame) -> DataFrame:
 
 
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """``(id)`` of nodes that reach themselves. Only what peeling leaves is closed, pair by pair."""
+    """``(id)`` of nodes that reach themselves. Only what peeling leaves is closed, by doubling path lengths."""
     core = cyclic(edges)
     inner = edges.select("source", "target").distinct().join(core.select(F.col("id").alias("source")), "source", "left_semi").join(core.select(F.col("id").alias("target")), "target", "left_semi")
-    inner = inner.select("source", "target").checkpoint()
+    inner = materialize(inner.select("source", "target"))
     pairs = inner
     while True:
-        step = pairs.alias("p").join(inner.alias("e"), F.col("p.target") == F.col("e.source")).select(F.col("p.source").alias("source"), F.col("e.target").alias("target"))
-        fresh = step.distinct().join(pairs, ["source", "target"], "left_anti").checkpoint()
+        step = pairs.alias("p").join(pairs.alias("e"), F.col("p.target") == F.col("e.source")).select(F.col("p.source").alias("source"), F.col("e.target").alias("target"))
+        fresh = materialize(step.distinct().join(pairs, ["source", "target"], "left_anti"))
         if fresh.isEmpty():
             return pairs.where("source = target").select(F.col("source").alias("id")).distinct()
-        pairs = pairs.unionByName(fresh).checkpoint()
+        pairs = materialize(pairs.unionByName(fresh))
 
 
 def asset_counts(nodes: DataFrame, gaps: DataFrame, inventory: DataFrame | None = None) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Iterator, Sequence
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyfold.functions.text import physical_lines, suffix
 
@@ -78,7 +79,7 @@ def clean_text(text: str) -> str:
     return "\n".join(out)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
     """``clean_text`` of each whole text: comments and in-stream data reach across lines."""
     for part in texts:

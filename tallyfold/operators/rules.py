@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.sources.shared import materialize
 from tallyfold.functions.text import condition_met
 
 #: Rules between two checkpoints of a very long chain.
@@ -88,7 +89,7 @@ def apply_rules(df: DataFrame, rules: list[Rule], widths: dict[str, int] | None
         out = out.withColumns({f: F.when(F.col(name), value(f, yes)).otherwise(value(f, no)) for f in yes | no})
         branches.append((rule.rule_id, name))
         if i % CHAIN == CHAIN - 1:
-            out = out.checkpoint()
+            out = materialize(out)
     trace = F.array(*[F.struct(F.lit(r).alias("rule_id"), F.col(b).alias("branch")) for r, b in branches])
     return out.withColumn(f"{prefix}trace", trace).drop(*[b for _, b in branches])
 

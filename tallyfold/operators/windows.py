@@ -7,8 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: monotonically_increasing_id: the partition above these bits, the row's place in it below.
-PLACE_BITS = 33
+from tallyfold.sources.shared import materialize
 
 
 def carry_forward(df: DataFrame, part: Sequence[str], order: Sequence, value: Column, name: str, reset: Column | None = None) -> DataFrame:
@@ -68,7 +67,7 @@ def global_rank(df: DataFrame, order: Sequence, name: str = "rank", sums: dict[s
     """
     sums = sums or {}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()).checkpoint()
+    placed = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
     own = placed.groupBy("_part").agg(F.count("*").alias("_n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_sum_{s}") for s, c in sums.items()])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = own.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_before_{s}") for s in sums])
@@ -99,7 +98,7 @@ def select_under_budget(candidates: DataFrame, rule: str, branch: str, state: st
 def numbered(df: DataFrame, name: str, part: Sequence[str], order: Sequence, pattern: str = "%s_R%03d") -> DataFrame:
     """Add ``id`` such as ``NAME_R001`` in each part."""
     w = Window.partitionBy(*part).orderBy(*order)
-    return df.withColumn("id", F.format_string(pattern, name, F.row_number().over(w)))
+    return df.withColumn("id", F.format_string(pattern, F.lit(name), F.row_number().over(w)))
 
 
 def latest(df: DataFrame, keys: Sequence[str], version: Column, *columns: str) -> DataFrame:

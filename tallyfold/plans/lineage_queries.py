@@ -1 +1,129 @@
-"""Queries."""
+"""Queries of reference resolution, closure and cycles."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from tallyfold.operators import lineage
+from tallyfold.plans.registry import query, table
+
+EDGES_SQL = """
+e as (select 'R' || n_regionkey as source, 'N' || n_nationkey as target, 'has_nation' as kind from nation
+  union all select 'N' || c_nationkey, 'C' || c_custkey, 'has_customer' from customer
+  union all select 'C' || o_custkey, 'O' || o_orderkey, 'has_order' from orders
+  union all select 'N' || n_nationkey, 'R' || n_regionkey, 'in_region' from nation where n_nationkey % 5 = 0)
+"""
+
+
+def edges(spark, sf_dir):
+    e = lambda t, a, x, b, y, kind: table(spark, sf_dir, t).select(F.concat(F.lit(a), F.col(x).cast("string")).alias("source"), F.concat(F.lit(b), F.col(y).cast("string")).alias("target"), F.lit(kind).alias("kind"))
+    down = e("nation", "R", "n_regionkey", "N", "n_nationkey", "has_nation").union(e("customer", "N", "c_nationkey", "C", "c_custkey", "has_customer")).union(e("orders", "C", "o_custkey", "O", "o_orderkey", "has_order"))
+    back = table(spark, sf_dir, "nation").where("n_nationkey % 5 = 0").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")), F.lit("in_region"))
+    return down.union(back)
+
+
+def region_zero(spark, sf_dir):
+    return table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.concat(F.lit("R"), F.col("r_regionkey").cast("string")).alias("id"))
+
+
+@query(f"""
+with recursive {EDGES_SQL}, r as (select 'R0' as id, 0 as level union all select target, level + 1 from r join e on id = source where level < 8)
+select id, min(level) as level from r group by 1
+""")
+def closure(spark, sf_dir):
+    return lineage.closure(edges(spark, sf_dir), region_zero(spark, sf_dir))
+
+
+@query(f"""
+with recursive {EDGES_SQL}, r as (select 'R0' as id, 0 as level union all select target, level + 1 from r join e on id = source and kind in ('has_nation', 'has_customer') where level < 8)
+select id, min(level) as level from r group by 1
+""")
+def closure_by_kind(spark, sf_dir):
+    return lineage.closure(edges(spark, sf_dir), region_zero(spark, sf_dir), ["has_nation", "has_customer"])
+
+
+@query(f"""
+with recursive {EDGES_SQL}, r as (select 'R0' as id, 0 as level union all select target, level + 1 from r join e on id = source where level < 8)
+select id, least(min(level), 4) as level from r group by 1 order by least(min(level), 4), id limit 56
+""")
+def graph_view(spark, sf_dir):
+    return lineage.capped_level(lineage.closure(edges(spark, sf_dir), region_zero(spark, sf_dir)))
+
+
+@query("""
+with recursive e as (select distinct n_nationkey as s, (n_nationkey * 2 + n_regionkey) % 25 as t from nation), r as (select s, t from e union select r.s, e.t from r join e on r.t = e.s)
+select s as id from r where s = t
+""")
+def cycles(spark, sf_dir):
+    e = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("source"), ((F.col("n_nationkey") * 2 + F.col("n_regionkey")) % 25).alias("target"))
+    return lineage.on_cycle(e)
+
+
+PARTS_SQL = """
+d as (select upper(p_name) as name, p_partkey::varchar as target from part where p_partkey % 2 = 0),
+r as (select p_partkey as source, case when p_partkey % 11 = 0 then 'MADE-UP' || p_partkey when p_partkey % 13 = 0 then p_name || '&' else upper(p_name) end as name, p_partkey % 13 = 0 and p_partkey % 11 <> 0 as dynamic from part where p_partkey % 2 = 1)
+"""
+
+
+@query(f"""
+with {PARTS_SQL}, c as (select r.source, count(d.target) as n from r left join d on r.name = d.name group by 1)
+select case when dynamic then 'dynamic' when n > 1 then 'ambiguous' when n = 1 then 'resolved' else 'missing' end as resolution,
+  case when dynamic then 'dynamic_unknown' when n > 1 then 'ambiguous' when n = 0 then 'missing' end as gap, count(*) as n
+from r join c using (source) group by 1, 2
+""")
+def resolve_multiplicity(spark, sf_dir):
+    return resolved(spark, sf_dir).groupBy("resolution", "gap").agg(F.count("*").alias("n"))
+
+
+def resolved(spark, sf_dir):
+    p = table(spark, sf_dir, "part").select("p_partkey", "p_name")
+    declared = p.where("p_partkey % 2 = 0").select(F.lit("program").alias("kind"), "p_name", F.col("p_partkey").cast("string").alias("target")).withColumnRenamed("p_name", "name")
+    odd = F.col("p_partkey")
+    name = F.when(odd % 11 == 0, F.concat(F.lit("MADE-UP"), odd.cast("string"))).when(odd % 13 == 0, F.concat("p_name", F.lit("&"))).otherwise(F.upper("p_name"))
+    references = p.where("p_partkey % 2 = 1").select(odd.alias("source"), F.lit("program").alias("kind"), name.alias("name"), ((odd % 13 == 0) & (odd % 11 != 0)).alias("dynamic"))
+    return lineage.resolve(references, lineage.candidates(declared))
+
+
+@query(f"""
+with {PARTS_SQL}, c as (select r.source, any_value(dynamic) as dynamic, count(d.target) as n from r left join d on r.name = d.name group by 1),
+g as (select case when dynamic then 1 when n = 1 then 0 else 1 end as gap from c)
+select 'program' as kind, (select count(*) from d) as observed, sum(gap)::bigint as gaps, 7::bigint as inventory, sum(gap) = 0 as known from g
+""")
+def asset_counts(spark, sf_dir):
+    nodes = table(spark, sf_dir, "part").where("p_partkey % 2 = 0").select(F.lit("program").alias("kind"))
+    gaps = resolved(spark, sf_dir).where("gap is not null").select("kind")
+    listed = table(spark, sf_dir, "region").where("r_regionkey = 0").select(F.lit("program").alias("kind"), F.lit(7).cast("long").alias("count"))
+    return lineage.asset_counts(nodes, gaps, listed)
+
+
+@query("""
+with e as (select 'N' || n_nationkey as source, 'R' || n_regionkey as target, 'in' as kind from nation union all select 'C' || c_custkey, 'N' || c_nationkey, 'of' from customer)
+select * from e union select target, source, 'has_application_binding' from e where kind = 'in'
+""")
+def reverse_links(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.concat(F.lit("N"), F.col("n_nationkey").cast("string")).alias("source"), F.concat(F.lit("R"), F.col("n_regionkey").cast("string")).alias("target"), F.lit("in").alias("kind"))
+    c = table(spark, sf_dir, "customer").select(F.concat(F.lit("C"), F.col("c_custkey").cast("string")), F.concat(F.lit("N"), F.col("c_nationkey").cast("string")), F.lit("of"))
+    return lineage.reverse_links(n.union(c), ["in"], "has_application_binding")
+
+
+@query("select r_regionkey * 25 + n_nationkey as case_no, r_regionkey, n_nationkey from region, nation where r_regionkey * 25 + n_nationkey < 80")
+def cross_domain(spark, sf_dir):
+    from tallyfold.operators.testdata import interactions
+
+    domains = [table(spark, sf_dir, "region").select("r_regionkey"), table(spark, sf_dir, "nation").select("n_nationkey")]
+    return interactions(domains, 5).select("case_no", "r_regionkey", "n_nationkey")
+
+
+@query("""
+with q as (select c_custkey, case c_custkey % 3 when 0 then upper(c_mktsegment) else 'S' || (c_custkey % 4) || '.' || upper(c_mktsegment) end as name from customer),
+t as (select distinct 'S' || (c_nationkey % 3) as schema, upper(c_mktsegment) as tab from customer where c_nationkey < 3 or c_mktsegment = 'BUILDING'),
+x as (select distinct name, case when contains(name, '.') then split_part(name, '.', 1) end as s, case when contains(name, '.') then split_part(name, '.', 2) else name end as tab from q),
+h as (select name, count(distinct t.schema) as n, min(t.schema) as s from x left join t on x.tab = t.tab and (x.s is null or x.s = t.schema) group by 1)
+select name, case when n = 0 then 'missing' when n = 1 then 'resolved' else 'ambiguous' end as status, case when n = 1 then s end as schema from h
+""")
+def qualified_names(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    seg = F.upper("c_mktsegment")
+    names = c.select(F.when(F.col("c_custkey") % 3 == 0, seg).otherwise(F.concat(F.lit("S"), (F.col("c_custkey") % 4).cast("string"), F.lit("."), seg)).alias("name")).distinct()
+    tables = c.where("c_nationkey < 3 or c_mktsegment = 'BUILDING'").select(F.concat(F.lit("S"), (F.col("c_nationkey") % 3).cast("string")).alias("schema"), seg.alias("table"))
+    return lineage.qualified(names, tables)

@@ -9,6 +9,7 @@ from functools import reduce
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from tallyfold.functions.text import LINE_END, list_cell
 from tallyfold.operators.windows import global_rank
@@ -36,10 +37,10 @@ def binary_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
 def scan_text_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """``path, text, sha256, bytes, lines, problem``: text is null where a file is no UTF-8 or holds NUL, and problem says so."""
     files = binary_files(spark, root, pattern)
-    valid = F.is_valid_utf8(F.decode("content", "UTF-8")) & (F.encode(F.decode("content", "UTF-8"), "UTF-8") == F.col("content"))
-    problem = F.when(~valid, "not UTF-8").when(F.instr(F.decode("content", "UTF-8"), "\0") > 0, "NUL")
+    raw = F.col("content").cast("string")
+    problem = F.when(~F.is_valid_utf8(raw), "not UTF-8").when(F.contains(raw, F.lit("\0")), "NUL")
     out = files.select("path", "content", F.sha2("content", 256).alias("sha256"), F.col("length").alias("bytes"), problem.alias("problem"))
-    text = F.when(F.col("problem").isNull(), F.decode("content", "UTF-8"))
+    text = F.when(F.col("problem").isNull(), raw)
     return out.select("path", text.alias("text"), "sha256", "bytes", line_count(text).alias("lines"), "problem")
 
 
@@ -53,7 +54,7 @@ def check_limits(files: DataFrame, limits: Limits | None = None) -> DataFrame:
     return rows.withColumn("ok", F.col("value") <= F.col("most"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def portable_name(path: pd.Series) -> pd.Series:
     """NFC and case folding, as case-insensitive file systems compare names."""
     import unicodedata

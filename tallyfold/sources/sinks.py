@@ -7,6 +7,7 @@ from collections.abc import Sequence
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from tallyfold.functions.text import guarded
 from tallyfold.operators.windows import global_rank
@@ -46,7 +47,7 @@ def write_json(df: DataFrame, path: str) -> None:
     df.select(*sorted(df.columns)).write.mode("errorifexists").json(path)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def utf16_chunks(text: pd.Series, size: pd.Series) -> pd.Series:
     """Pieces of at most ``size`` UTF-16 units that never cut a character."""
 
