@@ -64,7 +64,7 @@ def table_references(text: Column) -> Column:
 
 def list_cell(cell: Column) -> Column:
     """Trimmed, non-empty parts of a cell that separates by ``;`` or ``,``."""
-    return F.filter(F.transform(F.split(cell, "[;,]"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(cell, "[;,]"), lambda x: F.trim(x)), lambda x: x != "")
 
 
 def list_summary(names: Column, limit: int) -> Column:

@@ -35,7 +35,10 @@ def binary_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFram
 
 
 def scan_text_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
-    """``path, text, sha256, bytes, lines, problem``: text is null where a file is no UTF-8 or holds NUL, and problem says so."""
+    """``path, text, sha256, bytes, lines, problem``: text is null where a file is no UTF-8 or holds NUL, and problem says so.
+
+    Spark's file listing gives no row for an empty file.
+    """
     files = binary_files(spark, root, pattern)
     raw = F.col("content").cast("string")
     problem = F.when(~F.is_valid_utf8(raw), "not UTF-8").when(F.contains(raw, F.lit("\0")), "NUL")
