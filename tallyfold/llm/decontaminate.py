@@ -2,9 +2,9 @@
 
 Texts and items are normalised (lower case; runs of ASCII characters that are neither letters nor digits become one
 blank). An item of m bytes may be matched with k = m // 10 edits. It is split into k + 1 pieces: wherever it occurs with at
-most k edits, one piece stands unchanged. Exact piece hits are found with numpy over a whole batch of texts (eight-byte
-anchors, a bit table, then the piece itself), and each hit's window is verified with Myers' bit-parallel distance: first
-the item's part around the hit, whose distance cannot exceed the whole's, then the whole item.
+most k edits, one piece stands unchanged. Exact piece hits are found with numpy over a whole batch of texts (eight-byte anchors, a
+bit table, then the piece itself), and verified with Myers' bit-parallel distance: first the item's 64-byte segments, one
+word each and many hits at once, whose distances add up to no more than the item's; then the whole item for what is left.
 
 The items are read in blocks of about ``BLOCK_BYTES``; each block is sent to the executors and meets all texts, which are
 searched whole. The work is narrow: no shuffle, and a lost task is simply run again.
@@ -28,9 +28,12 @@ from tallyfold.llm.common import python_ready
 ERROR_SHARE = 10
 ANCHOR = 8
 BLOCK_BYTES = 8 << 20
-#: Bytes of an item on either side of a hit that are compared first.
-AROUND = 32
-TABLE_BITS = 22
+TABLE_BITS = 19
+#: Bytes of an item that one machine word compares, bytes of text and hits that are looked at in one go.
+WORD = 64
+CHUNK = 1 << 20
+HITS = 1 << 14
+BATCH_BYTES = 4 << 20
 BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -70,7 +73,7 @@ def myers(pattern: bytes, text: bytes, bits: dict[int, int] | None = None) -> in
 
 
 class Items:
-    """A block of items, ready for searching."""
+    """A block of items, ready for searching batches of texts."""
 
     def __init__(self, rows: list[tuple[int, str]]) -> None:
         by_text: dict[bytes, list[int]] = {}
@@ -78,71 +81,143 @@ class Items:
             if found := normalise(text):
                 by_text.setdefault(found, []).append(item_id)
         self.ids, self.texts = list(by_text.values()), list(by_text)
-        self.errors, self.bits = [], [alphabet(t) for t in self.texts]
-        self.short, self.pieces = [], {}
-        for n, text in enumerate(self.texts):
-            m = len(text)
-            self.errors.append(k := max(0, min(m // ERROR_SHARE, m // ANCHOR - 1)))
-            if m < ANCHOR:
-                self.short.append(n)
+        self.bits = [alphabet(t) for t in self.texts]
+        self.errors = np.array([max(0, min(len(t) // ERROR_SHARE, len(t) // ANCHOR - 1)) for t in self.texts], dtype=np.int64)
+        self.short = [n for n, t in enumerate(self.texts) if len(t) < ANCHOR]
+        pieces, segments = [], []
+        self.first_segment = []
+        for n, (text, k) in enumerate(zip(self.texts, self.errors.tolist(), strict=True)):
+            self.first_segment.append(len(segments))
+            if (m := len(text)) < ANCHOR:
                 continue
             cuts = [i * m // (k + 1) for i in range(k + 2)]
-            for a, b in zip(cuts, cuts[1:], strict=False):
-                self.pieces.setdefault(text[a : a + ANCHOR], []).append((n, a, text[a:b]))
-        keys = np.frombuffer(b"".join(self.pieces), dtype="<u8")
+            pieces += [(text[x : x + ANCHOR], n, x, text[y - ANCHOR : y], y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+            segments += [(x, text[x : x + WORD]) for x in range(0, m, WORD)]
+        pieces.sort()
+        self.first_segment = np.array([*self.first_segment, len(segments)])
+        words = lambda parts: np.frombuffer(b"".join(parts), dtype="<u8")
+        starts = words([p[0] for p in pieces])
+        self.anchors, self.piece_at = np.unique(starts, return_index=True)
+        by_value = np.argsort(starts, kind="stable")
+        self.item, self.offset, self.length = (np.array([p[c] for p in pieces], dtype=np.int64)[by_value] for c in (1, 2, 4))
+        self.ends = words([p[3] for p in pieces])[by_value]
+        sorted_starts = starts[by_value]
+        self.low, self.high = np.searchsorted(sorted_starts, self.anchors), np.searchsorted(sorted_starts, self.anchors, "right")
         self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
-        self.table[self.slot(keys)] = True
+        self.table[self.slot(self.anchors)] = True
+        self.segment_at = np.array([x for x, _ in segments], dtype=np.int64)
+        self.segment_length = np.array([len(t) for _, t in segments], dtype=np.int64)
+        self.segment_bits = np.zeros((len(segments), 256), dtype=np.uint64)
+        for i, (_, t) in enumerate(segments):
+            for c, bits in alphabet(t).items():
+                self.segment_bits[i, c] = bits
 
     @staticmethod
     def slot(keys: np.ndarray) -> np.ndarray:
         return (keys * MIX) >> np.uint64(64 - TABLE_BITS)
 
-    def hits(self, text: bytes) -> Iterator[int]:
-        """Places where an anchor may stand."""
-        n = len(text) - ANCHOR + 1
-        if n <= 0:
-            return iter(())
-        places = [np.frombuffer(text, dtype="<u8", count=(len(text) - r) // ANCHOR, offset=r) for r in range(min(ANCHOR, n))]
-        found = [np.flatnonzero(self.table[self.slot(keys)]) * ANCHOR + r for r, keys in enumerate(places)]
-        return iter(np.sort(np.concatenate(found)).tolist())
-
-    def search(self, text: bytes) -> dict[int, int]:
-        """Least distance of each item (by number) that occurs within its budget."""
-        diagonals: dict[int, list[tuple[int, int]]] = {}
-        for p in self.hits(text):
-            for n, offset, piece in self.pieces.get(text[p : p + ANCHOR], ()):
-                if text.startswith(piece, p):
-                    diagonals.setdefault(n, []).append((p - offset, offset))
-        found: dict[int, int] = {}
-        for n, places in diagonals.items():
-            item, k = self.texts[n], self.errors[n]
-            places.sort()
-            at = 0
-            while at < len(places):
-                end = at
-                while end + 1 < len(places) and places[end + 1][0] - places[end][0] <= k:
-                    end += 1
-                first, last = places[at][0], places[end][0]
-                window = text[max(0, first - k) : last + len(item) + k]
-                if item in window:
-                    best = 0
-                elif end == at and self.far(n, text, *places[at]):
-                    best = k + 1
-                else:
-                    best = myers(item, window, self.bits[n])
-                if best <= k:
-                    found[n] = min(best, found.get(n, best))
-                at = end + 1
+    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """(item, start): where an item would start for a piece of it to stand where it does; each pair once."""
+        n = len(data) - ANCHOR + 1
+        words = np.ndarray((max(0, n),), "<u8", data, strides=(1,))  # overlapping, one at each byte
+        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        for at in range(0, n if len(self.anchors) else 0, CHUNK):
+            keys = words[at : at + CHUNK].copy()
+            places = np.flatnonzero(self.table[self.slot(keys)])
+            keys = keys[places]
+            anchor = np.minimum(np.searchsorted(self.anchors, keys), len(self.anchors) - 1)
+            exact = self.anchors[anchor] == keys
+            places, anchor = places[exact] + at, anchor[exact]
+            counts = self.high[anchor] - self.low[anchor]
+            piece = np.repeat(self.low[anchor] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()) if len(counts) else counts
+            places = np.repeat(places, counts)
+            last = places + self.length[piece] - ANCHOR
+            inside = last < n
+            places, piece, last = places[inside], piece[inside], last[inside]
+            whole = words[last] == self.ends[piece]  # pieces are under 16 bytes: both ends make the whole
+            found.append((self.item[piece[whole]], places[whole] - self.offset[piece[whole]]))
+        item, start = (np.concatenate(x) for x in zip(*found, strict=True))
+        pairs = np.unique(np.stack([item, start]), axis=1)
+        return pairs[0], pairs[1]
+
+    def sieve(self, item: np.ndarray, start: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Which hits stay possible: an item's distance is no less than the sum of its 64-byte segments' least distances."""
+        alive, spent = np.arange(len(item)), np.zeros(len(item), dtype=np.int64)
+        for nth in range(int((self.first_segment[1:] - self.first_segment[:-1]).max(initial=0))):
+            own = alive[self.first_segment[item[alive]] + nth < self.first_segment[item[alive] + 1]]
+            for part in range(0, len(own), HITS):
+                rows = own[part : part + HITS]
+                segment, k = self.first_segment[item[rows]] + nth, self.errors[item[rows]]
+                spent[rows] += self.segment_distance(segment, start[rows] + self.segment_at[segment] - k, self.segment_length[segment] + 2 * k, data)
+            alive = alive[spent[alive] <= self.errors[item[alive]]]
+            if not len(alive):
+                break
+        return alive
+
+    def segment_distance(self, segment: np.ndarray, begin: np.ndarray, width: np.ndarray, data: np.ndarray) -> np.ndarray:
+        """Myers' columns for many segments at once, a 64-bit word each; text beyond a window can only lower the distance."""
+        length = self.segment_length[segment]
+        high = np.uint64(1) << (length - 1).astype(np.uint64)
+        up, down = np.full(len(segment), ~np.uint64(0)), np.zeros(len(segment), dtype=np.uint64)
+        score, best, one = length.copy(), length.copy(), np.uint64(1)
+        for j in range(int(width.max(initial=0))):
+            eq = self.segment_bits[segment, data[np.clip(begin + j, 0, len(data) - 1)]]
+            diagonal = (((eq & up) + up) ^ up) | eq | down
+            more, less = down | ~(diagonal | up), up & diagonal
+            score += ((more & high) != 0).astype(np.int64) - ((less & high) != 0)
+            np.minimum(best, score, out=best)
+            more, less = more << one, less << one
+            up, down = less | ~(diagonal | more), more & diagonal
+        return best
+
+    def search(self, texts: list[bytes]) -> list[dict[int, int]]:
+        """For each text the least distance of each item (by number) that occurs within its budget."""
+        data = b"\0".join(texts) + b"\0"
+        found: list[dict[int, int]] = [{} for _ in texts]
+        firsts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
+        item, start = self.hits(data)
+        left = self.sieve(item, start, np.frombuffer(data, dtype=np.uint8))
+        doc = np.searchsorted(firsts, np.maximum(start[left], 0), "right") - 1
+        places: dict[tuple[int, int], list[int]] = {}
+        for n, s, d in zip(item[left].tolist(), start[left].tolist(), doc.tolist(), strict=True):
+            for near in {d, min(d + 1, len(texts) - 1)}:  # a start before its text's first byte lies in the text before
+                if firsts[near] - self.errors[n] - len(self.texts[n]) <= s < firsts[near + 1]:
+                    places.setdefault((near, n), []).append(s - int(firsts[near]))
+        for (d, n), starts in places.items():
+            best = self.least(texts[d], n, sorted(starts))
+            if best <= self.errors[n]:
+                found[d][n] = best
         for n in self.short:
-            if b" " + self.texts[n] + b" " in b" " + text + b" ":
-                found[n] = 0
+            for d, text in enumerate(texts):
+                if b" " + self.texts[n] + b" " in b" " + text + b" ":
+                    found[d][n] = 0
         return found
 
-    def far(self, n: int, text: bytes, start: int, offset: int) -> bool:
-        """Whether the item's part around a hit already exceeds the budget."""
-        item, k = self.texts[n], self.errors[n]
-        a, b = max(0, offset - AROUND), min(len(item), offset + ANCHOR + AROUND)
-        return b - a > k and myers(item[a:b], text[max(0, start + a - k) : start + b + k]) > k
+    def least(self, text: bytes, n: int, starts: list[int]) -> int:
+        """Least distance of an item around the given starts; starts close to each other share a window."""
+        item, k = self.texts[n], int(self.errors[n])
+        best, at = len(item), 0
+        while at < len(starts) and best:
+            end = at
+            while end + 1 < len(starts) and starts[end + 1] - starts[end] <= k:
+                end += 1
+            window = text[max(0, starts[at] - k) : max(0, starts[end] + len(item) + k)]
+            best = 0 if item in window else min(best, myers(item, window, self.bits[n]))
+            at = end + 1
+        return best
+
+
+def groups(texts: pd.Series) -> Iterator[list[str | None]]:
+    """Consecutive texts of about ``BATCH_BYTES`` together; a longer text stands alone."""
+    group, size = [], 0
+    for t in texts:
+        if group and size + len(t or "") > BATCH_BYTES:
+            yield group
+            group, size = [], 0
+        group.append(t)
+        size += len(t or "")
+    if group:
+        yield group
 
 
 def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
@@ -167,9 +242,12 @@ def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str
         def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
             ready = Items(sent.value)
             for texts in batches:
-                yield pd.Series([[{"item_id": i, "distance": d} for n, d in ready.search(normalise(t or "")).items() for i in ready.ids[n]] for t in texts])
+                out: list[dict[int, int]] = []
+                for group in groups(texts):
+                    out += ready.search([normalise(t or "") for t in group])
+                yield pd.Series([[{"item_id": i, "distance": d} for n, d in found.items() for i in ready.ids[n]] for found in out])
 
-        return run(F.col(text))
+        return run.asNondeterministic()(F.col(text))  # else a filter on it would run it twice
 
     return docs.withColumn("matches", F.array_sort(F.concat(*[column(b) for b in blocks(items, item_id, item_text)])))
 
