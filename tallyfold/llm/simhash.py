@@ -235,7 +235,7 @@ def classes(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
     named = roots.join(least, "root").select("node", "root", "component")
     out = fps.join(named, fps["fp"] == named["node"], "left")
     component = F.when(F.col("node").isNotNull(), F.col("component")).otherwise(F.col("own"))
-    return out.select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id"))
+    return materialize(out.select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id")))
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
