@@ -81,7 +81,7 @@ def ordered(docs: DataFrame) -> DataFrame:
     rows = materialize(rows)
     same = ["digest", "text_crc32", "size"]
     groups = rows.groupBy(*same).agg(F.min(F.struct(F.col("lang"), F.col("source"))).alias("meta"))
-    groups = groups.select(*same, curve_index(quantised(F.col("meta.lang"), F.col("meta.source"), F.col("size"))).alias("h"))
+    groups = materialize(groups.select(*same, curve_index(quantised(F.col("meta.lang"), F.col("meta.source"), F.col("size"))).alias("h")))
     keyed = rows.select("doc_id", *same).join(groups, same)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
