@@ -166,51 +166,64 @@ def plain_text(atoms: DataFrame) -> DataFrame:
     return atoms.groupBy("program", "rule_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("ord", one.alias("t")))), lambda x: x["t"]), "; ").alias("text"))
 
 
-RULE_TABLE = "program_index long, rules array<struct<when:array<array<struct<op:string,left:string,literal:string,peer:string,numeric:boolean>>>,then:map<string,string>,otherwise:map<string,string>>>"
+NUMBERS, TEXTS = ("A", "B"), ("FLAG", "TEXT-A", "TEXT-B")
+RULE_TABLE = (
+    "program_index long, rules array<struct<when:array<array<struct<op:string,numeric:boolean,left:int,peer:int,number:long,text:string>>>,"
+    "then:struct<numbers:array<long>,texts:array<string>>,otherwise:struct<numbers:array<long>,texts:array<string>>>>"
+)
 
 
-def rule_table(spark, programs: dict[int, list[Rule]], numeric: tuple[str, ...] = ("A", "B")) -> DataFrame:
-    """Rules as rows, one for each program: predicates as arrays of atoms, effects as maps of text."""
-    one = lambda a: (a.op, a.left, None if a.literal is None else str(a.literal), a.peer, a.left in numeric)
-    texts = lambda effects: {f: str(v) for f, v in effects}
-    rows = [(p, [([[one(a) for a in g] for g in r.when], texts(r.then), texts(r.otherwise)) for r in rules]) for p, rules in programs.items()]
+def rule_table(spark, programs: dict[int, list[Rule]]) -> DataFrame:
+    """Rules over the fields NUMBERS and TEXTS as rows, one for each program: predicates as arrays of atoms with field places,
+    effects as arrays in the fields' order (null leaves a field alone)."""
+
+    def one(a: Atom) -> tuple:
+        numeric = a.left in NUMBERS
+        names = NUMBERS if numeric else TEXTS
+        return (a.op, numeric, names.index(a.left), None if a.peer is None else names.index(a.peer), a.literal if numeric else None, None if numeric else a.literal)
+
+    values = lambda effects: ([dict(effects).get(f) for f in NUMBERS], [dict(effects).get(f) for f in TEXTS])
+    rows = [(p, [([[one(a) for a in g] for g in r.when], values(r.then), values(r.otherwise)) for r in own]) for p, own in programs.items()]
     return spark.createDataFrame(rows, RULE_TABLE)
 
 
 def checked_by_columns(rows: DataFrame, raw: str = "raw") -> DataFrame:
-    """Add ``input_status`` and ``state`` (map of text) for records A, B, FLAG, TEXT-A, TEXT-B whose limits stand in the row
+    """Add ``input_status``, ``numbers`` and ``texts`` (both null when rejected) for records whose limits stand in the row
     (``maximum``, ``text_width``)."""
-    names = ("A", "B", "FLAG", "TEXT-A", "TEXT-B")
-    out = rows.withColumn("_v", F.try_parse_json(F.col(raw))).withColumn("_keys", F.array_sort(F.json_object_keys(F.col(raw))))
+    names = sorted(NUMBERS + TEXTS)
+    out = rows.withColumns({"_v": F.try_parse_json(F.col(raw)), "_keys": F.array_sort(F.json_object_keys(F.col(raw)))})
     kind = lambda n: F.schema_of_variant(F.variant_get(F.col("_v"), f'$["{n}"]', "variant"))
-    number = lambda n: F.try_variant_get(F.col("_v"), f'$["{n}"]', "bigint")
-    text = lambda n: F.try_variant_get(F.col("_v"), f'$["{n}"]', "string")
-    good = [F.col("_keys") == F.array(*[F.lit(n) for n in names])]
-    good += [(kind(n) == "BIGINT") & number(n).between(F.lit(0), F.col("maximum")) for n in ("A", "B")]
-    good += [(kind(n) == "STRING") & (F.length(text(n)) == (F.lit(1) if n == "FLAG" else F.col("text_width"))) for n in ("FLAG", "TEXT-A", "TEXT-B")]
-    ok = reduce(Column.__and__, [F.coalesce(g, F.lit(False)) for g in good])
-    state = F.create_map(*[x for n in names for x in (F.lit(n), text(n))])
-    out = out.withColumn("input_status", F.when(ok, "ACCEPT_INPUT").otherwise("REJECT_INPUT")).withColumn("state", F.when(ok, state))
-    return out.drop("_v", "_keys")
+    get = lambda n, t: F.try_variant_get(F.col("_v"), f'$["{n}"]', t)
+    out = out.withColumns({"_n": F.array(*[F.when(kind(n) == "BIGINT", get(n, "bigint")) for n in NUMBERS]), "_t": F.array(*[F.when(kind(n) == "STRING", get(n, "string")) for n in TEXTS])})
+    good = (F.col("_keys") == F.array(*[F.lit(n) for n in names])) & F.forall("_n", lambda x: F.coalesce(x.between(F.lit(0), F.col("maximum")), F.lit(False)))
+    width = lambda i: F.length(F.get("_t", F.lit(i)))
+    good = good & (width(0) == 1) & (width(1) == F.col("text_width")) & (width(2) == F.col("text_width"))
+    out = out.withColumn("input_status", F.when(F.coalesce(good, F.lit(False)), "ACCEPT_INPUT").otherwise("REJECT_INPUT"))
+    kept = F.col("input_status") == "ACCEPT_INPUT"
+    return out.withColumns({"numbers": F.when(kept, F.col("_n")), "texts": F.when(kept, F.col("_t"))}).drop("_v", "_keys", "_n", "_t")
 
 
 def run_rule_table(rows: DataFrame, table: DataFrame) -> DataFrame:
-    """Run each accepted row through its program's rules in order; ``state`` and ``branches`` follow. The rule table is broadcast:
-    it has one row for each program."""
+    """Run each accepted row through its program's rules in order; ``numbers, texts, branches`` follow. The rule table is
+    broadcast: it has one row for each program."""
+
+    def related(op: Column, x: Column, y: Column) -> Column:
+        return F.when(op == "=", x == y).when(op == "<>", x != y).when(op == "<", x < y).when(op == "<=", x <= y).when(op == ">", x > y).otherwise(x >= y)
 
     def holds(state: Column, a: Column) -> Column:
-        left, right = F.element_at(state, a["left"]), F.coalesce(F.element_at(state, F.coalesce(a["peer"], F.lit(""))), a["literal"])
-        x, y = left.cast("long"), right.cast("long")
-        order = F.when(a["op"] == "<", x < y).when(a["op"] == "<=", x <= y).when(a["op"] == ">", x > y).otherwise(x >= y)
-        same = F.when(a["numeric"], x == y).otherwise(left == right)
-        return F.when(a["op"] == "=", same).when(a["op"] == "<>", ~same).otherwise(order)
+        side = lambda values, literal: (F.get(state[values], a["left"]), F.coalesce(F.get(state[values], a["peer"]), a[literal]))
+        return F.when(a["numeric"], related(a["op"], *side("numbers", "number"))).otherwise(related(a["op"], *side("texts", "text")))
 
     def step(acc: Column, rule: Column) -> Column:
-        branch = F.exists(rule["when"], lambda group: F.forall(group, lambda a: holds(acc["state"], a)))
-        effects = lambda b: F.when(b, rule["then"]).otherwise(rule["otherwise"])
-        moved = lambda b: F.map_concat(F.map_filter(acc["state"], lambda k, v: ~F.map_contains_key(effects(b), k)), effects(b))
-        return F.get(F.transform(F.array(branch), lambda b: F.struct(moved(b).alias("state"), F.concat(acc["branches"], F.array(b)).alias("branches"))), F.lit(0))
-
-    start = F.struct(F.col("state").alias("state"), F.array().cast("array<boolean>").alias("branches"))
-    out = rows.join(F.broadcast(table), "program_index").withColumn("_r", F.when(F.col("state").isNotNull(), F.aggregate("rules", start, step)))
-    return out.withColumns({"state": F.col("_r.state"), "branches": F.col("_r.branches")}).drop("_r", "rules")
+        branch = F.exists(rule["when"], lambda group: F.forall(group, lambda a: holds(acc, a)))
+
+        def after(b: Column) -> Column:
+            arm = F.when(b, rule["then"]).otherwise(rule["otherwise"])
+            new = lambda values: F.zip_with(arm[values], acc[values], lambda e, v: F.coalesce(e, v)).alias(values)
+            return F.struct(new("numbers"), new("texts"), F.concat(acc["branches"], F.array(b)).alias("branches"))
+
+        return F.get(F.transform(F.array(branch), after), F.lit(0))
+
+    start = F.struct(F.col("numbers").alias("numbers"), F.col("texts").alias("texts"), F.array().cast("array<boolean>").alias("branches"))
+    out = rows.join(F.broadcast(table), "program_index").withColumn("_r", F.when(F.col("numbers").isNotNull(), F.aggregate("rules", start, step)))
+    return out.withColumns({c: F.col(f"_r.{c}") for c in ("numbers", "texts", "branches")}).drop("_r", "rules")

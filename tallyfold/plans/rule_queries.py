@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallyfold.operators import contract, rules, testdata
 from tallyfold.operators.contract import Field
 from tallyfold.operators.rules import Atom, Rule, Step
-from tallyfold.plans.registry import query, table
+from tallyfold.plans.registry import query, spread, table
 
 ELIGIBILITY = [
     Rule("R001", ((Atom("c_acctbal", ">=", 1000),),), (("decision", "Y"),), (("decision", "N"),)),
@@ -155,7 +155,7 @@ def scenario_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scenario for each line item: its numbers choose the program and the case."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     h = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").bitwiseAND(F.lit((1 << 40) - 1))
-    return l.select(F.pmod(h, F.lit(testdata.PROGRAMS)).alias("program_index"), F.floor(h / testdata.PROGRAMS).alias("case_index"))
+    return spread(l.select(F.pmod(h, F.lit(testdata.PROGRAMS)).alias("program_index"), F.floor(h / testdata.PROGRAMS).alias("case_index")))
 
 
 @query()
@@ -164,7 +164,7 @@ def scenario_campaign(spark, sf_dir):
     rows = testdata.expected(testdata.scenarios(scenario_cases(spark, sf_dir), 20261003))
     done = rules.run_rule_table(rules.checked_by_columns(rows), rules.rule_table(spark, {i: testdata.program_rules(i)[1] for i in range(testdata.PROGRAMS)}))
     e = F.col("expected")
-    same = e["status"].eqNullSafe(F.col("input_status")) & F.when(e["status"] == "ACCEPT_INPUT", (e["a"].cast("string") == F.col("state.A")) & (e["b"].cast("string") == F.col("state.B")) & (e["flag"] == F.col("state.FLAG")) & (e["branches"] == F.col("branches"))).otherwise(F.lit(True))
+    same = e["status"].eqNullSafe(F.col("input_status")) & F.when(e["status"] == "ACCEPT_INPUT", (F.array(e["a"], e["b"]) == F.col("numbers")) & (e["flag"] == F.get("texts", F.lit(0))) & (e["branches"] == F.col("branches"))).otherwise(F.lit(True))
     return done.groupBy("family").agg(F.count("*").alias("scenarios"), F.count_if(F.startswith("label", F.lit("valid_"))).alias("valid"), F.count_if(~F.coalesce(same, F.lit(False))).alias("divergences"), F.bit_xor(F.xxhash64("program_index", "raw")).alias("digest"))
 
 

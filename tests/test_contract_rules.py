@@ -125,7 +125,7 @@ def test_campaign_has_no_divergence(spark):
     cases = spark.range(20_000).select((F.col("id") % testdata.PROGRAMS).alias("program_index"), F.expr(f"id div {testdata.PROGRAMS}").alias("case_index"))
     made = testdata.scenarios(cases, 7)
     rows = rules.run_rule_table(rules.checked_by_columns(testdata.expected(made)), rules.rule_table(spark, {i: testdata.program_rules(i)[1] for i in range(testdata.PROGRAMS)}))
-    bad = rows.agg(F.expr("count_if(not (expected.status <=> input_status) or (expected.status = 'ACCEPT_INPUT' and not (expected.branches = branches and expected.flag = state['FLAG'] and cast(expected.a as string) = state['A'] and cast(expected.b as string) = state['B']))) as bad"))
+    bad = rows.agg(F.expr("count_if(not (expected.status <=> input_status) or (expected.status = 'ACCEPT_INPUT' and not (expected.branches = branches and expected.flag = texts[0] and expected.a = numbers[0] and expected.b = numbers[1]))) as bad"))
     assert bad.first()["bad"] == 0
     labels = {r["label"]: r["n"] for r in made.groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert set(testdata.INVALID) <= set(labels) and sum(n for k, n in labels.items() if k.startswith("valid_")) == 16_000
