@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tallyfold.functions.text import physical_lines, suffix
+from tallyfold.functions.text import physical_lines, stem, suffix
+from tallyfold.operators.windows import capped_list
 
 
 def explode_lines(files: DataFrame, key: str = "path", text: str = "text") -> DataFrame:
@@ -129,15 +130,11 @@ def classify(lines: DataFrame, key: str = "path", referenced: DataFrame | None =
     """
     hits = signature_hits(lines, SIGNATURES, first_lines={"rexx": 5})
     found = hits.select(key, "line_no", "line", F.explode("kinds").alias("kind"))
-    from tallyfold.operators.windows import capped_list
-
     shown = capped_list(found, [key], F.struct("kind", "line_no", F.substring("line", 1, 200).alias("text")), ["line_no", "kind"], evidence)
     kinds = hits.groupBy(key).agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set("kinds")))).alias("all"))
     gone = F.flatten(F.array(*[F.when(F.array_contains("all", k), F.array(*[F.lit(x) for x in v])).otherwise(F.array().cast("array<string>")) for k, v in SUPPRESSED.items()]))
     out = kinds.withColumn("kinds", F.array_except("all", gone)).drop("all")
     if referenced is not None:
-        from tallyfold.functions.text import stem
-
         named = referenced.select(F.upper("stem").alias("_stem"), F.lit(True).alias("_used")).distinct()
         out = out.withColumn("_stem", F.upper(stem(F.col(key)))).join(named, "_stem", "left")
         out = out.withColumn("kinds", F.when((F.size("kinds") == 0) & F.col("_used"), F.array(F.lit("copybook"))).otherwise(F.col("kinds"))).drop("_stem", "_used")
@@ -174,8 +171,6 @@ def unaccounted(lines: DataFrame, disposed: DataFrame, keys: Sequence[str]) -> D
 
 def out_of_order(lines: DataFrame, key: str, line_no: str, rank: Column) -> DataFrame:
     """Lines whose section rank is below an earlier one's: ``(key, line_no, rank, highest)``."""
-    from pyspark.sql import Window
-
     w = Window.partitionBy(key).orderBy(line_no).rowsBetween(Window.unboundedPreceding, -1)
     rows = lines.select(key, line_no, rank.alias("rank")).where("rank is not null").withColumn("highest", F.max("rank").over(w))
     return rows.where(F.col("rank") <= F.col("highest"))

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.text import percent
+from tallyfold.operators.windows import spans
 
 #: From worst to best.
 DISPOSITIONS = ("blocked", "platform_replaced_unverified", "mapped_unverified", "platform_replaced_verified", "mapped_verified", "non_executable", "out_of_scope")
@@ -175,22 +176,20 @@ def wide(*rows: DataFrame) -> DataFrame:
 
 def gap_spans(gaps: DataFrame, family: str, path: str, line: str) -> DataFrame:
     """``(family, path, spans, n)``: line numbers of a gap family joined into inclusive spans ``a-b``."""
-    from tallyfold.operators.windows import spans
-
     found = spans(gaps, [family, path], line)
     text = F.transform(F.sort_array(F.collect_list(F.struct("first", "last"))), lambda x: F.concat(x["first"].cast("string"), F.lit("-"), x["last"].cast("string")))
     return found.groupBy(family, path).agg(F.array_join(text, ",").alias("spans"), F.sum(F.col("last") - F.col("first") + 1).alias("n"))
 
 
 def snapshot_hash(rows: DataFrame, key: str, digest: str) -> DataFrame:
-    """One row: a hash over all ``key:digest`` lines, in two levels so that no task holds all of them.
+    """One row: a hash over all ``key:digest`` lines as a bag, whatever their order.
 
-    Lines are hashed in order within 4,096 groups (by the key's hash), then the groups' hashes in order.
+    Four 60-bit lanes of each line's SHA-256 are summed, so tasks add up partial sums and no task holds the lines.
     """
-    line = F.concat(F.col(key).cast("string"), F.lit(":"), F.col(digest))
-    part = F.pmod(F.xxhash64(F.col(key).cast("string")), F.lit(4096))
-    groups = rows.groupBy(part.alias("p")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(line)), "\n"), 256).alias("h"))
-    return groups.agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("p", "h"))), lambda x: x["h"]), "\n"), 256).alias("snapshot"))
+    line = F.sha2(F.concat(F.col(key).cast("string"), F.lit(":"), F.col(digest)), 256)
+    lanes = [F.sum(F.conv(F.substring(line, 15 * i + 1, 15), 16, 10).cast("decimal(20,0)")).cast("string").alias(f"s{i}") for i in range(4)]
+    sums = rows.agg(F.count("*").cast("string").alias("n"), *lanes)
+    return sums.select(F.sha2(F.concat_ws(":", "n", *[f"s{i}" for i in range(4)]), 256).alias("snapshot"))
 
 
 def overall_status(gaps: DataFrame, blocking: Sequence[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -118,15 +118,13 @@ def keyset_page(df: DataFrame, keys: Sequence[str], n: int, cursor: Sequence | N
     """The next page, with ``has_more`` on each row; n + 1 rows are read to know."""
     rows = df.where(after_cursor(keys, cursor)) if cursor is not None else df
     page = rows.orderBy(*keys).limit(n + 1)
-    from pyspark.sql import Window
-
     w = Window.orderBy(*keys)  # over n + 1 rows
     numbered = page.withColumn("_rn", F.row_number().over(w)).withColumn("has_more", F.max("_rn").over(Window.partitionBy()) > n)
     return numbered.where(F.col("_rn") <= n).drop("_rn")
 
 
 def pages(df: DataFrame, keys: Sequence[str], page: int, size: Column) -> DataFrame:
-    """Add ``page`` (from 0), the row's ``bytes`` and the running bytes through its page's end are left to the caller."""
+    """Add ``bytes``, ``rank``, ``page`` (from 0) and ``running``, the bytes up to and with the row."""
     ranked = global_rank(df.withColumn("bytes", size), list(keys), "rank", {"running": "bytes"})
     return ranked.withColumn("page", F.floor((F.col("rank") - 1) / page))
 
