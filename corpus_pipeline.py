@@ -1,4 +1,9 @@
-"""From raw documents to token ids: quality rules, near-duplicates, benchmark passages, secrets, BPE."""
+"""From raw documents to token ids: quality rules, near-duplicates, benchmark passages, secrets, BPE.
+
+Null and empty texts fail the quality rules; in any other stage they count as empty and stay. Null hosts are one host, null
+ids are the last choice of a group of near-duplicates, and repeated rows count as near-duplicates of each other. Empty tables
+give empty tables, and further columns pass through the stages whatever their names.
+"""
 
 from __future__ import annotations
 
