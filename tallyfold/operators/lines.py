@@ -174,3 +174,10 @@ def out_of_order(lines: DataFrame, key: str, line_no: str, rank: Column) -> Data
     w = Window.partitionBy(key).orderBy(line_no).rowsBetween(Window.unboundedPreceding, -1)
     rows = lines.select(key, line_no, rank.alias("rank")).where("rank is not null").withColumn("highest", F.max("rank").over(w))
     return rows.where(F.col("rank") <= F.col("highest"))
+
+
+def excerpt(lines: DataFrame, key: str, first: Column, last: Column, most: int = 200, chars: int = 16_000) -> DataFrame:
+    """``(key, first_line, last_line, text)``: each file's lines in a range, ``most`` lines and ``chars`` characters at most."""
+    inside = lines.where(F.col("line_no").between(first, F.least(last, first + F.lit(most - 1))))
+    out = inside.groupBy(key).agg(F.min("line_no").alias("first_line"), F.max("line_no").alias("last_line"), F.sort_array(F.collect_list(F.struct("line_no", "line"))).alias("_l"))
+    return out.select(key, "first_line", "last_line", F.substring(F.array_join(F.transform("_l", lambda x: x["line"]), "\n"), 1, chars).alias("text"))

@@ -201,3 +201,17 @@ def overall_status(gaps: DataFrame, blocking: Sequence[str]) -> DataFrame:
 def actions(summary: DataFrame, conditions: Sequence[tuple[Column, str]], limit: int = 3) -> DataFrame:
     """Add ``actions``: the first ``limit`` texts whose condition holds, in order."""
     return summary.withColumn("actions", F.slice(F.array_compact(F.array(*[F.when(c, F.lit(t)) for c, t in conditions])), 1, limit))
+
+
+def coverage_page(rows: DataFrame, order: Sequence[str], limit: int = 250, **wanted: str | None) -> DataFrame:
+    """The first rows that have the wanted values (None: any), each with ``matching``, the count of all that have."""
+    for column, value in wanted.items():
+        rows = rows.where(F.col(column) == value) if value is not None else rows
+    total = rows.agg(F.count("*").alias("matching"))
+    return rows.orderBy(*order).limit(limit).join(F.broadcast(total))  # the total is one row
+
+
+def slim(df: DataFrame, lists: Sequence[str], limit: int = 50) -> DataFrame:
+    """Long lists cut to ``limit`` items, with ``<name>_total`` and ``<name>_cut`` beside them; other columns stay."""
+    extra = {f"{c}_total": F.size(c) for c in lists} | {f"{c}_cut": F.size(c) > limit for c in lists}
+    return df.withColumns(extra).withColumns({c: F.slice(c, 1, limit) for c in lists})

@@ -199,14 +199,12 @@ def key_match_label(spark, sf_dir):
 
 
 @query("""
-with r as (select l_returnflag, l_linestatus, l_linenumber as n from lineitem where l_orderkey % 50 = 1),
-d as (select distinct l_returnflag, l_linestatus, n from r), i as (select *, n - row_number() over (partition by l_returnflag, l_linestatus order by n) as g from d),
-s as (select l_returnflag, l_linestatus, min(n) as a, max(n) as b from i group by l_returnflag, l_linestatus, g)
-select l_returnflag, l_linestatus, string_agg(a || '-' || b, ',' order by a) as spans, sum(b - a + 1)::bigint as n from s group by 1, 2
+with d as (select distinct l_returnflag, l_orderkey, l_linenumber as n from lineitem), i as (select *, n - row_number() over (partition by l_returnflag, l_orderkey order by n) as g from d),
+s as (select l_returnflag, l_orderkey, min(n) as a, max(n) as b from i group by l_returnflag, l_orderkey, g)
+select l_returnflag, l_orderkey, string_agg(a || '-' || b, ',' order by a) as spans, sum(b - a + 1)::bigint as n from s group by 1, 2
 """)
 def gap_compaction(spark, sf_dir):
-    rows = table(spark, sf_dir, "lineitem").where("l_orderkey % 50 = 1")
-    return reconcile.gap_spans(rows, "l_returnflag", "l_linestatus", "l_linenumber")
+    return reconcile.gap_spans(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_orderkey", "l_linenumber")
 
 
 @query("""
