@@ -6,7 +6,7 @@ from importlib import import_module
 
 from tallyfold.plans.registry import ORACLES, QUERIES, Query
 
-MODULES = ("rule_queries", "reconcile_queries", "window_queries", "source_queries", "lineage_queries", "ledger_queries", "check_queries")
+MODULES = ("rule_queries", "reconcile_queries", "window_queries", "source_queries", "lineage_queries", "ledger_queries", "check_queries", "object_queries")
 
 
 def _load() -> None:
