@@ -20,8 +20,11 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: the one with the least id."""
-    return simhash.keep_one(docs)
+    """One document of each group of near-duplicates stays: the one with the least id.
+
+    Near are texts within two bits of fingerprint or with 0.8 of their five-word shingles in common.
+    """
+    return simhash.keep_one(docs, similar_too=True)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

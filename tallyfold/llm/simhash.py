@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm import similar
 from tallyfold.llm.common import python_ready, materialize
 
 BITS = 2  # of difference that link
@@ -223,13 +224,14 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def classes(prints: DataFrame, doc_id: str = "doc_id") -> DataFrame:
+def classes(prints: DataFrame, doc_id: str = "doc_id", more: DataFrame | None = None) -> DataFrame:
     """One row for each fingerprint: ``fp, root, component_id`` (the least fingerprint and the least id among all linked to it).
 
-    ``prints`` has the ids and ``fp``; it is read several times: materialize it.
+    ``prints`` has the ids and ``fp``; it is read several times: materialize it. ``more`` has further links (a, b) of fingerprints.
     """
     fps = materialize(prints.groupBy("fp").agg(F.min(doc_id).alias("own")))
-    roots = materialize(connected(near_links(fps.select("fp"))))
+    edges = near_links(fps.select("fp"))
+    roots = materialize(connected(edges if more is None else edges.unionByName(more)))
     named = roots.join(fps, roots["node"] == fps["fp"]).select("root", "own")
     least = named.groupBy("root").agg(F.min("own").alias("component"))
     named = roots.join(least, "root").select("node", "root", "component")
@@ -244,11 +246,25 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     return prints.join(classes(prints), "fp")
 
 
-def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """One row of each component: the one with its id; among rows with this id, one of the least fingerprint."""
-    marked = with_fingerprint(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.struct("*").alias("row")), "t", "fp").drop("t")
-    prints = materialize(marked.select("id", "fp"))
-    all_rows = prints.join(classes(prints, "id"), "fp")
+def similar_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) between the fingerprints of similar texts; ``key`` names a text in both tables."""
+    found = similar.links(texts, connected)
+    fp_of = materialize(prints.groupBy("key").agg(F.min("fp").alias("fp")))  # equal texts have equal fingerprints
+    for c in ("a", "b"):
+        found = found.join(fp_of.select(F.col("key").alias(c), F.col("fp").alias(f"fp_{c}")), c)
+    return found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+
+def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar_too: bool = False) -> DataFrame:
+    """One row of each component: the one with its id; among rows with this id, one of the least fingerprint.
+
+    ``similar_too`` also links texts whose five-word shingles have a similarity of 0.8 or more.
+    """
+    marked = with_fingerprint(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.struct("*").alias("row")), "t", "fp")
+    prints = materialize(marked.select("id", "fp", F.xxhash64("t").alias("key")))
+    more = similar_links(prints, docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))) if similar_too else None
+    marked = marked.drop("t")
+    all_rows = prints.drop("key").join(classes(prints, "id", more), "fp")
     keepers = all_rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fp").alias("fp"))
     chosen = keepers.select(F.col("fp").alias("kept_fp"), F.col("component_id").alias("kept_id"))
     joined = marked.join(chosen, (marked["fp"] == chosen["kept_fp"]) & marked["id"].eqNullSafe(chosen["kept_id"]))
