@@ -1,8 +1,8 @@
 """Secret scans: fixed patterns plus character Markov models of random strings and ordinary identifiers.
 
 Two first-order models over the letters (case folded), digits and ``+/_.=-`` are counted in one aggregation over the
-corpus: ``random`` from strings that the fixed patterns label as secrets, ``ordinary`` from each text's first word of
-letters. A long token that no fixed pattern covers is a secret when its log-likelihood ratio exceeds ``MIN_LLR``.
+corpus: ``random`` from strings that the fixed patterns label as secrets, ``ordinary`` from all words and identifiers of eight
+characters or more that no fixed pattern touches. A long token that no fixed pattern covers is a secret when its log-likelihood ratio exceeds ``MIN_LLR``.
 
 Null texts count as empty. Spans of one kind never overlap; across kinds they may. Ties in start go to the kind listed
 first. Repeated rows are scanned one by one and count as often in the models; an empty corpus leaves both models uniform,
@@ -25,7 +25,9 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 LEAST_VALUE = 6
 TOKEN = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}"
-WORD = r"(?<![A-Za-z0-9+/_=-])[A-Za-z]{8,}(?![A-Za-z0-9+/_=-])"
+#: What stands for a fixed pattern's span where ordinary words are read; a word next to it is part of a labelled one.
+TAKEN = "\x00"
+WORD = r"(?<![A-Za-z0-9+/_=\x00-])[A-Za-z0-9+/_=-]{8,}+(?!\x00)"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyz0123456789+/_.=-"
 #: Least log-likelihood ratio (in nats, over a whole token) of random to ordinary.
 MIN_LLR = 10.0
@@ -58,10 +60,9 @@ def spans_of(text: Column, pattern: str, kind: int, keep=None) -> Column:
     return F.when(F.rlike(text, F.lit(pattern)), let(text, walk)).otherwise(F.array().cast(f"array<{SPAN}>"))
 
 
-def transitions(token: Column) -> Column:
-    """(previous, next) symbols of a token, case folded; the empty symbol stands before the first."""
-    chars = F.split(F.lower(token), "")
-    return let(chars, lambda cs: F.transform(cs, lambda c, i: F.struct(F.when(i > 0, F.get(cs, i - 1)).otherwise("").alias("a"), c.alias("b"))))
+def transitions(tokens: Column) -> Column:
+    """Pairs of neighbouring symbols of the tokens, case folded; a blank stands before each token's first."""
+    return F.regexp_extract_all(F.concat(F.lit(" "), F.lower(F.array_join(tokens, " "))), F.lit("(?=(.[^ ]))"), F.lit(1))
 
 
 def train(docs: DataFrame, text: str = "text") -> list[float]:
@@ -74,9 +75,13 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
         F.regexp_extract_all(body, F.lit(ASSIGN), F.lit(2)), F.regexp_extract_all(body, F.lit(ACCESS), F.lit(0)), F.regexp_extract_all(body, F.lit(HEX), F.lit(0))
     )
     values = F.filter(values, lambda v: F.rlike(v, F.lit("[0-9]")) & (F.length(v) >= 12))
-    labelled = F.concat(F.transform(values, lambda v: F.struct(F.lit(1).alias("random"), v.alias("token"))), F.array(F.struct(F.lit(0).alias("random"), F.regexp_extract(body, WORD, 0).alias("token"))))
-    pairs = docs.select(F.explode(F.filter(labelled, lambda x: x["token"] != "")).alias("x")).select("x.random", F.explode(transitions(F.col("x.token"))).alias("t"))
-    counts = {(r["random"], r["a"], r["b"]): r["n"] for r in pairs.groupBy("random", "t.a", "t.b").agg(F.count("*").alias("n")).collect()}
+    rest = body
+    for pattern in (ASSIGN, ACCESS, HEX):
+        rest = F.regexp_replace(rest, pattern, TAKEN)
+    words = F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))
+    kinds = F.array(*[F.struct(F.lit(random).alias("random"), transitions(tokens).alias("ts")) for random, tokens in ((1, values), (0, words))])
+    pairs = docs.select(F.inline(kinds)).select("random", F.explode("ts").alias("t"))
+    counts = {(r["random"], r["t"][0].strip(), r["t"][1]): r["n"] for r in pairs.groupBy("random", "t").agg(F.count("*").alias("n")).collect()}
     table = []
     for a in ["", *SYMBOLS]:
         logs = []
