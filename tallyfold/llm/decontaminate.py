@@ -116,11 +116,14 @@ class Items:
     def slot(keys: np.ndarray) -> np.ndarray:
         return (keys * MIX) >> np.uint64(64 - TABLE_BITS)
 
-    def hits(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """(item, start): where an item would start for a piece of it to stand where it does; each pair once."""
+    def hits(self, data: bytes, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(item, start, text): where an item would start for a piece of it to stand where it does, in which text; each once.
+
+        ``firsts`` has the texts' first places. The start may lie before its text, even before the text before it.
+        """
         n = len(data) - ANCHOR + 1
         words = np.ndarray((max(0, n),), "<u8", data, strides=(1,))  # overlapping, one at each byte
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64))]
+        found = [(np.zeros(0, np.int64),) * 3]
         for at in range(0, n if len(self.anchors) else 0, CHUNK):
             keys = words[at : at + CHUNK].copy()
             places = np.flatnonzero(self.table[self.slot(keys)])
@@ -135,10 +138,10 @@ class Items:
             inside = last < n
             places, piece, last = places[inside], piece[inside], last[inside]
             whole = words[last] == self.ends[piece]  # pieces are under 16 bytes: both ends make the whole
-            found.append((self.item[piece[whole]], places[whole] - self.offset[piece[whole]]))
-        item, start = (np.concatenate(x) for x in zip(*found, strict=True))
-        pairs = np.unique(np.stack([item, start]), axis=1)
-        return pairs[0], pairs[1]
+            places, piece = places[whole], piece[whole]
+            found.append((self.item[piece], places - self.offset[piece], np.searchsorted(firsts, places, "right") - 1))
+        once = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
+        return once[0], once[1], once[2]
 
     def sieve(self, item: np.ndarray, start: np.ndarray, data: np.ndarray) -> np.ndarray:
         """Which hits stay possible: an item's distance is no less than the sum of its 64-byte segments' least distances."""
@@ -175,14 +178,11 @@ class Items:
         data = b"\0".join(texts) + b"\0"
         found: list[dict[int, int]] = [{} for _ in texts]
         firsts = np.concatenate(([0], np.cumsum([len(t) + 1 for t in texts])))
-        item, start = self.hits(data)
+        item, start, doc = self.hits(data, firsts)
         left = self.sieve(item, start, np.frombuffer(data, dtype=np.uint8))
-        doc = np.searchsorted(firsts, np.maximum(start[left], 0), "right") - 1
         places: dict[tuple[int, int], list[int]] = {}
-        for n, s, d in zip(item[left].tolist(), start[left].tolist(), doc.tolist(), strict=True):
-            for near in {d, min(d + 1, len(texts) - 1)}:  # a start before its text's first byte lies in the text before
-                if firsts[near] - self.errors[n] - len(self.texts[n]) <= s < firsts[near + 1]:
-                    places.setdefault((near, n), []).append(s - int(firsts[near]))
+        for n, s, d in zip(item[left].tolist(), start[left].tolist(), doc[left].tolist(), strict=True):
+            places.setdefault((d, n), []).append(s - int(firsts[d]))
         for (d, n), starts in places.items():
             best = self.least(texts[d], n, sorted(starts))
             if best <= self.errors[n]:

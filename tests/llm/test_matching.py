@@ -147,3 +147,14 @@ def test_keep_one(spark):
     linked = (simhash.fingerprint(text) ^ simhash.fingerprint(text + " x")).bit_count() <= 2
     assert got == sorted([(-1, "f"), (1, "d"), (3, "b"), (7, "g")] + ([] if linked else [(9, "c")]))
     assert simhash.keep_one(docs.limit(0)).count() == 0 and simhash.components(docs.limit(0)).count() == 0
+
+
+def test_an_item_cut_at_its_start_is_found_after_short_texts():
+    rng = random.Random(8)
+    item = decontaminate.normalise(" ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(33)))
+    known = decontaminate.Items([(1, item.decode())])
+    cut = item[int(known.errors[0]) :]
+    alone = known.search([cut])
+    assert alone == [{0: int(known.errors[0])}]
+    for before in ([b""], [b"", b"", b""], [b"a", b"b c", b""], [b"some words"] * 3):
+        assert known.search([*before, cut, b"x"]) == [*[{}] * len(before), *alone, {}]
