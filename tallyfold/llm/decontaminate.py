@@ -2,14 +2,16 @@
 
 Texts and items are normalised (lower case; runs of ASCII characters that are neither letters nor digits become one
 blank). An item of m bytes may be matched with k = m // 10 edits. It is split into k + 1 pieces: wherever it occurs with at
-most k edits, one piece stands unchanged. Exact piece hits are found with numpy over a whole batch of texts (eight-byte anchors, a
-bit table, then the piece itself), and verified with Myers' bit-parallel distance: first the item's 64-byte segments, one
-word each and many hits at once, whose distances add up to no more than the item's; then the whole item for what is left.
+most k edits, one piece stands unchanged. Exact piece hits are found with numpy over a whole batch of texts (anchors of eight
+bytes, five for shorter pieces; a bit table, then the piece itself), and verified with Myers' bit-parallel distance: first
+the item's 64-byte segments, one word each and many hits at once, whose distances add up to no more than the item's; then
+the whole item for what is left.
 
-The items are read in blocks of about ``BLOCK_BYTES``; each block is sent to the executors and meets all texts, which are
-searched whole. The work is narrow: no shuffle, and a lost task is simply run again.
+The items are read in blocks of about ``BLOCK_BYTES``, one after the other; each is sent to the executors and meets all
+texts, which are searched whole. With one block the work is narrow: no shuffle. With several, each block's hits are written by
+the text's checksum before the next block is read, and joined to the rows at the end.
 
-Null or empty texts hold no item; null, empty and blank items are in no text. Items under eight bytes must occur unchanged
+Null or empty texts hold no item; null, empty and blank items are in no text. Items under eight bytes (budget 0) must stand
 between blanks. Equal items are all reported. Repeated rows are searched one by one. Other columns are kept untouched.
 """
 
@@ -17,16 +19,19 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import python_ready
+from tallyfold.llm.common import free_name, materialize, python_ready
 
 ERROR_SHARE = 10
-ANCHOR = 8
+#: Bytes of anchors; the shortest piece of an item (ten bytes, one edit) has five.
+ANCHOR, SHORT_ANCHOR = 8, 5
 BLOCK_BYTES = 8 << 20
 TABLE_BITS = 19
 #: Bytes of an item that one machine word compares, bytes of text and hits that are looked at in one go.
@@ -36,6 +41,7 @@ HITS = 1 << 14
 BATCH_BYTES = 4 << 20
 BLANKS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 MIX = np.uint64(0x9E3779B97F4A7C15)
+MATCHES = "array<struct<item_id:long,distance:int>>"
 
 
 def normalise(text: str) -> bytes:
@@ -72,6 +78,47 @@ def myers(pattern: bytes, text: bytes, bits: dict[int, int] | None = None) -> in
     return best
 
 
+class Pieces:
+    """Pieces of items, filed under their first ``width`` bytes; their last ``width`` bytes make the rest."""
+
+    def __init__(self, width: int, rows: list[tuple[bytes, int, int]]) -> None:
+        """``rows`` have a piece, its item and its place there; a piece has no more than twice the width."""
+        word = lambda parts: np.frombuffer(b"".join(p.ljust(8, b"\0") for p in parts), dtype="<u8")
+        self.width, self.mask = width, np.uint64((1 << 8 * width) - 1)
+        starts, ends = word([p[:width] for p, _, _ in rows]), word([p[-width:] for p, _, _ in rows])
+        order = np.argsort(starts, kind="stable")
+        starts, self.ends = starts[order], ends[order]
+        self.length, self.item, self.offset = (np.array(x, dtype=np.int64)[order] for x in zip(*[(len(p), n, at) for p, n, at in rows], strict=True))
+        self.anchors = np.unique(starts)
+        self.low, self.high = np.searchsorted(starts, self.anchors), np.searchsorted(starts, self.anchors, "right")
+        self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
+        self.table[self.slot(self.anchors)] = True
+
+    @staticmethod
+    def slot(keys: np.ndarray) -> np.ndarray:
+        return (keys * MIX) >> np.uint64(64 - TABLE_BITS)
+
+    def find(self, words: np.ndarray, n: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(item, start of the item, place of the piece) for each piece that stands in the text, whose bytes overlap in ``words``."""
+        for at in range(0, n, CHUNK):
+            keys = words[at : min(n, at + CHUNK)] & self.mask
+            places = np.flatnonzero(self.table[self.slot(keys)])
+            keys = keys[places]
+            anchor = np.minimum(np.searchsorted(self.anchors, keys), len(self.anchors) - 1)
+            exact = self.anchors[anchor] == keys
+            places, anchor = places[exact] + at, anchor[exact]
+            if not len(anchor):
+                continue
+            counts = self.high[anchor] - self.low[anchor]
+            piece = np.repeat(self.low[anchor] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum())
+            places = np.repeat(places, counts)
+            last = places + self.length[piece] - self.width
+            whole = np.flatnonzero(last < n)
+            whole = whole[words[last[whole]] & self.mask == self.ends[piece[whole]]]
+            places, piece = places[whole], piece[whole]
+            yield self.item[piece], places - self.offset[piece], places
+
+
 class Items:
     """A block of items, ready for searching batches of texts."""
 
@@ -82,7 +129,7 @@ class Items:
                 by_text.setdefault(found, []).append(item_id)
         self.ids, self.texts = list(by_text.values()), list(by_text)
         self.bits = [alphabet(t) for t in self.texts]
-        self.errors = np.array([max(0, min(len(t) // ERROR_SHARE, len(t) // ANCHOR - 1)) for t in self.texts], dtype=np.int64)
+        self.errors = np.array([len(t) // ERROR_SHARE for t in self.texts], dtype=np.int64)
         self.short = [n for n, t in enumerate(self.texts) if len(t) < ANCHOR]
         pieces, segments = [], []
         self.first_segment = []
@@ -91,20 +138,11 @@ class Items:
             if (m := len(text)) < ANCHOR:
                 continue
             cuts = [i * m // (k + 1) for i in range(k + 2)]
-            pieces += [(text[x : x + ANCHOR], n, x, text[y - ANCHOR : y], y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+            pieces += [(text[x:y], n, x) for x, y in zip(cuts, cuts[1:], strict=False)]
             segments += [(x, text[x : x + WORD]) for x in range(0, m, WORD)]
-        pieces.sort()
+        by_width = ((ANCHOR, [p for p in pieces if len(p[0]) >= ANCHOR]), (SHORT_ANCHOR, [p for p in pieces if len(p[0]) < ANCHOR]))
+        self.pieces = [Pieces(width, part) for width, part in by_width if part]
         self.first_segment = np.array([*self.first_segment, len(segments)])
-        words = lambda parts: np.frombuffer(b"".join(parts), dtype="<u8")
-        starts = words([p[0] for p in pieces])
-        self.anchors, self.piece_at = np.unique(starts, return_index=True)
-        by_value = np.argsort(starts, kind="stable")
-        self.item, self.offset, self.length = (np.array([p[c] for p in pieces], dtype=np.int64)[by_value] for c in (1, 2, 4))
-        self.ends = words([p[3] for p in pieces])[by_value]
-        sorted_starts = starts[by_value]
-        self.low, self.high = np.searchsorted(sorted_starts, self.anchors), np.searchsorted(sorted_starts, self.anchors, "right")
-        self.table = np.zeros(1 << TABLE_BITS, dtype=bool)
-        self.table[self.slot(self.anchors)] = True
         self.segment_at = np.array([x for x, _ in segments], dtype=np.int64)
         self.segment_length = np.array([len(t) for _, t in segments], dtype=np.int64)
         self.segment_bits = np.zeros((len(segments), 256), dtype=np.uint64)
@@ -112,34 +150,15 @@ class Items:
             for c, bits in alphabet(t).items():
                 self.segment_bits[i, c] = bits
 
-    @staticmethod
-    def slot(keys: np.ndarray) -> np.ndarray:
-        return (keys * MIX) >> np.uint64(64 - TABLE_BITS)
-
     def hits(self, data: bytes, firsts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(item, start, text): where an item would start for a piece of it to stand where it does, in which text; each once.
 
         ``firsts`` has the texts' first places. The start may lie before its text, even before the text before it.
         """
-        n = len(data) - ANCHOR + 1
-        words = np.ndarray((max(0, n),), "<u8", data, strides=(1,))  # overlapping, one at each byte
+        words = np.ndarray((len(data),), "<u8", data + bytes(ANCHOR - 1), strides=(1,))  # overlapping, one at each byte
         found = [(np.zeros(0, np.int64),) * 3]
-        for at in range(0, n if len(self.anchors) else 0, CHUNK):
-            keys = words[at : at + CHUNK].copy()
-            places = np.flatnonzero(self.table[self.slot(keys)])
-            keys = keys[places]
-            anchor = np.minimum(np.searchsorted(self.anchors, keys), len(self.anchors) - 1)
-            exact = self.anchors[anchor] == keys
-            places, anchor = places[exact] + at, anchor[exact]
-            counts = self.high[anchor] - self.low[anchor]
-            piece = np.repeat(self.low[anchor] - np.concatenate(([0], np.cumsum(counts)[:-1])), counts) + np.arange(counts.sum()) if len(counts) else counts
-            places = np.repeat(places, counts)
-            last = places + self.length[piece] - ANCHOR
-            inside = last < n
-            places, piece, last = places[inside], piece[inside], last[inside]
-            whole = words[last] == self.ends[piece]  # pieces are under 16 bytes: both ends make the whole
-            places, piece = places[whole], piece[whole]
-            found.append((self.item[piece], places - self.offset[piece], np.searchsorted(firsts, places, "right") - 1))
+        for pieces in self.pieces:
+            found += [(item, start, np.searchsorted(firsts, place, "right") - 1) for item, start, place in pieces.find(words, len(data))]
         once = np.unique(np.stack([np.concatenate(x) for x in zip(*found, strict=True)]), axis=1)
         return once[0], once[1], once[2]
 
@@ -220,38 +239,50 @@ def groups(texts: pd.Series) -> Iterator[list[str | None]]:
         yield group
 
 
-def blocks(items: DataFrame, item_id: str, text: str) -> Iterator[list[tuple[int, str]]]:
+def blocks(items: DataFrame, item_id: str, text: str) -> list[DataFrame]:
     """The items with text, in blocks of about ``BLOCK_BYTES`` by their checksum."""
     rows = items.select(F.col(item_id).alias("item_id"), F.col(text).alias("text")).where("text is not null and item_id is not null")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = max(1, math.ceil(size / BLOCK_BYTES))
-    for k in range(n):
-        part = rows if n == 1 else rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k)
-        yield [tuple(r) for r in part.collect()]
+    return [rows] if n == 1 else [rows.where(F.pmod(F.xxhash64("text", "item_id"), F.lit(n)) == k) for k in range(n)]
 
 
-def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
-    """Add ``matches``: an array of (item_id, distance) of the items that the text holds. A column of this name is replaced."""
-    spark = docs.sparkSession
-    python_ready(spark)
+def searched(block: DataFrame, text: Column) -> tuple[Column, Broadcast]:
+    """The matches of a block's items in a text; the broadcast may be given up once the Column is evaluated."""
+    sent = block.sparkSession.sparkContext.broadcast([tuple(r) for r in block.collect()])
 
-    def column(block: list[tuple[int, str]]) -> Column:
-        sent = spark.sparkContext.broadcast(block)
+    @F.pandas_udf(MATCHES)
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        ready = Items(sent.value)
+        for texts in batches:
+            out: list[dict[int, int]] = []
+            for group in groups(texts):
+                out += ready.search([normalise(t or "") for t in group])
+            yield pd.Series([[{"item_id": i, "distance": d} for n, d in found.items() for i in ready.ids[n]] for found in out])
 
-        @F.pandas_udf("array<struct<item_id:long,distance:int>>")
-        def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            ready = Items(sent.value)
-            for texts in batches:
-                out: list[dict[int, int]] = []
-                for group in groups(texts):
-                    out += ready.search([normalise(t or "") for t in group])
-                yield pd.Series([[{"item_id": i, "distance": d} for n, d in found.items() for i in ready.ids[n]] for found in out])
+    return run.asNondeterministic()(text), sent  # else a filter on it would run it twice
 
-        return run.asNondeterministic()(F.col(text))  # else a filter on it would run it twice
 
-    return docs.withColumn("matches", F.array_sort(F.concat(*[column(b) for b in blocks(items, item_id, item_text)])))
+def matches(docs: DataFrame, items: DataFrame, text: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+    """Add ``matches``: an array of (item_id, distance) of the items that the text holds. A column of this name is replaced."""
+    python_ready(docs.sparkSession)
+    parts = blocks(items, item_id, item_text)
+    if len(parts) == 1:
+        return docs.withColumn("matches", F.array_sort(searched(parts[0], F.col(text))[0]))
+    checksum = F.sha2(F.col(text), 256)
+    found = []
+    for part in parts:
+        column, sent = searched(part, F.col("t"))
+        rows = docs.select(F.col(text).alias("t"), checksum.alias("key")).select("key", column.alias("m")).where(F.size("m") > 0)
+        found.append(materialize(rows.dropDuplicates(["key"])))
+        sent.destroy()
+    key, every = free_name(docs, "checksum"), free_name(docs, "every")
+    by_text = materialize(reduce(DataFrame.unionByName, found).groupBy(F.col("key").alias(key)).agg(F.array_sort(F.flatten(F.collect_list("m"))).alias(every)))
+    joined = docs.withColumn(key, checksum).join(by_text, key, "left")
+    return joined.withColumn("matches", F.coalesce(every, F.array().cast(MATCHES))).drop(key, every)
 
 
 def clean(docs: DataFrame, items: DataFrame, text: str = "text") -> DataFrame:
     """The rows whose text holds no item."""
-    return matches(docs.withColumn("_kept", F.struct("*")), items, text).where(F.size("matches") == 0).select("_kept.*")
+    kept = docs.select(F.col(text).alias("text"), F.struct("*").alias("row"))
+    return matches(kept, items).where(F.size("matches") == 0).select("row.*")
