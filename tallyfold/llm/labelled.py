@@ -17,13 +17,19 @@ def remainder(doc_id: Column, folds: int) -> Column:
 
 
 def thinned(rows: DataFrame, doc_id: str, most: int, count: int | None = None) -> DataFrame:
-    """All rows if they are ``most`` at most, else about ``most`` of them by a hash of the id (fewer, never many more)."""
+    """All rows if they are ``most`` at most, else about ``most`` of them by a hash of their ids, which differ."""
     count = rows.count() if count is None else count
     if count <= most:
         return rows
     return rows.where(F.pmod(F.xxhash64(F.col(doc_id)), F.lit(1 << 30)) < int(most / count * (1 << 30)))
 
 
+def sampled(rows: DataFrame, most: int, count: int | None = None) -> DataFrame:
+    """All rows if they are ``most`` at most, else about ``most`` of them, each drawn by itself, with a fixed seed."""
+    count = rows.count() if count is None else count
+    return rows if count <= most else rows.where(F.rand(7) < most / count)
+
+
 def labels_of(labels: DataFrame, label: str, folds: int, held_out: int, most: int = MAX_LABELS) -> DataFrame:
     """``doc_id, y, fold`` of the rows that may be learnt from; of several labels for one id the largest counts."""
     rows = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("y"))
