@@ -1,17 +1,23 @@
 """Quality classifier by positive-unlabelled learning.
 
-Trusted positives are texts that a label marks as good; the unlabelled ones are plain web texts of the table. A linear
-model over text statistics minimises the non-negative unbiased risk: the positives' loss weighed by the class prior, plus
-the unlabelled texts' negative loss less the prior's part of the positives' negative loss, kept from falling below zero.
-The class prior is the share of good rows among the labelled ones that may be learnt from.
+Trusted positives are texts that a label marks as good; all texts of the table are the unlabelled ones. A linear model over
+text statistics minimises the non-negative unbiased risk: the positives' loss weighed by the class prior, plus the unlabelled
+texts' negative loss less the prior's part of the positives' negative loss, which may not fall below zero. With the logistic
+loss that risk is convex; Newton steps go down it as far as its second part stays at zero or above.
 
-Null and empty texts have all statistics zero and score like any other. Without positives or texts every score is the prior,
-0 without labels. Texts are read whole; repeated rows are scored one by one.
+The class prior is estimated from positives and unlabelled texts alone: a classifier tells the two apart, and the prior is the
+least ratio of the unlabelled to the positive share of texts above a score, each ratio with its margin of error.
+
+Statistics of every row are written once (twelve numbers a row); means, spreads, gradients and histograms are sums over all
+of them on the executors, and only sums come back.
+
+Null and empty texts have all statistics zero and score like any other. Without positives or texts every score is nearly 0.
+Texts are read whole; repeated rows count and are scored one by one.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,14 +25,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import python_ready, materialize
-from tallyfold.llm.labelled import held_out, labels_of, sigmoid, standardised, thinned, with_texts
+from tallyfold.llm.common import materialize, python_ready
+from tallyfold.llm.labelled import held_out, labels_of, sigmoid
 
 FOLDS, HELD_OUT = 5, 0
-#: Rows that the model is fitted on, at most, of each kind.
-MAX_POSITIVES = 20_000
-MAX_UNLABELLED = 20_000
-STEPS = 600
+#: Newton steps at most, and the shares of a step that are tried at once.
+STEPS = 15
+SHARES = (1.0, 0.5, 0.2, 0.05)
+RIDGE = 1e-3
+#: Bins of scores for the class prior.
+BINS = 1000
 KINDS = np.zeros(256, dtype=np.uint8)
 KINDS[[*b" \t\n\v\f\r"]] = 1
 KINDS[[*range(65, 91)]] = 2
@@ -59,76 +67,174 @@ def statistics(text: str | None) -> list[float]:
     ]
 
 
+def expand(x: np.ndarray) -> np.ndarray:
+    """Bounded statistics, their squares and a constant."""
+    x = np.clip(x, -5, 5)
+    return np.hstack([x, x * x / 5, np.ones((len(x), 1))])
+
+
+@dataclass
+class Sums:
+    """Means over one group of rows, for one vector of weights: losses as negative and as positive, and their derivatives."""
+
+    n: float
+    negative: float
+    positive: float
+    x: np.ndarray
+    slope: np.ndarray
+    curve: np.ndarray
+
+
+def sums(x: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The sums that ``means`` needs, one row for each row of ``weights``."""
+    out = []
+    for w in weights:
+        z = x @ w
+        p = sigmoid(z)
+        out.append(np.concatenate([[len(x), np.logaddexp(0, z).sum(), np.logaddexp(0, -z).sum()], x.sum(axis=0), x.T @ p, ((x * (p * (1 - p))[:, None]).T @ x).ravel()]))
+    return np.array(out)
+
+
+def means(row: np.ndarray, d: int) -> Sums:
+    n = row[0]
+    row = row / max(n, 1.0)
+    return Sums(n, row[1], row[2], row[3 : 3 + d], row[3 + d : 3 + 2 * d], row[3 + 2 * d :].reshape(d, d))
+
+
+Evaluate = Callable[[np.ndarray], list[tuple[Sums, Sums]]]  # of positives and unlabelled, for each row of weights
+
+
+def risk(p: Sums, u: Sums, prior: float) -> tuple[float, np.ndarray, np.ndarray, bool]:
+    """Unbiased risk with its derivatives, and whether its second part is zero or above."""
+    negative = u.negative - prior * p.negative
+    return prior * p.positive + negative, prior * (p.slope - p.x) + u.slope - prior * p.slope, u.curve, negative >= 0
+
+
+def contrast(p: Sums, u: Sums) -> tuple[float, np.ndarray, np.ndarray, bool]:
+    """Mean loss of telling positives from unlabelled rows, both weighed alike."""
+    return p.positive + u.negative, p.slope - p.x + u.slope, p.curve + u.curve, True
+
+
+def minimise(evaluate: Evaluate, loss: Callable[[Sums, Sums], tuple[float, np.ndarray, np.ndarray, bool]], d: int) -> np.ndarray:
+    """Weights of least loss with a ridge, among those that the loss allows; from zero, by damped Newton steps."""
+
+    def at(ws: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, bool]]:
+        found = [loss(p, u) for p, u in evaluate(ws)]
+        return [(v + RIDGE / 2 * w @ w, g + RIDGE * w, h + RIDGE * np.eye(d), ok) for w, (v, g, h, ok) in zip(ws, found, strict=True)]
+
+    w = np.zeros(d)
+    value, gradient, curve, _ = at(w[None])[0]
+    for _ in range(STEPS):
+        step = np.linalg.solve(curve, gradient)
+        tries = w - np.array(SHARES)[:, None] * step
+        allowed = [(v, i, g, h) for i, (v, g, h, ok) in enumerate(at(tries)) if ok and v < value]
+        if not allowed:
+            break
+        before = value
+        value, i, gradient, curve = min(allowed, key=lambda x: x[0])
+        w = tries[i]
+        if before - value < 1e-7:
+            break
+    return w
+
+
+def prior_of(positive: np.ndarray, unlabelled: np.ndarray, delta: float = 0.1) -> float:
+    """The share of positives among the unlabelled, from histograms of scores (rising): the least ratio of shares above a score."""
+    n_p, n_u = positive.sum(), unlabelled.sum()
+    if not n_p or not n_u:
+        return 0.0
+    above_p, above_u = (np.cumsum(h[::-1]) / h.sum() for h in (positive, unlabelled))
+    some = above_p > 0
+    margin = np.sqrt(np.log(4 / delta) / 2) * (1 / np.sqrt(n_p) + 1 / np.sqrt(n_u))
+    ratio, bound = above_u[some] / above_p[some], margin / above_p[some]
+    return float(min(1.0, ratio[np.argmin(ratio + bound)]))
+
+
 @dataclass
 class Model:
     mean: np.ndarray
     spread: np.ndarray
     weights: np.ndarray
+    prior: float
 
-    def scores(self, texts: list[str | None]) -> np.ndarray:
-        x = np.array([statistics(t) for t in texts]).reshape(len(texts), len(NAMES))
-        return sigmoid(expand((x - self.mean) / self.spread) @ self.weights)
+    def standard(self, x: np.ndarray) -> np.ndarray:
+        return expand((x - self.mean) / self.spread)
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return sigmoid(self.standard(x) @ self.weights)
 
-def expand(x: np.ndarray) -> np.ndarray:
-    """Bounded statistics, their squares and a constant."""
-    x = np.clip(x, -5, 5)
-    return np.hstack([x, x * x / 5, np.ones((len(x), 1))])
 
+def measured(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """``row`` (all columns but ``text``), ``doc_id``, ``x`` (the statistics) and ``positive`` of every row, written once.
 
-def fit(positive: np.ndarray, unlabelled: np.ndarray, prior: float, ridge: float = 1e-3) -> np.ndarray:
-    """Weights of least non-negative risk under the logistic loss, by Adam over all rows."""
-    w = np.zeros(positive.shape[1])
-    m, v = np.zeros_like(w), np.zeros_like(w)
-    for step in range(1, STEPS + 1):
-        p, u = sigmoid(positive @ w), sigmoid(unlabelled @ w)
-        negative_risk = -np.log1p(-np.minimum(u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(p, 1 - 1e-12)).mean()
-        rest = unlabelled.T @ u / len(u) - prior * (positive.T @ p) / len(p)
-        if negative_risk < 0:  # step back up instead of fitting the positives as negatives
-            gradient = -rest
-        else:
-            gradient = prior * (positive.T @ (p - 1)) / len(p) + rest + ridge * w
-        m, v = 0.9 * m + 0.1 * gradient, 0.999 * v + 0.001 * gradient**2
-        w = w - 0.05 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
-    return w
-
-
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Model:
-    """At most ``MAX_POSITIVES`` and ``MAX_UNLABELLED`` rows of statistics come back to the driver."""
+    The positives' ids are broadcast: they are ``labelled.MAX_LABELS`` numbers at most.
+    """
     python_ready(docs.sparkSession)
-    rows = materialize(labels_of(labels, label, FOLDS, HELD_OUT))
-    n = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
-    total, good = sum(n.values()), n.get(1, 0)
-    prior = good / total if total else 0.0
+    rows = labels_of(labels, label, FOLDS, HELD_OUT).where("y = 1").select(F.col("doc_id").alias("positive_id"))
+    others = [F.col(f"`{c}`") for c in docs.columns if c.lower() != "text"]
 
-    def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame({"x": [statistics(t) for t in batch["text"]]}, columns=["x"])
+    @F.pandas_udf("array<double>")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            yield pd.Series([statistics(t) for t in texts])
 
-    def sample(part: DataFrame) -> np.ndarray:
-        got = part.select("text").mapInPandas(measure, "x array<double>").toPandas()["x"]
-        return np.array(got.tolist()).reshape(len(got), len(NAMES))
+    source = docs.select(F.struct(*others).alias("row"), "doc_id", run("text").alias("x"))
+    joined = source.join(F.broadcast(rows), F.col("doc_id") == F.col("positive_id"), "left")
+    return materialize(joined.select("row", "doc_id", "x", F.col("positive_id").isNotNull().alias("positive")))
 
-    positive = sample(with_texts(docs, thinned(rows.where("y = 1"), "doc_id", MAX_POSITIVES, good).select("doc_id")))
-    unlabelled = sample(thinned(docs.select("doc_id", "text"), "doc_id", MAX_UNLABELLED))
-    width = len(NAMES)
-    if not len(positive) or not len(unlabelled):
-        constant = np.log(max(prior, 1e-9) / max(1 - prior, 1e-9))
-        return Model(np.zeros(width), np.ones(width), np.array([0.0] * 2 * width + [constant]))
-    mean, spread = standardised(unlabelled)
-    of = lambda x: expand((x - mean) / spread)
-    return Model(mean, spread, fit(of(positive), of(unlabelled), min(prior, 0.99)))
 
+def totals(rows: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of ``run`` (statistics to an array of one shape) over the positives and over all rows, added up on the executors."""
 
-def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3) -> DataFrame:
-    """Add ``held_out, score, predicted``. Same-named columns are replaced."""
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(train(docs, labels))
+    def part(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        got = [0.0, 0.0]
+        for batch in batches:
+            if len(batch):
+                x, positive = np.stack(batch["x"].to_numpy()), batch["positive"].to_numpy(dtype=bool)
+                got = [got[0] + run(x[positive]), got[1] + run(x)]
+        if np.ndim(got[1]):
+            yield pd.DataFrame({"of": [0, 1], "v": [np.ravel(g) for g in got]})
+
+    shape = run(np.zeros((0, len(NAMES)))).shape
+    added = rows.select("x", "positive").mapInPandas(part, "of int, v array<double>").select("of", F.posexplode("v").alias("i", "v")).groupBy("of", "i").agg(F.sum("v").alias("v"))
+    out = np.zeros((2, int(np.prod(shape))))
+    for r in added.toPandas().itertuples():
+        out[r.of, r.i] = r.v
+    return out[0].reshape(shape), out[1].reshape(shape)
+
+
+def train(rows: DataFrame) -> Model:
+    """The model of ``measured`` rows."""
+    width = len(NAMES)
+    d = 2 * width + 1
+    (positives, *_), (n, *moments) = totals(rows, lambda x: np.concatenate([[len(x)], x.sum(axis=0), (x * x).sum(axis=0)]))
+    if not positives:
+        return Model(np.zeros(width), np.ones(width), np.array([0.0] * 2 * width + [-20.0]), 0.0)
+    mean = np.array(moments[:width]) / n
+    spread = np.maximum(np.sqrt(np.maximum(np.array(moments[width:]) / n - mean**2, 0)), 1e-6)
+    model = Model(mean, spread, np.zeros(d), 0.0)
+
+    def evaluate(ws: np.ndarray) -> list[tuple[Sums, Sums]]:
+        p, u = totals(rows, lambda x: sums(model.standard(x), ws))
+        return [(means(a, d), means(b, d)) for a, b in zip(p, u, strict=True)]
+
+    model.weights = minimise(evaluate, contrast, d)
+    scores = totals(rows, lambda x: np.histogram(model.scores(x), bins=BINS, range=(0, 1))[0].astype(float))
+    model.prior = min(prior_of(*scores), 0.99)
+    model.weights = minimise(evaluate, lambda p, u: risk(p, u, model.prior), d)
+    return model
+
+
+def score(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, label: str = "quality") -> DataFrame:
+    """``held_out, score, predicted`` for every row, beside its columns other than ``text``. Same-named columns are replaced."""
+    rows = measured(docs, labels, label)
+    model = docs.sparkSession.sparkContext.broadcast(train(rows))
 
     @F.pandas_udf("double")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        for texts in batches:
-            yield pd.Series(model.value.scores(list(texts)), dtype="float64")
+        for x in batches:
+            yield pd.Series(model.value.scores(np.stack(x.to_numpy())) if len(x) else [], dtype="float64")
 
-    out = docs.withColumn("score", run(F.col("text"))).withColumn("held_out", held_out(F.col("doc_id"), FOLDS, HELD_OUT))
+    kept = [F.col("row")[c].alias(c) for c in docs.columns if c.lower() not in ("text", "score", "held_out", "predicted")]
+    out = rows.select(*kept, run("x").alias("score"), held_out(F.col("doc_id"), FOLDS, HELD_OUT).alias("held_out"))
     return out.withColumn("predicted", (F.col("score") >= threshold).cast("int"))

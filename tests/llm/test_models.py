@@ -1,6 +1,8 @@
 """Operators 8 and 9: held-out accuracy, folds and odd input."""
 
+import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -49,10 +51,112 @@ def test_labels_of_the_held_out_fold_change_nothing(spark):
         assert np.allclose(*scores)
 
 
-def test_risk_never_fits_positives_as_negatives():
-    rng = np.random.default_rng(0)
+def local(positive, unlabelled):
+    d = positive.shape[1]
+    of = lambda x, ws: [pu_quality.means(row, d) for row in pu_quality.sums(x, ws)]
+    return lambda ws: list(zip(of(positive, ws), of(unlabelled, ws), strict=True))
+
+
+def mixture(rng, n, share=0.7):
     of = lambda x: np.hstack([x, np.ones((len(x), 1))])
-    positive = of(rng.normal(1, 1, (300, 2)))
-    unlabelled = of(np.vstack([rng.normal(1, 1, (700, 2)), rng.normal(-2, 1, (300, 2))]))
-    w = pu_quality.fit(positive, unlabelled, 0.7)
-    assert (unlabelled[:700] @ w > 0).mean() > 0.9 and (unlabelled[700:] @ w > 0).mean() < 0.1
+    good = round(share * n)
+    return of(rng.normal(1, 1, (n // 3, 2))), of(np.vstack([rng.normal(1, 1, (good, 2)), rng.normal(-2, 1, (n - good, 2))])), good
+
+
+def test_risk_never_fits_positives_as_negatives():
+    positive, unlabelled, good = mixture(np.random.default_rng(0), 1000)
+    evaluate = local(positive, unlabelled)
+    w = pu_quality.minimise(evaluate, lambda p, u: pu_quality.risk(p, u, 0.7), 3)
+    assert (unlabelled[:good] @ w > 0).mean() > 0.9 and (unlabelled[good:] @ w > 0).mean() < 0.1
+    # far too large a prior makes the second part fall below zero unless it is held
+    for prior in (0.95, 0.99):
+        w = pu_quality.minimise(evaluate, lambda p, u: pu_quality.risk(p, u, prior), 3)
+        (p, u), = evaluate(w[None])
+        assert u.negative - prior * p.negative >= 0
+
+
+def plain_nnpu(positive, unlabelled, prior, steps=4000):
+    """Non-negative risk by gradient descent, one row after another in plain loops over the loss' definition."""
+    w = np.zeros(positive.shape[1])
+    for _ in range(steps):
+        p, u = (1 / (1 + np.exp(-x @ w)) for x in (positive, unlabelled))
+        negative = -np.log(1 - u).mean() + prior * np.log(1 - p).mean()
+        rest = (unlabelled * u[:, None]).mean(axis=0) - prior * (positive * p[:, None]).mean(axis=0)
+        gradient = -rest if negative < 0 else prior * (positive * (p - 1)[:, None]).mean(axis=0) + rest + pu_quality.RIDGE * w
+        w = w - 0.5 * gradient
+    return w
+
+
+def test_minimum_is_that_of_a_plain_loop():
+    positive, unlabelled, _ = mixture(np.random.default_rng(1), 600)
+    w = pu_quality.minimise(local(positive, unlabelled), lambda p, u: pu_quality.risk(p, u, 0.7), 3)
+    assert np.allclose(w, plain_nnpu(positive, unlabelled, 0.7), atol=0.02)
+
+
+def test_prior_needs_no_negatives():
+    rng = np.random.default_rng(2)
+    for share in (0.2, 0.5, 0.85):
+        positive, unlabelled, _ = mixture(rng, 30_000, share)
+        w = pu_quality.minimise(local(positive, unlabelled), pu_quality.contrast, 3)
+        histograms = [np.histogram(1 / (1 + np.exp(-x @ w)), bins=pu_quality.BINS, range=(0, 1))[0] for x in (positive, unlabelled)]
+        assert abs(pu_quality.prior_of(*histograms) - share) < 0.06
+    assert pu_quality.prior_of(np.zeros(9), np.ones(9)) == 0
+
+
+def test_sums_over_all_rows(spark):
+    rng = np.random.default_rng(3)
+    x, positive = rng.normal(size=(700, len(pu_quality.NAMES))), rng.random(700) < 0.3
+    rows = spark.createDataFrame([(r.tolist(), bool(p)) for r, p in zip(x, positive)], "x array<double>, positive boolean").repartition(7)
+    ws = rng.normal(size=(2, x.shape[1]))
+    got = pu_quality.totals(rows, lambda part: pu_quality.sums(part, ws))
+    assert np.allclose(got[0], pu_quality.sums(x[positive], ws)) and np.allclose(got[1], pu_quality.sums(x, ws))
+
+
+def kneser_ney(rows, text):
+    """Mean log-likelihood ratio of a text, from dictionaries of words instead of numbered cells."""
+    pairs = {0: Counter(), 1: Counter()}
+    for t, y in rows:
+        ws = [None, *t.split()]
+        pairs[y].update(set(zip(ws, ws[1:])))
+    follows = {y: Counter(w for _, w in pairs[y]) for y in pairs}
+    both, all_pairs = follows[0] + follows[1], pairs[0] + pairs[1]
+    shared = lambda w: (both[w] + 1) / (sum(both.values()) + len(both) + 1)
+    after = lambda counts, u: [n for (a, _), n in counts.items() if a == u]
+
+    def word(y, w):
+        total = sum(follows[y].values())
+        own = max(follows[y][w] - toxicity.DISCOUNT, 0) / total + toxicity.DISCOUNT * len(follows[y]) / total * shared(w)
+        weight = both[w] / (both[w] + toxicity.SHARED)
+        return weight * own + (1 - weight) * shared(w)
+
+    def smoothed(counts, u, w, backoff):
+        found = after(counts, u)
+        return (max(counts[u, w] - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(found) * backoff) / sum(found)
+
+    def pair(y, u, w):
+        lean = (smoothed(all_pairs, u, w, shared(w)) if after(all_pairs, u) else shared(w)) * word(y, w) / shared(w)
+        own = smoothed(pairs[y], u, w, word(y, w)) if after(pairs[y], u) else lean
+        weight = all_pairs[u, w] / (all_pairs[u, w] + toxicity.SHARED_PAIR)
+        return weight * own + (1 - weight) * lean
+
+    ws = [None, *text.split()]
+    return float(np.mean([np.log(pair(1, u, w)) - np.log(pair(0, u, w)) for u, w in zip(ws, ws[1:])]))
+
+
+def test_counts_are_those_of_a_dictionary(spark):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    rows = [(" ".join(rng.choice(words[5 * y :]) for _ in range(rng.randrange(1, 30))), y) for y in (0, 1) for _ in range(60)]
+    cells = {toxicity.cell(int(a), int(b)) for a in toxicity.numbers([w.encode() for w in words]) for b in toxicity.numbers([w.encode() for w in words])}
+    assert len(cells) == len(words) ** 2  # nothing shares a cell here
+    counts = toxicity.count(spark.createDataFrame([*rows, (None, 1), ("", 0)], "text string, y int").repartition(5))
+    model = toxicity.Model(counts, np.zeros(toxicity.WIDTH), np.ones(toxicity.WIDTH), np.zeros(toxicity.WIDTH + 1), 0.5)
+    texts = [*[t for t, _ in rows[::9]], "w1 unseen w2", "unseen"]
+    assert np.allclose(model.features(texts)[:, 0], [kneser_ney(rows, t) for t in texts], rtol=1e-4, atol=1e-6)
+
+
+def test_repeated_ids_stay_within_the_calibration_bound(spark, monkeypatch):
+    from tallyfold.llm.labelled import sampled
+
+    rows = spark.range(4000).selectExpr("1 as doc_id")
+    assert 50 < sampled(rows, 100).count() < 200 and sampled(rows, 5000).count() == 4000
