@@ -2,7 +2,9 @@
 
 Two first-order models over the letters (case folded), digits and ``+/_.=-`` are counted in one aggregation over the
 corpus: ``random`` from strings that the fixed patterns label as secrets, ``ordinary`` from all words and identifiers of eight
-characters or more that no fixed pattern touches. A long token that no fixed pattern covers is a secret when its log-likelihood ratio exceeds ``MIN_LLR``.
+characters or more that no fixed pattern touches. Labelled samples, such as ``random_strings``, have half the say in each model
+that they hold rows of, whatever the corpus' size: a corpus labels only the kinds of secrets that its patterns know. A long
+token that no fixed pattern covers is a secret when its log-likelihood ratio exceeds ``MIN_LLR``.
 
 Null texts count as empty. Spans of one kind never overlap; across kinds they may. Ties in start go to the kind listed
 first. Repeated rows are scanned one by one and count as often in the models; an empty corpus leaves both models uniform,
@@ -13,10 +15,10 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import let, lower_ascii
+from tallyfold.llm.common import let
 
 KINDS = ("assign", "access", "hex", "random")
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -65,10 +67,21 @@ def transitions(tokens: Column) -> Column:
     return F.regexp_extract_all(F.concat(F.lit(" "), F.lower(F.array_join(tokens, " "))), F.lit("(?=(.[^ ]))"), F.lit(1))
 
 
-def train(docs: DataFrame, text: str = "text") -> list[float]:
+def random_strings(spark: SparkSession, n: int = 4096) -> DataFrame:
+    """Labelled samples (``token, random``): ``n`` strings of 43 characters in base 64, from checksums of numbers."""
+    return spark.range(n).select(F.rtrim(F.lit("="), F.base64(F.unhex(F.sha2(F.col("id").cast("string"), 256)))).alias("token"), F.lit(True).alias("random"))
+
+
+def counted(tokens: DataFrame) -> dict[tuple[int, str, str], int]:
+    """How often each pair of symbols occurs in ``random`` (0 or 1), ``ts`` (arrays of pairs): at most 2 x 43 x 42 rows."""
+    pairs = tokens.select("random", F.explode("ts").alias("t")).groupBy("random", "t").agg(F.count("*").alias("n"))
+    return {(r["random"], r["t"][0].strip(), r["t"][1]): r["n"] for r in pairs.collect()}
+
+
+def train(docs: DataFrame, text: str = "text", samples: DataFrame | None = None) -> list[float]:
     """Log P_random(b | a) - log P_ordinary(b | a) with add-one smoothing, row by row over ("" + SYMBOLS) x SYMBOLS.
 
-    The counts come back as at most 2 x 43 x 42 rows.
+    ``samples`` has labelled strings (``token``, ``random`` true or false); null tokens and labels count nothing.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     values = F.concat(
@@ -80,14 +93,20 @@ def train(docs: DataFrame, text: str = "text") -> list[float]:
         rest = F.regexp_replace(rest, pattern, TAKEN)
     words = F.regexp_extract_all(rest, F.lit(WORD), F.lit(0))
     kinds = F.array(*[F.struct(F.lit(random).alias("random"), transitions(tokens).alias("ts")) for random, tokens in ((1, values), (0, words))])
-    pairs = docs.select(F.inline(kinds)).select("random", F.explode("ts").alias("t"))
-    counts = {(r["random"], r["t"][0].strip(), r["t"][1]): r["n"] for r in pairs.groupBy("random", "t").agg(F.count("*").alias("n")).collect()}
+    sources = [counted(docs.select(F.inline(kinds)))]
+    if samples is not None:
+        strings = F.regexp_extract_all("token", F.lit("[A-Za-z0-9+/_.=-]+"), F.lit(0))
+        sources.append(counted(samples.select(F.col("random").cast("int").alias("random"), transitions(strings).alias("ts")).where("random is not null and ts is not null")))
     table = []
     for a in ["", *SYMBOLS]:
         logs = []
         for random in (1, 0):
-            row = [counts.get((random, a, b), 0) + 1 for b in SYMBOLS]
-            logs.append([math.log(n / sum(row)) for n in row])
+            shares = []
+            for at, counts in enumerate(sources):
+                row = [counts.get((random, a, b), 0) + 1 for b in SYMBOLS]
+                if at == 0 or any(k == random for k, _, _ in counts):
+                    shares.append([n / sum(row) for n in row])
+            logs.append([math.log(sum(p) / len(p)) for p in zip(*shares, strict=True)])
         table += [x - y for x, y in zip(*logs, strict=True)]
     return table
 
@@ -102,12 +121,13 @@ def ratio(token: Column, model: list[float]) -> Column:
     return F.aggregate(terms, F.lit(0.0), lambda a, t: a + t)
 
 
-def scan(docs: DataFrame, text: str = "text", model: list[float] | None = None) -> DataFrame:
+def scan(docs: DataFrame, text: str = "text", model: list[float] | None = None, samples: DataFrame | None = None) -> DataFrame:
     """Add ``base`` and ``found``: arrays of (s start, k kind number, e end), by start then kind. Same-named columns are replaced.
 
-    ``base`` holds the fixed patterns' spans, ``found`` also those of the models. Without ``model`` it is trained on ``docs``.
+    ``base`` holds the fixed patterns' spans, ``found`` also those of the models. Without ``model`` it is trained on ``docs``
+    and the labelled ``samples``.
     """
-    model = train(docs, text) if model is None else model
+    model = train(docs, text, samples) if model is None else model
     body = F.coalesce(F.col(text), F.lit(""))
     base = F.array_sort(F.concat(
         spans_of(body, ASSIGN, 0, (2, lambda g: F.length(g) >= LEAST_VALUE)), spans_of(body, ACCESS, 1), spans_of(body, HEX, 2)

@@ -2,6 +2,7 @@
 
 import hashlib
 import itertools
+import random
 import re
 import zlib
 
@@ -147,3 +148,37 @@ def test_ordinary_model_counts_every_word_and_identifier(spark):
     got = secrets.train(spark.createDataFrame([(t,) for t in texts], "text string"))
     want = logs[0] - logs[1]
     assert np.allclose(got, want.ravel())
+
+
+def test_secrets_that_no_pattern_knows(spark):
+    """Precision and recall over planted random strings and ordinary identifiers; the model must tell them apart."""
+    rng = random.Random(11)
+    rows = [r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    words = sorted({w.lower() for t in rows for w in re.findall("[A-Za-z]{3,12}", t)})
+    pick = lambda: rng.choice(words)
+    shapes = [
+        lambda: "_".join(pick() for _ in range(5)) + f"_{rng.randrange(100)}",
+        lambda: "-".join(pick() for _ in range(4)) + f"-v{rng.randrange(10)}",
+        lambda: "".join(pick().title() for _ in range(5)),
+        lambda: "/".join(pick() for _ in range(5)) + "/index",
+        lambda: "".join(pick() for _ in range(4)),
+    ]
+    identifiers = [i for i in (rng.choice(shapes)() for _ in range(600)) if len(i) >= 20]
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    planted = ["".join(rng.choice(alphabet) for _ in range(rng.randrange(24, 44))) for alphabet in (letters + "+/", letters + "_-", letters, letters[26:]) for _ in range(100)]
+    planted = [p for p in planted if re.fullmatch("[A-Za-z0-9].*[A-Za-z0-9]", p)]
+    lines = [(i, f"see {t} here") for i, t in enumerate(identifiers + planted)]
+    corpus = spark.createDataFrame([(i, t) for i, t in enumerate(rows)] + [(i, f"call {t} now") for i, t in enumerate(identifiers[:100])], "doc_id long, text string")
+    model = secrets.train(corpus, samples=secrets.random_strings(spark))
+    found = {r["doc_id"] for r in secrets.scan(spark.createDataFrame(lines, "doc_id long, text string"), "text", model).collect() if any(x["k"] == 3 for x in r["found"])}
+    hits = sum(i >= len(identifiers) for i in found)
+    assert hits / len(planted) >= 0.9 and hits / len(found) >= 0.97, (hits, len(planted), len(found))
+
+
+def test_labelled_samples_weigh_half(spark):
+    samples = spark.createDataFrame([("ab", True), (None, True), ("zz", None)], "token string, random boolean")
+    got = np.exp(np.array(secrets.train(spark.createDataFrame([], "text string"), samples=samples)).reshape(43, 42))
+    want = np.ones((43, 42))
+    for row, column in ((0, 0), (1, 1)):
+        want[row] = (1 / 42 + np.where(np.arange(42) == column, 2, 1) / 43) / 2 * 42
+    assert np.allclose(got, want)
