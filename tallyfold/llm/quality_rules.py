@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import let, materialize
+from tallyfold.llm.common import free_name, let, materialize
 
 SPACE = r"[\x20\x09-\x0D]"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -55,14 +55,15 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     body = F.coalesce(F.col(text), F.lit(""))
     lines = F.filter(F.split(body, "\n", -1), lambda x: F.rlike(x, F.lit(WORD)))
     counted = let(words_of(body), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), repeated_words(ws).cast("long").alias("r")))
-    out = docs.withColumn("_c", counted)
+    counts = free_name(docs, "counts")
+    out = docs.withColumn(counts, counted)
     out = out.withColumns({
-        "n_words": F.col("_c.n"),
+        "n_words": F.col(counts)["n"],
         "word_chars": (F.length(body) - F.regexp_count(body, F.lit(SPACE))).cast("long"),
         "n_symbols": F.regexp_count(body, F.lit(SYMBOL)).cast("long"),
         "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": F.col("_c.r"),
-    }).drop("_c")
+        "n_repeat_words": F.col(counts)["r"],
+    }).drop(counts)
     return out.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
@@ -84,9 +85,10 @@ def host_verdicts(measured: DataFrame, host: str) -> DataFrame:
 
 def judge(measured: DataFrame, host: str) -> DataFrame:
     """Add ``kept``: false where the base rules or the document's host fail. ``measured`` is read twice: materialize it."""
-    verdicts = host_verdicts(measured, host).select("host", "host_kept")
-    joined = measured.withColumn("_host", F.col(host)).join(verdicts.withColumnRenamed("host", "_verdict_host"), F.col("_host").eqNullSafe(F.col("_verdict_host")), "left")
-    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce("host_kept", F.lit(True))).drop("_host", "_verdict_host", "host_kept")
+    own, other, good = (free_name(measured, c) for c in ("own_host", "judged_host", "good_host"))
+    verdicts = host_verdicts(measured, host).select(F.col("host").alias(other), F.col("host_kept").alias(good))
+    joined = measured.withColumn(own, F.col(host)).join(verdicts, F.col(own).eqNullSafe(F.col(other)), "left")
+    return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(good, F.lit(True))).drop(own, other, good)
 
 
 def quality(docs: DataFrame, text: str = "text", host: str = "source", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -98,10 +100,11 @@ def quality(docs: DataFrame, text: str = "text", host: str = "source", keep: tup
 def keep(docs: DataFrame, text: str = "text", host: str = "source") -> DataFrame:
     """The rows that neither the base rules nor their host's verdict reject, with their columns unchanged.
 
-    Only the rejected hosts are joined to the texts; their table is written first, so that Spark knows its size.
+    Texts are measured once: every row is written with its verdict, without its columns where it fails already. Then only
+    the rejected hosts are joined to the rows; their table is written first, so that Spark knows its size.
     """
-    packed = docs.select(F.col(text).alias("_text"), F.col(host).alias("_source"), F.struct("*").alias("_row"))
-    counted = materialize(measure(packed.select("_text", "_source"), "_text").select("_source", "base_failed"))
-    rejected = materialize(host_verdicts(counted, "_source").where(~F.col("host_kept")).select(F.col("host").alias("_rejected")))
-    good = measure(packed, "_text").where(~F.col("base_failed"))
-    return good.join(rejected, F.col("_source").eqNullSafe(F.col("_rejected")), "left_anti").select("_row.*")
+    packed = docs.select(F.col(text).alias("text"), F.col(host).alias("source"), F.struct("*").alias("row"))
+    measured = measure(packed, "text").select("source", "base_failed", F.when(~F.col("base_failed"), F.col("row")).alias("row"))
+    judged = materialize(measured)
+    rejected = materialize(host_verdicts(judged, "source").where(~F.col("host_kept")).select(F.col("host").alias("rejected")))
+    return judged.where(~F.col("base_failed")).join(rejected, F.col("source").eqNullSafe(F.col("rejected")), "left_anti").select("row.*")
