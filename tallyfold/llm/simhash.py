@@ -4,11 +4,13 @@ Equal fingerprints are merged first. A vantage-point tree is built from a bounde
 fingerprint and a radius, and splits the rest by their distance to it. A fingerprint goes to every leaf shard that can hold
 a point within one bit of it; the triangle inequality prunes the other branches. Two fingerprints at two bits or less have a
 point within one bit of both, so they meet in that point's shard: no link is lost, and fingerprints near a boundary are
-simply in several shards. A shard is searched the same way down to small blocks, which are compared in full.
+simply in several shards. A shard above ``SHARD`` fingerprints gets a tree of its own from a sample of its own, and so on,
+so that the trees grow with the data. A shard is searched the same way down to small blocks, which are compared in full.
 
-A block gives only a star for each of its components, never all pairs. Shards above ``DENSE`` fingerprints (many distinct
-fingerprints within few bits, which no vantage point separates) are linked through their 65 points within one bit instead,
-as a shuffle. Components are found by rounds of large-star and small-star, written to the shared folder after each round.
+What no vantage point separates (many distinct fingerprints within few bits) is linked through its points within one bit: in
+the task where it is part of a shard, as a shuffle where it is a whole shard above ``SHARD``. A block gives only a star for
+each of its components, never all pairs. Components are found by rounds of large-star and small-star, written to the shared
+folder after each round.
 
 Null texts and texts without words have fingerprint zero. Null ids never are a component's id unless it has no other.
 Repeated rows are each kept in the classes. An empty table gives no rows.
@@ -17,6 +19,7 @@ Repeated rows are each kept in the classes. An empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -25,20 +28,26 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm import similar
-from tallyfold.llm.common import python_ready, materialize
+from tallyfold.llm.common import drop, materialize, python_ready
 
 BITS = 2  # of difference that link
-SAMPLE = 1 << 15
+#: Fingerprints that the first tree and a shard's own tree are built from, and their leaves at most.
+SAMPLE, MAX_LEAVES = 1 << 15, 4096
+OWN_SAMPLE, OWN_LEAVES = 1 << 12, 64
+MAX_DEPTH = 5  # of trees in trees, so that a leaf's number fits 64 bits
 LEAF = 4096  # fingerprints for each shard, about
-MAX_LEAVES = 4096
+SHARD = 1 << 18
 BLOCK = 512
-DENSE = 1 << 20
 MAX_ROUNDS = 64
+Nodes = list[tuple[int, int, int, int]]  # vantage, radius, left, right; a child below zero is leaf ~child
 
 
 def fingerprint(text: str | None) -> int:
+    return fingerprint_of(similar.words_of(text))
+
+
+def fingerprint_of(words: list[bytes]) -> int:
     """Majority bits over the hashes of all three-word shingles, as a signed 64-bit integer."""
-    words = (text or "").encode("utf-8", "replace").lower().split()
     if not words:
         return 0
     shingles = map(b" ".join, zip(words, words[1:], words[2:], strict=False)) if len(words) > 2 else [b" ".join(words)]
@@ -79,8 +88,8 @@ def choose_split(points: np.ndarray) -> tuple[np.uint64, int] | None:
     return (best[1], best[2]) if best and best[0] < 0.9 * len(points) else None
 
 
-def build(points: np.ndarray, leaf: float) -> list[tuple[int, int, int, int]]:
-    """Nodes (vantage, radius, left, right); a child below zero is leaf ~child. Built from the sample ``points``."""
+def build(points: np.ndarray, leaf: float) -> Nodes:
+    """The tree over the sample ``points`` with about ``leaf`` of them in a leaf; empty if no split is worth it."""
     nodes: list[list[int]] = []
     leaves = 0
     todo = [(points, None)]
@@ -99,7 +108,7 @@ def build(points: np.ndarray, leaf: float) -> list[tuple[int, int, int, int]]:
     return [tuple(n) for n in nodes]
 
 
-def shards_of(points: np.ndarray, nodes: list[tuple[int, int, int, int]]) -> tuple[np.ndarray, np.ndarray]:
+def shards_of(points: np.ndarray, nodes: Nodes) -> tuple[np.ndarray, np.ndarray]:
     """(row, leaf) pairs: every leaf that may hold a point within one bit of the row's fingerprint."""
     rows, leaves = [], []
     todo = [(np.arange(len(points)), 0 if nodes else ~0)]
@@ -133,8 +142,21 @@ def star(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return points[linked], points[label[linked]]
 
 
+def ball(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links through the points within one bit: each such point links its fingerprints to the least of them."""
+    masks = np.concatenate(([0], 1 << np.arange(64, dtype=np.uint64))).astype("<u8")
+    near, own = (points[:, None] ^ masks[None, :]).ravel(), np.repeat(points, len(masks))
+    order = np.lexsort((own, near))
+    near, own = near[order], own[order]
+    first = np.flatnonzero(np.concatenate(([True], near[1:] != near[:-1])))
+    least = np.repeat(own[first], np.diff(np.append(first, len(near))))
+    linked = own != least
+    pairs = np.unique(np.stack([own[linked], least[linked]]), axis=1)
+    return pairs[0], pairs[1]
+
+
 def links(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Stars of all blocks of a shard. What no vantage point separates is compared block against block."""
+    """Stars of all blocks of a shard, and the links of what no vantage point separates."""
     a, b, todo = [], [], [points]
     while todo:
         own = todo.pop()
@@ -142,52 +164,70 @@ def links(points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         if split:
             d = distances(own, split[0]).astype(np.int16)
             todo += [own[d - 1 <= split[1]], own[d + 1 > split[1]]]
-        elif len(own) <= 2 * BLOCK:
-            x, y = star(own)
-            a.append(x)
-            b.append(y)
-        else:
-            parts = [own[i : i + BLOCK] for i in range(0, len(own), BLOCK)]
-            for i, x in enumerate(parts):
-                p, q = star(x)
-                a.append(p)
-                b.append(q)
-                for y in parts[i + 1 :]:
-                    near = np.bitwise_count(x[:, None] ^ y[None, :]) <= BITS
-                    row, column = near.any(axis=1), near.any(axis=0)
-                    if not row.any():
-                        continue
-                    both = np.concatenate([x[row], y[column]])
-                    p, q = star(both)
-                    a.append(p)
-                    b.append(q)
+            continue
+        x, y = star(own) if len(own) <= 2 * BLOCK else ball(own)
+        a.append(x)
+        b.append(y)
     return np.concatenate(a), np.concatenate(b)
 
 
-def near_links(fps: DataFrame) -> DataFrame:
-    """Links (a, b) between distinct fingerprints (column ``fp``) that connect all of them within ``BITS`` bits."""
-    spark = fps.sparkSession
-    total = fps.count()
-    sample = np.array([r[0] for r in fps.orderBy(F.xxhash64("fp")).limit(SAMPLE).collect()], dtype="<i8").view("<u8")
-    wanted = min(MAX_LEAVES, max(1, total // LEAF))
-    nodes = spark.sparkContext.broadcast(build(sample, max(2.0, len(sample) / wanted)) if wanted > 1 else [])
+def trees(placed: DataFrame, sizes: dict[int, int], sample: int, leaves: int) -> dict[int, Nodes]:
+    """A tree for each of the given leaves of ``placed``, from about ``sample`` of its fingerprints; at most ``leaves`` nodes each."""
+    some = placed.join(placed.sparkSession.createDataFrame(list(sizes.items()), "leaf long, size long"), "leaf")
+    some = some.where(F.pmod(F.xxhash64("fp"), F.lit(1 << 30)) < F.lit(float(sample << 30)) / F.col("size"))
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.unique(part["fp"].to_numpy(dtype="<i8").view("<u8"))
+        nodes = build(own, max(2.0, len(own) / min(leaves, max(2, part["size"].iloc[0] // LEAF))))
+        vantages = np.array([n[0] for n in nodes], dtype="<u8").view("<i8").tolist()
+        return pd.DataFrame({"leaf": [part["leaf"].iloc[0]], "nodes": [[(v, *n[1:]) for v, n in zip(vantages, nodes, strict=True)]]})
+
+    schema = "leaf long, nodes array<struct<vantage:long,radius:int,left:int,right:int>>"
+    grown = some.groupBy("leaf").applyInPandas(grow, schema).collect()
+    return {r["leaf"]: [(n[0] & (1 << 64) - 1, *n[1:]) for n in r["nodes"]] for r in grown}
+
+
+def place(placed: DataFrame, by_leaf: dict[int, Nodes]) -> DataFrame:
+    """``fp, leaf`` with every fingerprint in all leaves of its leaf's tree that may hold a point within one bit of it."""
+    sent = placed.sparkSession.sparkContext.broadcast(by_leaf)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            values = batch["fp"].to_numpy(dtype="<i8")
-            rows, leaves = shards_of(values.view("<u8"), nodes.value)
-            yield pd.DataFrame({"fp": values[rows], "leaf": leaves})
+            for leaf, part in batch.groupby("leaf"):
+                values = part["fp"].to_numpy(dtype="<i8")
+                rows, leaves = shards_of(values.view("<u8"), sent.value[leaf])
+                yield pd.DataFrame({"fp": values[rows], "leaf": (leaf + 1) * (MAX_LEAVES + 1) + leaves.astype(np.int64)})
+
+    return materialize(placed.mapInPandas(assign, "fp long, leaf long"))
+
 
-    placed = materialize(fps.mapInPandas(assign, "fp long, leaf int"))
-    dense = [r["leaf"] for r in placed.groupBy("leaf").count().where(F.col("count") > DENSE).collect()]  # at most one row a leaf
+def near_links(fps: DataFrame) -> DataFrame:
+    """Links (a, b) between distinct fingerprints (column ``fp``) that connect all of them within ``BITS`` bits."""
 
     def search(batch: pd.DataFrame) -> pd.DataFrame:
         a, b = links(np.unique(batch["fp"].to_numpy(dtype="<i8").view("<u8")))
         return pd.DataFrame({"a": a.view("<i8"), "b": b.view("<i8")})
 
-    found = placed.where(~F.col("leaf").isin(dense)) if dense else placed
-    edges = found.groupBy("leaf").applyInPandas(search, "a long, b long")
-    return edges.unionByName(dense_links(placed.where(F.col("leaf").isin(dense)).select("fp"))) if dense else edges
+    found, placed = [], materialize(fps.select("fp", F.lit(0).cast("long").alias("leaf")))
+    sizes, sample, leaves, depth = {0: placed.count()}, SAMPLE, MAX_LEAVES, 0
+    if sizes[0] > LEAF:
+        # at most a row for each leaf and a tree of bounded size for each large one come back
+        while sizes:
+            grown = trees(placed, sizes, sample, leaves) if depth < MAX_DEPTH else {}
+            by_leaf = {k: nodes for k, nodes in grown.items() if nodes}
+            whole = [k for k in sizes if k not in by_leaf]
+            if whole:
+                found.append(dense_links(placed.where(F.col("leaf").isin(whole)).select("fp")))
+            if not by_leaf:
+                break
+            inner = place(placed.where(F.col("leaf").isin(list(by_leaf))), by_leaf)
+            sizes = {r["leaf"]: r["n"] for r in inner.groupBy("leaf").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).collect()}
+            large = F.col("leaf").isin(list(sizes)) if sizes else F.lit(False)
+            found.append(inner.where(~large).groupBy("leaf").applyInPandas(search, "a long, b long"))
+            placed, sample, leaves, depth = inner.where(large), OWN_SAMPLE, OWN_LEAVES, depth + 1
+    else:
+        found.append(placed.groupBy("leaf").applyInPandas(search, "a long, b long"))
+    return reduce(DataFrame.unionByName, found)
 
 
 def dense_links(fps: DataFrame) -> DataFrame:
@@ -214,7 +254,8 @@ def connected(edges: DataFrame) -> DataFrame:
         large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = large.join(least, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
-        edges = materialize(small.distinct())
+        old, edges = edges, materialize(small.distinct())
+        drop(old)
         after = shape(edges)
         if after == before:
             break
@@ -224,20 +265,22 @@ def connected(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
 
 
-def classes(prints: DataFrame, doc_id: str = "doc_id", more: DataFrame | None = None) -> DataFrame:
-    """One row for each fingerprint: ``fp, root, component_id`` (the least fingerprint and the least id among all linked to it).
+def rooted(fps: DataFrame) -> DataFrame:
+    """``fp, root`` of distinct fingerprints: the least fingerprint among all linked to it."""
+    fps = materialize(fps)
+    roots = connected(near_links(fps))
+    return materialize(fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", F.coalesce("root", "fp").alias("root")))
 
-    ``prints`` has the ids and ``fp``; it is read several times: materialize it. ``more`` has further links (a, b) of fingerprints.
+
+def classes(prints: DataFrame, doc_id: str = "doc_id", roots: DataFrame | None = None) -> DataFrame:
+    """One row for each fingerprint: ``fp, root, component_id`` (the least id among all linked to it).
+
+    ``prints`` has the ids and ``fp``; it is read several times: materialize it. ``roots`` are those of ``rooted``, maybe wider.
     """
-    fps = materialize(prints.groupBy("fp").agg(F.min(doc_id).alias("own")))
-    edges = near_links(fps.select("fp"))
-    roots = materialize(connected(edges if more is None else edges.unionByName(more)))
-    named = roots.join(fps, roots["node"] == fps["fp"]).select("root", "own")
-    least = named.groupBy("root").agg(F.min("own").alias("component"))
-    named = roots.join(least, "root").select("node", "root", "component")
-    out = fps.join(named, fps["fp"] == named["node"], "left")
-    component = F.when(F.col("node").isNotNull(), F.col("component")).otherwise(F.col("own"))
-    return materialize(out.select("fp", F.coalesce("root", "fp").alias("root"), component.alias("component_id")))
+    roots = rooted(prints.select("fp").distinct()) if roots is None else roots
+    named = materialize(prints.groupBy("fp").agg(F.min(doc_id).alias("own")).join(roots, "fp"))
+    least = materialize(named.groupBy("root").agg(F.min("own").alias("component_id")))
+    return materialize(named.select("fp", "root").join(least, "root").select("fp", "root", "component_id"))
 
 
 def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
@@ -246,26 +289,51 @@ def components(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     return prints.join(classes(prints), "fp")
 
 
-def similar_links(prints: DataFrame, texts: DataFrame) -> DataFrame:
-    """Links (a, b) between the fingerprints of similar texts; ``key`` names a text in both tables."""
-    found = similar.links(texts, connected)
-    fp_of = materialize(prints.groupBy("key").agg(F.min("fp").alias("fp")))  # equal texts have equal fingerprints
-    for c in ("a", "b"):
-        found = found.join(fp_of.select(F.col("key").alias(c), F.col("fp").alias(f"fp_{c}")), c)
-    return found.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+def sketched(docs: DataFrame, order: tuple[np.ndarray, np.ndarray] | None) -> DataFrame:
+    """``id, row, key, fp`` of ``docs`` (``id``, ``t``), and ``n, prefix, bits`` of ``similar.sketch`` for a given order of shingles."""
+    spark = docs.sparkSession
+    python_ready(spark)
+    sent = spark.sparkContext.broadcast(order)
+    more = {"n": "int", "prefix": "array<long>", "bits": "array<long>"} if order else {}
+
+    @F.pandas_udf("struct<" + ", ".join(f"{c}: {t}" for c, t in {"fp": "long", **more}.items()) + ">")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            rows = []
+            for t in texts:
+                words = similar.words_of(t)
+                rows.append((fingerprint_of(words), *(similar.sketch(words, sent.value) if order else ())))
+            yield pd.DataFrame(rows, columns=["fp", *more])
+
+    rows = docs.select("id", F.monotonically_increasing_id().alias("row"), F.xxhash64("t").alias("key"), run("t").alias("s"))
+    return materialize(rows.select("id", "row", "key", "s.*"))
 
 
 def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", similar_too: bool = False) -> DataFrame:
     """One row of each component: the one with its id; among rows with this id, one of the least fingerprint.
 
-    ``similar_too`` also links texts whose five-word shingles have a similarity of 0.8 or more.
+    ``similar_too`` also links texts whose five-word shingles have a similarity of 0.8 or more. Keepers are chosen on narrow
+    rows; the documents meet them by id and checksum of the text, and only keepers that repeat are compared any further.
     """
-    marked = with_fingerprint(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.struct("*").alias("row")), "t", "fp")
-    prints = materialize(marked.select("id", "fp", F.xxhash64("t").alias("key")))
-    more = similar_links(prints, docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))) if similar_too else None
-    marked = marked.drop("t")
-    all_rows = prints.drop("key").join(classes(prints, "id", more), "fp")
-    keepers = all_rows.where(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root", "component_id").agg(F.min("fp").alias("fp"))
-    chosen = keepers.select(F.col("fp").alias("kept_fp"), F.col("component_id").alias("kept_id"))
-    joined = marked.join(chosen, (marked["fp"] == chosen["kept_fp"]) & marked["id"].eqNullSafe(chosen["kept_id"]))
-    return joined.dropDuplicates(["fp", "id"]).select("row.*")
+    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.struct("*").alias("row"))
+    texts = source.select(F.xxhash64("t").alias("key"), F.col("t").alias("text"))
+    if similar_too:
+        python_ready(docs.sparkSession)
+    prints = sketched(source.select("id", "t"), similar.common_shingles(texts) if similar_too else None)
+    roots = rooted(prints.select("fp").distinct())
+    if similar_too:
+        more = similar.links(prints.join(roots, "fp").select("key", "root", "n", "prefix", "bits"), texts, connected)
+        wider = materialize(connected(more).select("node", F.col("root").alias("wider")))
+        roots = materialize(roots.join(wider, roots["root"] == wider["node"], "left").select("fp", F.coalesce("wider", "root").alias("root")))
+    all_rows = prints.select("id", "row", "key", "fp").join(classes(prints.select("id", "fp"), "id", roots), "fp")
+    own = all_rows.where(F.col("id").eqNullSafe(F.col("component_id")))
+    chosen = own.groupBy("root", "component_id").agg(F.min_by(F.struct("id", "key"), F.struct("fp", "row")).alias("kept"))
+    chosen = chosen.select(F.col("kept.id").alias("kept_id"), F.col("kept.key").alias("kept_key"))
+    times = prints.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))).groupBy("kept_id", "kept_key").agg(F.count("*").alias("times"))
+    times = materialize(times)
+    drop(prints)
+    kept = source.join(times, F.col("id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("t") == F.col("kept_key")))
+    if times.where("times > 1").isEmpty():
+        return kept.select("row.*")
+    again = kept.where("times > 1").dropDuplicates(["kept_id", "kept_key"])
+    return kept.where("times = 1").select("row.*").unionByName(again.select("row.*"))

@@ -2,9 +2,15 @@
 
 Shingles stand in one order for all texts: by how common they are in a bounded sample, then by hash. Of two similar texts
 with n shingles at most, at least 4 n / 5 are shared, so that the first n / 5 + 1 of both share one (prefix filter). The sample
-only decides how many texts share a prefix shingle, never which links are found. Texts that share one are compared in full:
-first each with a few others of its shingles, then all pairs that lie in different components still. So a large group of
-near copies takes links in proportion to its size, while texts that no link joins are all compared.
+only decides how many texts share a prefix shingle, never which links are found. ``sketch`` gives these prefixes in one pass.
+
+Only prefix shingles whose texts lie in several components count (what is linked already needs no link). In each round every
+text outside a shingle's first component meets some texts of other components there, drawn by a hash, and is compared in full with
+the nearest of them; what this links becomes one component. The first rounds see an eighth of the shingles, as near copies share
+most. At last all pairs that share a shingle but lie in different components still are compared. So a large group of near copies
+takes links in proportion to its size, while texts that no link joins all meet. Two exact bounds sort out pairs before any text
+is read: how far into both prefixes the shared shingle stands, and the bits in which the parities of the shingle hashes differ
+(each is a shingle that only one of the two has).
 
 Words are cut at ASCII blanks and compared in lower case; a text under five words is one shingle. Null texts and texts
 without words have no link. The result has links enough to connect what is similar, not every similar pair.
@@ -12,7 +18,8 @@ without words have no link. The result has links enough to connect what is simil
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -20,27 +27,32 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import materialize, python_ready
+from tallyfold.llm.common import drop, materialize
 
 WORDS = 5
 #: Texts are similar when SHARE[1] * shared shingles >= SHARE[0] * all shingles of both.
 SHARE = (4, 5)
 #: Texts whose shingles are counted for the order, and most shingles of the order that are sent.
-SAMPLE = 4096
+SAMPLE = 1 << 14
 MAX_COMMON = 200_000
-#: Others that a text is compared with before components are known.
-FIRST = 3
+#: Words of 64 parity bits for each text.
+PARITY = 8
+#: Rounds before all pairs are compared: one of how many shingles they see, and how many texts of each are drawn.
+ROUNDS = ((8, (4, 16)), (1, (16,)))
 
 
-def shingles(text: str | None) -> set[bytes]:
-    words = (text or "").encode("utf-8", "replace").lower().split()
+def shingles(words: list[bytes]) -> set[bytes]:
     if len(words) < WORDS:
         return {b" ".join(words)} if words else set()
     return set(map(b" ".join, zip(*[words[i:] for i in range(WORDS)], strict=False)))
 
 
-def hashes(text: str | None) -> np.ndarray:
-    found = shingles(text)
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").lower().split()
+
+
+def hashes(words: list[bytes]) -> np.ndarray:
+    found = shingles(words)
     return np.unique(np.fromiter((xxhash.xxh64_intdigest(s) for s in found), dtype="<u8", count=len(found)))
 
 
@@ -55,15 +67,34 @@ def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarr
     return found[np.lexsort((found, np.where(common[at] == found, count[at], 0)))[:size]]
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """For each residue of the hashes whether an odd number of them has it."""
+    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    return np.packbits(odd.astype(np.uint8)).view("<i8")
+
+
+def sketch(words: list[bytes], order: tuple[np.ndarray, np.ndarray]) -> tuple[int, np.ndarray, np.ndarray]:
+    """How many shingles a text has, its prefix and its parities."""
+    found = hashes(words)
+    return len(found), prefix(found, *order).view("<i8"), parity(found)
+
+
 def similar(a: str | None, b: str | None) -> bool:
-    x, y = shingles(a), shingles(b)
+    x, y = shingles(words_of(a)), shingles(words_of(b))
     both = len(x & y)
     return both > 0 and SHARE[1] * both >= SHARE[0] * (len(x) + len(y) - both)
 
 
-def alike(a: Column, b: Column) -> Column:
-    """Whether two numbers of shingles leave room for similar texts."""
-    return SHARE[1] * F.least(a, b) >= SHARE[0] * F.greatest(a, b)
+def apart() -> Column:
+    """In how many parity bits two texts differ (the other's columns end in ``_``): no more than the shingles only one has."""
+    terms = [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(PARITY)]
+    return reduce(Column.__add__, terms)
+
+
+def possible() -> Column:
+    """Whether two texts may be similar whose first shared shingle stands at ``at``: SHARE[0] / sum(SHARE) of both are shared."""
+    most, total = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")), F.col("n") + F.col("n_")
+    return (sum(SHARE) * most >= SHARE[0] * total) & (sum(SHARE) * apart() <= (SHARE[1] - SHARE[0]) * total)
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -71,7 +102,7 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"token": np.concatenate([hashes(t) for t in batch["text"]] or [np.zeros(0, "<u8")]).view("<i8")})
+            yield pd.DataFrame({"token": np.concatenate([hashes(words_of(t)) for t in batch["text"]] or [np.zeros(0, "<u8")]).view("<i8")})
 
     total = texts.count()
     some = texts.where(F.pmod(F.xxhash64("key"), F.lit(1 << 30)) < int(min(1.0, SAMPLE / max(1, total)) * (1 << 30)))
@@ -82,55 +113,30 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], count[order]
 
 
-def shared_prefixes(texts: DataFrame) -> DataFrame:
-    """``token, key, n, rep, rep_n``: prefix hashes that several texts have; ``rep`` is one of these texts, another for each hash."""
-    sent = texts.sparkSession.sparkContext.broadcast(common_shingles(texts))
+OWN = ("key", "n", "at", "bits", "root")
 
-    def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            keys, sizes, parts = batch["key"].to_numpy(), [], []
-            for text in batch["text"]:
-                found = hashes(text)
-                sizes.append(len(found))
-                parts.append(prefix(found, *sent.value))
-            lengths = [len(p) for p in parts]
-            if sum(lengths):
-                yield pd.DataFrame({"token": np.concatenate(parts).view("<i8"), "key": np.repeat(keys, lengths), "n": np.repeat(np.array(sizes, dtype=np.int32), lengths)})
-
-    def runs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """Sorted rows without repetition and without runs of one; only the last run's first and last rows are carried on."""
-        first = last = None  # of the run that goes on; ``last`` is not yet written
-        multiple = False
-        for batch in batches:
-            if not len(batch):
-                continue
-            token, key, n = (batch[c].to_numpy() for c in ("token", "key", "n"))
-            if last is not None:
-                token, key, n = (np.concatenate(([x], y)) for x, y in zip(last, (token, key, n), strict=True))
-            new = np.concatenate(([True], (token[1:] != token[:-1]) | (key[1:] != key[:-1])))
-            token, key, n = token[new], key[new], n[new]
-            start = np.concatenate(([True], token[1:] != token[:-1]))
-            at = np.maximum.accumulate(np.where(start, np.arange(len(token)), 0))
-            rep, rep_n = key[at], n[at]
-            if first is not None and first[0] == token[0]:
-                rep[at == 0], rep_n[at == 0] = first[1], first[2]
-            several = ~start | np.concatenate((~start[1:], [False]))
-            several[0] |= multiple
-            multiple = bool(several[-1])
-            first, last = (token[-1], rep[-1], rep_n[-1]), (token[-1], key[-1], n[-1])
-            out = pd.DataFrame({"token": token, "key": key, "n": n, "rep": rep, "rep_n": rep_n})
-            yield out[:-1][several[:-1]]
-        if multiple:
-            yield pd.DataFrame({"token": [last[0]], "key": [last[1]], "n": [last[2]], "rep": [first[1]], "rep_n": [first[2]]})
-
-    rows = texts.mapInPandas(sketch, "token long, key long, n int")
-    rows = rows.repartition("token").sortWithinPartitions("token", F.xxhash64("key", "token"), "key")
-    return materialize(rows.mapInPandas(runs, "token long, key long, n int, rep long, rep_n int"))
+
+def open_rows(rows: DataFrame) -> DataFrame:
+    """The rows of shingles (``token``) that several components share, with the first of these as ``first``."""
+    tokens = rows.groupBy("token").agg(F.min("root").alias("first"), F.max("root").alias("last")).where("first <> last").select("token", "first")
+    return rows.join(materialize(tokens), "token")
+
+
+def shared_prefixes(sketches: DataFrame, every: int = 1) -> DataFrame:
+    """``token, first`` and ``OWN``: the texts (by ``key``, once each) of the prefix shingles that several components share.
+
+    Of the shingles about one of ``every`` counts, the same ones for all texts.
+
+    ``at`` is the shingle's place in the text's prefix. Texts are narrow here: their bits are joined to the few that are left.
+    """
+    tokens = sketches.select("key", "n", "root", F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(every)) == 0)
+    found = materialize(open_rows(tokens).dropDuplicates(["token", "key"]))
+    bits = sketches.select("key", "bits").join(found.select("key").distinct(), "key", "leftsemi").dropDuplicates(["key"])
+    return materialize(found.join(bits, "key").select("token", "first", *OWN))
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose texts are similar."""
-    pairs = materialize(pairs)
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
     found = materialize(texts.join(wanted, "key", "leftsemi").dropDuplicates(["key"]))
 
@@ -140,27 +146,59 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
     both = pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
     both = both.join(found.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
-    return materialize(both.where(check("ta", "tb")).select("a", "b"))
+    out = materialize(both.where(check("ta", "tb")).select("a", "b"))
+    drop(found)
+    return out
+
+
+def met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Pairs of texts of different components that share a shingle and may be similar; the right one's columns end in ``_``."""
+    right = right.select("token", *[F.col(c).alias(f"{c}_") for c in OWN])
+    return left.join(right, "token").where((F.col("root") != F.col("root_")) & possible())
+
+
+def linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+    """Links (a, b) of components, for the similar ones among pairs (a, b) of keys."""
+    found, root = verified(pairs, texts), rows.select("key", "root").distinct()
+    for c in ("a", "b"):
+        found = found.join(root.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")), c)
+    return materialize(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
 
 
-def links(texts: DataFrame, connected) -> DataFrame:
-    """Links (a, b) that connect similar texts, between the keys of ``texts`` (``key``, ``text``; equal texts have equal keys).
+def links(sketches: DataFrame, texts: DataFrame, connected: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of components (``root``) that connect all those with similar texts.
 
-    ``connected`` gives (node, root) of links.
+    ``sketches`` has ``key`` (equal for equal texts only), ``root`` and ``sketch``'s ``n, prefix, bits``; ``texts`` has ``key, text``.
+    Both are read several times. ``connected`` gives (node, root) of links.
     """
-    python_ready(texts.sparkSession)
-    shared = shared_prefixes(texts)
-    near = shared.where(F.col("key") != F.col("rep")).where(alike(F.col("n"), F.col("rep_n")))
-    few = near.groupBy("key").agg(F.slice(F.collect_set("rep"), 1, FIRST).alias("reps")).select("key", F.explode("reps").alias("rep"))
-    ordered = lambda a, b: [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-    tried = materialize(few.select(*ordered("key", "rep")).distinct())
-    edges = verified(tried, texts)
-    roots = materialize(connected(edges))
-    known = shared.select("token", "key", "n").join(roots, F.col("key") == F.col("node"), "left")
-    known = materialize(known.select("token", "key", "n", F.coalesce("root", "key").alias("root")))
-    open_tokens = known.groupBy("token").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("token")
-    left = materialize(known.join(open_tokens, "token", "leftsemi"))
-    right = left.select("token", *[F.col(c).alias(f"{c}_") for c in ("key", "n", "root")])
-    rest = left.join(right, "token").where((F.col("key") < F.col("key_")) & (F.col("root") != F.col("root_")) & alike(F.col("n"), F.col("n_")))
-    rest = rest.select(F.col("key").alias("a"), F.col("key_").alias("b")).distinct().join(tried, ["a", "b"], "leftanti")
-    return edges.unionByName(verified(rest, texts))
+    tried = found = None
+    ordered = [F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")]
+
+    def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame | None:
+        """The components that these pairs of keys link, if any are left to compare."""
+        nonlocal tried, found
+        pairs = pairs.select(*ordered).distinct()
+        pairs = materialize(pairs if tried is None else pairs.join(tried, ["a", "b"], "leftanti"))
+        if pairs.isEmpty():
+            return None
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        new = linked(pairs, rows, texts)
+        found = new if found is None else found.unionByName(new)
+        return None if new.isEmpty() else materialize(connected(new).select(F.col("node").alias("root"), F.col("root").alias("merged")))
+
+    def moved(table: DataFrame, roots: DataFrame) -> DataFrame:
+        return table.join(roots, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
+
+    for every, draws in ROUNDS:
+        rows = shared_prefixes(sketches, every)
+        for nth, n in enumerate(draws):
+            part = F.pmod(F.xxhash64("key", "token", F.lit(nth)), F.lit(n))
+            drawn = rows.groupBy("token", part.alias("part")).agg(F.min_by("key", F.xxhash64("key")).alias("key")).select("token", "key")
+            # of any two components one is not the first
+            roots = compare(met(rows.where("root <> first"), drawn.join(rows, ["token", "key"])).groupBy("key").agg(F.min_by("key_", apart()).alias("key_")), rows)
+            if roots is not None:
+                old, rows = rows, materialize(open_rows(materialize(moved(rows, roots).select("token", *OWN))).select("token", "first", *OWN))
+                sketches = moved(sketches, roots)
+                drop(old)
+    compare(met(rows.where("root <> first"), rows), rows)
+    return rows.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0) if found is None else found

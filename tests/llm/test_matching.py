@@ -142,13 +142,21 @@ def test_links_of_trees_join_what_brute_force_joins(spark, monkeypatch):
     rows = spark.createDataFrame([(d, signed(f)) for d, f in zip(ids, fps)], "doc_id long, fp long")
     want = {signed(f): c for f, c in zip(fps, brute_components(ids, fps))}
     assert {r["fp"]: r["component_id"] for r in simhash.classes(rows).collect()} == want
-    monkeypatch.setattr(simhash, "DENSE", 60)
+    monkeypatch.setattr(simhash, "SHARD", 60)  # shards get trees of their own, several deep
+    monkeypatch.setattr(simhash, "MAX_LEAVES", 4)
+    monkeypatch.setattr(simhash, "OWN_LEAVES", 3)
+    monkeypatch.setattr(simhash, "OWN_SAMPLE", 40)
+    depths, place = [], simhash.place
+    monkeypatch.setattr(simhash, "place", lambda placed, by_leaf: depths.append(len(by_leaf)) or place(placed, by_leaf))
     assert {r["fp"]: r["component_id"] for r in simhash.classes(rows).collect()} == want
+    assert len(depths) > 2
 
 
 def test_one_tight_ball(spark, monkeypatch):
     monkeypatch.setattr(simhash, "BLOCK", 16)
     rng = random.Random(6)
+    splits = []
+    monkeypatch.setattr(simhash, "choose_split", lambda points: splits.append(len(points)))  # nothing separates the ball
     fps = list({sum(1 << rng.randrange(64) for _ in range(4)) & (1 << 64) - 1 for _ in range(400)})
     a, b = simhash.links(np.unique(np.array(fps, dtype="<u8")))
     ids = {f: i for i, f in enumerate(sorted(fps))}
@@ -156,7 +164,11 @@ def test_one_tight_ball(spark, monkeypatch):
     for x, y in zip(a.tolist(), b.tolist()):
         assert label[x] == label[y]
     rows = spark.createDataFrame([(ids[f], signed(f)) for f in fps], "doc_id long, fp long")
-    assert {r["fp"]: r["component_id"] for r in simhash.classes(rows).collect()} == {signed(f): c for f, c in label.items()}
+    want = {signed(f): c for f, c in label.items()}
+    assert splits and {r["fp"]: r["component_id"] for r in simhash.classes(rows).collect()} == want
+    monkeypatch.setattr(simhash, "LEAF", 50)
+    monkeypatch.setattr(simhash, "build", lambda points, leaf: [])
+    assert {r["fp"]: r["component_id"] for r in simhash.classes(rows).collect()} == want
 
 
 def test_keep_one(spark):

@@ -8,7 +8,7 @@ import corpus_pipeline
 import numpy as np
 import public_tokenizers as P
 
-from tallyfold.llm import bpe, decontaminate, secrets, simhash
+from tallyfold.llm import bpe, decontaminate, secrets, similar, simhash
 from tallyfold.llm.common import materialize
 
 
@@ -23,10 +23,10 @@ def repeats(text):
 def components(rows):
     label = {r["doc_id"]: r["doc_id"] for r in rows}
     find = lambda x: x if label[x] == x else find(label[x])
-    prints = [(r["doc_id"], simhash.fingerprint(r["text"])) for r in rows]
-    for i, (a, x) in enumerate(prints):
-        for b, y in prints[:i]:
-            if ((x ^ y) & (1 << 64) - 1).bit_count() <= 2:
+    prints = [(r["doc_id"], simhash.fingerprint(r["text"]), similar.shingles(similar.words_of(r["text"]))) for r in rows]
+    for i, (a, x, s) in enumerate(prints):
+        for b, y, t in prints[:i]:
+            if ((x ^ y) & (1 << 64) - 1).bit_count() <= 2 or s and len(s & t) / len(s | t) >= 0.8:
                 p, q = sorted((find(a), find(b)))
                 label[q] = p
     return {d: find(d) for d in label}
@@ -56,10 +56,10 @@ def test_run(spark, sf_dir):
     same = components(kept)
     kept = [r for r in kept if same[r["doc_id"]] == r["doc_id"]]
     items = [(decontaminate.normalise(r["text"])) for r in spark.read.parquet(f"{sf_dir}/benchmark.parquet").collect()]
-    near = lambda text: any(decontaminate.myers(i, text) <= max(0, min(len(i) // 10, len(i) // 8 - 1)) for i in items)
+    near = lambda text: any(decontaminate.myers(i, text) <= len(i) // 10 for i in items)
     suspects = {r["doc_id"] for r in kept if any(i[k : k + 9] in decontaminate.normalise(r["text"]) for i in items for k in range(0, len(i) - 9, 9))}
     kept = [r for r in kept if not (r["doc_id"] in suspects and near(decontaminate.normalise(r["text"])))]
-    model = secrets.train(spark.createDataFrame(kept, docs.schema))
+    model = secrets.train(spark.createDataFrame(kept, docs.schema), samples=secrets.random_strings(spark))
     ranks = bpe.read_ranks(P.path("byte_bpe_50k.tiktoken"))
     want = {}
     for r in kept:
@@ -73,7 +73,7 @@ def test_run(spark, sf_dir):
 def test_stages_on_odd_rows(spark, sf_dir):
     words = " ".join(f"w{i}" for i in range(40))
     rows = [(None, words, None, None, None), (1, None, "en", "a", None), (2, words + " token=abcdefgh", "en", "a", 9), (2, words + " token=abcdefgh", "en", "a", 9)]
-    docs = spark.createDataFrame([(*r, "clash", "x") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, base string, fp string")
+    docs = spark.createDataFrame([(*r, "clash", "x", "y") for r in rows], "doc_id long, text string, lang string, source string, n_chars long, base string, fp string, `a.b` string")
     for part in (docs, docs.limit(0)):
         for _, stage in corpus_pipeline.STAGES[:-1]:
             out = stage(spark, part, sf_dir)

@@ -3,6 +3,7 @@
 import random
 
 import corpus_pipeline
+import numpy as np
 from pyspark.sql import functions as F
 
 from tallyfold.llm import similar, simhash
@@ -32,7 +33,7 @@ def test_near_duplicates_stage_links_what_brute_force_links(spark, monkeypatch):
     wider = 0
     for i in range(len(texts)):
         for j in range(i):
-            bits, x, y = ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count(), *map(similar.shingles, (texts[i], texts[j]))
+            bits, x, y = ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count(), *(similar.shingles(similar.words_of(t)) for t in (texts[i], texts[j]))
             near = bool(x) and len(x & y) / len(x | y) >= 0.8
             wider += near and bits > 2
             if near or bits <= 2:
@@ -46,16 +47,26 @@ def test_near_duplicates_stage_links_what_brute_force_links(spark, monkeypatch):
         assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.select("doc_id").collect()) == want
 
 
-def test_a_run_over_many_batches(spark):
-    text = " ".join(f"w{i}" for i in range(40))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "3")
-    try:
-        texts = spark.createDataFrame([(text + f" x{i % 9}",) for i in range(30)], "text string").select(F.xxhash64("text").alias("key"), "text")
-        rows = similar.shared_prefixes(texts).collect()
-    finally:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "512")
-    keys = {r["key"] for r in texts.collect()}
-    groups = {}
-    for r in rows:
-        groups.setdefault(r["token"], []).append((r["key"], r["rep"]))
-    assert groups and all({k for k, _ in g} == keys and len(g) == 9 and len({rep for _, rep in g}) == 1 for g in groups.values())
+def test_copies_and_bounds(spark):
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcd") for _ in range(3))
+    texts = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(40)]
+    texts += [" ".join([*t.split()[: rng.randrange(1, 60)], word()]) for t in texts] + texts[:9] + [None, ""]
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
+    rows = simhash.sketched(docs, (np.zeros(0, "<u8"), np.zeros(0, np.int64))).withColumn("root", F.col("key"))
+    shared = similar.shared_prefixes(rows)
+    found = shared.collect()
+    assert len({(r["token"], r["key"]) for r in found}) == len(found)  # copies stand once
+    keys = {r["id"]: r["key"] for r in rows.collect()}
+    sets = {keys[i]: similar.shingles(similar.words_of(t)) for i, t in enumerate(texts)}
+    pairs = {(a, b) for a in sets for b in sets if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
+    left = similar.met(shared.where("root <> first"), shared)
+    assert pairs and pairs <= {tuple(sorted((r["key"], r["key_"]))) for r in left.collect()}
+
+
+def test_pairs_that_all_rounds_miss_are_compared_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(similar, "ROUNDS", ((1, ()),))
+    base = [f"w{i}" for i in range(100)]
+    texts = [" ".join([*base[: 100 - k], *[f"x{k}y{j}" for j in range(k)]]) for k in range(0, 12, 2)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert [r["doc_id"] for r in simhash.keep_one(docs, similar_too=True).collect()] == [0]
