@@ -34,11 +34,12 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def redaction(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked in the text; ``n_chars`` follows it. Every document stays."""
-    rows = secrets.scan(docs.select("text", F.struct("*").alias("row")))
+    rows = secrets.scan(docs.select("text", F.struct("*").alias("row")), samples=secrets.random_strings(spark))
     masked = secrets.redact(F.col("text"), F.col("found"))
     changed = rows.select("row", F.size("found").alias("n"), masked.alias("masked"))
-    columns = {"text": F.col("masked"), "n_chars": F.when(F.col("n") > 0, F.length("masked").cast("long")).otherwise(F.col("row.n_chars"))}
-    return changed.select(*[columns.get(c, F.col(f"row.{c}")).alias(c) for c in docs.columns])
+    own = lambda c: F.col("row")[c]
+    columns = {"text": F.col("masked"), "n_chars": F.when(F.col("n") > 0, F.length("masked").cast("long")).otherwise(own("n_chars"))}
+    return changed.select(*[columns.get(c, own(c)).alias(c) for c in docs.columns])
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
