@@ -192,9 +192,15 @@ def qualified(names: DataFrame, tables: DataFrame) -> DataFrame:
 
 
 def merge_sources(known: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Newly found files that are not known, and conflicts: the same path with other content."""
+    """Newly found files that are not known, and conflicts: the same path with other content.
+
+    Several contents of one new path are all conflicts, with a null ``_known``.
+    """
     both = found.join(known.select("path", F.col("sha256").alias("_known")), "path", "left")
-    return both.where("_known is null").drop("_known").dropDuplicates(["path", "sha256"]), both.where(F.col("_known") != F.col("sha256")).select("path", "_known", "sha256")
+    new = both.where("_known is null").dropDuplicates(["path", "sha256"])
+    several = new.groupBy("path").agg(F.count("*").alias("_n")).where("_n > 1").select("path")
+    conflicts = both.where(F.col("_known") != F.col("sha256")).unionByName(new.join(several, "path", "left_semi"))
+    return new.drop("_known").join(several, "path", "left_anti"), conflicts.select("path", "_known", "sha256")
 
 
 def scoped(files: DataFrame, closed: DataFrame) -> DataFrame:

@@ -26,15 +26,17 @@ def check_items(rows: DataFrame, most: int = MAX_ITEMS) -> DataFrame:
 def read_answers(asked: DataFrame, returned: DataFrame, reviewer: str, longest: int = 2000) -> tuple[DataFrame, DataFrame]:
     """Accepted answers ``(id, answer, correction, actor)`` and violations ``(id, violation)``.
 
-    Every asked item must come back with its question untouched. A blank answer is ``Unanswered``.
+    Every asked item must come back once, with its question untouched. A blank answer is ``Unanswered``.
     """
+    twice = returned.groupBy("id").agg(F.count("*").alias("_n")).where("_n > 1").select("id", F.lit(True).alias("_twice"))
     a = asked.select("id", F.struct("question", "evidence", "kind").alias("_asked"))
     r = returned.select("id", F.struct("question", "evidence", "kind").alias("_back"), "answer", "correction", "reviewer")
-    both = a.join(r, "id", "full")
+    both = a.join(r, "id", "full").join(twice, "id", "left")
     answer = F.coalesce(F.trim("answer"), F.lit(""))
     checks = {
         "not returned": F.col("_back").isNull(),
         "not asked": F.col("_asked").isNull(),
+        "returned twice": F.col("_twice"),
         "question changed": F.col("_asked").isNotNull() & F.col("_back").isNotNull() & ~F.col("_asked").eqNullSafe(F.col("_back")),
         "unknown answer": F.col("_back").isNotNull() & ~answer.isin("", *ANSWERS),
         "correction too long": F.length("correction") > longest,
@@ -42,7 +44,7 @@ def read_answers(asked: DataFrame, returned: DataFrame, reviewer: str, longest:
     found = F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit(False)), F.lit(n)) for n, c in checks.items()]))
     both = both.withColumn("_found", found)
     good = both.where(F.size("_found") == 0).select("id", F.when(answer == "", "Unanswered").otherwise(answer).alias("answer"), "correction", F.coalesce("reviewer", F.lit(reviewer)).alias("actor"))
-    return good, both.select("id", F.explode("_found").alias("violation"))
+    return good, both.select("id", F.explode("_found").alias("violation")).distinct()
 
 
 def unresolved(answers: DataFrame) -> DataFrame:
@@ -62,4 +64,7 @@ def confirmed_knowledge(rules: DataFrame, answers: DataFrame, known: DataFrame)
     plain = answers.where("answer = 'Yes'").join(unresolved(answers).select("id"), "id", "left_anti")
     fresh = rules.join(plain.select("id"), "id", "left_semi").select(F.sha2(F.concat_ws(":", "program", "id"), 256).alias("key"), "text")
     both = fresh.join(known.select("key", F.col("text").alias("_known")), "key", "left")
-    return both.where("_known is null").select("key", "text").distinct(), both.where(F.col("_known") != F.col("text")).select("key", "_known", "text")
+    new = both.where("_known is null").select("key", "_known", "text").distinct()
+    several = new.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").select("key")  # two texts at once are a conflict, too
+    conflicts = both.where(F.col("_known") != F.col("text")).select("key", "_known", "text").unionByName(new.join(several, "key", "left_semi"))
+    return new.join(several, "key", "left_anti").select("key", "text"), conflicts

@@ -102,8 +102,9 @@ def numbered(df: DataFrame, name: str, part: Sequence[str], order: Sequence, pat
 
 
 def latest(df: DataFrame, keys: Sequence[str], version: Column, *columns: str) -> DataFrame:
-    """The given columns of each key's latest row, without a sort."""
-    return df.groupBy(*keys).agg(*[F.max_by(c, version).alias(c) for c in columns])
+    """The given columns of each key's latest row, without a sort; of equal versions one whole row, the greatest, counts."""
+    row = F.struct(*columns)
+    return df.groupBy(*keys).agg(F.max_by(row, F.struct(version, row)).alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in columns])
 
 
 def capped_list(df: DataFrame, keys: Sequence[str], item: Column, order: Sequence, limit: int) -> DataFrame:

@@ -131,7 +131,7 @@ def keyset_page(spark, sf_dir):
 with r as (select row_number() over (order by c_nationkey, c_custkey) as n, length(c_name) + 1 as b from customer),
 p as (select (n - 1) // 40 as page, count(*) as n, sum(b) as b from r group by 1), q as (select *, sum(b) over (order by page) as upto from p),
 f as (select *, page < 100 and upto <= 9000 as fits from q)
-select case when count(*) >= 100 or bool_or(upto > 9000) then 'PARTIAL' else 'COMPLETE' end as status, case when count(*) >= 100 then 'page limit' when bool_or(upto > 9000) then 'byte limit' end as reason,
+select case when count(*) filter (fits) >= 100 or bool_or(upto > 9000) then 'PARTIAL' else 'COMPLETE' end as status, case when count(*) filter (fits) >= 100 then 'page limit' when bool_or(upto > 9000) then 'byte limit' end as reason,
   coalesce(sum(n) filter (fits), 0)::bigint as "rows", count(*) filter (fits) as pages, coalesce(sum(b) filter (fits), 0)::bigint as bytes from f
 """)
 def keyset_receipt(spark, sf_dir):

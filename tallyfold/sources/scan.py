@@ -130,7 +130,7 @@ def pages(df: DataFrame, keys: Sequence[str], page: int, size: Column) -> DataFr
 
 
 def keyset_receipt(df: DataFrame, keys: Sequence[str], page: int, max_pages: int, max_bytes: int, size: Column) -> DataFrame:
-    """One row: ``status, reason, rows, pages, bytes`` of a traversal that stops before a page over budget.
+    """One row: ``status, reason, rows, pages, bytes`` of a traversal that stops before the first page over a budget.
 
     A traversal that ends exactly at its page limit is PARTIAL: it cannot know that nothing follows.
     """
@@ -141,9 +141,8 @@ def keyset_receipt(df: DataFrame, keys: Sequence[str], page: int, max_pages: int
         F.count_if(fits).alias("pages"),
         F.coalesce(F.sum(F.when(fits, F.col("b"))), F.lit(0)).alias("bytes"),
         F.coalesce(F.bool_or(F.col("upto") > max_bytes), F.lit(False)).alias("_over"),
-        F.count("*").alias("_all"),
     )
-    reason = F.when(F.col("_all") >= max_pages, "page limit").when(F.col("_over"), "byte limit")
+    reason = F.when(F.col("pages") >= max_pages, "page limit").when(F.col("_over"), "byte limit")
     return out.select(F.when(reason.isNull(), "COMPLETE").otherwise("PARTIAL").alias("status"), reason.alias("reason"), "rows", "pages", "bytes")
 
 

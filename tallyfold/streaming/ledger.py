@@ -41,11 +41,16 @@ def over_retried(events: DataFrame, key: str, state: str, retry: str, most: int
 
 
 def merge_new(target: DataFrame, source: DataFrame, key: str, content: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Rows to insert (their key is not there yet), and conflicts (same key, other content)."""
+    """Rows to insert (their key is not there yet and has one content), and conflicts (same key, other content).
+
+    Several contents of one new key are all conflicts: none of them is inserted.
+    """
     rows = source.dropDuplicates([key, *content])
-    fresh = rows.join(target.select(key), key, "left_anti")
+    several = rows.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key)
+    new = rows.join(target.select(key), key, "left_anti")
     held = target.select(key, F.struct(*content).alias("_held"))
-    return fresh, rows.join(held, key).where(~F.struct(*content).eqNullSafe(F.col("_held"))).drop("_held")
+    changed = rows.join(held, key).where(~F.struct(*content).eqNullSafe(F.col("_held"))).drop("_held")
+    return new.join(several, key, "left_anti"), changed.unionByName(new.join(several, key, "left_semi"))
 
 
 def new_snapshots(snapshots: DataFrame, process: str, document: str, seq: str) -> DataFrame:

@@ -165,6 +165,10 @@ def test_lineage(spark):
     known = spark.createDataFrame([("a", "1"), ("b", "2")], "path string, sha256 string")
     fresh, conflicts = lineage.merge_sources(known, spark.createDataFrame([("a", "1"), ("b", "9"), ("c", "3")], known.schema))
     assert [r["path"] for r in fresh.collect()] == ["c"] and [r["path"] for r in conflicts.collect()] == ["b"]
+    fresh, conflicts = lineage.merge_sources(known, spark.createDataFrame([("c", "3"), ("c", "4"), ("d", "1"), ("d", "1")], known.schema))
+    assert [r["path"] for r in fresh.collect()] == ["d"] and {tuple(r) for r in conflicts.collect()} == {("c", None, "3"), ("c", None, "4")}
+    runs = spark.createDataFrame([("k", 2, "b", 1), ("k", 2, "a", 9), ("k", 1, "z", 9)], "k string, v int, x string, y int")
+    assert tuple(windows.latest(runs, ["k"], F.col("v"), "x", "y").first()) == ("k", "b", 1)  # both of one row
     bound = spark.createDataFrame([("x", True), ("x", False), ("y", False), ("z", True), ("z", True)], "logical_id string, available boolean")
     assert dict(map(tuple, lineage.binding_status(bound).collect())) == {"x": "resolved", "y": "input_unavailable", "z": "ambiguous"}
     ev = spark.createDataFrame([("n", "k", "N", ["e1"]), ("n", "k", "N", ["e2", "e1"])], "id string, kind string, name string, evidence array<string>")
@@ -176,13 +180,18 @@ def test_lineage(spark):
 def test_review(spark):
     asked = review.items(spark.createDataFrame([(i, f"q{i}", "e", "rule") for i in range(5)], "id int, question string, evidence string, kind string"))
     back = [(0, "q0", "e", "rule", "Yes", None, None), (1, "q1", "e", "rule", " ", None, "ann"), (2, "changed", "e", "rule", "No", None, None), (3, "q3", "e", "rule", "Maybe", "c" * 3000, None), (9, "q9", "e", "rule", "Yes", None, None)]
+    asked = asked.unionByName(review.items(spark.createDataFrame([(7, "q7", "e", "rule")], "id int, question string, evidence string, kind string")))
+    back += [(7, "q7", "e", "rule", "Yes", None, None), (7, "q7", "e", "rule", "No", None, None)]
     good, bad = review.read_answers(asked, spark.createDataFrame(back, "id int, question string, evidence string, kind string, answer string, correction string, reviewer string"), "bob")
     assert {(r["id"], r["answer"], r["actor"]) for r in good.collect()} == {(0, "Yes", "bob"), (1, "Unanswered", "ann")}
-    assert {(r["id"], r["violation"]) for r in bad.collect()} == {(2, "question changed"), (3, "unknown answer"), (3, "correction too long"), (4, "not returned"), (9, "not asked")}
+    assert {(r["id"], r["violation"]) for r in bad.collect()} == {(2, "question changed"), (3, "unknown answer"), (3, "correction too long"), (4, "not returned"), (7, "returned twice"), (9, "not asked")}
     rules_ = spark.createDataFrame([(0, "P", "t"), (1, "P", "t"), (2, "Q", "t")], "id int, program string, text string")
     programs = spark.createDataFrame([("P", True, 0), ("Q", True, 3)], "program string, verified boolean, differences int")
     assert tuple(review.rule_credit(rules_, good, programs).first()) == (3, 1)
     assert review.check_items(asked.union(asked.limit(1)), 5).count() == 2
     fresh, conflicts = review.confirmed_knowledge(rules_, good, spark.createDataFrame([], "key string, text string"))
     assert fresh.count() == 1 and conflicts.count() == 0
+    twice = rules_.unionByName(spark.createDataFrame([(0, "P", "other")], rules_.schema))
+    fresh, conflicts = review.confirmed_knowledge(twice, good, spark.createDataFrame([], "key string, text string"))
+    assert fresh.count() == 0 and conflicts.count() == 2
     assert contract.check_unique(asked, ["id"]).count() == 0

@@ -90,6 +90,8 @@ def test_ledger(spark):
     target = spark.createDataFrame([("a", "1")], "id string, h string")
     fresh, conflicts = ledger.merge_new(target, spark.createDataFrame([("a", "1"), ("a", "2"), ("b", "1"), ("b", "1")], target.schema), "id", ["h"])
     assert fresh.count() == 1 and conflicts.count() == 1
+    fresh, conflicts = ledger.merge_new(target, spark.createDataFrame([("c", "1"), ("c", "2"), ("d", "1")], target.schema), "id", ["h"])
+    assert [r["id"] for r in fresh.collect()] == ["d"] and sorted(r["h"] for r in conflicts.collect()) == ["1", "2"]
     docs = spark.createDataFrame([(1, "p", "x"), (2, "p", "x"), (3, "p", "y"), (4, "q", "x")], "seq long, pid string, doc string")
     assert {r["seq"] for r in ledger.new_snapshots(docs, "pid", "doc", "seq").collect()} == {1, 3, 4}
     demo = spark.createDataFrame([("q", True)], "pid string, demo boolean")
