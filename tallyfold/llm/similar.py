@@ -6,11 +6,12 @@ only decides how many texts share a prefix shingle, never which links are found.
 
 Only prefix shingles whose texts lie in several components count (what is linked already needs no link). In each round every
 text outside a shingle's first component meets some texts of other components there, drawn by a hash, and is compared in full with
-the nearest of them; what this links becomes one component. The first rounds see an eighth of the shingles, as near copies share
-most. At last all pairs that share a shingle but lie in different components still are compared. So a large group of near copies
-takes links in proportion to its size, while texts that no link joins all meet. Two exact bounds sort out pairs before any text
-is read: how far into both prefixes the shared shingle stands, and the bits in which the parities of the shingle hashes differ
-(each is a shingle that only one of the two has).
+the one that it shares most shingles with; what this links becomes one component. These rounds see an eighth of the shingles, as
+near copies share most. At last all pairs that share any prefix shingle but lie in different components still are compared. So a
+large group of near copies takes links in proportion to its size, while texts that no link joins all meet. Two exact bounds sort
+out pairs before any text is read: how far into both prefixes the shared shingle stands, and the bits in which the parities of
+the shingle hashes differ (each is a shingle that only one of the two has). A text has about as many parity bits as shingles, so
+the bound holds for long texts, too; of two texts the finer bits are folded onto the coarser ones.
 
 Words are cut at ASCII blanks and compared in lower case; a text under five words is one shingle. Null texts and texts
 without words have no link. The result has links enough to connect what is similar, not every similar pair.
@@ -35,10 +36,10 @@ SHARE = (4, 5)
 #: Texts whose shingles are counted for the order, and most shingles of the order that are sent.
 SAMPLE = 1 << 14
 MAX_COMMON = 200_000
-#: Words of 64 parity bits for each text.
-PARITY = 8
 #: Rounds before all pairs are compared: one of how many shingles they see, and how many texts of each are drawn.
-ROUNDS = ((8, (4, 16)), (1, (16,)))
+ROUNDS = ((8, (4, 16, 16)),)
+#: Keys that are sent to all executors to pick texts; more keys are joined by a shuffle.
+MAX_SENT = 1 << 20
 
 
 def shingles(words: list[bytes]) -> set[bytes]:
@@ -68,8 +69,9 @@ def prefix(found: np.ndarray, common: np.ndarray, count: np.ndarray) -> np.ndarr
 
 
 def parity(found: np.ndarray) -> np.ndarray:
-    """For each residue of the hashes whether an odd number of them has it."""
-    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY) & 1
+    """For each residue of the hashes whether an odd number of them has it; as many residues as the next power of two (64 at least)."""
+    size = max(64, 1 << (len(found) - 1).bit_length()) if len(found) else 64
+    odd = np.bincount((found >> np.uint64(32)).astype(np.int64) % size, minlength=size) & 1
     return np.packbits(odd.astype(np.uint8)).view("<i8")
 
 
@@ -86,15 +88,22 @@ def similar(a: str | None, b: str | None) -> bool:
 
 
 def apart() -> Column:
-    """In how many parity bits two texts differ (the other's columns end in ``_``): no more than the shingles only one has."""
-    terms = [F.bit_count(F.get("bits", F.lit(i)).bitwiseXOR(F.get("bits_", F.lit(i)))) for i in range(PARITY)]
-    return reduce(Column.__add__, terms)
+    """In how many parity bits two texts differ (the other's columns end in ``_``): no more than the shingles only one has.
+
+    Sizes within the bound of ``possible`` differ by a factor of 5 / 4 at most, so one halving makes the bits equally long.
+    """
+
+    def halved(bits: str, other: str) -> Column:
+        half = (F.size(bits) / 2).cast("int")
+        return F.when(F.size(bits) > F.size(other), F.zip_with(F.slice(bits, 1, half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))).otherwise(F.col(bits))
+
+    differing = F.zip_with(halved("bits", "bits_"), halved("bits_", "bits"), lambda x, y: F.bit_count(x.bitwiseXOR(y)))
+    return F.aggregate(differing, F.lit(0), lambda total, n: total + n)
 
 
 def possible() -> Column:
     """Whether two texts may be similar whose first shared shingle stands at ``at``: SHARE[0] / sum(SHARE) of both are shared."""
-    most, total = F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")), F.col("n") + F.col("n_")
-    return (sum(SHARE) * most >= SHARE[0] * total) & (sum(SHARE) * apart() <= (SHARE[1] - SHARE[0]) * total)
+    return sum(SHARE) * F.least(F.col("n") - F.col("at"), F.col("n_") - F.col("at_")) >= SHARE[0] * (F.col("n") + F.col("n_"))
 
 
 def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -113,7 +122,7 @@ def common_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], count[order]
 
 
-OWN = ("key", "n", "at", "bits", "root")
+OWN = ("key", "n", "at", "root")
 
 
 def open_rows(rows: DataFrame) -> DataFrame:
@@ -127,18 +136,34 @@ def shared_prefixes(sketches: DataFrame, every: int = 1) -> DataFrame:
 
     Of the shingles about one of ``every`` counts, the same ones for all texts.
 
-    ``at`` is the shingle's place in the text's prefix. Texts are narrow here: their bits are joined to the few that are left.
+    ``at`` is the shingle's place in the text's prefix.
     """
     tokens = sketches.select("key", "n", "root", F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(every)) == 0)
-    found = materialize(open_rows(tokens).dropDuplicates(["token", "key"]))
-    bits = sketches.select("key", "bits").join(found.select("key").distinct(), "key", "leftsemi").dropDuplicates(["key"])
-    return materialize(found.join(bits, "key").select("token", "first", *OWN))
+    return materialize(open_rows(tokens).dropDuplicates(["token", "key"]).select("token", "first", *OWN))
+
+
+def picked(table: DataFrame, pairs: DataFrame) -> DataFrame:
+    """One row of ``table`` for each ``key`` among pairs (a, b). Few keys are sent to all executors, so that the table stays in place."""
+    wanted = materialize(pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct())
+    some = F.broadcast(wanted) if wanted.count() <= MAX_SENT else wanted
+    found = materialize(table.join(some, "key", "leftsemi").dropDuplicates(["key"]))
+    drop(wanted)
+    return found
+
+
+def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose parity bits allow similar texts."""
+    found = picked(sketches.select("key", "n", "bits"), pairs)
+    for c, end in (("a", ""), ("b", "_")):
+        pairs = pairs.join(found.select(F.col("key").alias(c), F.col("n").alias(f"n{end}"), F.col("bits").alias(f"bits{end}")), c)
+    out = materialize(pairs.where(sum(SHARE) * apart() <= (SHARE[1] - SHARE[0]) * (F.col("n") + F.col("n_"))).select("a", "b"))
+    drop(found)
+    return out
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     """The pairs (a, b) of keys whose texts are similar."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    found = materialize(texts.join(wanted, "key", "leftsemi").dropDuplicates(["key"]))
+    found = picked(texts, pairs)
 
     @F.pandas_udf("boolean")
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -157,9 +182,9 @@ def met(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "token").where((F.col("root") != F.col("root_")) & possible())
 
 
-def linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b) of components, for the similar ones among pairs (a, b) of keys."""
-    found, root = verified(pairs, texts), rows.select("key", "root").distinct()
+    found, root = verified(near(pairs, sketches), texts), rows.select("key", "root").distinct()
     for c in ("a", "b"):
         found = found.join(root.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")), c)
     return materialize(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
@@ -182,7 +207,7 @@ def links(sketches: DataFrame, texts: DataFrame, connected: Callable[[DataFrame]
         if pairs.isEmpty():
             return None
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = linked(pairs, rows, texts)
+        new = linked(pairs, rows, texts, sketches)
         found = new if found is None else found.unionByName(new)
         return None if new.isEmpty() else materialize(connected(new).select(F.col("node").alias("root"), F.col("root").alias("merged")))
 
@@ -195,10 +220,12 @@ def links(sketches: DataFrame, texts: DataFrame, connected: Callable[[DataFrame]
             part = F.pmod(F.xxhash64("key", "token", F.lit(nth)), F.lit(n))
             drawn = rows.groupBy("token", part.alias("part")).agg(F.min_by("key", F.xxhash64("key")).alias("key")).select("token", "key")
             # of any two components one is not the first
-            roots = compare(met(rows.where("root <> first"), drawn.join(rows, ["token", "key"])).groupBy("key").agg(F.min_by("key_", apart()).alias("key_")), rows)
+            shared = met(rows.where("root <> first"), drawn.join(rows, ["token", "key"])).groupBy("key", "key_").agg(F.count("*").alias("shared"))
+            roots = compare(shared.groupBy("key").agg(F.max_by("key_", F.struct("shared", "key_")).alias("key_")), rows)
             if roots is not None:
                 old, rows = rows, materialize(open_rows(materialize(moved(rows, roots).select("token", *OWN))).select("token", "first", *OWN))
                 sketches = moved(sketches, roots)
                 drop(old)
+    rows = shared_prefixes(sketches)
     compare(met(rows.where("root <> first"), rows), rows)
     return rows.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0) if found is None else found

@@ -60,13 +60,28 @@ def test_copies_and_bounds(spark):
     keys = {r["id"]: r["key"] for r in rows.collect()}
     sets = {keys[i]: similar.shingles(similar.words_of(t)) for i, t in enumerate(texts)}
     pairs = {(a, b) for a in sets for b in sets if a < b and sets[a] and 5 * len(sets[a] & sets[b]) >= 4 * len(sets[a] | sets[b])}
-    left = similar.met(shared.where("root <> first"), shared)
-    assert pairs and pairs <= {tuple(sorted((r["key"], r["key_"]))) for r in left.collect()}
+    met = similar.met(shared.where("root <> first"), shared).select(F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")).distinct()
+    left = {(r["a"], r["b"]) for r in similar.near(met, rows).collect()}
+    assert pairs and pairs <= left <= {(r["a"], r["b"]) for r in met.collect()}
 
 
 def test_pairs_that_all_rounds_miss_are_compared_at_the_end(spark, monkeypatch):
-    monkeypatch.setattr(similar, "ROUNDS", ((1, ()),))
+    monkeypatch.setattr(similar, "ROUNDS", ())
     base = [f"w{i}" for i in range(100)]
     texts = [" ".join([*base[: 100 - k], *[f"x{k}y{j}" for j in range(k)]]) for k in range(0, 12, 2)]
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     assert [r["doc_id"] for r in simhash.keep_one(docs, similar_too=True).collect()] == [0]
+
+
+def test_parity_bits_bound_what_only_one_text_has(spark):
+    rng = random.Random(11)
+    base = [f"w{i}" for i in range(1100)]
+    texts = [" ".join(base[:n]) for n in (5, 60, 70, 130, 510, 520, 1000, 1040)] + [" ".join(rng.sample(base, n)) for n in (60, 70, 1000, 1040)]
+    found = [similar.hashes(similar.words_of(t)) for t in texts]
+    rows = [(i, len(f), similar.parity(f).tolist()) for i, f in enumerate(found)]
+    a = spark.createDataFrame(rows, "i int, n int, bits array<long>")
+    both = a.join(a.select(*[F.col(c).alias(f"{c}_") for c in a.columns]), (F.col("i") < F.col("i_")) & (F.col("n_") <= 1.25 * F.col("n")) & (F.col("n") <= 1.25 * F.col("n_")))
+    got = {(r["i"], r["i_"]): (r["d"], r["n"] + r["n_"]) for r in both.select("i", "i_", "n", "n_", similar.apart().alias("d")).collect()}
+    assert {len(r[2]) for r in rows} == {1, 2, 8, 16} and len(got) > 10
+    assert all(d <= len(set(found[i].tolist()) ^ set(found[j].tolist())) for (i, j), (d, _) in got.items())
+    assert all(9 * d > total for (i, j), (d, total) in got.items() if j > 7)  # shuffled texts are sorted out at every length
