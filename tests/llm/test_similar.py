@@ -82,6 +82,6 @@ def test_parity_bits_bound_what_only_one_text_has(spark):
     a = spark.createDataFrame(rows, "i int, n int, bits array<long>")
     both = a.join(a.select(*[F.col(c).alias(f"{c}_") for c in a.columns]), (F.col("i") < F.col("i_")) & (F.col("n_") <= 1.25 * F.col("n")) & (F.col("n") <= 1.25 * F.col("n_")))
     got = {(r["i"], r["i_"]): (r["d"], r["n"] + r["n_"]) for r in both.select("i", "i_", "n", "n_", similar.apart().alias("d")).collect()}
-    assert {len(r[2]) for r in rows} == {1, 2, 8, 16} and len(got) > 10
+    assert {len(r[2]) for r in rows} == {1, 2, 8, 16, 32} and len(got) > 10
     assert all(d <= len(set(found[i].tolist()) ^ set(found[j].tolist())) for (i, j), (d, _) in got.items())
     assert all(9 * d > total for (i, j), (d, total) in got.items() if j > 7)  # shuffled texts are sorted out at every length
