@@ -315,14 +315,15 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simila
     ``similar_too`` also links texts whose five-word shingles have a similarity of 0.8 or more. Keepers are chosen on narrow
     rows; the documents meet them by id and checksum of the text, and only keepers that repeat are compared any further.
     """
-    source = docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t"), F.struct("*").alias("row"))
-    texts = source.select(F.xxhash64("t").alias("key"), F.col("t").alias("text"))
+    source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("key"), F.struct("*").alias("row"))
+    texts = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
     if similar_too:
         python_ready(docs.sparkSession)
-    prints = sketched(source.select("id", "t"), similar.common_shingles(texts) if similar_too else None)
+    prints = sketched(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")), similar.common_shingles(texts) if similar_too else None)
     roots = rooted(prints.select("fp").distinct())
     if similar_too:
-        more = similar.links(prints.join(roots, "fp").select("key", "root", "n", "prefix", "bits"), texts, connected)
+        by_key = materialize(prints.select("key", "fp").dropDuplicates(["key"]).join(roots, "fp").select("key", "root"))
+        more = similar.links(prints.select("key", "n", "prefix", "bits"), by_key, texts, connected)
         wider = materialize(connected(more).select("node", F.col("root").alias("wider")))
         roots = materialize(roots.join(wider, roots["root"] == wider["node"], "left").select("fp", F.coalesce("wider", "root").alias("root")))
     all_rows = prints.select("id", "row", "key", "fp").join(classes(prints.select("id", "fp"), "id", roots), "fp")
@@ -332,7 +333,7 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simila
     times = prints.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))).groupBy("kept_id", "kept_key").agg(F.count("*").alias("times"))
     times = materialize(times)
     drop(prints)
-    kept = source.join(times, F.col("id").eqNullSafe(F.col("kept_id")) & (F.xxhash64("t") == F.col("kept_key")))
+    kept = source.join(times, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
     if times.where("times > 1").isEmpty():
         return kept.select("row.*")
     again = kept.where("times > 1").dropDuplicates(["kept_id", "kept_key"])

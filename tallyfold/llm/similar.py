@@ -131,15 +131,19 @@ def open_rows(rows: DataFrame) -> DataFrame:
     return rows.join(materialize(tokens), "token")
 
 
-def shared_prefixes(sketches: DataFrame, every: int = 1) -> DataFrame:
+def shared_prefixes(sketches: DataFrame, roots: DataFrame, every: int = 1) -> DataFrame:
     """``token, first`` and ``OWN``: the texts (by ``key``, once each) of the prefix shingles that several components share.
 
-    Of the shingles about one of ``every`` counts, the same ones for all texts.
-
-    ``at`` is the shingle's place in the text's prefix.
+    Of the shingles about one of ``every`` counts, the same ones for all texts. ``at`` is the shingle's place in the text's prefix.
+    ``roots`` (``key, root``) meet only the rows of shingles that several texts have, so that whole prefixes are never shuffled.
     """
-    tokens = sketches.select("key", "n", "root", F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(every)) == 0)
-    return materialize(open_rows(tokens).dropDuplicates(["token", "key"]).select("token", "first", *OWN))
+    tokens = sketches.select("key", "n", F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(every)) == 0)
+    several = tokens.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token")
+    several = materialize(several)
+    rows = materialize(tokens.join(several, "token").dropDuplicates(["token", "key"]).join(roots, "key").select("token", *OWN))
+    out = materialize(open_rows(rows).select("token", "first", *OWN))
+    drop(several, rows)
+    return out
 
 
 def picked(table: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -182,24 +186,24 @@ def met(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "token").where((F.col("root") != F.col("root_")) & possible())
 
 
-def linked(pairs: DataFrame, rows: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, roots: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b) of components, for the similar ones among pairs (a, b) of keys."""
-    found, root = verified(near(pairs, sketches), texts), rows.select("key", "root").distinct()
+    found = verified(near(pairs, sketches), texts)
     for c in ("a", "b"):
-        found = found.join(root.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")), c)
+        found = found.join(roots.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")), c)
     return materialize(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
 
 
-def links(sketches: DataFrame, texts: DataFrame, connected: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """Links (a, b) of components (``root``) that connect all those with similar texts.
+def links(sketches: DataFrame, roots: DataFrame, texts: DataFrame, connected: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Links (a, b) of components that connect all those with similar texts.
 
-    ``sketches`` has ``key`` (equal for equal texts only), ``root`` and ``sketch``'s ``n, prefix, bits``; ``texts`` has ``key, text``.
-    Both are read several times. ``connected`` gives (node, root) of links.
+    ``sketches`` has ``key`` (equal for equal texts only) and ``sketch``'s ``n, prefix, bits``; ``roots`` has the component ``root``
+    of each ``key`` once; ``texts`` has ``key, text``. All are read several times. ``connected`` gives (node, root) of links.
     """
     tried = found = None
     ordered = [F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")]
 
-    def compare(pairs: DataFrame, rows: DataFrame) -> DataFrame | None:
+    def compare(pairs: DataFrame) -> DataFrame | None:
         """The components that these pairs of keys link, if any are left to compare."""
         nonlocal tried, found
         pairs = pairs.select(*ordered).distinct()
@@ -207,25 +211,27 @@ def links(sketches: DataFrame, texts: DataFrame, connected: Callable[[DataFrame]
         if pairs.isEmpty():
             return None
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = linked(pairs, rows, texts, sketches)
+        new = linked(pairs, roots, texts, sketches)
         found = new if found is None else found.unionByName(new)
         return None if new.isEmpty() else materialize(connected(new).select(F.col("node").alias("root"), F.col("root").alias("merged")))
 
-    def moved(table: DataFrame, roots: DataFrame) -> DataFrame:
-        return table.join(roots, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
+    def moved(table: DataFrame, merged: DataFrame) -> DataFrame:
+        return table.join(merged, "root", "left").withColumn("root", F.coalesce("merged", "root")).drop("merged")
 
     for every, draws in ROUNDS:
-        rows = shared_prefixes(sketches, every)
+        rows = shared_prefixes(sketches, roots, every)
         for nth, n in enumerate(draws):
             part = F.pmod(F.xxhash64("key", "token", F.lit(nth)), F.lit(n))
             drawn = rows.groupBy("token", part.alias("part")).agg(F.min_by("key", F.xxhash64("key")).alias("key")).select("token", "key")
             # of any two components one is not the first
             shared = met(rows.where("root <> first"), drawn.join(rows, ["token", "key"])).groupBy("key", "key_").agg(F.count("*").alias("shared"))
-            roots = compare(shared.groupBy("key").agg(F.max_by("key_", F.struct("shared", "key_")).alias("key_")), rows)
-            if roots is not None:
-                old, rows = rows, materialize(open_rows(materialize(moved(rows, roots).select("token", *OWN))).select("token", "first", *OWN))
-                sketches = moved(sketches, roots)
+            merged = compare(shared.groupBy("key").agg(F.max_by("key_", F.struct("shared", "key_")).alias("key_")))
+            if merged is not None:
+                old, rows = rows, materialize(open_rows(materialize(moved(rows, merged).select("token", *OWN))).select("token", "first", *OWN))
+                roots = materialize(moved(roots, merged).select("key", "root"))
                 drop(old)
-    rows = shared_prefixes(sketches)
-    compare(met(rows.where("root <> first"), rows), rows)
-    return rows.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0) if found is None else found
+        drop(rows)
+    rows = shared_prefixes(sketches, roots)
+    compare(met(rows.where("root <> first"), rows))
+    drop(rows)
+    return roots.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0) if found is None else found

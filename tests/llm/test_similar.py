@@ -53,8 +53,8 @@ def test_copies_and_bounds(spark):
     texts = [" ".join(word() for _ in range(rng.randrange(1, 60))) for _ in range(40)]
     texts += [" ".join([*t.split()[: rng.randrange(1, 60)], word()]) for t in texts] + texts[:9] + [None, ""]
     docs = spark.createDataFrame(list(enumerate(texts)), "id long, t string")
-    rows = simhash.sketched(docs, (np.zeros(0, "<u8"), np.zeros(0, np.int64))).withColumn("root", F.col("key"))
-    shared = similar.shared_prefixes(rows)
+    rows = simhash.sketched(docs, (np.zeros(0, "<u8"), np.zeros(0, np.int64)))
+    shared = similar.shared_prefixes(rows, rows.select("key", F.col("key").alias("root")).distinct())
     found = shared.collect()
     assert len({(r["token"], r["key"]) for r in found}) == len(found)  # copies stand once
     keys = {r["id"]: r["key"] for r in rows.collect()}
