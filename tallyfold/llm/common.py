@@ -63,11 +63,17 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def drop(*tables: DataFrame) -> None:
-    """Delete the files of materialized tables that nothing reads any more."""
+    """Delete the files of materialized tables that nothing reads any more, and those of shuffles behind them.
+
+    Spark deletes a finished shuffle's files once the driver's JVM has collected the objects that name it. A driver with free
+    memory may not do so for long, while the executors' disks fill up; so it is asked to.
+    """
     for t in tables:
         jvm = t.sparkSession._jvm
         path = jvm.org.apache.hadoop.fs.Path(t.scratch_path)
         path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+    for t in tables[:1]:
+        t.sparkSession._jvm.System.gc()
 
 
 def python_ready(spark: SparkSession, rows: int = 512) -> None:

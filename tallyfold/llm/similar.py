@@ -131,16 +131,28 @@ def open_rows(rows: DataFrame) -> DataFrame:
     return rows.join(materialize(tokens), "token")
 
 
+def partnered(tokens: DataFrame) -> DataFrame:
+    """The rows of ``tokens`` (``token, key, n, at``) whose shingle other texts have, too, of sizes that ``possible`` allows.
+
+    ``most`` is four times the greatest size of a similar text. Counts and rows read the same exchange, so that the prefixes are
+    shuffled once; a frequent shingle's rows only pass by, none are gathered. (``coalesce`` keeps Spark from adding null checks to
+    one side only, after which the exchanges would differ.)
+    """
+    tokens = tokens.withColumn("most", sum(SHARE) * (F.col("n") - F.col("at")) - SHARE[0] * F.col("n")).repartition("token")
+    seen = tokens.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b"), F.min("n").alias("least"), F.max("most").alias("widest"), F.min("at").alias("first"))
+    fits = (SHARE[0] * F.col("least") <= F.col("most")) & (SHARE[0] * F.col("n") <= F.col("widest")) & (F.col("first") <= F.col("at"))
+    return tokens.join(seen.where("a <> b"), "token").where(F.coalesce(fits, F.lit(False))).select("token", "key", "n", "at")
+
+
 def shared_prefixes(sketches: DataFrame, roots: DataFrame, every: int = 1) -> DataFrame:
     """``token, first`` and ``OWN``: the texts (by ``key``, once each) of the prefix shingles that several components share.
 
     Of the shingles about one of ``every`` counts, the same ones for all texts. ``at`` is the shingle's place in the text's prefix.
-    ``roots`` (``key, root``) meet only the rows of shingles that several texts have, so that whole prefixes are never shuffled.
+    ``roots`` (``key, root``) meet only the rows of shingles that several texts have.
     """
     tokens = sketches.select("key", "n", F.posexplode("prefix").alias("at", "token")).where(F.pmod("token", F.lit(every)) == 0)
-    several = tokens.groupBy("token").agg(F.min("key").alias("a"), F.max("key").alias("b")).where("a <> b").select("token")
-    several = materialize(several)
-    rows = materialize(tokens.join(several, "token").dropDuplicates(["token", "key"]).join(roots, "key").select("token", *OWN))
+    several = materialize(partnered(tokens))
+    rows = materialize(several.dropDuplicates(["token", "key"]).join(roots, "key").select("token", *OWN))
     out = materialize(open_rows(rows).select("token", "first", *OWN))
     drop(several, rows)
     return out
