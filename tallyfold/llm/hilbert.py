@@ -1,7 +1,8 @@
 """Sharding along a Hilbert curve over quantised metadata.
 
 Language, source and size are quantised to ``BITS`` bits each; the curve index of that cell orders the rows, so that a run
-of rows stays close in all three and files can be pruned by any. Runs are cut by row count (law ``rows``: counts at most
+of rows stays close in all three and files can be pruned by any. Languages and sources are quantised by their quantiles in
+alphabetical order, so that neighbouring coordinates are neighbouring names. Runs are cut by row count (law ``rows``: counts at most
 one apart). Equal texts take the metadata of one of them and follow each other in the order.
 
 Null texts have size 16 and the checksum of the empty text, and form one group with empty ones; null languages and sources
@@ -11,7 +12,9 @@ table gives no rows. Other columns of the input are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import itertools
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.common import let, materialize
@@ -62,11 +65,36 @@ def curve_index(values: list[Column], bits: int = BITS) -> Column:
     return let(point, walk)
 
 
-def quantised(lang: Column, source: Column, size: Column) -> list[Column]:
-    """Names by checksum (0 for null), sizes by half powers of two."""
+def name_bounds(rows: DataFrame, name: str) -> list[tuple[str, int]]:
+    """The least name of each cell and the cell: names in alphabetical order, each at the share of all rows that come before it.
+
+    Rows are counted by name before the shuffle; the distinct names are sorted over all tasks, and a row for each task and one
+    for each cell come back, however many names there are. A name stands in one cell only.
+    """
+    names = rows.where(F.col(name).isNotNull()).groupBy(F.col(name).alias("name")).agg(F.count("*").alias("n"))
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    names = materialize(names.repartitionByRange(parts, "name").withColumn("part", F.spark_partition_id()))
+    sums = sorted((r["part"], r["n"]) for r in names.groupBy("part").agg(F.sum("n").alias("n")).collect())
+    if not sums:
+        return []
+    starts = dict(zip((p for p, _ in sums), itertools.accumulate((n for _, n in sums), initial=0), strict=False))
+    before = F.create_map(*[F.lit(x) for item in starts.items() for x in item])
+    inside = Window.partitionBy("part").orderBy("name").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.element_at(before, F.col("part")) + F.coalesce(F.sum("n").over(inside), F.lit(0))
+    cell = F.floor(place * F.lit((1 << BITS) - 1) / F.lit(sum(n for _, n in sums)))
+    cells = names.select("name", cell.alias("cell")).groupBy("cell").agg(F.min("name").alias("least")).collect()
+    return [(r["least"], r["cell"]) for r in sorted(cells, key=lambda r: r["cell"])]
+
+
+def quantised(lang: Column, source: Column, size: Column, langs: list[tuple[str, int]], sources: list[tuple[str, int]]) -> list[Column]:
+    """Names by their cell in alphabetical order (0 for null), sizes by half powers of two."""
     top = (1 << BITS) - 1
-    name = lambda c: F.coalesce(F.pmod(F.crc32(c), F.lit(top)) + 1, F.lit(0)).cast("int")
-    return [name(lang), name(source), F.least(F.lit(top), F.floor(2 * F.log2(size / 16)).cast("int"))]
+
+    def name(c: Column, bounds: list[tuple[str, int]]) -> Column:
+        known = F.array(*[F.struct(F.lit(least).alias("least"), F.lit(cell + 1).alias("cell")) for least, cell in bounds])
+        return F.coalesce(F.array_max(F.transform(F.filter(known, lambda x: x["least"] <= c), lambda x: x["cell"])) if bounds else F.lit(0), F.lit(0))
+
+    return [name(lang, langs), name(source, sources), F.least(F.lit(top), F.floor(2 * F.log2(size / 16)).cast("int"))]
 
 
 def ordered(docs: DataFrame) -> DataFrame:
@@ -79,7 +107,8 @@ def ordered(docs: DataFrame) -> DataFrame:
     rows = materialize(rows)
     same = ["digest", "text_crc32", "size"]
     groups = rows.groupBy(*same).agg(F.min(F.struct(F.col("lang"), F.col("source"))).alias("meta"))
-    groups = materialize(groups.select(*same, curve_index(quantised(F.col("meta.lang"), F.col("meta.source"), F.col("size"))).alias("h")))
+    cells = quantised(F.col("meta.lang"), F.col("meta.source"), F.col("size"), name_bounds(rows, "lang"), name_bounds(rows, "source"))
+    groups = materialize(groups.select(*same, curve_index(cells).alias("h")))
     keyed = rows.select("doc_id", *same).join(groups, same)
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
