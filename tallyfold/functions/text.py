@@ -35,8 +35,12 @@ def without_comment(line: Column) -> Column:
 
 
 def masked_literals(line: Column) -> Column:
-    """The line with the inside of closed literals blanked out; each quoted literal becomes an empty one."""
-    return F.regexp_replace(F.regexp_replace(line, "'[^']*'", "''"), '"[^"]*"', '""')
+    """The line with the inside of closed literals blanked out; quotes stay, and so does every other character's place."""
+    pattern = F.lit("'[^']*'|\"[^\"]*\"")
+    quote = lambda x: F.substring(x, 1, 1)
+    blank = lambda x: F.concat(quote(x), F.repeat(F.lit(" "), F.length(x) - 2), quote(x))
+    join = lambda outside, literal: F.concat(outside, F.coalesce(blank(literal), F.lit("")))
+    return F.array_join(F.zip_with(F.split(line, pattern, -1), F.regexp_extract_all(line, pattern, F.lit(0)), join), "")
 
 
 def stem(path: Column) -> Column:

@@ -88,6 +88,35 @@ def resolve(references: DataFrame, declared: DataFrame, utilities: DataFrame | N
     return out.withColumns({"target": target, "gap": gap}).drop("_utility", "_n", "_found")
 
 
+#: Kinds that metadata alone may answer, and content kinds without a structural parser.
+EXTERNAL_KINDS = ("dataset", "db2_table", "cics_transaction", "ca7_definition", "mq_interface")
+UNPARSED_KINDS = ("unknown", "ambiguous", "rexx", "clist", "pli", "assembler")
+
+
+def answered_outside(resolved: DataFrame, bindings: DataFrame, metadata: DataFrame) -> DataFrame:
+    """Rows of ``resolve`` after declared input bindings and catalog metadata have had their say.
+
+    ``bindings`` (``name, location, available``) decide datasets that they name, unless dynamic or ambiguous already: one
+    available location resolves, none is ``input_unavailable``, several are ambiguous. ``metadata`` (``kind, name, complete``)
+    answers what is missing: ``external``, with the gap ``partial_discovery`` unless every row of the name is complete.
+    """
+    bound = bindings.groupBy(F.lit("dataset").alias("kind"), "name").agg(F.count_if("available").alias("_n"), F.min(F.when(F.col("available"), F.col("location"))).alias("_at"))
+    known = metadata.where(F.col("kind").isin(*EXTERNAL_KINDS)).groupBy("kind", "name").agg(F.every(F.coalesce("complete", F.lit(False))).alias("_whole"))
+    out = resolved.join(bound, ["kind", "name"], "left").join(known, ["kind", "name"], "left")
+    by_binding = F.col("_n").isNotNull() & ~F.col("resolution").isin("dynamic", "ambiguous")
+    by_metadata = F.col("_n").isNull() & (F.col("resolution") == "missing") & F.col("_whole").isNotNull()
+    n = F.col("_n")
+    resolution = F.when(by_binding, F.when(n == 1, "resolved").when(n == 0, "missing").otherwise("ambiguous")).when(by_metadata, "external").otherwise(F.col("resolution"))
+    gap = F.when(by_binding, F.when(n == 0, "input_unavailable").when(n > 1, "ambiguous")).when(by_metadata, F.when(~F.col("_whole"), "partial_discovery")).otherwise(F.col("gap"))
+    target = F.when(by_binding, F.when(n == 1, F.col("_at"))).otherwise(F.col("target"))
+    return out.withColumns({"resolution": resolution, "gap": gap, "target": target}).drop("_n", "_at", "_whole")
+
+
+def unparsed(classified: DataFrame, key: str = "path") -> DataFrame:
+    """Gap rows ``(kind, name, gap)`` of selected files (``key, kind``) whose content has no structural parser."""
+    return classified.where(F.col("kind").isin(*UNPARSED_KINDS)).select(F.lit("source_file").alias("kind"), F.col(key).alias("name"), F.lit("unresolved_parser").alias("gap"))
+
+
 def with_library(resolved: DataFrame, library: str, path: str) -> DataFrame:
     """Candidates whose path holds every part of the reference's library name."""
     parts = lambda c: F.split(F.upper(c), "[/.]")

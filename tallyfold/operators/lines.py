@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tallyfold.functions.text import physical_lines, stem, suffix
+from tallyfold.functions.text import masked_literals, physical_lines, stem, suffix
 from tallyfold.operators.windows import capped_list
 
 
@@ -154,6 +154,58 @@ def families(lines: DataFrame, verbs: dict[str, str], line: str = "line") -> Dat
     return lines.withColumn("families", F.array_sort(F.array_distinct(F.array_compact(F.transform(tokens, lambda t: F.element_at(table, t))))))
 
 
+#: The verbs of each construct family.
+CONSTRUCTS: dict[str, tuple[str, ...]] = {
+    "iteration": ("PERFORM", "END-PERFORM"),
+    "file_io": ("OPEN", "CLOSE", "READ", "WRITE", "REWRITE", "DELETE", "START", "DISPLAY", "ACCEPT"),
+    "sorting": ("SORT", "MERGE", "RELEASE", "RETURN"),
+    "arithmetic": ("ADD", "SUBTRACT", "MULTIPLY", "DIVIDE", "COMPUTE"),
+    "conditional": ("IF", "ELSE", "END-IF", "EVALUATE", "WHEN", "END-EVALUATE"),
+    "assignment": ("MOVE", "INITIALIZE"),
+    "calling": ("CALL", "CANCEL"),
+    "control_flow": ("GO", "GOBACK", "STOP", "EXIT", "CONTINUE", "ALTER"),
+    "string_handling": ("STRING", "UNSTRING", "INSPECT"),
+    "table_handling": ("SEARCH", "SET"),
+    "data_layout": ("FD", "SD", "SELECT", "COPY", "REPLACE"),
+}
+#: The operations of job control cards.
+CARDS: dict[str, tuple[str, ...]] = {
+    "jcl_execution": ("JOB", "EXEC", "PROC", "PEND"),
+    "jcl_data": ("DD", "SET", "INCLUDE", "JCLLIB", "OUTPUT"),
+    "conditional": ("IF", "ELSE", "ENDIF"),
+}
+#: Statements that are known by more than their verb; the first that fits is the line's only family.
+STATEMENTS: tuple[tuple[str, str], ...] = (
+    ("embedded_sql", r"\bEXEC\s+SQL\b"),
+    ("cics", r"\bEXEC\s+CICS\b"),
+    ("messaging", r"\bCALL\s+['\"]MQ(CONNX?|DISC|OPEN|CLOSE|PUT1?|GET|INQ|SET|SUB|SUBRQ|CMIT|BACK)['\"]"),
+    ("scheduling", r"^(JOB|SCH|SCHEDULE|LJOB|LDEP|LDSN)\s*[,=]"),
+    ("data_layout", r"^\d{2}\s+[A-Z0-9_-]+\b"),
+)
+
+
+def constructs(lines: DataFrame, line: str = "line") -> DataFrame:
+    """Lines with ``constructs``: the construct families of a source line, sorted; none for blank and comment lines.
+
+    Words inside literals do not count. A line without a known construct is ``unclassified_source``, a null line (a reference
+    without its source) ``unlocated_source``. Statements over several lines are judged line by line.
+    """
+    code = F.upper(F.trim(F.col(line)))
+    operation = F.regexp_extract(code, r"^//[A-Z0-9@$#]*\s+([A-Z]+)\b", 1)
+    words = F.regexp_extract_all(masked_literals(code), F.lit(r"[A-Z][A-Z0-9_-]*"), F.lit(0))
+    only = lambda name: F.array(F.lit(name))
+    by_card, special = F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>")
+    for name, operations in CARDS.items():
+        by_card = F.coalesce(F.when(operation.isin(*operations), only(name)), by_card)
+    for name, pattern in reversed(STATEMENTS):
+        special = F.when(F.rlike(code, F.lit(pattern)), only(name)).otherwise(special)
+    verbs = F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*[F.lit(v) for v in own])), F.lit(name)) for name, own in CONSTRUCTS.items()]))
+    found = F.coalesce(special, F.when(F.size(verbs) > 0, F.array_sort(verbs)), only("unclassified_source"))
+    found = F.when(F.startswith(code, F.lit("//")), F.coalesce(by_card, only("unclassified_source"))).otherwise(found)
+    comment = (code == "") | F.rlike(code, F.lit(r"^(//)?\*"))
+    return lines.withColumn("constructs", F.when(F.col(line).isNull(), only("unlocated_source")).when(comment, F.array().cast("array<string>")).otherwise(found))
+
+
 def entities(lines: DataFrame, patterns: dict[str, str], key: str = "path", line: str = "line") -> DataFrame:
     """``(key, kind, name)``: what each pattern's first group finds, upper-cased and distinct."""
     each = [_named(k, p, line) for k, p in patterns.items()]

@@ -127,3 +127,23 @@ def qualified_names(spark, sf_dir):
     names = c.select(F.when(F.col("c_custkey") % 3 == 0, seg).otherwise(F.concat(F.lit("S"), (F.col("c_custkey") % 4).cast("string"), F.lit("."), seg)).alias("name")).distinct()
     tables = c.where("c_nationkey < 3 or c_mktsegment = 'BUILDING'").select(F.concat(F.lit("S"), (F.col("c_nationkey") % 3).cast("string")).alias("schema"), seg.alias("table"))
     return lineage.qualified(names, tables)
+
+
+@query("""
+with r as (select o_orderstatus = 'P' as db, c_nationkey as k, c_acctbal >= 0 as up, c_mktsegment = 'BUILDING' as whole from orders join customer on o_custkey = c_custkey),
+g as (select case when db then 'db2_table' else 'dataset' end as kind,
+  case when db then case when k < 15 then 'external' else 'missing' end when k = 5 and up then 'ambiguous' when k < 20 then case when up then 'resolved' else 'missing' end when k = 22 then 'resolved' else 'missing' end as resolution,
+  case when db then case when k >= 15 then 'unverified' when not whole then 'partial_discovery' end
+    when k = 5 and up then 'ambiguous' when k < 20 then case when not up then 'input_unavailable' end when k <> 22 then 'unverified' end as gap from r)
+select kind, resolution, gap, count(*) as n from g group by 1, 2, 3
+""")
+def outside_answers(spark, sf_dir):
+    """Orders refer to their customers as datasets or tables; bindings and metadata of customers answer."""
+    c = table(spark, sf_dir, "customer").withColumn("name", F.concat(F.lit("C"), F.col("c_custkey").cast("string")))
+    o = table(spark, sf_dir, "orders").withColumn("name", F.concat(F.lit("C"), F.col("o_custkey").cast("string")))
+    refs = o.select(F.col("o_orderkey").alias("source"), F.when(F.col("o_orderstatus") == "P", "db2_table").otherwise("dataset").alias("kind"), "name", F.lit(False).alias("dynamic"))
+    declared = c.where("c_nationkey = 22").select(F.lit("dataset").alias("kind"), "name", F.col("name").alias("target"))
+    bound = c.where("c_nationkey < 20").select("name", F.explode(F.when(F.col("c_nationkey") == 5, F.array(F.lit("a"), F.lit("b"))).otherwise(F.array(F.lit("a")))).alias("location"), (F.col("c_acctbal") >= 0).alias("available"))
+    known = c.where("c_nationkey < 15").select(F.lit("db2_table").alias("kind"), "name", (F.col("c_mktsegment") == "BUILDING").alias("complete"))
+    out = lineage.answered_outside(lineage.resolve(refs, declared), bound, known)
+    return out.groupBy("kind", "resolution", "gap").agg(F.count("*").alias("n"))

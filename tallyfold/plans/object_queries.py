@@ -267,7 +267,8 @@ def list_summaries(spark, sf_dir):
 
 
 @query("""
-select event_id, 'x = '''' and ' || regexp_replace(props, '"[^"]*"', '""', 'g') as masked, 'say ''*> ' || event_type || ''' ' || props || ' ' as uncommented from events
+select event_id, 'x = ''' || repeat(' ', length(event_type) + 2) || ''' and ' || array_to_string(list_transform(list_zip(string_split_regex(props, '"[^"]*"'), regexp_extract_all(props, '"[^"]*"')),
+  lambda z: z[1] || coalesce('"' || repeat(' ', length(z[2]) - 2) || '"', '')), '') as masked, 'say ''*> ' || event_type || ''' ' || props || ' ' as uncommented from events
 """)
 def literals_and_comments(spark, sf_dir):
     quoted = F.concat(F.lit("x = 'a "), "event_type", F.lit("' and "), "props")

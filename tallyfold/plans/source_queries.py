@@ -102,6 +102,21 @@ def token_family_counts(spark, sf_dir):
     return found.select(F.explode("families").alias("family")).groupBy("family").agg(F.count("*").alias("n"))
 
 
+@query("""
+with f(n, family) as (values (1, 'assignment'), (2, 'conditional'), (2, 'iteration'), (3, 'embedded_sql'), (4, 'jcl_data'), (5, 'file_io'), (6, 'data_layout'))
+select l_returnflag, family, count(*) as n from lineitem join f on l_linenumber = f.n group by 1, 2
+""")
+def construct_families(spark, sf_dir):
+    """Source lines made of line items: one kind of statement for each line number, the seventh a comment."""
+    q = F.col("l_quantity").cast("string")
+    made = [
+        F.concat(F.lit("   MOVE "), q, F.lit(" TO QTY.")), F.concat(F.lit("IF QTY > "), q, F.lit(" PERFORM ORDER-MORE END-IF.")), F.concat(F.lit("EXEC SQL SELECT * FROM ITEMS WHERE Q = "), q, F.lit(" END-EXEC.")),
+        F.concat(F.lit("//ITEM DD DSN=ITEMS.Q"), q), F.concat(F.lit("display 'IF MOVE "), q, F.lit("'.")), F.concat(F.lit("05 QTY PIC 9(3) VALUE "), q, F.lit(".")), F.concat(F.lit("* MOVE "), q),
+    ]
+    rows = table(spark, sf_dir, "lineitem").select("l_returnflag", F.element_at(F.array(*made), F.col("l_linenumber").cast("int")).alias("line"))
+    return lines.constructs(rows).select("l_returnflag", F.explode("constructs").alias("family")).groupBy("l_returnflag", "family").agg(F.count("*").alias("n"))
+
+
 @query("""select page_id, unnest(list_distinct(regexp_extract_all(html, 'href="([^"]*)"', 1))) as href from pages""")
 def reference_extraction(spark, sf_dir):
     found = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), F.lit(1)))

@@ -195,3 +195,35 @@ def test_review(spark):
     fresh, conflicts = review.confirmed_knowledge(twice, good, spark.createDataFrame([], "key string, text string"))
     assert fresh.count() == 0 and conflicts.count() == 2
     assert contract.check_unique(asked, ["id"]).count() == 0
+
+
+def test_masks_keep_places(spark):
+    line = """a = 'it "is' b "x'y" c 'open"""
+    assert col(spark, line, T.masked_literals) == """a = '      ' b "   " c 'open"""
+    assert [col(spark, v, T.masked_literals) for v in ("", "''", None)] == ["", "''", None]
+
+
+def test_constructs(spark):
+    want = {
+        "": [], "* MOVE A": [], "//* DD": [], "move a to b": ["assignment"], "IF A = 'MOVE' GO TO X": ["conditional", "control_flow"],
+        "//S1 EXEC PGM=A": ["jcl_execution"], "// IF RC = 0 THEN": ["conditional"], "//X SYSOUT": ["unclassified_source"], "//D DD DSN=CALL": ["jcl_data"],
+        "CALL 'MQPUT1' USING A": ["messaging"], "CALL 'MQX' USING A": ["calling"], "EXEC CICS READ FILE": ["cics"], "JOB, JOB=A": ["scheduling"],
+        "01 MOVE-COUNT PIC 9": ["data_layout"], "MY-MOVE": ["unclassified_source"], None: ["unlocated_source"],
+    }
+    rows = lines.constructs(spark.createDataFrame([(k,) for k in want], "line string")).collect()
+    assert {r["line"]: r["constructs"] for r in rows} == want
+
+
+def test_answers_from_outside(spark):
+    rows = [("s", "dataset", n, False) for n in ("ONE", "NONE", "TWO", "META", "UNKNOWN")] + [("s", "dataset", "&D", True), ("s", "db2_table", "PART", False), ("s", "program", "META", False)]
+    resolved = lineage.resolve(spark.createDataFrame(rows, "source string, kind string, name string, dynamic boolean"), spark.createDataFrame([], "kind string, name string, target string"))
+    bound = spark.createDataFrame([("ONE", "a", True), ("ONE", "b", False), ("NONE", "a", None), ("TWO", "a", True), ("TWO", "b", True), ("&D", "a", True)], "name string, location string, available boolean")
+    known = spark.createDataFrame([("dataset", "META", True), ("db2_table", "PART", True), ("db2_table", "PART", None), ("program", "META", True)], "kind string, name string, complete boolean")
+    got = {(r["kind"], r["name"]): (r["resolution"], r["gap"], r["target"]) for r in lineage.answered_outside(resolved, bound, known).collect()}
+    assert got == {
+        ("dataset", "ONE"): ("resolved", None, "a"), ("dataset", "NONE"): ("missing", "input_unavailable", None), ("dataset", "TWO"): ("ambiguous", "ambiguous", None),
+        ("dataset", "META"): ("external", None, None), ("dataset", "UNKNOWN"): ("missing", "unverified", None), ("dataset", "&D"): ("dynamic", "dynamic_unknown", None),
+        ("db2_table", "PART"): ("external", "partial_discovery", None), ("program", "META"): ("missing", "missing", None),
+    }
+    files = spark.createDataFrame([("a", "cobol"), ("b", "unknown"), ("c", "pli")], "path string, kind string")
+    assert sorted(tuple(r) for r in lineage.unparsed(files).collect()) == [("source_file", "b", "unresolved_parser"), ("source_file", "c", "unresolved_parser")]
