@@ -56,6 +56,12 @@ def disposition_counts(rows: DataFrame, column: str, domain: Sequence[str]) -> D
     return counted.join(F.broadcast(total)).select("disposition", "n", percent(F.col("n"), F.col("_total")).alias("share"))
 
 
+def distinct_folded(rows: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
+    """``(keys, names, spellings)``: distinct names without regard to case, and as they are spelled; null names do not count."""
+    once = rows.select(*keys, F.col(name).alias("_name")).distinct()
+    return once.groupBy(*keys).agg(F.count_distinct(F.lower("_name")).alias("names"), F.count("_name").alias("spellings"))
+
+
 def units(rows: DataFrame, unit: str, disposition: str, priority: Sequence[str]) -> DataFrame:
     """``(unit, lines, verified, worst)``: verified only if every line is; the worst line by priority."""
     rank = F.array_position(F.array(*[F.lit(p) for p in priority]), F.col(disposition))

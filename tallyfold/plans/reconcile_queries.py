@@ -230,3 +230,13 @@ select sha256(concat_ws(':', count(*), sum(('0x' || substr(h, 1, 15))::ubigint),
 def snapshot_hash(spark, sf_dir):
     """A hash over all documents' ids and hashes."""
     return reconcile.snapshot_hash(table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha")), "doc_id", "sha")
+
+
+@query("""
+with w as (select lang, unnest(regexp_extract_all(text, '[A-Za-z]+')) as w from documents union all select lang, upper(unnest(regexp_extract_all(text, '[A-Za-z]+'))) from documents)
+select lang, count(distinct lower(w)) as names, count(distinct w) as spellings from w group by 1
+""")
+def folded_names(spark, sf_dir):
+    """Words of all documents as names, each also in capitals."""
+    words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("name")).distinct()
+    return reconcile.distinct_folded(words.unionByName(words.withColumn("name", F.upper("name"))), ["lang"], "name")

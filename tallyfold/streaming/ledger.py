@@ -115,13 +115,17 @@ def stream_once(events: DataFrame, key: str, valid: str, order: str) -> DataFram
 
 
 def merge_stream(events: DataFrame, target: str, key: str, content: list[str], checkpoint: str):
-    """Insert new keys of a stream into a Parquet table, batch by batch; conflicts go to ``target + '_conflicts'``."""
+    """Insert new keys of a stream into a Parquet table, batch by batch; conflicts go to ``target + '_conflicts'`` by ``batch``.
+
+    A batch that runs again finds its own rows there with the same content and writes its conflicts anew.
+    """
     spark = events.sparkSession
 
     def insert(batch: DataFrame, batch_id: int) -> None:
         held = spark.read.schema(batch.select(key, *content).schema).parquet(target)
+        # the second write must not read what the first one changes: conflicts go first
         fresh, conflicts = merge_new(held, batch.select(key, *content), key, content)
-        conflicts.write.mode("append").parquet(target + "_conflicts")
+        conflicts.write.mode("overwrite").parquet(f"{target}_conflicts/batch={batch_id}")
         fresh.write.mode("append").parquet(target)
 
     spark.createDataFrame([], events.select(key, *content).schema).write.mode("append").parquet(target)

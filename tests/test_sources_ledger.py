@@ -116,6 +116,20 @@ def test_streams_equal_their_batch_form(spark, sf_dir, tmp_path):
     assert ledger.run_to_memory(counts, "t_counts", "complete", str(tmp_path / "c4")).agg(F.sum("n")).first()[0] == events.count()
 
 
+def test_merge_stream_keeps_conflicts_by_batch(spark, tmp_path):
+    schema = "k long, v string"
+    read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    target = str(tmp_path / "table")
+    for rows in ([(1, "x"), (2, "x"), (2, "y")], [(1, "x"), (1, "z"), (3, "x")]):
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        ledger.merge_stream(read(), target, "k", ["v"], str(tmp_path / "c")).awaitTermination()
+    got = lambda path: sorted(tuple(r) for r in spark.read.schema(schema).parquet(path).select("k", "v").collect())
+    assert got(target) == [(1, "x"), (3, "x")] and got(target + "_conflicts") == [(1, "z"), (2, "x"), (2, "y")]
+    ledger.merge_stream(read(), target, "k", ["v"], str(tmp_path / "other")).awaitTermination()  # every row once more, as batch 0
+    assert got(target) == [(1, "x"), (3, "x")]
+    assert len(got(target + "_conflicts")) == 4  # (1, "z") of batch 1 stays; batch 0 is written anew
+
+
 def test_materialize(spark):
     rows = spark.range(10).withColumn("x", F.lit(None).cast("string"))
     assert shared.materialize(rows).dtypes == rows.dtypes and shared.materialize(rows.limit(0)).count() == 0
