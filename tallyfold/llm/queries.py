@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import bpe, decontaminate, hilbert, licences, pu_quality, quality_rules, secrets, simhash, toxicity, url_filters
+from tallyfold.llm import bpe, decontaminate, embeddings, hilbert, licences, merkle, phrases, pu_quality, quality_rules, secrets, simhash, toxicity, url_filters
 from tallyfold.llm.common import table
 
 
@@ -63,7 +63,20 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hilbert.shards(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_decontamination, op4_secret_scans, op5_quality_rules, op6_simhash, op7_byte_bpe, op8_toxicity, op9_quality_classifier, op10_sharding)}
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return merkle.audit(docs, tampered=merkle.without_newlines(docs["doc_id"], docs["text"]))
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents").select("lang", "text"))
+
+
+def op13_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_url_filters, op2_license_scans, op3_decontamination, op4_secret_scans, op5_quality_rules, op6_simhash, op7_byte_bpe, op8_toxicity, op9_quality_classifier, op10_sharding, op11_merkle_manifest, op12_phrase_collocations, op13_embedding_near_dedup)}
 
 ORACLES = {
     "op1_url_filters": r"""
@@ -132,5 +145,77 @@ shrunken as (
 )
 select doc_id, n_words, word_chars::bigint as word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and host_kept as kept
 from b join shrunken s on b.source is not distinct from s.source
+""",
+    "op11_merkle_manifest": r"""
+with recursive bits as (
+  select list_transform(range(256), lambda i: list_reduce([i] || range(8), lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384) else c >> 1 end)) as crc
+), d as (
+  select doc_id, source, text, concat(coalesce(octet_length(encode(doc_id::varchar)) || ':' || doc_id, '-'), coalesce(octet_length(encode(source)) || ':' || source, '-'),
+      coalesce(octet_length(encode(lang)) || ':' || lang, '-'), coalesce(octet_length(encode(n_chars::varchar)) || ':' || n_chars, '-')) as head,
+    list_reduce([4294967295] || list_transform(string_split(doc_id::varchar, ''), lambda x: ascii(x)::bigint), lambda c, x: xor(c >> 8, crc[(xor(c, x) & 255) + 1])) & 1 = 1 as tampered
+  from documents, bits
+), hashed as (
+  select *, sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) as leaf,
+    sha256(head || coalesce(octet_length(encode(case when tampered then replace(text, chr(10), '') else text end)) || ':' || case when tampered then replace(text, chr(10), '') else text end, '-')) as found
+  from d
+), leaves as (
+  select *, row_number() over (partition by source order by doc_id nulls first, leaf) - 1 as i, count(*) over (partition by source) as n from hashed
+), own(source, lvl, i, h, n) as (
+  select source, 0, i, leaf, n from leaves
+  union all
+  select source, lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from own where n > 1 group by source, lvl, i // 3, n
+), subroots as (
+  select source, h as subroot, row_number() over (order by source nulls first) - 1 as i, count(*) over () as n from own where n = 1
+), top(lvl, i, h, n) as (
+  select 0, i, subroot, n from subroots
+  union all
+  select lvl + 1, i // 3, sha256(string_agg(h, '' order by i)), (n + 2) // 3 from top where n > 1 group by lvl, i // 3, n
+), spots as (select row_number() over () as spot, doc_id, l.source, leaf, found, subroot, l.i, s.i as s from leaves l join subroots s on l.source is not distinct from s.source
+), steps as (
+  select spot, lvl, coalesce(string_agg(h, '' order by own.i) filter (own.i < p.i // (3**lvl)::int), '') as before, coalesce(string_agg(h, '' order by own.i) filter (own.i > p.i // (3**lvl)::int), '') as after
+  from spots p join own on own.source is not distinct from p.source and own.n > 1 and own.i // 3 = p.i // (3**(lvl + 1))::int group by spot, lvl
+  union all
+  select spot, 1000 + lvl, coalesce(string_agg(h, '' order by top.i) filter (top.i < s // (3**lvl)::int), ''), coalesce(string_agg(h, '' order by top.i) filter (top.i > s // (3**lvl)::int), '')
+  from spots join top on top.n > 1 and top.i // 3 = s // (3**(lvl + 1))::int group by spot, lvl
+), paths as (select spot, string_agg(before || after, '' order by lvl) as siblings, list(before || ':' || after order by lvl) as path from steps group by spot
+), folded as (
+  select doc_id, leaf, subroot, (select h from top where n = 1) as root, sha256(coalesce(siblings, '')) as proof_sha256,
+    list_reduce([found] || coalesce(path, []), lambda h, x: sha256(split_part(x, ':', 1) || h || split_part(x, ':', 2))) as folded_root
+  from spots left join paths using (spot)
+)
+select *, folded_root = root as verified from folded
+""",
+    "op12_phrase_collocations": r"""
+with pieces as (
+  select coalesce(lang, 'und') as lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) as piece from documents
+), words as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as ws from pieces
+), grams as (
+  select lang, unnest(flatten([list_transform(range(1, len(ws) - k + 2), lambda i: ws[i : i + k - 1]) for k in [1, 2, 3]])) as w from words
+), f as (select lang, w, count(*) as a from grams group by lang, w
+), sizes as (select lang, sum(len(ws))::bigint as n from words group by lang
+), candidates as (select * from f where len(w) > 1 and a >= 10
+), dropped as (
+  select distinct c.lang, c.w from (select lang, a, unnest([w[1:2], w[2:3]]) as w from candidates where len(w) = 3) x join candidates c on c.lang = x.lang and c.w = x.w and 100 * x.a >= 50 * c.a
+), cuts as (select lang, w, a, unnest(range(1, len(w))) as k from candidates
+), scores as (
+  select c.lang, c.w, c.a, k, x.a as l, y.a as r, (1000000::hugeint * c.a * c.a) // (x.a::hugeint * y.a) as score
+  from cuts c join f x on x.lang = c.lang and x.w = c.w[1:k] join f y on y.lang = c.lang and y.w = c.w[k + 1:]
+), best as (select lang, w, a, min(struct_pack(score, k, l, r)) as b from scores group by lang, w, a
+), ranked as (
+  select lang, array_to_string(w, ' ') as phrase, a, b.l as l, b.r as r, b.score::bigint as score,
+    row_number() over (partition by lang order by b.score desc, a desc, array_to_string(w, ' ')) as rank
+  from best anti join dropped using (lang, w)
+)
+select lang, rank, phrase, a, l, r, n, score from ranked join sizes using (lang) where rank <= 2000
+""",
+    "op13_embedding_near_dedup": r"""
+with recursive e as (
+  select row_number() over () as i, vec_id, case when len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0 and len(list_filter(embedding, lambda x: x <> 0)) > 0 then label end as label, embedding::double[] as v from embeddings
+), links as (
+  select a.i as a, b.i as b from e a join e b on a.label = b.label and a.i <> b.i and len(a.v) = len(b.v) and list_cosine_similarity(a.v, b.v) >= 0.93
+), reach(i, other) as (select i, i from e union select r.i, b from reach r join links on other = a
+), named as (select r.i, min(o.vec_id) as component_id from reach r join e o on r.other = o.i group by r.i
+), counts as (select a as i, count(*) as n from links group by a)
+select vec_id, coalesce(n, 0)::bigint as n_links, component_id, vec_id = component_id as kept from e join named using (i) left join counts using (i)
 """,
 }
