@@ -38,7 +38,7 @@ TAKEN = 1 << 22  # characters cut into words at once, or one longer text
 WORD_BITS, DIGIT = 21, 7  # of a word's number in a task (three fit 64 bits) and of a step in the trie
 MOST_WORDS = 1 << 20  # numbers of a task before everything is spilled and numbering starts anew
 SEGMENT = 1 << 19  # words numbered at once
-BITS = 1 << 27
+BITS, SEGMENTS = 1 << 26, 1 << 10  # of the bitmap, and the rows that it comes to the driver in
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Bytes that end a piece become line ends, tabs become blanks, A-Z become a-z.
 PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n\n\n\n\n\n\n\n\n abcdefghijklmnopqrstuvwxyz")
@@ -122,7 +122,7 @@ def cell(hashes: list[np.ndarray]) -> np.ndarray:
     out = hashes[0]
     for h in hashes[1:]:
         out = (out ^ (out >> np.uint64(29))) * MIX + h
-    return (out >> np.uint64(64 - 27)).astype(np.int64)
+    return (out >> np.uint64(65 - BITS.bit_length())).astype(np.int64)
 
 
 def marked(bitmap: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -244,17 +244,25 @@ def counted(docs: DataFrame, length: int, bitmap: np.ndarray | None) -> DataFram
 
 
 def bitmap_of(phrases: DataFrame) -> np.ndarray:
-    """The bits of all phrases; ``BITS / 64`` rows come back at most."""
+    """The bits of all phrases; ``SEGMENTS`` rows come back at most, one bit of them for each of ``BITS``."""
+    words, size = BITS >> 6, (BITS >> 6) // SEGMENTS
 
     def bits(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            words = [[xxhash.xxh64_intdigest(w, xxhash.xxh64_intdigest(lang.encode(), 42)) for w in phrase.encode().split(b" ")] for lang, phrase in zip(batch["lang"], batch["phrase"], strict=True)]
-            at = cell(list(np.array(words, dtype=np.uint64).T))
+            hashes = [[xxhash.xxh64_intdigest(w, xxhash.xxh64_intdigest(lang.encode(), 42)) for w in phrase.encode().split(b" ")] for lang, phrase in zip(batch["lang"], batch["phrase"], strict=True)]
+            at = cell(list(np.array(hashes, dtype=np.uint64).T))
             yield pd.DataFrame({"at": at >> 6, "mask": (np.uint64(1) << (at & 63).astype(np.uint64)).view(np.int64)})
 
-    found = phrases.mapInPandas(bits, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask")).toPandas()
-    out = np.zeros(BITS >> 6, dtype=np.uint64)
-    out[found["at"].to_numpy(dtype=np.int64)] = found["mask"].to_numpy(dtype=np.int64).view(np.uint64)
+    def pack(part: pd.DataFrame) -> pd.DataFrame:
+        own = np.zeros(size, dtype=np.int64)
+        own[part["at"].to_numpy() % size] = part["mask"].to_numpy()
+        return pd.DataFrame({"segment": [int(part["at"].iloc[0]) // size], "bits": [own.tobytes()]})
+
+    masks = phrases.mapInPandas(bits, "at long, mask long").groupBy("at").agg(F.bit_or("mask").alias("mask"))
+    found = masks.groupBy(F.floor(F.col("at") / F.lit(size)).alias("segment")).applyInPandas(pack, "segment long, bits binary").collect()
+    out = np.zeros(words, dtype=np.uint64)
+    for r in found:
+        out[r["segment"] * size : (r["segment"] + 1) * size] = np.frombuffer(r["bits"], dtype=np.uint64)
     return out
 
 
