@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,6 +16,11 @@ TABLE_REFERENCE = r"(?i)\b(?:from|join|into|update|table)\s+([a-z][a-z0-9_]*(?:\
 NOT_TABLES = ("SELECT", "SET", "VALUES", "WHERE", "LATERAL", "UNNEST", "ONLY")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """Bind ``value`` once and use it many times in ``body``; it stays one evaluation where filters are pushed through."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def sha256(c: Column) -> Column:
     return F.sha2(c, 256)
 
@@ -34,15 +41,29 @@ def without_comment(line: Column) -> Column:
     return F.regexp_extract(line, BEFORE_COMMENT, 1)
 
 
+#: A literal: closed (a doubled quote does not close it) or open to the end.
+LITERAL = "'(?:[^']|'')*(?:'|$)|\"(?:[^\"]|\"\")*(?:\"|$)"
+
+
 def masked_literals(line: Column) -> Column:
-    """The line with the inside of closed literals blanked out; quotes stay, and so does every other character's place."""
-    pattern = F.lit("'[^']*'|\"[^\"]*\"")
+    """The line with the inside of literals blanked out, doubled quotes included; every other character keeps its place.
+
+    A literal that the line does not close is blanked to its end.
+    """
+    pattern = F.lit(LITERAL)
     quote = lambda x: F.substring(x, 1, 1)
-    blank = lambda x: F.concat(quote(x), F.repeat(F.lit(" "), F.length(x) - 2), quote(x))
+    closed = lambda x: (F.length(x) > 1) & F.endswith(x, quote(x))
+    blank = lambda x: F.concat(quote(x), F.repeat(F.lit(" "), F.length(x) - F.when(closed(x), 2).otherwise(1)), F.when(closed(x), quote(x)).otherwise(""))
     join = lambda outside, literal: F.concat(outside, F.coalesce(blank(literal), F.lit("")))
     return F.array_join(F.zip_with(F.split(line, pattern, -1), F.regexp_extract_all(line, pattern, F.lit(0)), join), "")
 
 
+def found(code: Column, pattern: str) -> Column:
+    """What the pattern's first group finds outside literals, without case: literals before it are consumed first."""
+    either = F.lit(r"(?i)\"(?:[^\"]|\"\")*\"?|'(?:[^']|'')*'?|" + pattern)
+    return F.filter(F.regexp_extract_all(code, either, F.lit(1)), lambda x: x != "")
+
+
 def stem(path: Column) -> Column:
     """The file name without its last suffix."""
     return F.regexp_replace(F.regexp_extract(path, "([^/]*)$", 1), "(?<=.)\\.[^.]*$", "")

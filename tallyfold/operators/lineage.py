@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.operators.components import strong_components
 from tallyfold.sources.shared import materialize
 
 MAX_ROUNDS = 1000
@@ -150,6 +151,8 @@ def closure(edges: DataFrame, roots: DataFrame, kinds: Sequence[str] | None = No
         if fresh.isEmpty():
             return visited
         visited, frontier = visited.unionByName(fresh), fresh
+        if level % 16 == 0:  # one table instead of many small ones
+            visited = materialize(visited)
     raise RuntimeError(f"the graph is deeper than {MAX_ROUNDS}")
 
 
@@ -158,34 +161,9 @@ def capped_level(closed: DataFrame, cap: int = 4, limit: int = 56) -> DataFrame:
     return closed.withColumn("level", F.least("level", F.lit(cap))).orderBy("level", "id").limit(limit)
 
 
-def cyclic(edges: DataFrame) -> DataFrame:
-    """``(id)`` of the nodes between cycles, cycle members included: nodes without a way in or out are peeled off in rounds.
-
-    What remains has, for each node, a predecessor and a successor that also remain. ``on_cycle`` tells true members apart.
-    """
-    rest = materialize(edges.select("source", "target").distinct())
-    n = rest.count()
-    while True:
-        fed = rest.join(rest.select(F.col("target").alias("source")).distinct(), "source", "left_semi")
-        both = materialize(fed.join(rest.select(F.col("source").alias("target")).distinct(), "target", "left_semi").select("source", "target"))
-        left = both.count()
-        if left == n:
-            return both.select(F.col("source").alias("id")).union(both.select(F.col("target").alias("id"))).distinct()
-        rest, n = both, left
-
-
 def on_cycle(edges: DataFrame) -> DataFrame:
-    """``(id)`` of nodes that reach themselves. Only what peeling leaves is closed, by doubling path lengths."""
-    core = cyclic(edges)
-    inner = edges.select("source", "target").distinct().join(core.select(F.col("id").alias("source")), "source", "left_semi").join(core.select(F.col("id").alias("target")), "target", "left_semi")
-    inner = materialize(inner.select("source", "target"))
-    pairs = inner
-    while True:
-        step = pairs.alias("p").join(pairs.alias("e"), F.col("p.target") == F.col("e.source")).select(F.col("p.source").alias("source"), F.col("e.target").alias("target"))
-        fresh = materialize(step.distinct().join(pairs, ["source", "target"], "left_anti"))
-        if fresh.isEmpty():
-            return pairs.where("source = target").select(F.col("source").alias("id")).distinct()
-        pairs = materialize(pairs.unionByName(fresh))
+    """``(id)`` of nodes that reach themselves: the members of the strongly connected components."""
+    return strong_components(edges).select("id")
 
 
 def asset_counts(nodes: DataFrame, gaps: DataFrame, inventory: DataFrame | None = None) -> DataFrame:

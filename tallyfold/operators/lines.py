@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from tallyfold.functions.text import masked_literals, physical_lines, stem, suffix
+from tallyfold.functions.text import found, let, masked_literals, physical_lines, stem, suffix
 from tallyfold.operators.windows import capped_list
 
 
@@ -21,11 +21,11 @@ def explode_lines(files: DataFrame, key: str = "path", text: str = "text") -> Da
 def normalize_fixed(lines: DataFrame, line: str = "line") -> DataFrame:
     """Add ``class`` (blank, comment, code or unsupported) and ``code`` for card-image lines.
 
-    A sequence area of six digits and a blank is dropped, the indicator column decides, columns 8 to 72 are code. Other
-    lines are free form: `*>` opens a comment line.
+    A sequence area (six digits, or six blanks before an indicator) is dropped, the indicator column decides, columns 8 to 72
+    are code; a debug line counts as code. Other lines are free form: `*>` opens a comment line.
     """
     c = F.rtrim(line)
-    card = F.rlike(F.col(line), F.lit("^[0-9]{6}.?"))
+    card = F.rlike(F.col(line), F.lit(r"^(?:[0-9]{6}.?| {6}(?:[*/-]|[Dd](?=\s|PROGRAM-ID\b|COPY\b|[0-9]{2}\s)))"))
     mark = F.substring(line, 7, 1)
     fixed = F.rtrim(F.substring(line, 8, 65))
     kind = F.when(F.trim(c) == "", "blank").when(card & mark.isin("*", "/"), "comment").when(card & (mark == "-"), "unsupported").when(card & (F.trim(fixed) == ""), "blank")
@@ -149,9 +149,13 @@ def classify(lines: DataFrame, key: str = "path", referenced: DataFrame | None =
 
 def families(lines: DataFrame, verbs: dict[str, str], line: str = "line") -> DataFrame:
     """Lines with ``families``: the construct families of the verbs in a line, sorted; several for one line."""
-    table = F.create_map(*[F.lit(x) for kv in verbs.items() for x in kv])
-    tokens = F.array_distinct(F.transform(F.regexp_extract_all(F.col(line), F.lit(r"[A-Za-z][A-Za-z0-9-]*"), F.lit(0)), F.upper))
-    return lines.withColumn("families", F.array_sort(F.array_distinct(F.array_compact(F.transform(tokens, lambda t: F.element_at(table, t))))))
+    own: dict[str, list[str]] = {}
+    for verb, family in verbs.items():
+        own.setdefault(family, []).append(verb)
+    # the words are a column of their own, so that they are cut once for all families; a-z only, as no other letter is in a verb
+    cut = lines.withColumn("_words", F.regexp_extract_all(F.translate(line, "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), F.lit(r"[A-Z][A-Z0-9-]*"), F.lit(0)))
+    each = [F.when(F.arrays_overlap("_words", F.array(*map(F.lit, sorted(vs)))), F.lit(name)) for name, vs in sorted(own.items())]
+    return cut.withColumn("families", F.array_compact(F.array(*each))).drop("_words")
 
 
 #: The verbs of each construct family.
@@ -176,34 +180,46 @@ CARDS: dict[str, tuple[str, ...]] = {
 }
 #: Statements that are known by more than their verb; the first that fits is the line's only family.
 STATEMENTS: tuple[tuple[str, str], ...] = (
-    ("embedded_sql", r"\bEXEC\s+SQL\b"),
-    ("cics", r"\bEXEC\s+CICS\b"),
-    ("messaging", r"\bCALL\s+['\"]MQ(CONNX?|DISC|OPEN|CLOSE|PUT1?|GET|INQ|SET|SUB|SUBRQ|CMIT|BACK)['\"]"),
+    ("embedded_sql", r"\b(EXEC\s+SQL)\b"),
+    ("cics", r"\b(EXEC\s+CICS)\b"),
+    ("messaging", r"\bCALL\s+['\"](MQCONN|MQCONNX|MQDISC|MQOPEN|MQCLOSE|MQPUT|MQPUT1|MQGET|MQINQ|MQSET|MQSUB|MQSUBRQ|MQCMIT|MQBACK)['\"]"),
     ("scheduling", r"^(JOB|SCH|SCHEDULE|LJOB|LDEP|LDSN)\s*[,=]"),
-    ("data_layout", r"^\d{2}\s+[A-Z0-9_-]+\b"),
+    ("data_layout", r"^(\d{2}\s+[A-Z0-9_-]+)\b"),
 )
 
 
 def constructs(lines: DataFrame, line: str = "line") -> DataFrame:
     """Lines with ``constructs``: the construct families of a source line, sorted; none for blank and comment lines.
 
-    Words inside literals do not count. A line without a known construct is ``unclassified_source``, a null line (a reference
-    without its source) ``unlocated_source``. Statements over several lines are judged line by line.
+    Words inside literals do not count, and the columns of a card image are cut. A line without a known construct is
+    ``unclassified_source``, a null line (a reference without its source) ``unlocated_source``. ``members.constructs`` follows
+    statements over several lines.
     """
-    code = F.upper(F.trim(F.col(line)))
-    operation = F.regexp_extract(code, r"^//[A-Z0-9@$#]*\s+([A-Z]+)\b", 1)
-    words = F.regexp_extract_all(masked_literals(code), F.lit(r"[A-Z][A-Z0-9_-]*"), F.lit(0))
+    return lines.withColumn("constructs", let(F.col(line), constructs_of))
+
+
+def constructs_of(line: Column) -> Column:
+    card = F.rlike(line, F.lit("^[0-9]{6}[ */Dd-]"))
+    code = F.upper(F.trim(F.when(card, F.substring(line, 8, 65)).otherwise(line)))
+    comment = card & F.substring(line, 7, 1).isin("*", "/")
+    return F.when(line.isNull(), F.array(F.lit("unlocated_source"))).when(comment, F.array().cast("array<string>")).otherwise(let(code, _families))
+
+
+def _families(code: Column) -> Column:
+    """The construct families of upper-case code without blanks around it."""
     only = lambda name: F.array(F.lit(name))
-    by_card, special = F.lit(None).cast("array<string>"), F.lit(None).cast("array<string>")
+    operation = F.regexp_extract(code, r"^//[A-Z0-9@$#]*\s+([A-Z]+)\b", 1)
+    by_card, special = only("unclassified_source"), F.lit(None).cast("array<string>")
     for name, operations in CARDS.items():
-        by_card = F.coalesce(F.when(operation.isin(*operations), only(name)), by_card)
+        by_card = F.when(operation.isin(*operations), only(name)).otherwise(by_card)
     for name, pattern in reversed(STATEMENTS):
-        special = F.when(F.rlike(code, F.lit(pattern)), only(name)).otherwise(special)
-    verbs = F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*[F.lit(v) for v in own])), F.lit(name)) for name, own in CONSTRUCTS.items()]))
-    found = F.coalesce(special, F.when(F.size(verbs) > 0, F.array_sort(verbs)), only("unclassified_source"))
-    found = F.when(F.startswith(code, F.lit("//")), F.coalesce(by_card, only("unclassified_source"))).otherwise(found)
+        likely = F.rlike(code, F.lit(pattern))  # cheap, and seldom true
+        special = F.when(likely & (F.size(found(code, pattern)) > 0), only(name)).otherwise(special)
+    by_verb = lambda words: F.array_sort(F.array_compact(F.array(*[F.when(F.arrays_overlap(words, F.array(*map(F.lit, own))), F.lit(name)) for name, own in CONSTRUCTS.items()])))
+    verbs = let(F.regexp_extract_all(masked_literals(code), F.lit(r"[A-Z][A-Z0-9_-]*"), F.lit(0)), by_verb)
+    plain = F.coalesce(special, let(verbs, lambda v: F.when(F.size(v) > 0, v).otherwise(only("unclassified_source"))))
     comment = (code == "") | F.rlike(code, F.lit(r"^(//)?\*"))
-    return lines.withColumn("constructs", F.when(F.col(line).isNull(), only("unlocated_source")).when(comment, F.array().cast("array<string>")).otherwise(found))
+    return F.when(comment, F.array().cast("array<string>")).when(F.startswith(code, F.lit("//")), by_card).otherwise(plain)
 
 
 def entities(lines: DataFrame, patterns: dict[str, str], key: str = "path", line: str = "line") -> DataFrame:

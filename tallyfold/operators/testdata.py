@@ -98,8 +98,8 @@ def deduplicated(candidates: DataFrame, fingerprint: str, mandatory: str, reason
 
 
 def shortfall(available: Column, chosen: Column, domain: Column, minimum: int) -> Column:
-    """Why fewer than ``minimum`` states were chosen; null where there are enough."""
-    return F.when(chosen >= minimum, F.lit(None).cast("string")).when(domain < minimum, "limited domain").when(available > chosen, "budget exhausted").otherwise("generation exhausted")
+    """Why fewer than ``minimum`` states were chosen; null where there are enough. The budget is only to blame where enough were available."""
+    return F.when(chosen >= minimum, F.lit(None).cast("string")).when(domain < minimum, "limited domain").when(available >= minimum, "budget exhausted").otherwise("generation exhausted")
 
 
 #: Families of generated rule programs.

@@ -249,7 +249,7 @@ def case_deduplication(spark, sf_dir):
 
 @query("""
 with s as (select user_id, count(distinct (event_type, floor(value / 10))) as available, count(distinct event_type) as domain from events group by 1), c as (select *, least(available, 15 + user_id % 5) as chosen from s)
-select user_id, available, chosen, case when chosen >= 17 then null when domain + 13 < 17 then 'limited domain' when available > chosen then 'budget exhausted' else 'generation exhausted' end as shortfall from c
+select user_id, available, chosen, case when chosen >= 17 then null when domain + 13 < 17 then 'limited domain' when available >= 17 then 'budget exhausted' else 'generation exhausted' end as shortfall from c
 """)
 def state_shortfall(spark, sf_dir):
     """Distinct input states by user, and why fewer than 17 are chosen."""

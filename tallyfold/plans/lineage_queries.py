@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tallyfold.operators import lineage
+from tallyfold.operators import lineage, members
+from tallyfold.operators.components import strong_components
 from tallyfold.plans.registry import query, table
 
 EDGES_SQL = """
@@ -147,3 +149,150 @@ def outside_answers(spark, sf_dir):
     known = c.where("c_nationkey < 15").select(F.lit("db2_table").alias("kind"), "name", (F.col("c_mktsegment") == "BUILDING").alias("complete"))
     out = lineage.answered_outside(lineage.resolve(refs, declared), bound, known)
     return out.groupBy("kind", "resolution", "gap").agg(F.count("*").alias("n"))
+
+
+@query("""
+with recursive n as (select count(*) as n from supplier), e as (
+  select s_suppkey as s, (s_suppkey * 3 + s_nationkey) % n as t from supplier, n union select s_suppkey, (s_suppkey * 5 + 1) % n from supplier, n where s_suppkey % 4 = 0 union select s_suppkey, s_suppkey from supplier where s_suppkey % 50 = 7
+), r as (select s, t from e union select r.s, e.t from r join e on r.t = e.s)
+select a.s as id, least(a.s, min(a.t)) as component, count(*) as size from r a join r b on a.s = b.t and a.t = b.s where a.s in (select s from r where s = t) group by a.s
+""")
+def cycle_components(spark, sf_dir):
+    """Strongly connected components of suppliers that point to each other."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey", "s_nationkey")
+    k, n = F.col("s_suppkey"), F.lit(s.count())
+    to = lambda rows, target: rows.select(k.alias("source"), target.cast("long").alias("target"))
+    e = to(s, (k * 3 + F.col("s_nationkey")) % n).union(to(s.where(k % 4 == 0), (k * 5 + 1) % n)).union(to(s.where(k % 50 == 7), k))
+    return strong_components(e)
+
+
+def text_lines(*lines) -> Column:
+    """A member's text; null lines are left out."""
+    return F.concat_ws("\n", *[F.lit(x) if isinstance(x, str) else x for x in lines])
+
+
+def words(*parts) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+@query("""
+with c as (select c_custkey as k, 'J' || c_custkey as path, 'J' || c_custkey as job, c_custkey % 3 = 0 as inner_proc, 'APP.LIB(M' || c_custkey % 7 || ')' as dsn, 'P' || c_nationkey as pgm from customer),
+r as (
+  select path, 2 as line_no, 'job' as owner_kind, job as owner, null as step, 'contains_step' as relation, 'S1' as name, null as library, false as dynamic from c
+  union all select path, 2, 'job', job, 'S1', 'executes', pgm, null, false from c
+  union all select path, 3, 'job', job, 'S1', 'dd_dataset', dsn, null, false from c
+  union all select path, 3, 'job', job, 'S1', 'dd_member', 'M' || k % 7, 'APP.LIB', false from c
+  union all select path, 5, case when inner_proc then 'proc' else 'job' end, case when inner_proc then 'INNER' else job end, null, 'contains_step', 'P1', null, false from c
+  union all select path, 5, case when inner_proc then 'proc' else 'job' end, case when inner_proc then 'INNER' else job end, 'P1', 'executes', '&DEEP', null, true from c
+  union all select path, 7, 'job', job, case when not inner_proc then 'P1' end, 'dd_instream_data', '7', null, false from c
+  union all select path, 10, 'job', job, null, 'contains_step', 'S2', null, false from c
+  union all select path, 10, 'job', job, 'S2', 'invokes_proc', 'INNER', null, false from c
+  union all select path, 11, 'job', job, 'S2', 'dd_dataset', 'APP.OUT', null, false from c
+  union all select path, 11, 'job', job, 'S2', 'requires_interpretation', 'JCL_DD_CONTINUATION', null, true from c
+  union all select path, 13, 'job', job, null, 'includes', 'SETUP', null, false from c)
+select path, line_no::int as line_no, owner_kind, owner, step, relation, name, library, dynamic from r
+""")
+def job_step_references(spark, sf_dir):
+    """A job for each customer, with steps, an inner procedure in every third, in-stream data and a continued card."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    k, third = F.col("c_custkey"), F.col("c_custkey") % 3 == 0
+    text = text_lines(
+        words("//J", k, " JOB"), words("//S1 EXEC PGM=P", F.col("c_nationkey")), words("//IN DD DSN=APP.LIB(M", k % 7, "),DISP=SHR"), F.when(third, "//INNER PROC").otherwise("//* INNER PROC"), "//P1 EXEC PGM=&DEEP",
+        F.when(third, "// PEND").otherwise("//* PEND"), "//SYSIN DD *,DLM=@@", "//FAKE EXEC PGM=PAYLOAD", "@@", "//S2 EXEC INNER", "//OUT DD DSN=APP.OUT,", "//             DISP=SHR", "// INCLUDE MEMBER=SETUP",
+    )
+    found = members.job_references(members.job_context(members.scan(c.select(words("J", k).alias("path"), text.alias("text")))))
+    return found.select("path", "line_no", F.col("owner.kind").alias("owner_kind"), F.col("owner.name").alias("owner"), F.col("step.name").alias("step"), "relation", "name", "library", "dynamic")
+
+
+@query("""
+with p as (select p_partkey as k, 'Q' || p_partkey as path from part), r as (
+  select path, 4 as line_no, 4 as end_line, path as program, 'sql_table' as relation, 'APP.T' || k % 5 as name, false as dynamic, k from p
+  union all select path, 5, 6, path, 'sql_table', 'APP.U' || k % 3, false, k from p where k % 2 = 0
+  union all select path, 8, 8, path, 'dynamic_sql', '<dynamic SQL>', true, k from p where k % 4 = 0
+  union all select path, 8, 8, path, 'sql_table', '<delimited SQL identifier>', true, k from p where k % 4 = 1
+  union all select path, 8, 8, path, 'requires_interpretation', 'SQL_CTE_SCOPE', true, k from p where k % 4 = 2
+  union all select path, 8, 8, path, 'sql_table', 'BASE', false, k from p where k % 4 = 2
+  union all select path, 8, 8, path, 'requires_interpretation', 'SQL_COMPLEX_FROM', true, k from p where k % 4 = 3
+  union all select path, 8, 8, path, 'sql_table', 'ONE', false, k from p where k % 4 = 3)
+select path, line_no::int as line_no, end_line::int as end_line, program, relation, name, dynamic from r
+""")
+def embedded_sql_references(spark, sf_dir):
+    """A program for each part with an SQL statement over several lines and one of four kinds that need a closer look."""
+    p = table(spark, sf_dir, "part").select("p_partkey")
+    k = F.col("p_partkey")
+    odd = F.element_at(F.array(*map(F.lit, ("PREPARE S FROM TEXT", 'SELECT X FROM "APP"."T"', "WITH C AS (SELECT * FROM BASE) SELECT * FROM C", "SELECT * FROM ONE, TWO"))), (k % 4).cast("int") + 1)
+    text = text_lines(
+        words("PROGRAM-ID. Q", k, "."), "MOVE 'SELECT * FROM FAKE' TO T.", "EXEC SQL", words("  SELECT A FROM APP.T", k % 5, " -- JOIN BAD.T"), F.when(k % 2 == 0, "JOIN").otherwise("WHERE"),
+        words("APP.U", k % 3, " ON X = 'FROM Z'"), "END-EXEC.", words("EXEC SQL ", odd, " END-EXEC."), "*> EXEC SQL SELECT * FROM NOTED END-EXEC.", "MOVE A FROM B.",
+    )
+    lines_of = members.program_context(members.scan(p.select(words("Q", k).alias("path"), text.alias("text"))))
+    return members.sql_references(members.sql_regions(lines_of)).select("path", "line_no", "end_line", "program", "relation", "name", "dynamic")
+
+
+@query("""
+with s as (select s_suppkey as k, 'SRC' || s_suppkey as path, 'A' || s_suppkey as own from supplier), r as (
+  select path, 2 as line_no, own as program, 'calls' as relation, 'program' as kind, 'SUB' || k % 10 as name, null as library, false as dynamic from s
+  union all select path, 3, own, 'calls', 'program', 'TARGET-NAME', null, true from s where k % 2 = 1
+  union all select path, 3, own, 'calls', 'platform_api', 'MQPUT', null, false from s where k % 2 = 0
+  union all select path, 3, own, 'uses_mq', 'mq_interface', '<dynamic queue binding>', null, true from s where k % 2 = 0
+  union all select path, 5, own, 'copies', 'copybook', 'REC', 'LIB' || k % 4, false from s
+  union all select path, 6, own, 'cics_link', 'program', 'NEXT' || k, null, false from s where k % 3 > 0
+  union all select path, 6, own, 'cics_link', 'program', 'PGM-VAR', null, true from s where k % 3 = 0
+  union all select path, 7, own, 'uses_map', 'bms_map', 'M' || k, null, false from s
+  union all select path, 7, own, 'uses_mapset', 'bms_mapset', 'SET1', null, false from s
+  union all select path, 9, 'LATER', 'calls', 'program', '<continued CALL operand>', null, true from s)
+select path, line_no::int as line_no, program, relation, kind, name, library, dynamic from r
+""")
+def program_call_references(spark, sf_dir):
+    """A source member for each supplier: calls, copies, links and maps, beside the same words in literals and comments."""
+    s = table(spark, sf_dir, "supplier").select("s_suppkey")
+    k = F.col("s_suppkey")
+    text = text_lines(
+        words("PROGRAM-ID. A", k, "."), words("CALL \"SUB", k % 10, "\" *> CALL 'INLINE'."), F.when(k % 2 == 1, "CALL TARGET-NAME.").otherwise("CALL 'MQPUT'."), "MOVE \"CALL 'SHOWN' COPY FAKE\" TO T.", words("COPY REC OF LIB", k % 4, "."),
+        words("EXEC CICS LINK PROGRAM(", F.when(k % 3 == 0, "PGM-VAR").otherwise(words("'NEXT", k, "'")), ") END-EXEC."), words("EXEC CICS SEND MAP('M", k, "') MAPSET('SET1') END-EXEC."), "PROGRAM-ID. LATER.", "CALL",
+    )
+    return members.program_references(members.program_context(members.scan(s.select(words("SRC", k).alias("path"), text.alias("text")))))
+
+
+@query("""
+with c as (select c_custkey as k, 'R' || c_custkey as path from customer), r as (
+  select path, 1 as line_no, 'cics_transaction' as source_kind, 'T' || k as source, 'declares' as relation, 'cics_transaction' as kind, 'T' || k as name, false as dynamic from c
+  union all select path, 1, 'cics_transaction', 'T' || k, 'binds_program', 'program', 'P' || k % 9, false from c where k % 2 = 0
+  union all select path, 4, 'cics_mapset_definition', 'MS' || k, 'declares', 'cics_mapset_definition', 'MS' || k, false from c
+  union all select path, 4, 'cics_mapset_definition', 'MS' || k, 'defines_mapset', 'bms_mapset', 'MS' || k, false from c
+  union all select path, 5, 'ca7_definition', 'N' || k, 'declares', 'ca7_definition', 'N' || k, false from c
+  union all select path, 5, 'ca7_definition', 'N' || k, 'schedules_job', 'job', 'N' || k, false from c
+  union all select path, 5, 'ca7_definition', 'N' || k, 'job_dependency', 'job', 'D' || k % 5, false from c
+  union all select path, 5, 'ca7_definition', 'N' || k, 'job_dependency', 'job', 'WEEK', false from c
+  union all select path, 7, 'mq_interface', 'APP.Q' || k, 'declares', 'mq_interface', 'APP.Q' || k, false from c where k % 3 > 0
+  union all select path, 7, null, null, 'defines_mq', 'mq_interface', '&QUEUE', true from c where k % 3 = 0)
+select path, line_no::int as line_no, source_kind, source, relation, kind, name, dynamic from r
+""")
+def resource_definitions(spark, sf_dir):
+    """Resource and scheduler statements for each customer; operands stand in the lines below their command."""
+    c = table(spark, sf_dir, "customer").select("c_custkey")
+    k = F.col("c_custkey")
+    text = text_lines(
+        words("DEFINE TRANSACTION(T", k, ")"), "  GROUP(G)", F.when(k % 2 == 0, words("  PROGRAM(P", k % 9, ")")).otherwise("  PROFILE(X)"), words("DEFINE MAPSET(MS", k, ")"), words("LJOB,JOB=N", k, ","), words("  PRED=D", k % 5, ",DEPJOB=WEEK"),
+        words("DEFINE QLOCAL(", F.when(k % 3 == 0, "&QUEUE").otherwise(words("'APP.Q", k, "'")), ")"),
+    )
+    return members.resource_references(members.resource_statements(members.scan(c.select(words("R", k).alias("path"), text.alias("text")))))
+
+
+@query("""
+with f(kind, line_no, family) as (values (0, 1, 'assignment'), (0, 1, 'embedded_sql'), (0, 2, 'embedded_sql'), (0, 3, 'arithmetic'), (0, 3, 'embedded_sql'), (1, 1, 'file_io'), (1, 2, 'conditional'), (1, 3, 'cics'), (2, 1, 'assignment'), (2, 2, 'unclassified_source'), (2, 3, 'messaging'))
+select l_returnflag, line_no::int as line_no, family, count(*) as n from lineitem join f on (l_orderkey + l_linenumber) % 3 = kind group by all
+""")
+def construct_regions(spark, sf_dir):
+    """Construct families of three-line members made of line items: SQL and CICS regions, literals that go on, a card comment's neighbour."""
+    i = table(spark, sf_dir, "lineitem").select("l_returnflag", "l_orderkey", "l_linenumber", F.col("l_quantity").cast("int").alias("q"))
+    at = ((F.col("l_orderkey") + F.col("l_linenumber")) % 3).cast("int")
+    kinds = [
+        text_lines(words("MOVE ", F.col("q"), " TO B. EXEC SQL"), words("SELECT X FROM T WHERE Q = ", F.col("q")), "END-EXEC. ADD 1 TO C"),
+        text_lines("DISPLAY 'EXEC SQL'.", words("000100 IF A > ", F.col("q")), "EXEC CICS SEND MAP('M') END-EXEC"),
+        text_lines(words("MOVE 'open ", F.col("q")), "CALL still' TO B", "CALL 'MQPUT' USING A"),
+    ]
+    text = F.element_at(F.array(*kinds), at + 1)
+    files = i.select("l_returnflag", F.monotonically_increasing_id().cast("string").alias("item"), text.alias("text")).select(F.concat_ws("|", "l_returnflag", "item").alias("path"), "text")
+    rows = members.constructs(members.scan(files)).select(F.substring_index("path", "|", 1).alias("l_returnflag"), "line_no", F.explode("constructs").alias("family"))
+    return rows.groupBy("l_returnflag", "line_no", "family").agg(F.count("*").alias("n"))

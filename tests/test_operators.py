@@ -199,7 +199,7 @@ def test_review(spark):
 
 def test_masks_keep_places(spark):
     line = """a = 'it "is' b "x'y" c 'open"""
-    assert col(spark, line, T.masked_literals) == """a = '      ' b "   " c 'open"""
+    assert col(spark, line, T.masked_literals) == """a = '      ' b "   " c '    """
     assert [col(spark, v, T.masked_literals) for v in ("", "''", None)] == ["", "''", None]
 
 
