@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from tallyfold.plans.registry import query, table
@@ -27,8 +25,8 @@ def event_latest_state(spark, sf_dir):
 
 @query(LATEST_SQL)
 def stream_latest_state(spark, sf_dir):
-    found = ledger.stream_latest(event_stream(spark, sf_dir), "user_id", "event_type", "ts", "event_id")
-    return ledger.run_to_memory(found, f"latest_{uuid.uuid4().hex}", "complete", fresh_path(spark))
+    """The stream's written table, read back."""
+    return ledger.stream_latest(event_stream(spark, sf_dir), "user_id", "event_type", "ts", "event_id", path=fresh_path(spark), checkpoint=fresh_path(spark))
 
 
 ONCE_SQL = """
@@ -45,8 +43,9 @@ def once_only(spark, sf_dir):
 
 @query(ONCE_SQL)
 def stream_once_only(spark, sf_dir):
+    """The stream's written table, read back."""
     e = event_stream(spark, sf_dir).withColumn("ok", F.col("value") > 50)
-    return ledger.run_to_memory(ledger.stream_once(e, "user_id", "ok", "event_id"), f"once_{uuid.uuid4().hex}", "append", fresh_path(spark))
+    return ledger.stream_once(e, "user_id", "ok", "event_id", fresh_path(spark), fresh_path(spark)).select("user_id", "event_id", "outcome")
 
 
 @query("""

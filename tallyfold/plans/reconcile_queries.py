@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyfold.operators import reconcile, review
+from tallyfold.operators.digest import ordered_digest
 from tallyfold.plans.registry import query, table
 
 DOMAIN = ("blocked", "mapped_verified", "mapped_unverified", "non_executable", "out_of_scope")
@@ -240,3 +241,17 @@ def folded_names(spark, sf_dir):
     """Words of all documents as names, each also in capitals."""
     words = table(spark, sf_dir, "documents").select("lang", F.explode(F.regexp_extract_all("text", F.lit("[A-Za-z]+"), F.lit(0))).alias("name")).distinct()
     return reconcile.distinct_folded(words.unionByName(words.withColumn("name", F.upper("name"))), ["lang"], "name")
+
+
+@query("""
+with l as (select row_number() over (order by l_orderkey, l_linenumber, l_partkey, l_suppkey, line) - 1 as place, line from (select *, concat_ws('|', l_orderkey, l_linenumber, l_partkey, l_suppkey, l_returnflag) as line from lineitem)),
+b as (select place // 256 as block, sha256(string_agg(sha256(line), '' order by place)) as h from l group by 1), c as (select block // 256 as block, sha256(string_agg(h, '' order by block)) as h from b group by 1),
+d as (select sha256(string_agg(h, '' order by block)) as h from c)
+select (select count(*) from lineitem) as n, case when (select count(*) from b) = 1 then (select max(h) from b) when (select count(*) from c) = 1 then (select max(h) from c) else h end as digest from d
+""")
+def sequence_digest(spark, sf_dir):
+    """A hash over all line items in order; a changed, moved, doubled or missing row changes it."""
+    keys = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    rows = table(spark, sf_dir, "lineitem").select(*keys, "l_returnflag")
+    line = F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "l_returnflag")])
+    return ordered_digest(rows.withColumn("line", line), [*keys, "line"], F.col("line"), 256)

@@ -165,7 +165,7 @@ def scenario_campaign(spark, sf_dir):
     done = rules.run_rule_table(rules.checked_by_columns(rows), rules.rule_table(spark, {i: testdata.program_rules(i)[1] for i in range(testdata.PROGRAMS)}))
     e = F.col("expected")
     same = e["status"].eqNullSafe(F.col("input_status")) & F.when(e["status"] == "ACCEPT_INPUT", (F.array(e["a"], e["b"]) == F.col("numbers")) & (e["flag"] == F.get("texts", F.lit(0))) & (e["branches"] == F.col("branches"))).otherwise(F.lit(True))
-    return done.groupBy("family").agg(F.count("*").alias("scenarios"), F.count_if(F.startswith("label", F.lit("valid_"))).alias("valid"), F.count_if(~F.coalesce(same, F.lit(False))).alias("divergences"), F.bit_xor(F.xxhash64("program_index", "raw")).alias("digest"))
+    return done.groupBy("family").agg(F.count("*").alias("scenarios"), F.count_if(F.startswith("label", F.lit("valid_"))).alias("valid"), F.count_if(~F.coalesce(same, F.lit(False))).alias("divergences"), F.sum(F.xxhash64("program_index", "raw").cast("decimal(20,0)")).alias("digest"))
 
 
 @query()

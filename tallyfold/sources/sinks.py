@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType
 
 from tallyfold.functions.text import guarded
+from tallyfold.operators.digest import BLOCK, ordered_digest
 from tallyfold.operators.windows import global_rank
 from tallyfold.sources.scan import pages
 
 
-def export_ndjson(df: DataFrame, keys: Sequence[str], path: str, max_rows: int, page: int, max_bytes: int) -> DataFrame:
+def export_ndjson(df: DataFrame, keys: Sequence[str], path: str, max_rows: int, page: int, max_bytes: int, block: int = BLOCK) -> DataFrame:
     """Write whole pages as NDJSON while rows and bytes last; ``status, reason, rows, pages, bytes, digest``.
 
-    ``digest`` is order-free: the exclusive or of the lines' hashes. An export that reaches its row limit is PARTIAL.
+    ``digest`` is the ordered digest of the lines as read back, by their keys. An export that reaches its row limit is PARTIAL.
     """
     lines = df.withColumn("_line", F.to_json(F.struct("*"), {"ignoreNullFields": "false"}))
     paged = pages(lines, keys, page, F.octet_length("_line") + 1)
@@ -26,10 +27,12 @@ def export_ndjson(df: DataFrame, keys: Sequence[str], path: str, max_rows: int,
     out = paged.join(kept, "page", "left_semi")
     out.select(F.col("_line").alias("value")).write.mode("errorifexists").text(path)
     written = df.sparkSession.read.text(path)
-    receipt = written.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"), F.coalesce(F.bit_xor(F.xxhash64("value")), F.lit(0)).alias("digest"))
+    receipt = written.agg(F.count("*").alias("rows"), F.coalesce(F.sum(F.octet_length("value") + 1), F.lit(0)).alias("bytes"))
+    own = F.from_json("value", df.select(*keys).schema)
+    digest = ordered_digest(written.select("value", *[own[k].alias(k) for k in keys]), keys, F.col("value"), block).select("digest")
     totals = ends.agg(F.coalesce(F.max("_to"), F.lit(0)).alias("_rows"), F.coalesce(F.max("_upto"), F.lit(0)).alias("_bytes"), F.count_if((F.col("_to") <= max_rows) & (F.col("_upto") <= max_bytes)).alias("pages"))
     reason = F.when(F.col("_bytes") > max_bytes, "byte limit").when(F.col("_rows") >= max_rows, "row limit")
-    return receipt.join(totals).select(F.when(reason.isNull(), "COMPLETE").otherwise("PARTIAL").alias("status"), reason.alias("reason"), "rows", "pages", "bytes", "digest")  # one row each
+    return receipt.join(totals).join(digest).select(F.when(reason.isNull(), "COMPLETE").otherwise("PARTIAL").alias("status"), reason.alias("reason"), "rows", "pages", "bytes", "digest")  # one row each
 
 
 def guard_formulas(df: DataFrame) -> DataFrame:

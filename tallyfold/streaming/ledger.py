@@ -2,11 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 TAIL = 2000
 
@@ -80,38 +78,54 @@ def append_events(events: DataFrame, path: str, checkpoint: str):
     return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
-def run_to_memory(stream: DataFrame, name: str, mode: str, checkpoint: str) -> DataFrame:
-    """Run a stream over what is there and return the sink's table (states of keys: it grows with the keys)."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    query.awaitTermination()
-    return stream.sparkSession.table(name)
+def run_to_table(stream: DataFrame, path: str, mode: str, checkpoint: str) -> DataFrame:
+    """Run a stream over what is there; each micro-batch is written by executors to ``path/batch=N``, anew if it runs again.
 
+    The table is read back with its ``batch``. Nothing of it passes through the driver.
+    """
 
-def stream_latest(events: DataFrame, key: str, state: str, *order: str) -> DataFrame:
-    return latest_state(events, key, state, *order)
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={number}")
 
+    stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return read_batches(stream.sparkSession, path, stream.schema)
 
-def stream_once(events: DataFrame, key: str, valid: str, order: str) -> DataFrame:
-    """``(key, order, outcome)`` of a stream: one flag a key says whether a valid event was accepted.
 
-    Within a micro-batch events count by their order; across batches the earlier batch comes first.
-    """
+def read_batches(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """The batches under ``path``, also where there is none yet."""
+    whole = StructType([*schema.fields, StructField("batch", LongType())])
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where)
+    return spark.read.schema(whole).option("basePath", path).parquet(path) if there else spark.createDataFrame([], whole)
+
+
+def stream_latest(events: DataFrame, key: str, state: str, *order: str, path: str, checkpoint: str) -> DataFrame:
+    """``(key, state)`` after all of a stream: keyed state in the stream, of which each batch writes the keys that changed."""
+    table = run_to_table(latest_state(events, key, state, *order), path, "update", checkpoint)
+    return table.groupBy(key).agg(F.max_by(state, "batch").alias(state))
 
-    def decide(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(batches).sort_values("_order")
-        taken = state.exists and state.get[0]
-        outcome = []
-        for good in rows["_valid"]:
-            outcome.append("invalid" if not good else "refused" if taken else "accepted")
-            taken = taken or bool(good)
-        state.update((bool(taken),))
-        yield pd.DataFrame({"_key": [group[0]] * len(rows), "_order": rows["_order"].to_numpy(), "outcome": outcome})
-
-    kind = events.schema[key].dataType.simpleString()
-    order_kind = events.schema[order].dataType.simpleString()
-    slim = events.select(F.col(key).alias("_key"), F.col(order).alias("_order"), F.col(valid).alias("_valid"))
-    out = slim.groupBy("_key").applyInPandasWithState(decide, f"_key {kind}, _order {order_kind}, outcome string", "taken boolean", "append", "NoTimeout")
-    return out.select(F.col("_key").alias(key), F.col("_order").alias(order), "outcome")
+
+def stream_once(events: DataFrame, key: str, valid: str, order: str, path: str, checkpoint: str) -> DataFrame:
+    """``(key, order, outcome, batch)`` of a stream: the first valid event of a key is accepted, in its batch by ``order``.
+
+    Earlier batches come first. What they accepted is the state: it is read from the table itself (a partition of its own), up
+    to the batch before, so a batch that runs again decides alike. A key's first event is found by an aggregate, so a hot key
+    is never gathered.
+    """
+    spark = events.sparkSession
+    slim = events.select(key, order, F.coalesce(valid, F.lit(False)).alias("_valid"))
+    schema = StructType([*slim.drop("_valid").schema.fields, StructField("outcome", StringType())])
+
+    def decide(batch: DataFrame, number: int) -> None:
+        held = read_batches(spark, path, schema).where((F.col("batch") < number) & (F.col("outcome") == "accepted")).select(key)
+        rows = batch.withColumn("_row", F.monotonically_increasing_id())
+        first = rows.where("_valid").groupBy(key).agg(F.min(F.struct(order, "_row")).alias("_first")).join(held, key, "left_anti")
+        taken = F.col("_first").isNotNull() & (F.struct(order, "_row") == F.col("_first"))
+        out = rows.join(first, key, "left").withColumn("outcome", F.when(~F.col("_valid"), "invalid").when(taken, "accepted").otherwise("refused"))
+        out.select(key, order, "outcome").write.mode("overwrite").partitionBy("outcome").parquet(f"{path}/batch={number}")
+
+    slim.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return read_batches(spark, path, schema)
 
 
 def merge_stream(events: DataFrame, target: str, key: str, content: list[str], checkpoint: str):

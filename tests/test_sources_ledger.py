@@ -104,16 +104,53 @@ def test_streams_equal_their_batch_form(spark, sf_dir, tmp_path):
     ledger.append_events(event_stream(spark, sf_dir), log, str(tmp_path / "c0")).awaitTermination()
     assert spark.read.parquet(log).count() == events.count()
     again = ledger.stream_events(spark, log, events.schema, max_files=1)
-    got = ledger.run_to_memory(ledger.stream_latest(again, "user_id", "event_type", "ts", "event_id"), "t_latest", "complete", str(tmp_path / "c1"))
+    got = ledger.stream_latest(again, "user_id", "event_type", "ts", "event_id", path=str(tmp_path / "latest"), checkpoint=str(tmp_path / "c1"))
     assert got.exceptAll(ledger.latest_state(events, "user_id", "event_type", "ts", "event_id")).count() == 0
-    once = ledger.run_to_memory(ledger.stream_once(again.withColumn("ok", F.col("value") > 50), "user_id", "ok", "event_id"), "t_once", "append", str(tmp_path / "c2"))
+    once = ledger.stream_once(again.withColumn("ok", F.col("value") > 50), "user_id", "ok", "event_id", str(tmp_path / "once"), str(tmp_path / "c2")).select("user_id", "event_id", "outcome")
     batch = ledger.first_accepted(events.select("user_id", "event_id", "value"), "user_id", F.col("value") > 50, "event_id").drop("value")
     assert once.exceptAll(batch.select("user_id", "event_id", "outcome")).count() == 0 and once.count() == events.count()
     slim = again.select("user_id", "event_type").withColumn("event_type", F.lit("same"))
     ledger.merge_stream(slim, str(tmp_path / "table"), "user_id", ["event_type"], str(tmp_path / "c3")).awaitTermination()
     assert spark.read.parquet(str(tmp_path / "table")).count() == events.select("user_id").distinct().count()
     counts = ledger.windowed_counts(again.withColumn("ts", F.col("ts").cast("timestamp")), "ts", "event_type", "1 day")
-    assert ledger.run_to_memory(counts, "t_counts", "complete", str(tmp_path / "c4")).agg(F.sum("n")).first()[0] == events.count()
+    assert ledger.run_to_table(counts, str(tmp_path / "counts"), "update", str(tmp_path / "c4")).groupBy("start", "event_type").agg(F.max_by("n", "batch").alias("n")).agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_once_only_over_batches(spark, tmp_path):
+    """Two batches, ties, a hot key, null validity; a batch that runs again changes nothing."""
+    schema = "k string, n long, ok boolean"
+    read = lambda: spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+    path, batches = str(tmp_path / "out"), ([("a", 2, True), ("a", 1, False), ("b", 5, None), ("hot", 7, True), ("hot", 7, True)] + [("hot", 9, True)] * 50, [("a", 0, True), ("b", 3, True), ("b", 1, False), ("hot", 1, True)])
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        found = ledger.stream_once(read(), "k", "ok", "n", path, str(tmp_path / "c"))
+    want = {("a", 2, "accepted", 0), ("a", 1, "invalid", 0), ("b", 5, "invalid", 0), ("hot", 7, "accepted", 0), ("hot", 7, "refused", 0), ("hot", 9, "refused", 0), ("a", 0, "refused", 1), ("b", 3, "accepted", 1), ("b", 1, "invalid", 1), ("hot", 1, "refused", 1)}
+    assert {tuple(r) for r in found.select("k", "n", "outcome", "batch").collect()} == want and found.count() == 59
+    assert found.where("outcome = 'accepted'").count() == 3
+
+
+def test_ordered_digest(spark):
+    """The tree by hand; order, doubles and gaps change it."""
+    import hashlib
+
+    from tallyfold.operators.digest import ordered_digest
+
+    h = lambda s: hashlib.sha256(s.encode()).hexdigest()
+
+    def plain(lines, block):
+        level, first = [h(x) for x in lines], True
+        while len(level) > 1 or (first and level):
+            level, first = [h("".join(level[i : i + block])) for i in range(0, len(level), block)], False
+        return level[0] if level else h("")
+
+    def got(lines, block=3):
+        rows = spark.createDataFrame(list(enumerate(lines)), "i long, x string").repartition(3)
+        return tuple(ordered_digest(rows, ["i"], F.col("x"), block).first())
+
+    for lines in ([], ["a"], ["a", "b", "a"], [str(i) for i in range(20)], ["same"] * 10):
+        assert got(lines) == (len(lines), plain(lines, 3))
+    assert len({got(x)[1] for x in (["a", "b", "c"], ["b", "a", "c"], ["a", "b", "c", "c"], ["a", "b"])}) == 4
+    assert got([None])[1] == plain(["null"], 3)
 
 
 def test_merge_stream_keeps_conflicts_by_batch(spark, tmp_path):
