@@ -198,6 +198,56 @@ def qualified(names: DataFrame, tables: DataFrame) -> DataFrame:
     return out.select("name", F.when(F.col("n") == 0, "missing").when(F.col("n") == 1, "resolved").otherwise("ambiguous").alias("status"), F.when(F.col("n") == 1, F.col("schema")).alias("schema"))
 
 
+def searched_members(names: DataFrame, members: DataFrame, receipts: DataFrame) -> DataFrame:
+    """Members ``name`` looked for in libraries: ``(name, status, library, candidates)``.
+
+    ``members`` are listed ``(library, name)``; ``receipts`` ``(library, status)`` say which listings are COMPLETE. Several libraries
+    make a name ``ambiguous``. One or none only counts where every listing is whole: else the answer is ``incomplete``, as a capped
+    listing may hide another member. An empty table of receipts vouches for nothing.
+    """
+    whole = receipts.agg(F.coalesce(F.every(F.coalesce(F.col("status") == "COMPLETE", F.lit(False))), F.lit(False)).alias("_whole"))  # one row
+    listed = members.select(F.upper("name").alias("_name"), "library").distinct().groupBy("_name").agg(F.count("*").alias("_n"), F.min("library").alias("_first"))
+    out = names.select("name").distinct().join(listed, F.upper("name") == F.col("_name"), "left").join(F.broadcast(whole))
+    n = F.coalesce("_n", F.lit(0))
+    status = F.when(n > 1, "ambiguous").when(~F.col("_whole"), "incomplete").when(n == 1, "resolved").otherwise("missing")
+    return out.select("name", status.alias("status"), F.when(status == "resolved", F.col("_first")).alias("library"), n.alias("candidates"))
+
+
+def manifest_graph(manifest: DataFrame, source_steps: DataFrame, declared: DataFrame, locations: DataFrame | None = None) -> DataFrame:
+    """Edges ``(source, target, kind, target_kind, resolution)`` of manifest rows and what the sources say about their steps.
+
+    ``manifest`` has ``job, step, program, inputs, outputs``; ``source_steps`` ``(job, step, name, kind)`` are the programs and
+    procedures that job sources run; ``declared`` ``(kind, name, target)`` what is defined where. A manifest's program is a
+    procedure where the job's own source says so, or where only a procedure is declared under its name. Inputs and outputs that
+    ``locations`` (``key, location``, compared without case, blanks and punctuation) knows are its locations, others are data of
+    unknown readiness.
+    """
+    job = F.concat(F.lit("manifest_job:"), F.upper("job"))
+    edge = lambda target, kind, target_kind, resolution: (job.alias("source"), target.alias("target"), F.lit(kind).alias("kind"), target_kind.alias("target_kind"), resolution.alias("resolution"))
+    found = candidates(declared).groupBy("kind", "name").agg(F.count_distinct("target").alias("_n"), F.min("target").alias("_target"))
+    answer = F.when(F.col("_n") == 1, "resolved").when(F.col("_n") > 1, "ambiguous").otherwise("missing")
+    jobs = manifest.select("job").distinct().withColumns({"kind": F.lit("jcl_job"), "name": F.upper("job")}).join(found, ["kind", "name"], "left")
+    selects = jobs.select(*edge(F.coalesce(F.when(F.col("_n") == 1, F.col("_target")), F.col("name")), "selects_job", F.lit("jcl_job"), answer))
+    own = source_steps.groupBy(F.upper("job").alias("_job"), F.upper("step").alias("_step"), F.upper("name").alias("name")).agg(F.max("kind").alias("_said"))
+    steps = manifest.select("job", F.upper("job").alias("_job"), F.upper("step").alias("_step"), F.upper("program").alias("name")).distinct().join(own, ["_job", "_step", "name"], "left")
+    only = found.groupBy("name").agg(F.bool_or(F.col("kind") == "program").alias("_program"), F.bool_or(F.col("kind") == "proc").alias("_proc"))
+    steps = steps.join(only, "name", "left")
+    kind = F.when(F.coalesce("_proc", F.lit(False)) & ~F.coalesce("_program", F.lit(False)), "proc").otherwise(F.coalesce("_said", F.lit("program")))
+    steps = steps.withColumn("kind", kind).join(found, ["kind", "name"], "left")
+    runs = steps.select(*edge(F.coalesce(F.when(F.col("_n") == 1, F.col("_target")), F.col("name")), "manifest_step", F.col("kind"), answer))
+    data = lambda c, side: manifest.select("job", F.explode(c).alias("value"), F.lit(side).alias("side"))
+    used = data("inputs", "input").unionByName(data("outputs", "output"))
+    plain = lambda c: F.regexp_replace(F.lower(c), "[^a-z0-9]", "")
+    if locations is None:
+        used = used.withColumn("location", F.lit(None).cast("string"))
+    else:
+        used = used.withColumn("_key", plain(F.col("value"))).join(locations.select(plain(F.col("key")).alias("_key"), "location").distinct(), "_key", "left")
+    where = F.col("location").isNotNull()
+    target = F.when(where, F.concat(F.lit("input_location:"), F.upper("location"))).otherwise(F.concat("side", F.lit("_data:"), "value"))
+    of = used.select(job.alias("source"), target.alias("target"), F.concat("side", F.lit("_context")).alias("kind"), F.when(where, "input_location").otherwise(F.concat("side", F.lit("_data"))).alias("target_kind"), F.when(where, "declared_location").otherwise("manifest_context").alias("resolution"))
+    return selects.unionByName(runs).unionByName(of).distinct()
+
+
 def merge_sources(known: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Newly found files that are not known, and conflicts: the same path with other content.
 

@@ -187,6 +187,24 @@ def gap_spans(gaps: DataFrame, family: str, path: str, line: str) -> DataFrame:
     return found.groupBy(family, path).agg(F.array_join(text, ",").alias("spans"), F.sum(F.col("last") - F.col("first") + 1).alias("n"))
 
 
+def compacted_gaps(gaps: DataFrame, keys: Sequence[str], line: str, sets: Sequence[str], path: str | None = None) -> DataFrame:
+    """``(*keys, gaps, *sets, spans)`` of each gap group: how many rows, the distinct values of the ``sets`` columns (sorted) and
+    the line numbers as inclusive spans ``path:a-b`` (``a-b`` without ``path``), in order.
+
+    Values are made distinct before they are gathered, so repeated gaps of a hot group cost no memory; nulls name nothing.
+    """
+    out = gaps.groupBy(*keys).agg(F.count("*").alias("gaps"))
+    for c in sets:
+        own = gaps.where(F.col(c).isNotNull()).select(*keys, c).distinct().groupBy(*keys).agg(F.array_sort(F.collect_list(c)).alias(c))
+        out = out.join(own, list(keys), "left").withColumn(c, F.coalesce(c, F.array().cast(f"array<{dict(gaps.dtypes)[c]}>")))
+    where = [path] if path and path not in keys else []
+    found = spans(gaps.where(F.col(line).isNotNull()), [*keys, *where], line)
+    text = F.concat(*[F.concat(F.col(c).cast("string"), F.lit(":")) for c in where], F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
+    rows = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*where, "first", text.alias("text")))).alias("_s"))
+    out = out.join(rows.select(*keys, F.transform("_s", lambda x: x["text"]).alias("spans")), list(keys), "left")
+    return out.withColumn("spans", F.coalesce("spans", F.array().cast("array<string>")))
+
+
 def snapshot_hash(rows: DataFrame, key: str, digest: str) -> DataFrame:
     """One row: a hash over all ``key:digest`` lines as a bag, whatever their order.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallyfold.functions.text import stem
 from tallyfold.operators import lineage, members
 from tallyfold.operators.components import strong_components
 from tallyfold.plans.registry import query, table
@@ -296,3 +297,59 @@ def construct_regions(spark, sf_dir):
     files = i.select("l_returnflag", F.monotonically_increasing_id().cast("string").alias("item"), text.alias("text")).select(F.concat_ws("|", "l_returnflag", "item").alias("path"), "text")
     rows = members.constructs(members.scan(files)).select(F.substring_index("path", "|", 1).alias("l_returnflag"), "line_no", F.explode("constructs").alias("family"))
     return rows.groupBy("l_returnflag", "line_no", "family").agg(F.count("*").alias("n"))
+
+
+@query("""
+with n as (select distinct upper(p_brand) as name from part union select 'ABSENT'), m as (select distinct 'LIB' || p_size % 3 as library, upper(p_brand) as name from part where p_size < 9 or p_brand < 'Brand#3'),
+c as (select n.name, count(distinct library) as candidates, min(library) as l from n left join m using (name) group by 1), w as (select bool_and(k <= 3) as whole from (select count(*) as k from m group by library))
+select name, case when candidates > 1 then 'ambiguous' when not whole then 'incomplete' when candidates = 1 then 'resolved' else 'missing' end as status, case when candidates = 1 and whole then l end as library, candidates from c, w
+""")
+def member_search(spark, sf_dir):
+    """Brands looked for as members of libraries; a listing of more than three members counts as capped, and says so."""
+    p = table(spark, sf_dir, "part").select(F.upper("p_brand").alias("name"), "p_size", "p_brand")
+    listed = p.where("p_size < 9 or p_brand < 'Brand#3'").select(F.concat(F.lit("LIB"), (F.col("p_size") % 3).cast("string")).alias("library"), "name").distinct()
+    receipts = listed.groupBy("library").agg(F.when(F.count("*") <= 3, "COMPLETE").otherwise("PARTIAL").alias("status"))
+    names = p.select("name").union(p.limit(1).select(F.lit("ABSENT")))
+    return lineage.searched_members(names, listed, receipts)
+
+
+@query("""
+with p as (select p_partkey, upper(p_brand) as name, 'src/' || lower(replace(p_brand, '#', '')) || '/' || p_partkey || '.cbl' as path from part), d as (select distinct name, path, p_partkey::varchar as stem from p),
+i as (select name, path from d union select stem, path from d), r as (select p_partkey, case when p_partkey % 3 = 0 then name else (p_partkey + 1)::varchar end as name from p),
+c as (select p_partkey, r.name, count(i.path) as n from r left join i using (name) group by all)
+select p_partkey, name, case when n = 1 then 'resolved' when n > 1 then 'ambiguous' else 'missing' end as resolution from c
+""")
+def resolve_by_stem(spark, sf_dir):
+    """Programs found by the name that they declare or by the stem of their file."""
+    p = table(spark, sf_dir, "part").select("p_partkey", F.upper("p_brand").alias("name"), F.concat(F.lit("src/"), F.lower(F.replace("p_brand", F.lit("#"), F.lit(""))), F.lit("/"), F.col("p_partkey").cast("string"), F.lit(".cbl")).alias("path"))
+    declared = p.select(F.lit("program").alias("kind"), "name", F.col("path").alias("target"))
+    asked = F.when(F.col("p_partkey") % 3 == 0, F.col("name")).otherwise((F.col("p_partkey") + 1).cast("string"))
+    refs = p.select("p_partkey", F.lit("program").alias("kind"), asked.alias("name"), F.lit(False).alias("dynamic"))
+    return lineage.resolve(refs, lineage.candidates(declared, stem(F.col("target")))).select("p_partkey", "name", "resolution")
+
+
+@query("""
+with c as (select c_custkey as k, c_nationkey as n, 'manifest_job:J' || c_custkey as source from customer), r as (
+  select source, case when k % 5 > 0 then 'jobs/J' || k else 'J' || k end as target, 'selects_job' as kind, 'jcl_job' as target_kind, case when k % 5 > 0 then 'resolved' else 'missing' end as resolution from c
+  union all select source, case when n % 4 = 0 then 'src/P' || n else 'P' || n end, 'manifest_step', 'program', case when n % 4 = 0 then 'resolved' when n % 4 = 1 then 'ambiguous' else 'missing' end from c
+  union all select source, 'procs/INNER', 'manifest_step', 'proc', 'resolved' from c
+  union all select source, 'X' || n, 'manifest_step', case when k % 5 > 0 then 'proc' else 'program' end, 'missing' from c
+  union all select source, case when n < 5 then 'input_location:APP.IN' || n else 'input_data:Cust Data ' || n end, 'input_context', case when n < 5 then 'input_location' else 'input_data' end, case when n < 5 then 'declared_location' else 'manifest_context' end from c
+  union all select source, 'output_data:Result', 'output_context', 'output_data', 'manifest_context' from c)
+select distinct * from r
+""")
+def manifest_lineage(spark, sf_dir):
+    """A manifest job for each customer, joined with what four of five jobs' sources run and with what is declared."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    step = lambda name, program: F.struct(F.lit(name).alias("step"), program.alias("program"), F.array(words("Cust Data ", n)).alias("inputs"), F.array(F.lit("Result")).alias("outputs"))
+    manifest = c.select(words("j", k).alias("job"), F.explode(F.array(step("S1", words("P", n)), step("S2", F.lit("inner")), step("S3", words("X", n)))).alias("s")).select("job", "s.*")
+    text = text_lines(words("//J", k, " JOB"), words("//S1 EXEC PGM=P", n), "//S2 EXEC INNER", words("//S3 EXEC PROC=X", n))
+    sources = c.where(k % 5 > 0).select(words("jobs/J", k).alias("path"), text.alias("text"))
+    found = members.job_references(members.job_context(members.scan(sources))).where("relation in ('executes', 'invokes_proc') and owner.kind = 'job'")
+    steps = found.select(F.col("owner.name").alias("job"), F.col("step.name").alias("step"), "name", "kind")
+    programs = c.where(n % 4 < 2).select(F.lit("program").alias("kind"), words("P", n).alias("name"), F.explode(F.when(n % 4 == 0, F.array(words("src/P", n))).otherwise(F.array(words("a/P", n), words("b/P", n)))).alias("target")).distinct()
+    inner = c.select(F.lit("proc").alias("kind"), F.lit("INNER").alias("name"), F.lit("procs/INNER").alias("target")).distinct()
+    declared = sources.select(F.lit("jcl_job").alias("kind"), F.substring_index("path", "/", -1).alias("name"), F.col("path").alias("target")).unionByName(programs).unionByName(inner)
+    places = c.where(n < 5).select(words("cust-data-", n).alias("key"), words("app.in", n).alias("location")).distinct()
+    return lineage.manifest_graph(manifest, steps, declared, places)

@@ -255,3 +255,40 @@ def sequence_digest(spark, sf_dir):
     rows = table(spark, sf_dir, "lineitem").select(*keys, "l_returnflag")
     line = F.concat_ws("|", *[F.col(c).cast("string") for c in (*keys, "l_returnflag")])
     return ordered_digest(rows.withColumn("line", line), [*keys, "line"], F.col("line"), 256)
+
+
+GAPS_SQL = """g as (select l_shipmode as family, 'P' || o_custkey % 40 as program, 'F' || o_custkey % 7 as path, l_linenumber as line, case when l_quantity > 25 then 'unsupported' when l_quantity > 10 then 'missing_source' end as kind
+  from (select l_orderkey, l_linenumber, l_quantity, l_returnflag || l_linestatus as l_shipmode from lineitem) join orders on l_orderkey = o_orderkey)"""
+
+
+def technical_gaps(spark, sf_dir):
+    l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", F.concat("l_returnflag", "l_linestatus").alias("family"))
+    rows = l.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    named = lambda a, n: F.concat(F.lit(a), (F.col("o_custkey") % n).cast("string"))
+    kind = F.when(F.col("l_quantity") > 25, "unsupported").when(F.col("l_quantity") > 10, "missing_source")
+    return rows.select("family", named("P", 40).alias("program"), named("F", 7).alias("path"), F.col("l_linenumber").alias("line"), kind.alias("kind"))
+
+
+@query(f"""
+with {GAPS_SQL}, d as (select distinct family, path, line from g), i as (select *, line - row_number() over (partition by family, path order by line) as island from d),
+s as (select family, path, min(line) as a, max(line) as b from i group by family, path, island)
+select family, count(*) as gaps, string_agg(distinct program, ',' order by program) as programs, string_agg(distinct path, ',' order by path) as paths, string_agg(distinct kind, ',' order by kind) as kinds,
+  (select string_agg(path || ':' || a || '-' || b, ',' order by path, a) from s where s.family = g.family) as spans from g group by family
+""")
+def gaps_by_family(spark, sf_dir):
+    """Gap rows of a construct family in one row: programs, paths, kinds and line spans of each path."""
+    gaps = technical_gaps(spark, sf_dir)
+    found = reconcile.compacted_gaps(gaps.withColumn("at", F.col("path")), ["family"], "line", ["program", "path", "kind"], "at")
+    text = lambda c: F.array_join(c, ",")
+    return found.select("family", "gaps", text("program").alias("programs"), text("path").alias("paths"), text("kind").alias("kinds"), text("spans").alias("spans"))
+
+
+@query(f"""
+with {GAPS_SQL}, k as (select * from g where kind is not null), d as (select distinct program, path, kind, line from k), i as (select *, line - row_number() over (partition by program, path, kind order by line) as island from d),
+s as (select program, path, kind, min(line) as a, max(line) as b from i group by program, path, kind, island), t as (select program, path, kind, string_agg(a || '-' || b, ',' order by a) as spans from s group by all)
+select program, path, kind, count(*) as gaps, string_agg(distinct family, ',' order by family) as families, any_value(spans) as spans from k join t using (program, path, kind) group by program, path, kind
+""")
+def gaps_by_program(spark, sf_dir):
+    """Gap rows by program, path and kind."""
+    found = reconcile.compacted_gaps(technical_gaps(spark, sf_dir).where("kind is not null"), ["program", "path", "kind"], "line", ["family"])
+    return found.select("program", "path", "kind", "gaps", F.array_join("family", ",").alias("families"), F.array_join("spans", ",").alias("spans"))

@@ -11,6 +11,7 @@ from tallyfold.functions import text as T
 from tallyfold.operators import lines
 from tallyfold.plans.registry import query, table
 from tallyfold.sources import scan, sinks
+from tallyfold.sources.shared import fresh_path
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
@@ -22,16 +23,33 @@ def describe_columns(spark, sf_dir):
     return reduce(DataFrame.unionByName, [counted(t) for t in TABLES])
 
 
-@query()
+CONVERSATION_SQL = """
+t as (select conv_id % 20 as part, string_agg(coalesce(replace(replace(text, chr(10), ' '), chr(13), ' '), ''), chr(10) order by conv_id, turn) || chr(10) as text from conversations group by 1)
+"""
+
+
+def conversation_files(spark, sf_dir):
+    """Twenty text files made of the conversations, a turn a line, as a folder that Spark wrote."""
+    path = fresh_path(spark)
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 20).alias("part"), "conv_id", "turn", F.coalesce(F.regexp_replace("text", "[\n\r]", " "), F.lit("")).alias("value"))
+    rows.repartition(20, "part").sortWithinPartitions("part", "conv_id", "turn").select("part", "value").write.partitionBy("part").text(path)
+    return scan.scan_text_files(spark, path, "*.txt").withColumn("part", F.regexp_extract("path", "part=([0-9]+)/", 1).cast("long"))
+
+
+@query(f"with {CONVERSATION_SQL} select part, sha256(text) as sha256, octet_length(encode(text))::bigint as bytes, (length(text) - length(replace(text, chr(10), '')))::int as lines, null::varchar as problem, text from t")
 def file_scan(spark, sf_dir):
-    """Hash, size and problem of every file under the tables' folder; Parquet files are no UTF-8."""
-    files = scan.scan_text_files(spark, sf_dir, "*.parquet")
-    return files.select(T.stem(F.col("path")).alias("name"), "sha256", "bytes", "lines", "problem")
+    """Hash, size, lines, problem and text of every file of a folder."""
+    return conversation_files(spark, sf_dir).select("part", "sha256", "bytes", "lines", "problem", "text")
 
 
-@query()
+@query(f"""
+with {CONVERSATION_SQL}, f as (select octet_length(encode(text))::bigint as bytes, length(text) - length(replace(text, chr(10), '')) as lines from t)
+select 'files' as "check", count(*) as value, 15::bigint as most, count(*) <= 15 as ok from f union all select 'file_bytes', max(bytes), 8000, max(bytes) <= 8000 from f
+union all select 'total_bytes', sum(bytes)::bigint, 100000000, sum(bytes) <= 100000000 from f union all select 'lines', sum(lines)::bigint, 400, sum(lines) <= 400 from f
+""")
 def file_limits(spark, sf_dir):
-    return scan.check_limits(scan.scan_text_files(spark, sf_dir, "*.parquet"))
+    """The bounds of a scan of the same files, some of them exceeded."""
+    return scan.check_limits(conversation_files(spark, sf_dir), scan.Limits(files=15, file_bytes=8000, total_bytes=100_000_000, lines=400))
 
 
 @query("""
