@@ -33,8 +33,8 @@ from tallyfold.llm.common import materialize, python_ready
 from tallyfold.llm.merkle import ranked
 
 LEAST, LONGEST, SHARE, FIRST = 10, 3, 50, 2000
-BURST, ENTRIES, RUN_ROWS = 1 << 12, 1 << 20, 1 << 15
-TAKEN = 1 << 22  # characters cut into words at once, or one longer text
+BURST, ENTRIES, RUN_ROWS = 1 << 12, 1 << 19, 1 << 15
+TAKEN = 1 << 21  # characters cut into words at once, or one longer text
 WORD_BITS, DIGIT = 21, 7  # of a word's number in a task (three fit 64 bits) and of a step in the trie
 MOST_WORDS = 1 << 20  # numbers of a task before everything is spilled and numbering starts anew
 SEGMENT = 1 << 19  # words numbered at once
