@@ -87,23 +87,28 @@ def cleaned(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield part.map(lambda t: None if t is None else clean_text(t))
 
 
+#: Control statements of sort, copy and catalog utilities.
+CONTROL_STATEMENTS = (
+    r"SORT\s+FIELDS", r"MERGE\s+FIELDS", r"JOINKEYS\s", r"JOIN\s+UNPAIRED", r"REFORMAT\s+FIELDS", r"INCLUDE\s+COND", r"OMIT\s+COND", r"SUM\s+FIELDS", r"INREC\s", r"OUTREC\s", r"OUTFIL\s", r"OPTION\s+COPY",
+    r"(?:COPY|COUNT|DISPLAY|OCCUR|SELECT|STATS|UNIQUE|VERIFY)\s+FROM\s*\(", r"REPRO\s+(?:IN|OUT)", r"DEFINE\s+(?:CLUSTER|GDG|AIX)", r"DELETE\s+[A-Z0-9@$#_-]+\.[A-Z0-9@$#_.-]+", r"SET\s+(?:MAXCC|LASTCC)\s*=", r"PRINT\s+INFILE\s*\(", r"LISTCAT(?:\s|$)",
+)
 #: The kinds of content and what tells them, tried on each line without case.
 SIGNATURES: tuple[tuple[str, str], ...] = (
     ("cobol_program", r"^\s*(?:\d{6}\s)?\s*PROGRAM-ID\s*\."),
-    ("jcl_job", r"^//\S+\s+JOB\b"),
-    ("jcl_proc", r"^//\S+\s+PROC\b"),
-    ("jcl_fragment", r"^//\S*\s+(?:EXEC|DD|INCLUDE|SET|PEND|IF)\b"),
-    ("bms_map", r"\bDFH(?:MSD|MDI|MDF)\b"),
-    ("copybook", r"^\s*(?:\d{6}\s)?\s*(?:0[1-9]|[1-4]\d|66|77|88)\s+[A-Z][A-Z0-9-]*"),
-    ("dclgen", r"\bDECLARE\s+\S+\s+TABLE\b"),
-    ("sql", r"^\s*(?:CREATE|ALTER|DROP|SELECT|INSERT|UPDATE|DELETE)\b"),
-    ("utility_control", r"^\s*(?:SORT\s+FIELDS|MERGE\s+FIELDS|JOINKEYS|INCLUDE\s+COND|OMIT\s+COND|SUM\s+FIELDS|OUTREC|INREC|REPRO)\b"),
-    ("rexx", r"^/\*\s*REXX\b"),
+    ("jcl_job", r"^//[A-Z0-9@$#]+\s+JOB(?:\s|$)"),
+    ("jcl_proc", r"^//[A-Z0-9@$#]+\s+PROC(?:\s|$)"),
+    ("jcl_fragment", r"^//[A-Z0-9@$#]*\s+(?:EXEC|DD|INCLUDE|SET|PEND|IF)\b"),
+    ("bms_map", r"^\s*(?:[A-Z0-9@$#]+\s+)?DFHM(?:SD|DI|DF)\b"),
+    ("copybook", r"^\s*(?:\d{6}\s)?\s*\d{2}\s+[A-Z][A-Z0-9_-]*(?:\s|\.)"),
+    ("dclgen", r"^\s*(?:EXEC\s+SQL\s+)?DECLARE\s+[A-Z][A-Z0-9_.]*\s+TABLE\b"),
+    ("sql", r"^\s*(?:(?:CREATE|ALTER|DROP)\s+(?:TABLE|INDEX|VIEW|SCHEMA|DATABASE|TABLESPACE)\b|SELECT(?!\s+FROM\s*\()\s|INSERT\s+INTO\s|UPDATE\s+\S+\s+SET\s|DELETE\s+FROM\s)"),
+    ("utility_control", r"^\s*(?:" + "|".join(CONTROL_STATEMENTS) + ")"),
+    ("rexx", r"^\s*/\*\s*REXX\b"),
     ("clist", r"^\s*PROC\s+\d+\b"),
-    ("pli", r"^\s*\S+\s*:\s*PROC(?:EDURE)?\b.*;"),
-    ("assembler", r"^\S+\s+(?:CSECT|DSECT|START)\b"),
-    ("cics_definition", r"\bDEFINE\s+(?:TRANSACTION|PROGRAM|MAPSET|FILE)\s*\("),
-    ("scheduler_definition", r"\bJOB,\s*JOB="),
+    ("pli", r"^\s*(?:[A-Z][A-Z0-9_]*\s*:\s*)?PROC(?:EDURE)?\b.*;\s*$"),
+    ("assembler", r"^\s*[A-Z0-9@$#]+\s+(?:CSECT|DSECT|START)\b"),
+    ("cics_definition", r"^\s*(?:DEFINE|ALTER|DELETE|LIST)\s+(?:TRANSACTION|PROGRAM|FILE|MAPSET|GROUP|LIST)\s*\("),
+    ("scheduler_definition", r"^\s*(?:JOB|LJOB|LQ|LPRRN)\s*,\s*JOB="),
 )
 #: A kind on the left takes those on the right away.
 SUPPRESSED: dict[str, tuple[str, ...]] = {

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.functions.text import stem
 from tallyfold.operators import lineage, members
+from tallyfold.operators import lines as single_lines
 from tallyfold.operators.components import strong_components
 from tallyfold.plans.registry import query, table
 
@@ -353,3 +354,22 @@ def manifest_lineage(spark, sf_dir):
     declared = sources.select(F.lit("jcl_job").alias("kind"), F.substring_index("path", "/", -1).alias("name"), F.col("path").alias("target")).unionByName(programs).unionByName(inner)
     places = c.where(n < 5).select(words("cust-data-", n).alias("key"), words("app.in", n).alias("location")).distinct()
     return lineage.manifest_graph(manifest, steps, declared, places)
+
+
+#: A member's second line and its kind; the first is a comment that names another kind.
+MEMBER_KINDS = (
+    ("PROGRAM-ID. X.", "cobol_program"), ("//J JOB", "jcl_job"), ("//P PROC", "jcl_proc"), ("// INCLUDE MEMBER=M", "jcl_fragment"), ("M DFHMSD TYPE=MAP", "bms_map"), ("01 REC-A.", "copybook"), ("DECLARE A.T TABLE (X INTEGER)", "dclgen"),
+    ("UPDATE T SET A = 1", "sql"), (" OUTFIL FNAMES=A", "utility_control"), (" JOIN UNPAIRED,F1", "utility_control"), (" SELECT FROM(IN) TO(OUT)", "utility_control"), (" DELETE APP.OLD.DATA", "utility_control"), ("PROC 1 NAME", "clist"), ("A: PROC OPTIONS(MAIN);", "pli"),
+    ("X CSECT", "assembler"), ("LIST GROUP(G)", "cics_definition"), ("LPRRN,JOB=N", "scheduler_definition"), ("UPDATE THE BOOKS", "unknown"), ("MOVE 'PROGRAM-ID.", "unknown"), ("DELETE FROM T", "sql"),
+)
+
+
+@query(f"""
+with k(kind_no, kind) as (values {", ".join(f"({i}, '{kind}')" for i, (_, kind) in enumerate(MEMBER_KINDS))}) select p_brand, kind, case when kind = 'unknown' then 'unresolved' else 'structural' end as confidence, count(*) as n from part join k on p_partkey % {len(MEMBER_KINDS)} = kind_no group by all
+""")
+def member_kinds(spark, sf_dir):
+    """Members made of parts by the kind of their content; comments and literals do not count."""
+    line = F.element_at(F.array(*[F.lit(text) for text, _ in MEMBER_KINDS]), (F.col("p_partkey") % len(MEMBER_KINDS)).cast("int") + 1)
+    files = table(spark, sf_dir, "part").select(F.concat_ws("/", "p_brand", F.col("p_partkey").cast("string")).alias("path"), text_lines("*> PROGRAM-ID. NOTED.", line, words("-- ", F.col("p_partkey"))).alias("text"))
+    found = single_lines.classify(members.scan(files).withColumnRenamed("code", "line"))
+    return found.groupBy(F.substring_index("path", "/", 1).alias("p_brand"), "kind", "confidence").agg(F.count("*").alias("n"))
