@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 from functools import reduce
 
@@ -9,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.sources.shared import materialize
-from tallyfold.functions.text import condition_met
+from tallyfold.functions.text import condition_met, let
 
 #: Rules between two checkpoints of a very long chain.
 CHAIN = 50
@@ -227,3 +228,50 @@ def run_rule_table(rows: DataFrame, table: DataFrame) -> DataFrame:
     start = F.struct(F.col("numbers").alias("numbers"), F.col("texts").alias("texts"), F.array().cast("array<boolean>").alias("branches"))
     out = rows.join(F.broadcast(table), "program_index").withColumn("_r", F.when(F.col("numbers").isNotNull(), F.aggregate("rules", start, step)))
     return out.withColumns({c: F.col(f"_r.{c}") for c in ("numbers", "texts", "branches")}).drop("_r", "rules")
+
+
+def compiled(rules: Sequence[Rule]) -> Callable[[Column], Column]:
+    """The rules as one expression from state to state: a struct of ``numbers``, ``texts`` and ``branches``."""
+
+    def holds(state: Column, a: Atom) -> Column:
+        values, names = ("numbers", NUMBERS) if a.left in NUMBERS else ("texts", TEXTS)
+        at = lambda name: F.get(state[values], F.lit(names.index(name)))
+        return compare(a.op, at(a.left), at(a.peer) if a.peer is not None else F.lit(a.literal))
+
+    def written(state: Column, values: str, names: Sequence[str], rule: Rule, branch: Column) -> Column:
+        yes, no = dict(rule.then), dict(rule.otherwise)
+        old = lambda i: F.get(state[values], F.lit(i))
+        kind = "long" if values == "numbers" else "string"
+        arm = lambda effects, i, n: F.lit(effects[n]).cast(kind) if n in effects else old(i)
+        return F.array(*[F.when(branch, arm(yes, i, n)).otherwise(arm(no, i, n)) if n in yes or n in no else old(i) for i, n in enumerate(names)]).alias(values)
+
+    def run(state: Column, rest: Sequence[Rule]) -> Column:
+        if not rest:
+            return state
+        rule = rest[0]
+        test = reduce(Column.__or__, [reduce(Column.__and__, [holds(state, a) for a in group]) for group in rule.when])
+        after = lambda b: F.struct(written(state, "numbers", NUMBERS, rule, b), written(state, "texts", TEXTS, rule, b), F.concat(state["branches"], F.array(b)).alias("branches"))
+        return let(test, lambda b: let(after(b), lambda new: run(new, rest[1:])))
+
+    return lambda state: run(state, list(rules))
+
+
+def run_compiled(rows: DataFrame, programs: dict[int, list[Rule]], batch: int = 20) -> DataFrame:
+    """``numbers, texts, branches`` after each row's own program, as ``run_rule_table`` gives them, with every program compiled
+    to Column branches. Programs are dispatched a batch at a time, then one by one; a row without a program keeps null branches."""
+    start = F.struct("numbers", "texts", F.array().cast("array<boolean>").alias("branches"))
+    indexes = sorted(programs)
+    at = F.col("program_index")
+
+    def dispatch(state: Column) -> Column:
+        out = None
+        for i in range(0, len(indexes), batch):
+            inner = None
+            for p in indexes[i : i + batch]:
+                inner = (F if inner is None else inner).when(at == p, compiled(programs[p])(state))
+            test = at.between(indexes[i], indexes[min(i + batch, len(indexes)) - 1])
+            out = (F if out is None else out).when(test, inner)
+        return out
+
+    out = rows.withColumn("_s", F.when(F.col("numbers").isNotNull(), let(start, dispatch)))
+    return out.withColumns({c: F.col(f"_s.{c}") for c in ("numbers", "texts", "branches")}).drop("_s")

@@ -168,6 +168,23 @@ def scenario_campaign(spark, sf_dir):
     return done.groupBy("family").agg(F.count("*").alias("scenarios"), F.count_if(F.startswith("label", F.lit("valid_"))).alias("valid"), F.count_if(~F.coalesce(same, F.lit(False))).alias("divergences"), F.sum(F.xxhash64("program_index", "raw").cast("decimal(20,0)")).alias("digest"))
 
 
+@query("""
+select family, 0::bigint as table_and_expected, 0::bigint as compiled_and_expected, 0::bigint as table_and_compiled from (values ('and_correlation'), ('character_peer'), ('literal_threshold'), ('numeric_peer'), ('or_and_precedence'), ('ordered_overwrite'), ('reversed_literal'), ('three_rule_feedback'), ('two_group_join'), ('write_then_compare')) f(family), (select count(*) as n from lineitem) where n > 0
+""")
+def campaign_three_ways(spark, sf_dir):
+    """Divergences between the rule table, the compiled programs and the independent expectation; none is right."""
+    rows = rules.checked_by_columns(testdata.expected(testdata.scenarios(scenario_cases(spark, sf_dir), 20261003)))
+    programs = {i: testdata.program_rules(i)[1] for i in range(testdata.PROGRAMS)}
+    given = rows.withColumn("_given", F.struct("numbers", "texts"))
+    done = rules.run_rule_table(given, rules.rule_table(spark, programs)).withColumn("_table", F.struct("numbers", "texts", "branches"))
+    done = rules.run_compiled(done.withColumns({c: F.col(f"_given.{c}") for c in ("numbers", "texts")}), programs).withColumn("_compiled", F.struct("numbers", "texts", "branches"))
+    e, accepted = F.col("expected"), F.col("input_status") == "ACCEPT_INPUT"
+    as_expected = lambda x: e["status"].eqNullSafe(F.col("input_status")) & F.when(accepted, (F.array(e["a"], e["b"]) == x["numbers"]) & (e["flag"] == F.get(x["texts"], F.lit(0))) & (e["branches"] == x["branches"])).otherwise(F.lit(True))
+    differ = lambda same, name: F.count_if(~F.coalesce(same, F.lit(False))).alias(name)
+    alike = ~accepted | (F.col("_table") == F.col("_compiled"))
+    return done.groupBy("family").agg(differ(as_expected(F.col("_table")), "table_and_expected"), differ(as_expected(F.col("_compiled")), "compiled_and_expected"), differ(alike, "table_and_compiled"))
+
+
 @query()
 def scenario_duplicates(spark, sf_dir):
     """Scenarios, distinct inputs and labels of the campaign."""

@@ -7,7 +7,7 @@ DUCK = pytest.importorskip("duckdb")
 SMALL = ("order_eligibility", "json_contract", "select_under_budget", "resolve_multiplicity", "unit_verification", "keyset_receipt", "gap_compaction")
 LATER = (
     "cycle_components", "job_step_references", "embedded_sql_references", "program_call_references", "resource_definitions", "construct_regions", "construct_families", "member_search", "member_kinds", "resolve_by_stem", "manifest_lineage",
-    "gaps_by_family", "gaps_by_program", "file_scan", "file_limits", "sequence_digest", "stream_latest_state", "stream_once_only", "token_family_counts",
+    "gaps_by_family", "gaps_by_program", "file_scan", "file_limits", "campaign_three_ways", "sequence_digest", "stream_latest_state", "stream_once_only", "token_family_counts",
 )
 NEW = sorted(n for n, f in plans.queries().items() if f.__module__.rpartition(".")[2] in ("check_queries", "object_queries") and n in plans.oracles())
 
