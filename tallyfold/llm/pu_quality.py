@@ -3,7 +3,8 @@
 Trusted positives are texts that a label marks as good; all texts of the table are the unlabelled ones. A linear model over
 text statistics minimises the non-negative unbiased risk: the positives' loss weighed by the class prior, plus the unlabelled
 texts' negative loss less the prior's part of the positives' negative loss, which may not fall below zero. With the logistic
-loss that risk is convex; Newton steps go down it as far as its second part stays at zero or above.
+loss that risk is convex; Newton steps go down it, and where its second part would fall below zero they go along the border, bent
+back by the second part's curvature, so that the fit does not stop where it meets the border.
 
 The class prior is estimated from positives and unlabelled texts alone: a classifier tells the two apart, and the prior is the
 least ratio of the unlabelled to the positive share of texts above a score, each ratio with its margin of error.
@@ -33,6 +34,8 @@ FOLDS, HELD_OUT = 5, 0
 STEPS = 15
 SHARES = (1.0, 0.5, 0.2, 0.05)
 RIDGE = 1e-3
+#: How far from the border, in its own first value, the steps along it aim; all are tried at once.
+MARGINS = (0.0, 1e-4, 1e-3, 1e-2)
 #: Bins of scores for the class prior.
 BINS = 1000
 KINDS = np.zeros(256, dtype=np.uint8)
@@ -104,36 +107,57 @@ def means(row: np.ndarray, d: int) -> Sums:
 Evaluate = Callable[[np.ndarray], list[tuple[Sums, Sums]]]  # of positives and unlabelled, for each row of weights
 
 
-def risk(p: Sums, u: Sums, prior: float) -> tuple[float, np.ndarray, np.ndarray, bool]:
-    """Unbiased risk with its derivatives, and whether its second part is zero or above."""
-    negative = u.negative - prior * p.negative
-    return prior * p.positive + negative, prior * (p.slope - p.x) + u.slope - prior * p.slope, u.curve, negative >= 0
+Part = tuple[float, np.ndarray, np.ndarray]  # a smooth function's value, gradient and curvature
 
 
-def contrast(p: Sums, u: Sums) -> tuple[float, np.ndarray, np.ndarray, bool]:
+def risk(p: Sums, u: Sums, prior: float) -> tuple[Part, Part | None]:
+    """The unbiased risk, and its second part, which may not fall below zero."""
+    second = u.negative - prior * p.negative, u.slope - prior * p.slope, u.curve - prior * p.curve
+    return (prior * p.positive + second[0], prior * (p.slope - p.x) + second[1], u.curve), second
+
+
+def contrast(p: Sums, u: Sums) -> tuple[Part, Part | None]:
     """Mean loss of telling positives from unlabelled rows, both weighed alike."""
-    return p.positive + u.negative, p.slope - p.x + u.slope, p.curve + u.curve, True
+    return (p.positive + u.negative, p.slope - p.x + u.slope, p.curve + u.curve), None
+
+
+def steps_down(loss: Part, border: Part | None) -> np.ndarray:
+    """Steps to try: shares of the Newton step, those that would cross the border turned along it at several margins."""
+    _, gradient, curve = loss
+    step = -np.linalg.solve(curve, gradient)
+    if border is None:
+        return np.array(SHARES)[:, None] * step
+    room, slope, bend = border
+    inward = np.linalg.solve(curve, slope)
+    inward /= max(slope @ inward, 1e-12)  # raises the border's linear model by one
+    out = []
+    for margin in MARGINS:
+        along = step + max(0.0, margin - room - slope @ step) * inward
+        for share in SHARES:
+            s = share * along
+            for _ in range(3):
+                s = s + max(0.0, margin - (room + slope @ s + s @ bend @ s / 2)) * inward
+            out.append(s)
+    return np.unique(out, axis=0)  # far from the border all margins give the same
 
 
-def minimise(evaluate: Evaluate, loss: Callable[[Sums, Sums], tuple[float, np.ndarray, np.ndarray, bool]], d: int) -> np.ndarray:
-    """Weights of least loss with a ridge, among those that the loss allows; from zero, by damped Newton steps."""
+def minimise(evaluate: Evaluate, loss: Callable[[Sums, Sums], tuple[Part, Part | None]], d: int) -> np.ndarray:
+    """Weights of least loss with a ridge, on the allowed side of the loss' border; from zero, by damped Newton steps."""
 
-    def at(ws: np.ndarray) -> list[tuple[float, np.ndarray, np.ndarray, bool]]:
+    def at(ws: np.ndarray) -> list[tuple[Part, Part | None]]:
         found = [loss(p, u) for p, u in evaluate(ws)]
-        return [(v + RIDGE / 2 * w @ w, g + RIDGE * w, h + RIDGE * np.eye(d), ok) for w, (v, g, h, ok) in zip(ws, found, strict=True)]
+        return [((v + RIDGE / 2 * w @ w, g + RIDGE * w, h + RIDGE * np.eye(d)), border) for w, ((v, g, h), border) in zip(ws, found, strict=True)]
 
     w = np.zeros(d)
-    value, gradient, curve, _ = at(w[None])[0]
+    here = at(w[None])[0]
     for _ in range(STEPS):
-        step = np.linalg.solve(curve, gradient)
-        tries = w - np.array(SHARES)[:, None] * step
-        allowed = [(v, i, g, h) for i, (v, g, h, ok) in enumerate(at(tries)) if ok and v < value]
-        if not allowed:
+        tries = w + steps_down(*here)
+        found = [(x, t) for x, t in zip(at(tries), tries, strict=True) if (x[1] is None or x[1][0] >= 0) and x[0][0] < here[0][0]]
+        if not found:
             break
-        before = value
-        value, i, gradient, curve = min(allowed, key=lambda x: x[0])
-        w = tries[i]
-        if before - value < 1e-7:
+        before = here[0][0]
+        here, w = min(found, key=lambda x: x[0][0][0])
+        if before - here[0][0] < 1e-7:
             break
     return w
 

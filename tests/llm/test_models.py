@@ -93,6 +93,41 @@ def test_minimum_is_that_of_a_plain_loop():
     assert np.allclose(w, plain_nnpu(positive, unlabelled, 0.7), atol=0.02)
 
 
+def clipped_risk(positive, unlabelled, prior, w):
+    """The non-negative risk with its ridge, from the definition of the loss."""
+    of = lambda x, sign: np.logaddexp(0, -sign * (x @ w)).mean()
+    return prior * of(positive, 1) + max(0.0, of(unlabelled, -1) - prior * of(positive, -1)) + pu_quality.RIDGE / 2 * w @ w
+
+
+def least_clipped_risk(positive, unlabelled, prior, steps=20_000):
+    """The least non-negative risk that subgradient steps of falling length reach."""
+    w = np.zeros(positive.shape[1])
+    best = clipped_risk(positive, unlabelled, prior, w)
+    for k in range(steps):
+        p, u = (1 / (1 + np.exp(-x @ w)) for x in (positive, unlabelled))
+        negative = -np.log(1 - u).mean() + prior * np.log(1 - p).mean()
+        rest = (unlabelled * u[:, None]).mean(axis=0) - prior * (positive * p[:, None]).mean(axis=0)
+        w = w - 2 / (1 + k) ** 0.5 * (prior * (positive * (p - 1)[:, None]).mean(axis=0) + rest * (negative >= 0) + pu_quality.RIDGE * w)
+        best = min(best, clipped_risk(positive, unlabelled, prior, w))
+    return best
+
+
+@pytest.mark.parametrize("prior", [0.5, 0.7, 0.8, 0.9, 0.95])
+def test_fit_reaches_the_least_clipped_risk(prior):
+    positive, unlabelled, _ = mixture(np.random.default_rng(1), 600)
+    w = pu_quality.minimise(local(positive, unlabelled), lambda p, u: pu_quality.risk(p, u, prior), 3)
+    risk = clipped_risk(positive, unlabelled, prior, w)
+    assert risk < least_clipped_risk(positive, unlabelled, prior) + 3e-3  # which may lie beyond the border
+    assert risk < clipped_risk(positive, unlabelled, prior, plain_nnpu(positive, unlabelled, prior)) + 1e-4
+    rng = np.random.default_rng(5)
+    for spread in (0.01, 0.1, 1.0):
+        around = w + rng.normal(0, spread, (3000, 3))
+        of = lambda x, sign: np.logaddexp(0, -sign * (x @ around.T)).mean(axis=0)
+        second = of(unlabelled, -1) - prior * of(positive, -1)
+        values = prior * of(positive, 1) + second + pu_quality.RIDGE / 2 * (around**2).sum(axis=1)
+        assert values[second >= 0].min() > risk - 1e-4
+
+
 def test_prior_needs_no_negatives():
     rng = np.random.default_rng(2)
     for share in (0.2, 0.5, 0.85):
