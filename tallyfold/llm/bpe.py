@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import python_ready
+from tallyfold.llm.common import free_name, python_ready
 
 MAX_RANK_BYTES = 64 << 20
 #: Texts are cut into pieces of about so many characters where that is safe.
@@ -94,5 +94,6 @@ def tokenize(docs: DataFrame, path: str, pattern: str, text: str = "text", with_
                 rows.append((*row, ids.astype("int32")) if with_ids else row)
             yield pd.DataFrame(rows, columns=[f.split()[0] for f in schema.split(", ")])
 
-    out = docs.withColumn("_bpe", run(F.col(text)))
-    return out.withColumns({f.split()[0]: F.col(f"_bpe.{f.split()[0]}") for f in schema.split(", ")}).drop("_bpe")
+    coded = free_name(docs, "coded")
+    out = docs.withColumn(coded, run(F.col(text)))
+    return out.withColumns({f.split()[0]: F.col(coded)[f.split()[0]] for f in schema.split(", ")}).drop(coded)

@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import let, lower_ascii
+from tallyfold.llm.common import free_name, let, lower_ascii
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
@@ -106,16 +106,17 @@ def scan(docs: DataFrame, text: str = "text", base: tuple[Template, ...] = BASE,
 
     none = F.array().cast("array<struct<k:int,s:int,share:double>>")
     result = let(words_of(F.col(text)), lambda ws: F.struct(F.size(ws).cast("long").alias("n"), F.when(F.arrays_overlap(ws, rare), found(ws)).otherwise(none).alias("found")))
-    out = docs.withColumn("_r", result).withColumn("_f", F.col("_r.found"))
+    r, f = free_name(docs, "result"), free_name(docs, "found")
+    out = docs.withColumn(r, result).withColumn(f, F.col(r)["found"])
     names = F.array(*[F.lit(t.label) for t in templates])
-    own = F.transform(F.filter("_f", lambda x: x["k"] < len(base)), lambda x: x["s"].cast("long"))
+    own = F.transform(F.filter(f, lambda x: x["k"] < len(base)), lambda x: x["s"].cast("long"))
     label_list = lambda part: F.array_join(F.array_sort(F.array_distinct(F.transform(part, lambda x: F.get(names, x["k"])))), ",")
     return out.withColumns({
-        "n_words": F.col("_r.n"),
+        "n_words": F.col(r)["n"],
         "n_base": F.size(own).cast("long"),
         "first_word": F.array_min(own),
         "last_word": F.array_max(own),
-        "base_labels": label_list(F.filter("_f", lambda x: x["k"] < len(base))),
-        "labels": label_list(F.col("_f")),
-        "score": F.coalesce(F.array_max(F.transform("_f", lambda x: x["share"])), F.lit(0.0)),
-    }).drop("_r", "_f")
+        "base_labels": label_list(F.filter(f, lambda x: x["k"] < len(base))),
+        "labels": label_list(F.col(f)),
+        "score": F.coalesce(F.array_max(F.transform(f, lambda x: x["share"])), F.lit(0.0)),
+    }).drop(r, f)

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.common import LOWER, UPPER
+from tallyfold.llm.common import LOWER, UPPER, free_name
 
 MAX_RULES = 100_000
 NOT_TOKEN = "[^A-Za-z0-9]+"
@@ -106,12 +106,14 @@ def judge(urls: DataFrame, url: str, base: tuple[Rule, ...] = BASE_RULES, method
     key = F.concat("host", "path")
     bucket = lambda t: F.get(index, F.pmod(F.crc32(t), F.lit(n)).cast("int"))
     candidates = F.array_distinct(F.flatten(F.transform(tokens_of(key), lambda t: F.transform(F.filter(bucket(t), lambda e: e["token"] == t), lambda e: e["rule"]))))
-    out = out.withColumn("_hits", F.filter(candidates, lambda r: F.rlike(key, F.get(patterns, r))))
+    hits = free_name(out, "hits")
+    out = out.withColumn(hits, F.filter(candidates, lambda r: F.rlike(key, F.get(patterns, r))))
     longest = lambda part: F.array_max(F.transform(part, lambda r: F.struct(F.get(weights, r).alias("w"), r.alias("r"))))["r"]
-    out = out.withColumns({"_base": longest(F.filter("_hits", lambda r: r < len(base))), "_method": longest(F.filter("_hits", lambda r: r >= len(base)))})
+    of_base, of_method = free_name(out, "of_base"), free_name(out, "of_method")
+    out = out.withColumns({of_base: longest(F.filter(hits, lambda r: r < len(base))), of_method: longest(F.filter(hits, lambda r: r >= len(base)))})
     pick = lambda values, at: F.when(F.col(at).isNotNull(), F.get(values, F.col(at)))
     return out.withColumns({
-        "rule": pick(names, "_base"),
-        "verdict": F.coalesce(pick(actions, "_base"), pick(actions, "_method"), F.lit(default)),
-        "method_rule": pick(names, "_method"),
-    }).drop("_hits", "_base", "_method")
+        "rule": pick(names, of_base),
+        "verdict": F.coalesce(pick(actions, of_base), pick(actions, of_method), F.lit(default)),
+        "method_rule": pick(names, of_method),
+    }).drop(hits, of_base, of_method)

@@ -5,6 +5,7 @@ import random
 
 import numpy as np
 import public_tokenizers as P
+from pyspark.sql import functions as F
 
 from tallyfold.llm import bpe
 
@@ -33,7 +34,9 @@ def test_long_stretch_without_blanks():
 def test_tokenize(spark):
     texts = [None, "", "hello <|endoftext|> world", "naïve café  \n\n x", "word " * 40_000]
     rows = spark.createDataFrame([(i, t, "clash") for i, t in enumerate(texts)] * 2, "doc_id long, text string, n_tokens string")
+    rows = rows.withColumns({"coded": F.lit("own"), "_bpe": F.lit("own")})
     for r in bpe.tokenize(rows, P.path("byte_bpe_50k.tiktoken"), P.PATTERN, with_ids=True).collect():
+        assert r["coded"] == r["_bpe"] == "own"
         ids, text = np.asarray(whole(texts[r["doc_id"]] or ""), dtype="<u4"), (texts[r["doc_id"]] or "").encode()
         assert (r["n_tokens"], r["ids_sha256"], r["ids"]) == (len(ids), hashlib.sha256(ids.tobytes()).hexdigest(), ids.tolist())
         assert r["decoded_sha256"] == hashlib.sha256(text).hexdigest()

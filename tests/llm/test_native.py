@@ -59,6 +59,16 @@ def test_urls(spark):
     assert url_filters.judge(spark.createDataFrame([], "url string"), "url").count() == 0
 
 
+def test_columns_named_like_helpers_stay(spark):
+    helpers = ("hits", "of_base", "of_method", "_hits", "_base", "_method", "result", "found", "_r", "_f")
+    urls = spark.createDataFrame([(1, "http://a.net/es/x")], "page_id long, url string")
+    texts = spark.createDataFrame([(1, "all rights reserved")], "doc_id long, text string")
+    for rows, run in ((urls, lambda d: url_filters.judge(d, "url")), (texts, licences.scan)):
+        got = run(rows.withColumns({c: F.lit(c) for c in helpers})).first()
+        assert [got[c] for c in helpers] == list(helpers)
+    assert got["base_labels"] == "reserved"
+
+
 def test_licences(spark):
     got = {r["doc_id"]: r for r in licences.scan(docs(spark).withColumn("score", F.lit("clash"))).collect()}
     for i, text in enumerate(TEXTS):
