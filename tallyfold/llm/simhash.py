@@ -39,6 +39,7 @@ LEAF = 4096  # fingerprints for each shard, about
 SHARD = 1 << 18
 BLOCK = 512
 MAX_ROUNDS = 64
+MARKS = 1 << 26  # bits that mark rows which do not simply stay
 Nodes = list[tuple[int, int, int, int]]  # vantage, radius, left, right; a child below zero is leaf ~child
 
 
@@ -313,28 +314,46 @@ def keep_one(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", simila
     """One row of each component: the one with its id; among rows with this id, one of the least fingerprint.
 
     ``similar_too`` also links texts whose five-word shingles have a similarity of 0.8 or more. Keepers are chosen on narrow
-    rows; the documents meet them by id and checksum of the text, and only keepers that repeat are compared any further.
+    rows. Rows that go, or that repeat, are marked in a bitmap of bounded size by a hash of id and checksum of the text; documents
+    that no mark meets stay without being shuffled, the others meet the narrow rows exactly. The more marks, the more documents are
+    looked at needlessly, with the same result.
     """
     source = docs.select(F.col(doc_id).alias("id"), F.xxhash64(text).alias("key"), F.struct("*").alias("row"))
-    texts = docs.select(F.xxhash64(text).alias("key"), F.col(text).alias("text"))
+    texts = docs.select(F.xxhash64(text).alias("key"), F.col(doc_id).alias("id"), F.col(text).alias("text"))
     if similar_too:
         python_ready(docs.sparkSession)
     prints = sketched(docs.select(F.col(doc_id).alias("id"), F.col(text).alias("t")), similar.common_shingles(texts) if similar_too else None)
     roots = rooted(prints.select("fp").distinct())
     if similar_too:
-        by_key = materialize(prints.select("key", "fp").dropDuplicates(["key"]).join(roots, "fp").select("key", "root"))
-        more = similar.links(prints.select("key", "n", "prefix", "bits"), by_key, texts, connected)
+        by_key = materialize(prints.groupBy("key").agg(F.min("id").alias("id"), F.min("fp").alias("fp")).join(roots, "fp").select("key", "id", "root"))
+        more = similar.links(prints.select("key", "n", "prefix", "bits"), by_key.select("key", "root"), texts, by_key.select("key", "id"), connected)
         wider = materialize(connected(more).select("node", F.col("root").alias("wider")))
         roots = materialize(roots.join(wider, roots["root"] == wider["node"], "left").select("fp", F.coalesce("wider", "root").alias("root")))
     all_rows = prints.select("id", "row", "key", "fp").join(classes(prints.select("id", "fp"), "id", roots), "fp")
     own = all_rows.where(F.col("id").eqNullSafe(F.col("component_id")))
     chosen = own.groupBy("root", "component_id").agg(F.min_by(F.struct("id", "key"), F.struct("fp", "row")).alias("kept"))
     chosen = chosen.select(F.col("kept.id").alias("kept_id"), F.col("kept.key").alias("kept_key"))
-    times = prints.join(chosen, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key"))).groupBy("kept_id", "kept_key").agg(F.count("*").alias("times"))
-    times = materialize(times)
+    same = lambda x, y: F.col(f"{x}id").eqNullSafe(F.col(f"{y}id")) & (F.col(f"{x}key") == F.col(f"{y}key"))
+    times = prints.groupBy("id", "key").agg(F.count("*").alias("times"))
+    times = materialize(times.join(chosen, same("", "kept_"), "left").select("id", "key", "times", F.col("kept_key").isNotNull().alias("kept")))
     drop(prints)
-    kept = source.join(times, F.col("id").eqNullSafe(F.col("kept_id")) & (F.col("key") == F.col("kept_key")))
-    if times.where("times > 1").isEmpty():
-        return kept.select("row.*")
-    again = kept.where("times > 1").dropDuplicates(["kept_id", "kept_key"])
-    return kept.where("times = 1").select("row.*").unionByName(again.select("row.*"))
+    source = with_mark(source, times.where("not kept or times > 1"))
+    seen = source.where("mark").join(times.where("kept").select(F.col("id").alias("kept_id"), F.col("key").alias("kept_key"), "times"), same("", "kept_"))
+    kept = source.where("not mark").select("row.*").unionByName(seen.where("times = 1").select("row.*"))
+    if times.where("kept and times > 1").isEmpty():
+        return kept
+    return kept.unionByName(seen.where("times > 1").dropDuplicates(["kept_id", "kept_key"]).select("row.*"))
+
+
+def with_mark(rows: DataFrame, marked: DataFrame) -> DataFrame:
+    """Add ``mark``: true for all rows whose ``id, key`` stand in ``marked``, and for a few others.
+
+    A bitmap of up to ``MARKS`` bits, about 64 for each marked row, is sent as at most ``MARKS`` / 64 words of it.
+    """
+    bits = min(MARKS, max(1 << 12, 1 << (64 * marked.count()).bit_length()))
+    spot = F.pmod(F.xxhash64("id", "key"), F.lit(bits))
+    word, shift = F.shiftright(spot, 6), F.pmod(spot, F.lit(64)).cast("int")
+    words = marked.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("long"), shift).alias("bit")).groupBy("word").agg(F.bit_or("bit").alias("word_bits"))
+    met = rows.withColumn("word", word).withColumn("shift", shift).join(F.broadcast(words), "word", "left")
+    one = F.call_function("shiftright", F.col("word_bits"), F.col("shift")).bitwiseAND(F.lit(1)) == 1
+    return met.withColumn("mark", F.coalesce(one, F.lit(False))).drop("word", "shift", "word_bits")

@@ -177,18 +177,25 @@ def near(pairs: DataFrame, sketches: DataFrame) -> DataFrame:
     return out
 
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (a, b) of keys whose texts are similar."""
-    found = picked(texts, pairs)
+def verified(pairs: DataFrame, texts: DataFrame, ids: DataFrame) -> DataFrame:
+    """The pairs (a, b) of keys whose texts are similar.
+
+    ``ids`` names one row of ``texts`` for each key, so that copies need not be sorted out. Few pairs are sent to all executors; then
+    only the texts of both ends are shuffled, each once a pair, and a group's texts are dealt by pair, not by key.
+    """
+    ends = F.explode(F.array(*[F.struct(F.lit(side).alias("side"), F.col(side).alias("key")) for side in ("a", "b")])).alias("end")
+    wanted = materialize(pairs.select("a", "b", ends).select("a", "b", "end.*").join(ids.select("key", "id"), "key"))
+    some = wanted.select("a", "b", "side", F.col("key").alias("key_"), F.col("id").alias("id_"))
+    some = F.broadcast(some) if some.count() <= MAX_SENT else some
+    found = texts.join(some, (F.col("key") == F.col("key_")) & F.col("id").eqNullSafe(F.col("id_")))
+    both = found.groupBy("a", "b").agg(*[F.max(F.when(F.col("side") == side, F.col("text"))).alias(f"t{side}") for side in ("a", "b")])
 
     @F.pandas_udf("boolean")
     def check(a: pd.Series, b: pd.Series) -> pd.Series:
         return pd.Series([similar(x, y) for x, y in zip(a, b, strict=True)], dtype=bool)
 
-    both = pairs.join(found.select(F.col("key").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(found.select(F.col("key").alias("b"), F.col("text").alias("tb")), "b")
     out = materialize(both.where(check("ta", "tb")).select("a", "b"))
-    drop(found)
+    drop(wanted)
     return out
 
 
@@ -198,19 +205,19 @@ def met(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "token").where((F.col("root") != F.col("root_")) & possible())
 
 
-def linked(pairs: DataFrame, roots: DataFrame, texts: DataFrame, sketches: DataFrame) -> DataFrame:
+def linked(pairs: DataFrame, roots: DataFrame, texts: DataFrame, ids: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b) of components, for the similar ones among pairs (a, b) of keys."""
-    found = verified(near(pairs, sketches), texts)
+    found = verified(near(pairs, sketches), texts, ids)
     for c in ("a", "b"):
         found = found.join(roots.select(F.col("key").alias(c), F.col("root").alias(f"root_{c}")), c)
     return materialize(found.select(F.col("root_a").alias("a"), F.col("root_b").alias("b")))
 
 
-def links(sketches: DataFrame, roots: DataFrame, texts: DataFrame, connected: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def links(sketches: DataFrame, roots: DataFrame, texts: DataFrame, ids: DataFrame, connected: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Links (a, b) of components that connect all those with similar texts.
 
     ``sketches`` has ``key`` (equal for equal texts only) and ``sketch``'s ``n, prefix, bits``; ``roots`` has the component ``root``
-    of each ``key`` once; ``texts`` has ``key, text``. All are read several times. ``connected`` gives (node, root) of links.
+    of each ``key`` once; ``texts`` has ``key, id, text``, and ``ids`` one of its ``id`` for each ``key``. All are read several times. ``connected`` gives (node, root) of links.
     """
     tried = found = None
     ordered = [F.least("key", "key_").alias("a"), F.greatest("key", "key_").alias("b")]
@@ -223,7 +230,7 @@ def links(sketches: DataFrame, roots: DataFrame, texts: DataFrame, connected: Ca
         if pairs.isEmpty():
             return None
         tried = pairs if tried is None else tried.unionByName(pairs)
-        new = linked(pairs, roots, texts, sketches)
+        new = linked(pairs, roots, texts, ids, sketches)
         found = new if found is None else found.unionByName(new)
         return None if new.isEmpty() else materialize(connected(new).select(F.col("node").alias("root"), F.col("root").alias("merged")))
 

@@ -85,3 +85,25 @@ def test_parity_bits_bound_what_only_one_text_has(spark):
     assert {len(r[2]) for r in rows} == {1, 2, 8, 16, 32} and len(got) > 10
     assert all(d <= len(set(found[i].tolist()) ^ set(found[j].tolist())) for (i, j), (d, _) in got.items())
     assert all(9 * d > total for (i, j), (d, total) in got.items() if j > 7)  # shuffled texts are sorted out at every length
+
+
+def test_marks_only_add_rows_to_look_at(spark, monkeypatch):
+    rows = [(i if i % 9 else None, i // 2, i) for i in range(4000)]
+    table = spark.createDataFrame(rows, "id long, key long, row long")
+    wanted = {r for r in rows if r[2] % 5 == 0}
+    for bits, most in ((simhash.MARKS, 0.03), (1 << 12, 0.4), (64, 1.0)):
+        monkeypatch.setattr(simhash, "MARKS", bits)
+        got = simhash.with_mark(table, table.where("row % 5 = 0").select("id", "key")).collect()
+        assert len(got) == len(rows) and all(r["mark"] for r in got if (r["id"], r["key"], r["row"]) in wanted)
+        others = [r["mark"] for r in got if r["row"] % 5 and not (r["id"] is None and r["row"] % 2)]
+        assert sum(others) <= most * len(others) + 1
+
+
+def test_repeated_rows_and_null_ids_keep_one(spark):
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, "a b c", "x")] * 3 + [(None, long, "y")] * 2 + [(7, "a b c", "z"), (8, None, "n"), (8, None, "n"), (9, "d e f g", "k"), (10, long + " end", "m")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, mark string").repartition(4)
+    for too in (False, True):
+        got = sorted((r["doc_id"] or 0, r["mark"]) for r in simhash.keep_one(docs, similar_too=too).collect())
+        assert got == [(0, "y")] * (not too) + [(1, "x"), (8, "n"), (9, "k"), (10, "m")]
+    assert simhash.keep_one(docs.limit(0), similar_too=True).count() == 0
