@@ -169,6 +169,39 @@ def projected_portfolio(memberships: DataFrame, process_id: str, status: str) ->
     return portfolio(memberships.withColumn("status", other))
 
 
+#: Line counts of a unit, and the sums that must hold among them.
+COUNTS = ("lines", "in_scope", "out_of_scope", "applicable", "non_executable", "verified", "blocked", "unverified")
+SUMS = {"scope_adds_up": ("lines", "in_scope", "out_of_scope"), "applicable_adds_up": ("in_scope", "applicable", "non_executable"), "verified_adds_up": ("applicable", "verified", "blocked", "unverified")}
+
+
+def line_profile(rows: DataFrame, keys: Sequence[str], disposition: str) -> DataFrame:
+    """``(*keys, *COUNTS)`` of lines that have one disposition each; a line without one is in scope and applicable, and nothing else."""
+    d = F.coalesce(F.col(disposition), F.lit(""))
+    of = {"lines": F.lit(True), "in_scope": d != "out_of_scope", "out_of_scope": d == "out_of_scope", "applicable": ~d.isin("out_of_scope", "non_executable"), "non_executable": d == "non_executable",
+        "verified": d == "mapped_verified", "blocked": d == "blocked", "unverified": d == "mapped_unverified"}
+    return rows.groupBy(*keys).agg(*[F.count_if(of[c]).alias(c) for c in COUNTS])
+
+
+def denominators(profile: DataFrame) -> DataFrame:
+    """Add a boolean for each of ``SUMS``, and ``reconciled``: all hold and no count is negative. Unknown counts reconcile with nothing."""
+    sums = {name: F.coalesce(F.col(whole) == sum((F.col(p) for p in parts[1:]), F.col(parts[0])), F.lit(False)) for name, (whole, *parts) in SUMS.items()}
+    natural = reduce(lambda a, b: a & b, [F.coalesce(F.col(c) >= 0, F.lit(False)) for c in COUNTS])
+    return profile.withColumns(sums).withColumn("reconciled", reduce(lambda a, b: a & b, [F.col(name) for name in sums], natural))
+
+
+def validation_rollup(programs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+    """One row a group over ``(known, meeting, gaps, complete, blocked)`` of its programs.
+
+    ``validated`` counts programs with a validation (``meeting`` known), ``missing`` the known logic beyond what meets the minimum, never
+    below zero. A group is complete if it has validated programs, all of them complete, and nothing is blocked.
+    """
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0).cast("long"))
+    have = F.col("meeting").isNotNull()
+    done = F.coalesce(F.bool_and(F.when(have, F.coalesce("complete", F.lit(False)))), F.lit(False)) & (total("blocked") == 0)
+    out = programs.groupBy(*keys).agg(F.count_if(have).alias("validated"), total("known").alias("known"), total("meeting").alias("meeting"), total("gaps").alias("gaps"), done.alias("complete"))
+    return out.withColumn("missing", F.greatest(F.lit(0).cast("long"), F.col("known") - F.col("meeting")))
+
+
 def metrics_long(row: DataFrame) -> DataFrame:
     """``(metric, value)`` of a one-row table as text; null is ``Unknown``."""
     text = row.select(*[F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias(c) for c in row.columns])

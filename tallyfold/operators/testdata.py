@@ -13,8 +13,12 @@ from tallyfold.operators.rules import Atom, Rule, apply_rules, column
 
 
 def seeded(seed: int, *parts: Column) -> Column:
-    """A repeatable non-negative number for a row."""
-    return F.xxhash64(F.lit(seed), *parts).bitwiseAND(F.lit((1 << 62) - 1))
+    """A repeatable number for a row, from 0 to 2^60 - 1: the first 15 hex digits of the MD5 of seed and parts, joined by colons.
+
+    Any engine can make it again, so what is drawn with it can be checked from outside.
+    """
+    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
 
 
 def boundaries(atoms: DataFrame, layout: DataFrame, seed: int = 0) -> DataFrame:
@@ -42,10 +46,14 @@ def record_json(layout: Sequence[Field], base: dict[str, Column] | None = None,
     return F.concat(F.lit("{"), F.concat_ws(",", *items), F.lit("}"))
 
 
-def invalid_rows(spark, layout: Sequence[Field]) -> DataFrame:
-    """``(case, raw)``: each field out of range, of the wrong type, null, short, long and missing; an extra field; no object."""
+def invalid_cases(layout: Sequence[Field], base: dict[str, Column] | None = None) -> Column:
+    """An array of ``(case, raw)``: each field out of range, of the wrong type, null, short, long and missing; an extra field; no object.
+
+    The other fields of a case have the raw JSON values of ``base``, else their defaults.
+    """
     import json
 
+    base = base or {}
     cases: list[tuple[str, Column]] = []
     for f in layout:
         values = {"null": "null", "boolean": "true"}
@@ -53,11 +61,25 @@ def invalid_rows(spark, layout: Sequence[Field]) -> DataFrame:
             values |= {"negative": "-1", "overflow": str(f.maximum + 1), "text": '"1"', "fraction": "1.5"}
         else:
             values |= {"short": json.dumps("x" * (f.width - 1)), "long": json.dumps("x" * (f.width + 1)), "number": "7"}
-        cases += [(f"{f.name} {k}", record_json(layout, {f.name: F.lit(v)})) for k, v in values.items()]
-        cases.append((f"{f.name} missing", record_json(layout, drop=f.name)))
-    cases += [("extra field", record_json(layout, {"EXTRA": F.lit("1")})), ("no object", F.lit("[]")), ("no JSON", F.lit("{"))]
-    rows = F.array(*[F.struct(F.lit(c).alias("case"), raw.alias("raw")) for c, raw in cases])
-    return spark.range(1).select(F.explode(rows).alias("r")).select("r.*")
+        cases += [(f"{f.name} {k}", record_json(layout, base | {f.name: F.lit(v)})) for k, v in values.items()]
+        cases.append((f"{f.name} missing", record_json(layout, base, drop=f.name)))
+    cases += [("extra field", record_json(layout, base | {"EXTRA": F.lit("1")})), ("no object", F.lit("[]")), ("no JSON", F.lit("{"))]
+    return F.array(*[F.struct(F.lit(c).alias("case"), raw.alias("raw")) for c, raw in cases])
+
+
+def invalid_rows(spark, layout: Sequence[Field]) -> DataFrame:
+    """``(case, raw)``: the invalid cases of a layout around its defaults."""
+    return spark.range(1).select(F.explode(invalid_cases(layout)).alias("r")).select("r.*")
+
+
+def invalid_witnesses(rows: DataFrame, layout: Sequence[Field], keys: Sequence[str]) -> DataFrame:
+    """``(*keys, case, raw)``: the invalid cases around every row's own values, a narrow projection.
+
+    A null field is written as JSON null. Texts are escaped as JSON texts.
+    """
+    value = lambda f: F.col(f.name).cast("string") if f.kind == "integer" else F.regexp_extract(F.to_json(F.struct(F.col(f.name).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
+    base = {f.name: F.when(F.col(f.name).isNull(), "null").otherwise(value(f)) for f in layout}
+    return rows.select(*keys, F.explode(invalid_cases(layout, base)).alias("r")).select(*keys, "r.*")
 
 
 def interactions(domains: Sequence[DataFrame], budget: int) -> DataFrame:
@@ -88,7 +110,7 @@ def domain_values(layout: DataFrame, minimum: int, seed: int = 0) -> DataFrame:
 
 def correlated(rows: DataFrame, left: str, right: str, every: int) -> DataFrame:
     """Rows with ``right`` made equal to ``left``, but deliberately unequal in one of ``every`` rows; and ``label``."""
-    odd = F.pmod(F.xxhash64(left, right), F.lit(every)) == 0
+    odd = F.pmod(seeded(0, F.col(left), F.col(right)), F.lit(every)) == 0
     return rows.withColumn(right, F.when(odd, F.col(left) + 1).otherwise(F.col(left))).withColumn("label", F.when(F.col(left) == F.col(right), "MATCH").otherwise("INTENTIONAL_MISMATCH"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.operators import contract, lines, reconcile, review, rules, testdata, windows
 from tallyfold.operators.contract import Field
+from tallyfold.plans import rule_queries
 from tallyfold.plans.registry import query, table
 from tallyfold.streaming import ledger
 
@@ -299,24 +300,32 @@ def first_k_by_key(spark, sf_dir):
     return windows.first_k(table(spark, sf_dir, "events"), ["user_id"], [F.desc("value"), "event_id"], 3).select("user_id", "event_id")
 
 
-@query()
+@query("""
+with k as (select l_returnflag, l_orderkey as a, case when ('0x' || substr(md5(concat_ws(':', 0, l_orderkey, l_partkey)), 1, 15))::bigint % 9 = 0 then l_orderkey + 1 else l_orderkey end as b from lineitem)
+select l_returnflag, case when a = b then 'MATCH' else 'INTENTIONAL_MISMATCH' end as label, count(*) as n from k group by 1, 2
+""")
 def correlated_keys(spark, sf_dir):
     """Line items whose order and part keys are made equal, but deliberately unequal in one of nine or so."""
     rows = testdata.correlated(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey", "l_returnflag"), "l_orderkey", "l_partkey", 9)
     return rows.groupBy("l_returnflag", "label").agg(F.count("*").alias("n"))
 
 
-@query()
+@query("""
+with l as (select p_brand as field, 10 ** length(max(p_size)::varchar)::int - 1 as top from part group by 1),
+v as (select field, top::bigint as top, unnest(range(8)) as i from l)
+select distinct field, value from (select field, top, i as value from v union all select field, top, ('0x' || substr(md5(concat_ws(':', 0, field, i)), 1, 15))::bigint % (top + 1) from v union all select field, top, top from v) where value <= top
+""")
 def field_domains(spark, sf_dir):
     """Values to try for each part brand as a field as wide as its largest size."""
     layout = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("field")).agg(F.length(F.max("p_size").cast("string")).alias("width")).withColumn("type", F.lit("integer"))
     return testdata.domain_values(layout, 4)
 
 
-@query()
+@query(f"""
+{rule_queries.CASES_SQL.replace("cases as", "every as")}, cases as (select p, min(i) as i from every group by 1), {rule_queries.SCENARIOS_SQL}
+select p as program_index, i as case_index, label, raw from s
+""")
 def scenario_replay(spark, sf_dir):
     """Scenarios of the campaign made again from their numbers alone: the least case of every program."""
-    from tallyfold.plans.rule_queries import scenario_cases
-
-    least = scenario_cases(spark, sf_dir).groupBy("program_index").agg(F.min("case_index").alias("case_index"))
-    return testdata.scenarios(least, 20261003).select("program_index", "case_index", "label", "raw")
+    least = rule_queries.scenario_cases(spark, sf_dir).groupBy("program_index").agg(F.min("case_index").alias("case_index"))
+    return testdata.scenarios(least, rule_queries.SEED).select("program_index", "case_index", "label", "raw")

@@ -119,6 +119,22 @@ def group_projection(spark, sf_dir):
     return rows.select(F.col("ORDER.o_orderkey").alias("order_key"), F.col("ORDER.o_orderstatus").alias("order_status"), F.col("CUSTOMER.c_custkey").alias("customer_key"), F.col("CUSTOMER.c_nationkey").alias("customer_nation"))
 
 
+@query("""
+with c(f, bad) as (values ('o_orderkey', 'null'), ('o_orderkey', 'boolean'), ('o_orderkey', 'negative'), ('o_orderkey', 'overflow'), ('o_orderkey', 'text'), ('o_orderkey', 'fraction'), ('o_orderkey', 'missing'),
+  ('o_orderstatus', 'null'), ('o_orderstatus', 'boolean'), ('o_orderstatus', 'short'), ('o_orderstatus', 'long'), ('o_orderstatus', 'number'), ('o_orderstatus', 'missing'), ('extra', 'field'), ('no', 'object'), ('no', 'JSON')),
+e as (select f || ' ' || bad as "case", case when f = 'no' then 'record must be an object' when f = 'extra' then 'field set differs from source layout'
+  else case when bad = 'missing' then 'field set differs from source layout; ' else '' end || f || case f when 'o_orderkey' then ': invalid unsigned integer' else ': invalid fixed-width string' end end as errors from c)
+select "case", 'REJECT_INPUT' as input_status, errors, count(*) as n, count(distinct case when "case" like 'no %' then '' when starts_with("case", 'o_orderkey') then o_orderstatus else o_orderkey::varchar || case when starts_with("case", 'o_orderstatus') then '' else o_orderstatus end end) as inputs
+from e, orders group by 1, 2, 3
+""")
+def invalid_witnesses(spark, sf_dir):
+    """Every order's record broken in each way that the layout forbids: the contract's answers, and how many different inputs were made."""
+    layout = [Field("o_orderkey", "integer", 9), Field("o_orderstatus", "string", 1)]
+    made = testdata.invalid_witnesses(table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus"), layout, [])
+    checked = contract.validate_json(made, "raw", layout)
+    return checked.groupBy("case", "input_status", F.array_join("errors", "; ").alias("errors")).agg(F.count("*").alias("n"), F.count_distinct("raw").alias("inputs"))
+
+
 @query("""
 with m as (select l_orderkey as p, 'J' || (l_suppkey % 3) as job, l_linenumber as jo, l_returnflag as step, l_linenumber as so from lineitem),
 v as (
@@ -151,21 +167,71 @@ def identity_conflicts(spark, sf_dir):
     return contract.identity_conflicts(rows, "digest", ["doc_id"])
 
 
+def drawn_sql(*parts: object) -> str:
+    """The SQL of ``testdata.seeded``."""
+    return f"('0x' || substr(md5(concat_ws(':', {', '.join(map(str, parts))})), 1, 15))::bigint"
+
+
+def relation_sql(left: str, right: str) -> str:
+    return "case op " + " ".join(f"when '{o}' then {left} {o} {right}" for o in testdata.OPERATORS) + " end"
+
+
+def listed(values) -> str:
+    return "[" + ", ".join(f"'{v}'" if isinstance(v, str) else f"{v}::bigint" for v in values) + "]"
+
+
+SEED = 20261003
+CASES_SQL = f"""
+with h as (select {drawn_sql(0, "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")} % 1099511627776 as h from lineitem),
+cases as (select h % 200 as p, h // 200 as i from h)"""
+#: Scenarios of ``cases`` written down from their definition: ``s`` has p, i, family, label, raw and the values.
+SCENARIOS_SQL = f"""
+s1 as (select *, p % 20 as v, {listed(testdata.FAMILIES)}[p // 20 + 1] as family, {listed(testdata.OPERATORS)}[p % 20 % 6 + 1] as op, {listed([10**w - 1 for w in (3, 4, 6, 9, 18)])}[p % 20 % 5 + 1] as m, 2 + p % 20 % 4 as w from cases),
+s2 as (select *, ([0, 1, m // 2, m - 1, m]::bigint[])[v // 4 % 5 + 1] as t from s1),
+s3 as (select *, case when t = m then 0 else t + 1 end as n, case when i % 8 < 4 then ([0, 1, m - 1, m, t, greatest(0, t - 1), least(m, t + 1)]::bigint[])[i // 8 % 7 + 1] else {drawn_sql(SEED, "p", "i", 1)} % (m + 1) end as a,
+  rpad(substr(translate(to_hex({drawn_sql(SEED, "p", "i", 3)}), '0123456789ABCDEF', ' Aaz09* Aaz09*> '), 1, w::int), w::int, ' ') as ta,
+  rpad(substr(translate(to_hex({drawn_sql(SEED, "p", "i", 4)}), '0123456789ABCDEF', ' Aaz09* Aaz09*> '), 1, w::int), w::int, ' ') as other from s2),
+s4 as (select *, case i % 4 when 0 then a when 1 then greatest(0, a - 1) when 2 then least(m, a + 1) else {drawn_sql(SEED, "p", "i", 2)} % (m + 1) end as b, case when i % 3 = 0 then ta else other end as tb, [' ', 'T', 'F', 'Y', 'N'][i % 5 + 1] as flag,
+  case when i % 10 >= 8 then {listed(testdata.INVALID)}[{drawn_sql(SEED, "p", "i", 5)} % 10 + 1] else ['valid_equal_peer', 'valid_lower_peer', 'valid_upper_peer', 'valid_independent_peer'][i % 4 + 1] end as label from s3),
+s as (select *, '{{' || case when label = 'missing_numeric_field' then '' else '"A":' || case when label in ('negative_numeric', 'multiple_layout_errors') then '-1' when label = 'boolean_numeric' then 'true' else a::varchar end || ',' end
+  || '"B":' || case when label = 'numeric_overflow' then (m + 1)::varchar when label = 'fractional_type_numeric' then b || '.5' else b::varchar end || ',"FLAG":"' || flag || '","TEXT-A":'
+  || case when label = 'null_character' then 'null' when label = 'short_character' then '"' || substr(ta, 2) || '"' else '"' || ta || '"' end || ',"TEXT-B":'
+  || case when label = 'multiple_layout_errors' then '[]' when label = 'long_character' then '"' || tb || 'X"' else '"' || tb || '"' end || case when label = 'extra_field' then ',"EXTRA":1' else '' end || '}}' as raw from s4)"""
+#: What the programs must do with the scenarios, by family: ``x`` has the branches and the final flag.
+OUTCOMES_SQL = f"""
+x1 as (select *, starts_with(label, 'valid_') as good, case family when 'literal_threshold' then {relation_sql("a", "t")} when 'ordered_overwrite' then ({relation_sql("a", "t")}) and ta <> tb
+  when 'and_correlation' then ({relation_sql("a", "t")}) and b >= a when 'or_and_precedence' then ({relation_sql("a", "t")}) or (b = a and ta = tb) when 'character_peer' then (ta = tb) = (v % 2 = 0)
+  when 'two_group_join' then ({relation_sql("a", "b")}) and ta = tb when 'reversed_literal' then {relation_sql("t", "a")} else {relation_sql("a", "b")} end as one from s),
+x2 as (select *, case when family = 'write_then_compare' then case when one then n else t end else a end as a2, family = 'three_rule_feedback' and one and ta = tb as fed from x1),
+x3 as (select *, case when family = 'write_then_compare' then a2 = n when family = 'three_rule_feedback' then fed end as two, case when family = 'three_rule_feedback' then case when fed then n else t end else b end as b2 from x2),
+x4 as (select *, case when family = 'three_rule_feedback' then b2 = n or a = b2 end as three from x3),
+x as (select *, case when three is not null then case when three then 'Y' else 'N' end when coalesce(two, one) then 'T' else 'F' end as final from x4)"""
+
+
 def scenario_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One scenario for each line item: its numbers choose the program and the case."""
     l = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    h = F.xxhash64("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").bitwiseAND(F.lit((1 << 40) - 1))
-    return spread(l.select(F.pmod(h, F.lit(testdata.PROGRAMS)).alias("program_index"), F.floor(h / testdata.PROGRAMS).alias("case_index")))
+    h = testdata.seeded(0, *[F.col(c) for c in l.columns]).bitwiseAND(F.lit((1 << 40) - 1))
+    return spread(l.select(h.alias("h"))).select(F.pmod("h", F.lit(testdata.PROGRAMS)).alias("program_index"), F.floor(F.col("h") / testdata.PROGRAMS).alias("case_index"))
 
 
-@query()
+@query(f"""
+{CASES_SQL}, {SCENARIOS_SQL}, {OUTCOMES_SQL}
+select family, count(*) as scenarios, count(*) filter (good) as valid, 0::bigint as divergences, count(*) filter (good and final in ('T', 'Y')) as flagged,
+  coalesce(sum(one::int + coalesce(two, false)::int + coalesce(three, false)::int) filter (good), 0)::bigint as taken, sum({drawn_sql(0, "p", "raw")})::varchar as digest from x group by 1
+""")
 def scenario_campaign(spark, sf_dir):
-    """Scenarios through the JSON contract and the rule table, against what their label and family say; no divergence is right."""
-    rows = testdata.expected(testdata.scenarios(scenario_cases(spark, sf_dir), 20261003))
+    """Scenarios through the JSON contract and the rule table, against what their label and family say; no divergence is right.
+
+    Besides, of the accepted ones by the rule table: how many end with a flag of T or Y, and how many branches are taken.
+    """
+    rows = testdata.expected(testdata.scenarios(scenario_cases(spark, sf_dir), SEED))
     done = rules.run_rule_table(rules.checked_by_columns(rows), rules.rule_table(spark, {i: testdata.program_rules(i)[1] for i in range(testdata.PROGRAMS)}))
-    e = F.col("expected")
-    same = e["status"].eqNullSafe(F.col("input_status")) & F.when(e["status"] == "ACCEPT_INPUT", (F.array(e["a"], e["b"]) == F.col("numbers")) & (e["flag"] == F.get("texts", F.lit(0))) & (e["branches"] == F.col("branches"))).otherwise(F.lit(True))
-    return done.groupBy("family").agg(F.count("*").alias("scenarios"), F.count_if(F.startswith("label", F.lit("valid_"))).alias("valid"), F.count_if(~F.coalesce(same, F.lit(False))).alias("divergences"), F.sum(F.xxhash64("program_index", "raw").cast("decimal(20,0)")).alias("digest"))
+    e, accepted, flag = F.col("expected"), F.col("input_status") == "ACCEPT_INPUT", F.get("texts", F.lit(0))
+    same = e["status"].eqNullSafe(F.col("input_status")) & F.when(e["status"] == "ACCEPT_INPUT", (F.array(e["a"], e["b"]) == F.col("numbers")) & (e["flag"] == flag) & (e["branches"] == F.col("branches"))).otherwise(F.lit(True))
+    taken = F.sum(F.when(accepted, F.size(F.filter("branches", lambda x: x))))
+    return done.groupBy("family").agg(F.count("*").alias("scenarios"), F.count_if(F.startswith("label", F.lit("valid_"))).alias("valid"), F.count_if(~F.coalesce(same, F.lit(False))).alias("divergences"),
+        F.count_if(accepted & flag.isin("T", "Y")).alias("flagged"), F.coalesce(taken, F.lit(0).cast("long")).alias("taken"), F.sum(testdata.seeded(0, F.col("program_index"), F.col("raw")).cast("decimal(20,0)")).cast("string").alias("digest"))
 
 
 @query("""
@@ -173,7 +239,7 @@ select family, 0::bigint as table_and_expected, 0::bigint as compiled_and_expect
 """)
 def campaign_three_ways(spark, sf_dir):
     """Divergences between the rule table, the compiled programs and the independent expectation; none is right."""
-    rows = rules.checked_by_columns(testdata.expected(testdata.scenarios(scenario_cases(spark, sf_dir), 20261003)))
+    rows = rules.checked_by_columns(testdata.expected(testdata.scenarios(scenario_cases(spark, sf_dir), SEED)))
     programs = {i: testdata.program_rules(i)[1] for i in range(testdata.PROGRAMS)}
     given = rows.withColumn("_given", F.struct("numbers", "texts"))
     done = rules.run_rule_table(given, rules.rule_table(spark, programs)).withColumn("_table", F.struct("numbers", "texts", "branches"))
@@ -185,10 +251,13 @@ def campaign_three_ways(spark, sf_dir):
     return done.groupBy("family").agg(differ(as_expected(F.col("_table")), "table_and_expected"), differ(as_expected(F.col("_compiled")), "compiled_and_expected"), differ(alike, "table_and_compiled"))
 
 
-@query()
+@query(f"""
+{CASES_SQL}, {SCENARIOS_SQL}
+select label, count(*) as scenarios, count(distinct (p, raw)) as distinct_inputs from s group by 1
+""")
 def scenario_duplicates(spark, sf_dir):
     """Scenarios, distinct inputs and labels of the campaign."""
-    rows = testdata.scenarios(scenario_cases(spark, sf_dir), 20261003)
+    rows = testdata.scenarios(scenario_cases(spark, sf_dir), SEED)
     once = rows.groupBy("program_index", "label", F.sha2("raw", 256).alias("fp")).agg(F.count("*").alias("n"))
     return once.groupBy("label").agg(F.sum("n").alias("scenarios"), F.count("*").alias("distinct_inputs"))
 

@@ -16,7 +16,16 @@ from tallyfold.sources.shared import fresh_path
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
 
 
-@query()
+DESCRIBE_SQL = " union all ".join(
+    f"select 'sf' as schema, '{t}' as \"table\", column_name as name, column_type as type, row_number() over () as ordinal, (select count(*) from {t}) as n_rows from (describe {t})" for t in TABLES
+)
+
+
+@query(f"""
+with c as ({DESCRIBE_SQL})
+select schema, "table", name, replace(case when ends_with(type, '[]') then 'array<' || t || '>' else t end, 'timestamp', 'timestamp_ntz') as type, true as nullable, ordinal::int as ordinal, n_rows
+from (select *, case replace(type, '[]', '') when 'INTEGER' then 'int' when 'VARCHAR' then 'string' else lower(replace(type, '[]', '')) end as t from c)
+""")
 def describe_columns(spark, sf_dir):
     """Columns of every table, with the number of its rows."""
     counted = lambda t: scan.describe(table(spark, sf_dir, t), "sf", t).join(table(spark, sf_dir, t).agg(F.count("*").alias("n_rows")))

@@ -227,3 +227,43 @@ def test_answers_from_outside(spark):
     }
     files = spark.createDataFrame([("a", "cobol"), ("b", "unknown"), ("c", "pli")], "path string, kind string")
     assert sorted(tuple(r) for r in lineage.unparsed(files).collect()) == [("source_file", "b", "unresolved_parser"), ("source_file", "c", "unresolved_parser")]
+
+
+def test_denominators_with_unknown_and_negative_counts(spark):
+    rows = spark.createDataFrame([("a", "blocked"), ("a", "out_of_scope"), ("a", "non_executable"), ("b", None), ("b", "mapped_verified"), ("c", "mapped_unverified")], "u string, d string")
+    profile = reconcile.line_profile(rows, ["u"], "d")
+    got = {r["u"]: (r["scope_adds_up"], r["applicable_adds_up"], r["verified_adds_up"], r["reconciled"]) for r in reconcile.denominators(profile).collect()}
+    assert got == {"a": (True, True, True, True), "b": (True, True, False, False), "c": (True, True, True, True)}
+    unknown = profile.where("u = 'c'").withColumn("lines", F.lit(None).cast("long"))
+    assert [r["reconciled"] for r in reconcile.denominators(unknown).collect()] == [False]
+    negative = profile.where("u = 'c'").withColumns({"blocked": F.lit(-1), "unverified": F.col("unverified") + 1})
+    assert [(r["verified_adds_up"], r["reconciled"]) for r in reconcile.denominators(negative).collect()] == [(True, False)]
+
+
+def test_validation_rollup_of_no_programs_and_of_missing_validations(spark):
+    rows = spark.createDataFrame([("x", 4, 5, 0, True, 0), ("y", 4, 1, 2, True, 0), ("y", 3, None, None, None, 0), ("z", 1, 1, 0, True, 2), ("w", 1, 1, 0, None, 0)], "k string, known long, meeting long, gaps long, complete boolean, blocked long")
+    got = {r["k"]: (r["validated"], r["known"], r["missing"], r["gaps"], r["complete"]) for r in reconcile.validation_rollup(rows, ["k"]).collect()}
+    assert got == {"x": (1, 4, 0, 0, True), "y": (1, 7, 6, 2, True), "z": (1, 1, 0, 0, False), "w": (1, 1, 0, 0, False)}
+    assert tuple(reconcile.validation_rollup(rows.limit(0)).first()) == (0, 0, 0, 0, False, 0)
+
+
+def test_invalid_witnesses_keep_the_other_values(spark):
+    from tallyfold.operators import contract, testdata
+
+    layout = [contract.Field("n", "integer", 3), contract.Field("t", "string", 2)]
+    rows = spark.createDataFrame([(1, 7, '"\\'), (2, None, "ab"), (3, 999, "\n}")], "id int, n int, t string")
+    made = testdata.invalid_witnesses(rows, layout, ["id"])
+    assert made.count() == 3 * 16 and contract.validate_json(made, "raw", layout).where("input_status = 'ACCEPT_INPUT'").count() == 0
+    short = {r["id"]: r["errors"] for r in contract.validate_json(made.where("case = 't short'"), "raw", layout).collect()}
+    assert short == {1: ["t: invalid fixed-width string"], 2: ["n: invalid unsigned integer", "t: invalid fixed-width string"], 3: ["t: invalid fixed-width string"]}
+    number = {r["id"]: r["errors"] for r in contract.validate_json(made.where("case = 'n negative'"), "raw", layout).collect()}
+    assert set(map(tuple, number.values())) == {("n: invalid unsigned integer",)}
+
+
+def test_seeded_numbers_are_those_of_md5(spark):
+    import hashlib
+
+    from tallyfold.operators import testdata
+
+    rows = spark.range(50).select("id", testdata.seeded(9, F.col("id"), F.lit("x")).alias("n")).collect()
+    assert all(r["n"] == int(hashlib.md5(f"9:{r['id']}:x".encode()).hexdigest()[:15], 16) for r in rows)
