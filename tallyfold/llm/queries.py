@@ -84,19 +84,22 @@ with split as (
   select page_id, case when instr(url, '://') > 0 then substr(url, instr(url, '://') + 3) else '' end as rest from pages
 ), parts as (
   select page_id, translate(regexp_extract(rest, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
-         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path from split
+         regexp_extract(rest, '^[^/?#]*([^?#]*)', 1) as path, regexp_extract(rest, '^[^?#]*\?([^#]*)', 1) as query from split
 ), rules(rule, rule_host, rule_path, action) as (
   values ('com/', 'com', '/', 'allow'), ('example.com/en/', 'example.com', '/en/', 'block'), ('www.example.com/en/', 'www.example.com', '/en/', 'allow'),
          ('net/es/', 'net', '/es/', 'block'), ('net/fr/', 'net', '/fr/', 'block')
-), words(word) as (values ('casino'), ('free-bets'), ('cheap-pills'), ('poker'), ('lottery')),
-fits as (
-  select distinct host, path, (select arg_max(struct_pack(rule, action), length(rule)) from rules
+), method(name, pattern) as (
+  select '*' || w || '*', '^([^/?]*[^/?A-Za-z0-9])?' || w || '([^A-Za-z0-9]|$)' from (values ('casino'), ('free-bets'), ('cheap-pills'), ('poker'), ('lottery'), ('spam-farm'), ('link-farm')) v(w)
+  union all select '/' || w || '/', '^[^/?]*/([^?]*/)?' || w || '([/?.]|$)' from (values ('login'), ('signup'), ('cart'), ('checkout'), ('cgi-bin'), ('wp-admin')) v(w)
+  union all select '?' || w || '=', '^[^?]*\?([^&]*&)*' || w || '=(' || value || ')(&|$)' from (values ('page', '[2-9]|[1-9][0-9]+'), ('sessionid', '[^&]*'), ('phpsessid', '[^&]*'), ('replytocom', '[^&]*'), ('print', '[^&]*')) v(w, value)
+), fits as (
+  select distinct host, path, query, (select arg_max(struct_pack(rule, action), length(rule)) from rules
     where (host = rule_host or ends_with(host, '.' || rule_host)) and starts_with(path, rule_path)) as best,
-    (select arg_max('*' || word || '*', length(word)) from words where regexp_matches(host || path, '^([^/]*[^/A-Za-z0-9])?' || word || '([^A-Za-z0-9]|$)')) as method_rule
+    (select arg_max(name, length(name)) from method where regexp_matches(host || path || case when query <> '' then '?' || query else '' end, pattern)) as method_rule
   from parts
 )
 select page_id, p.host, p.path, best.rule as rule, coalesce(best.action, case when method_rule is not null then 'block' else 'allow' end) as verdict, method_rule
-from parts p join fits f on p.host = f.host and p.path = f.path
+from parts p join fits f on p.host = f.host and p.path = f.path and p.query = f.query
 """,
     "op2_license_scans": r"""
 with d as (

@@ -59,6 +59,33 @@ def test_urls(spark):
     assert url_filters.judge(spark.createDataFrame([], "url string"), "url").count() == 0
 
 
+def test_rule_families(spark):
+    cases = {
+        "http://a.org/x/login": "/login/", "http://a.org/login.html": "/login/", "http://login.org/x": None, "http://a.org/logins/": None, "http://a.org/x?login=1": None, "http://a.org/cgi-bin/run?x": "/cgi-bin/",
+        "http://a.org/x?page=2": "?page=", "http://a.org/?a=1&page=10&b": "?page=", "http://a.org/x?page=1": None, "http://a.org/x?page=2x": None, "http://a.org/x#?page=2": None, "http://a.org?page=7#top": "?page=",
+        "http://a.org/x?mypage=2": None, "http://a.org/page=2": None, "http://a.org/x?a?page=2": None, "http://a.org/x?sessionid=": "?sessionid=", "http://www.spam-farm.a.org/": "*spam-farm*", "http://a.org?spam-farm": None,
+        "http://a.org/x?page=3&sessionid=9": "?sessionid=", "page=2": None, "http://a.org/" + "x/" * 20_000 + "login": "/login/", "http://a.org/x?" + "k=v&" * 20_000 + "page=2": "?page=",
+    }
+    got = url_filters.judge(spark.createDataFrame([(u, "user's") for u in cases], "url string, key string"), "url").collect()
+    assert {r["url"]: r["method_rule"] for r in got} == cases and {r["key"] for r in got} == {"user's"}
+    assert all((r["verdict"] == "block") == (r["method_rule"] is not None) for r in got)
+
+
+def test_ten_thousand_rules_equal_trying_each(spark):
+    rng = random.Random(5)
+    words = [f"w{i}" for i in range(400)]
+    hosts = {f"{rng.choice(words)}.{rng.choice(words)}.org" for _ in range(9000)}
+    rules = [url_filters.host_rule("block", h, rng.choice(["/", "/a/", "/b"])) for h in sorted(hosts)]
+    rules += [url_filters.path_rule("block", w) for w in words] + [url_filters.query_rule("block", w, "[0-9]+") for w in words] + [url_filters.host_word_rule("allow", f"{a}-{b}") for a in words[:20] for b in words[:20]]
+    assert len(rules) > 9_500
+    urls = [f"http://{rng.choice(['', 'x.', rng.choice(words[:20]) + '-' + rng.choice(words[:20]) + '.'])}{rng.choice(sorted(hosts))}/{rng.choice(['a/', 'b', 'c'])}/{rng.choice(words)}{rng.choice(['', '?' + rng.choice(words) + '=' + rng.choice(['1', 'z'])])}" for _ in range(150)]
+    got = {r["url"]: (r["method_rule"], r["verdict"]) for r in url_filters.judge(spark.createDataFrame([(u,) for u in urls], "url string"), "url", (), tuple(rules)).collect()}
+    compiled = [(len(r.name), i, re.compile(r.pattern), r) for i, r in enumerate(rules)]
+    for u in set(urls):
+        fits = [(n, i, r) for n, i, pattern, r in compiled if pattern.search(u.split("://")[1])]
+        assert got[u] == ((max(fits)[2].name, max(fits)[2].action) if fits else (None, "allow"))
+
+
 def test_columns_named_like_helpers_stay(spark):
     helpers = ("hits", "of_base", "of_method", "_hits", "_base", "_method", "result", "found", "_r", "_f")
     urls = spark.createDataFrame([(1, "http://a.net/es/x")], "page_id long, url string")
