@@ -12,13 +12,16 @@ from tallyfold.operators.contract import Field
 from tallyfold.operators.rules import Atom, Rule, apply_rules, column
 
 
+def seeded_hex(seed: int, *parts: Column) -> Column:
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]).cast("binary"))
+
+
 def seeded(seed: int, *parts: Column) -> Column:
     """A repeatable number for a row, from 0 to 2^60 - 1: the first 15 hex digits of the MD5 of seed and parts, joined by colons.
 
     Any engine can make it again, so what is drawn with it can be checked from outside.
     """
-    text = F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts])
-    return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("long")
+    return F.conv(F.substring(seeded_hex(seed, *parts), 1, 15), 16, 10).cast("long")
 
 
 def boundaries(atoms: DataFrame, layout: DataFrame, seed: int = 0) -> DataFrame:
@@ -159,7 +162,7 @@ def scenarios(cases: DataFrame, seed: int, valid_of_ten: int = 8) -> DataFrame:
     out = with_specification(cases).withColumn("a", F.when(i % 8 < 4, F.get(near, (F.floor(i / 8) % 7).cast("int"))).otherwise(draw(1)))
     a = F.col("a")
     out = out.withColumn("b", F.when(i % 4 == 0, a).when(i % 4 == 1, F.greatest(F.lit(0), a - 1)).when(i % 4 == 2, F.least(m, a + 1)).otherwise(draw(2)))
-    text = lambda salt: F.substring(F.translate(F.hex(seeded(seed, F.col("program_index"), i, F.lit(salt))), "0123456789ABCDEF", " Aaz09* Aaz09*> "), F.lit(1), F.col("text_width"))
+    text = lambda salt: F.translate(F.substring(seeded_hex(seed, F.col("program_index"), i, F.lit(salt)), F.lit(1), F.col("text_width")), "0123456789abcdef", " Aaz09* Aaz09*> ")
     out = out.withColumn("ta", F.rpad(text(3), F.col("text_width"), " "))
     out = out.withColumn("tb", F.when(i % 3 == 0, F.col("ta")).otherwise(F.rpad(text(4), F.col("text_width"), " ")))
     out = out.withColumn("flag", choose((" ", "T", "F", "Y", "N"), i % 5))

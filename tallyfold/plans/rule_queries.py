@@ -189,8 +189,8 @@ SCENARIOS_SQL = f"""
 s1 as (select *, p % 20 as v, {listed(testdata.FAMILIES)}[p // 20 + 1] as family, {listed(testdata.OPERATORS)}[p % 20 % 6 + 1] as op, {listed([10**w - 1 for w in (3, 4, 6, 9, 18)])}[p % 20 % 5 + 1] as m, 2 + p % 20 % 4 as w from cases),
 s2 as (select *, ([0, 1, m // 2, m - 1, m]::bigint[])[v // 4 % 5 + 1] as t from s1),
 s3 as (select *, case when t = m then 0 else t + 1 end as n, case when i % 8 < 4 then ([0, 1, m - 1, m, t, greatest(0, t - 1), least(m, t + 1)]::bigint[])[i // 8 % 7 + 1] else {drawn_sql(SEED, "p", "i", 1)} % (m + 1) end as a,
-  rpad(substr(translate(to_hex({drawn_sql(SEED, "p", "i", 3)}), '0123456789ABCDEF', ' Aaz09* Aaz09*> '), 1, w::int), w::int, ' ') as ta,
-  rpad(substr(translate(to_hex({drawn_sql(SEED, "p", "i", 4)}), '0123456789ABCDEF', ' Aaz09* Aaz09*> '), 1, w::int), w::int, ' ') as other from s2),
+  translate(substr(md5(concat_ws(':', {SEED}, p, i, 3)), 1, w), '0123456789abcdef', ' Aaz09* Aaz09*> ') as ta,
+  translate(substr(md5(concat_ws(':', {SEED}, p, i, 4)), 1, w), '0123456789abcdef', ' Aaz09* Aaz09*> ') as other from s2),
 s4 as (select *, case i % 4 when 0 then a when 1 then greatest(0, a - 1) when 2 then least(m, a + 1) else {drawn_sql(SEED, "p", "i", 2)} % (m + 1) end as b, case when i % 3 = 0 then ta else other end as tb, [' ', 'T', 'F', 'Y', 'N'][i % 5 + 1] as flag,
   case when i % 10 >= 8 then {listed(testdata.INVALID)}[{drawn_sql(SEED, "p", "i", 5)} % 10 + 1] else ['valid_equal_peer', 'valid_lower_peer', 'valid_upper_peer', 'valid_independent_peer'][i % 4 + 1] end as label from s3),
 s as (select *, '{{' || case when label = 'missing_numeric_field' then '' else '"A":' || case when label in ('negative_numeric', 'multiple_layout_errors') then '-1' when label = 'boolean_numeric' then 'true' else a::varchar end || ',' end
