@@ -13,19 +13,22 @@ from tallyfold.sources.shared import materialize
 BLOCK = 4096
 
 
-def ordered_digest(rows: DataFrame, order: Sequence, line: Column, block: int = BLOCK) -> DataFrame:
+def ordered_digest(rows: DataFrame, order: Sequence, line: Column, block: int = BLOCK, levels: int | None = None) -> DataFrame:
     """One row ``n, digest``: how many rows there are and a hash that changes with any row and with their order.
 
     Each line is hashed; the hashes (hex) of ``block`` lines by rank are joined and hashed, then those of ``block`` blocks, until
-    one is left. No task holds more than ``block`` hashes at once. ``order`` must tell rows apart that differ. Null lines count as
-    ``null``; no rows at all give the hash of nothing.
+    one is left. No task holds more than ``block`` hashes at once; where ``levels`` is given, the last of so many levels joins all that
+    are left (of n lines, one in ``block ** (levels - 1)``). ``order`` must tell rows apart that differ. Null lines count as ``null``;
+    no rows at all give the hash of nothing.
     """
     hashed = rows.withColumn("_hash", F.sha2(F.coalesce(line, F.lit("null")), 256))
     level = materialize(global_rank(hashed, order, "_rank").select((F.col("_rank") - 1).cast("long").alias("place"), F.col("_hash").alias("hash")))
     n = left = level.count()
-    first = True
-    while left > 1 or (first and left):
+    level_no = 0
+    while left > 1 or (not level_no and left):
+        level_no += 1
         joined = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("place", "hash"))), lambda x: x["hash"]), "")
-        level = materialize(level.groupBy(F.floor(F.col("place") / F.lit(block)).cast("long").alias("_block")).agg(F.sha2(joined, 256).alias("hash")).select(F.col("_block").alias("place"), "hash"))
-        left, first = level.count(), False
+        place = F.lit(0).cast("long") if level_no == levels else F.floor(F.col("place") / F.lit(block)).cast("long")
+        level = materialize(level.groupBy(place.alias("_block")).agg(F.sha2(joined, 256).alias("hash")).select(F.col("_block").alias("place"), "hash"))
+        left = level.count()
     return level.agg(F.lit(n).cast("long").alias("n"), F.coalesce(F.max("hash"), F.sha2(F.lit(""), 256)).alias("digest"))

@@ -22,4 +22,11 @@ def compared(spark, sf_dir, name, sql=None):
 
 def test_all_quantifier_equals_its_sql(spark, sf_dir):
     got, want = compared(spark, sf_dir, "all_quantifier")
-    assert got == want and {row[0] for row in got} == {True, False}
+    assert got == want and len(got) == 10
+
+
+def test_sequence_digest_joins_all_blocks_of_its_third_level(spark, sf_dir, monkeypatch):
+    """Blocks of four lines make the smallest table as deep as blocks of 256 make one of more than 16.7 million lines."""
+    monkeypatch.setattr(reconcile_queries, "DIGEST_BLOCK", 4)
+    got, want = compared(spark, sf_dir, "sequence_digest", plans.oracles()["sequence_digest"].replace("// 256", "// 4"))
+    assert got == want and want[0][1] > 4**3
