@@ -164,11 +164,6 @@ def job_context(lines: DataFrame, key: str = "path") -> DataFrame:
     return rows.withColumn("step", F.last(step, ignorenulls=True).over(in_part)).drop("_opens", "_pend", "_sum", "_floor", "_depth", "_bare", "_part")
 
 
-def _rows(context: DataFrame, key: str, relation: str, kind: str, items: Column, step: bool = True, continued: Column | None = None) -> DataFrame:
-    """``(key, line_no, owner, step, relation, kind, name, library, dynamic)`` of an array of (name, library, dynamic)."""
-    return context.select(key, "line_no", "owner", (F.col("step") if step else F.lit(None).cast("struct<name:string,line_no:int>")).alias("step"), F.lit(relation).alias("relation"), F.lit(kind).alias("kind"), F.explode(items).alias("x")).select(key, "line_no", "owner", "step", "relation", "kind", "x.*")
-
-
 def _item(name: Column, library: Column | None = None, dynamic: Column | None = None) -> Column:
     no = F.lit(None).cast("string") if library is None else library
     return F.struct(name.alias("name"), no.alias("library"), (F.lit(False) if dynamic is None else dynamic).alias("dynamic"))
@@ -179,10 +174,15 @@ def job_references(context: DataFrame, key: str = "path") -> DataFrame:
 
     ``contains_step, executes, invokes_proc, includes, dd_dataset, dd_member, dd_instream_data`` and, for operands that go on in
     the next line, ``requires_interpretation``. The source is the step where there is one, else the owner, else the member.
+    All relations of a line are found in one pass, so that the lines are placed by member once.
     """
     c = F.col("code")
     head = rf"(?i)^//(?:{NAME})?\s+"
-    one = lambda test, item: F.when(test, F.array(item)).otherwise(F.array().cast("array<struct<name:string,library:string,dynamic:boolean>>"))
+    no_step = F.lit(None).cast("struct<name:string,line_no:int>")
+
+    def one(relation: str, kind: str, test: Column, item: Column, step: bool = True) -> Column:
+        return F.when(test, F.struct((F.col("step") if step else no_step).alias("step"), F.lit(relation).alias("relation"), F.lit(kind).alias("kind"), *[item[n].alias(n) for n in ("name", "library", "dynamic")]))
+
     operand = F.regexp_extract(c, head + r"EXEC\s+(?:PGM\s*=\s*|PROC\s*=\s*)?('[^']*'|\"[^\"]*\"|[^\s,()]+)", 1)
     value = unquoted(operand)
     names, by_pgm = member_names(value), F.rlike(c, F.lit(head + r"EXEC\s+PGM\s*="))
@@ -197,17 +197,18 @@ def job_references(context: DataFrame, key: str = "path") -> DataFrame:
     member = rf"(?i)^({QUALIFIED})\(({NAME})\)$"
     goes_on = F.endswith(F.rtrim(c), F.lit(","))
     each = [
-        _rows(context, key, "contains_step", "jcl_step", one(F.col("_exec"), _item(F.col("step.name"))), step=False),
-        _rows(context, key, "executes", "program", one(F.col("_exec") & by_pgm, target)),
-        _rows(context, key, "invokes_proc", "proc", one(F.col("_exec") & ~by_pgm, target)),
-        _rows(context, key, "requires_interpretation", "unknown_dependency", one(F.col("_exec") & goes_on, _item(F.lit("JCL_EXEC_CONTINUATION"), None, F.lit(True)))),
-        _rows(context, key, "includes", "jcl_include", one(included != "", _item(inner["name"], inner["library"], ~is_name(inner["name"]))), step=False),
-        _rows(context, key, "dd_dataset", "dataset", one(has_dsn, _item(F.when(dsn == "", "<unknown>").otherwise(dsn), None, ~static))),
-        _rows(context, key, "dd_member", "control_member", one(has_dsn & F.rlike(dsn, F.lit(member)), _item(F.regexp_extract(dsn, member, 2), F.regexp_extract(dsn, member, 1)))),
-        _rows(context, key, "dd_instream_data", "in_stream_data", one(is_dd & F.rlike(rest, F.lit(r"(?i)^\s*(?:DATA|\*)(?=\s|,|$)")), _item(F.col("line_no").cast("string")))),
-        _rows(context, key, "requires_interpretation", "unknown_dependency", one(is_dd & goes_on, _item(F.lit("JCL_DD_CONTINUATION"), None, F.lit(True)))),
+        one("contains_step", "jcl_step", F.col("_exec"), _item(F.col("step.name")), step=False),
+        one("executes", "program", F.col("_exec") & by_pgm, target),
+        one("invokes_proc", "proc", F.col("_exec") & ~by_pgm, target),
+        one("requires_interpretation", "unknown_dependency", F.col("_exec") & goes_on, _item(F.lit("JCL_EXEC_CONTINUATION"), None, F.lit(True))),
+        one("includes", "jcl_include", included != "", _item(inner["name"], inner["library"], ~is_name(inner["name"])), step=False),
+        one("dd_dataset", "dataset", has_dsn, _item(F.when(dsn == "", "<unknown>").otherwise(dsn), None, ~static)),
+        one("dd_member", "control_member", has_dsn & F.rlike(dsn, F.lit(member)), _item(F.regexp_extract(dsn, member, 2), F.regexp_extract(dsn, member, 1))),
+        one("dd_instream_data", "in_stream_data", is_dd & F.rlike(rest, F.lit(r"(?i)^\s*(?:DATA|\*)(?=\s|,|$)")), _item(F.col("line_no").cast("string"))),
+        one("requires_interpretation", "unknown_dependency", is_dd & goes_on, _item(F.lit("JCL_DD_CONTINUATION"), None, F.lit(True))),
     ]
-    return reduce(DataFrame.unionByName, each)
+    items = context.select(key, "line_no", "owner", F.array_compact(F.array(*each)).alias("_x"))
+    return items.select(key, "line_no", "owner", F.explode("_x").alias("x")).select(key, "line_no", "owner", "x.*")
 
 
 def program_context(lines: DataFrame, key: str = "path") -> DataFrame:

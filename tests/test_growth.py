@@ -30,3 +30,11 @@ def test_sequence_digest_joins_all_blocks_of_its_third_level(spark, sf_dir, monk
     monkeypatch.setattr(reconcile_queries, "DIGEST_BLOCK", 4)
     got, want = compared(spark, sf_dir, "sequence_digest", plans.oracles()["sequence_digest"].replace("// 256", "// 4"))
     assert got == want and want[0][1] > 4**3
+
+
+def exchanges(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_job_references_place_lines_once(spark, sf_dir):
+    assert exchanges(plans.queries()["job_step_references"](spark, sf_dir)) == 1
