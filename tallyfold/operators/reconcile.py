@@ -216,8 +216,11 @@ def wide(*rows: DataFrame) -> DataFrame:
 def gap_spans(gaps: DataFrame, family: str, path: str, line: str) -> DataFrame:
     """``(family, path, spans, n)``: line numbers of a gap family joined into inclusive spans ``a-b``."""
     found = spans(gaps, [family, path], line)
-    text = F.transform(F.sort_array(F.collect_list(F.struct("first", "last"))), lambda x: F.concat(x["first"].cast("string"), F.lit("-"), x["last"].cast("string")))
-    return found.groupBy(family, path).agg(F.array_join(text, ",").alias("spans"), F.sum(F.col("last") - F.col("first") + 1).alias("n"))
+    text = F.concat(F.col("first").cast("string"), F.lit("-"), F.col("last").cast("string"))
+    by_first = Window.partitionBy(family, path).orderBy("first")
+    every = by_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)  # in order already, so that no aggregate keeps its groups
+    of_key = {"_texts": F.collect_list(text).over(every), "n": F.sum(F.col("last") - F.col("first") + 1).over(every), "_no": F.row_number().over(by_first)}
+    return found.withColumns(of_key).where("_no = 1").select(family, path, F.array_join("_texts", ",").alias("spans"), "n")
 
 
 def compacted_gaps(gaps: DataFrame, keys: Sequence[str], line: str, sets: Sequence[str], path: str | None = None) -> DataFrame:

@@ -21,10 +21,17 @@ def carry_forward(df: DataFrame, part: Sequence[str], order: Sequence, value: Co
 
 
 def spans(df: DataFrame, keys: Sequence[str], n: str) -> DataFrame:
-    """Runs of consecutive numbers: ``(*keys, first, last)``. Repeated numbers count once."""
+    """Runs of consecutive numbers: ``(*keys, first, last)``. Repeated numbers count once; null numbers make one run of nulls.
+
+    Rows are sorted once; a run is the rows at its two ends, so that nothing is gathered but the sort's own rows.
+    """
     w = Window.partitionBy(*keys).orderBy(n)
-    rows = df.select(*keys, n).distinct().withColumn("_island", F.col(n) - F.row_number().over(w))
-    return rows.groupBy(*keys, "_island").agg(F.min(n).alias("first"), F.max(n).alias("last")).drop("_island")
+    rows = df.select(*keys, n).distinct()
+    starts = F.coalesce(F.col(n) - F.lag(n).over(w) > 1, F.lit(True))
+    ends = F.coalesce(F.lead(n).over(w) - F.col(n) > 1, F.lit(True))
+    rows = rows.withColumns({"_starts": starts, "_ends": ends}).where("_starts or _ends")
+    last = F.when(F.col("_ends"), F.col(n)).otherwise(F.lead(n).over(w))
+    return rows.withColumn("last", last).where("_starts").select(*keys, F.col(n).alias("first"), "last")
 
 
 def covers(df: DataFrame, keys: Sequence[str], start: str, end: str, total: Column) -> DataFrame:

@@ -43,3 +43,14 @@ def test_job_references_place_lines_once(spark, sf_dir):
 def test_equal_members_are_scanned_once(spark, sf_dir):
     plan = plans.queries()["construct_regions"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "HashAggregate" in plan[plan.index("ArrowEvalPython") :]  # below the scan
+
+
+def test_spans_take_one_sort_and_keep_no_groups(spark, sf_dir):
+    from tallyfold.operators import reconcile, windows
+
+    rows = spark.createDataFrame([("a", "x", n) for n in (5, 1, 2, 2, 3, 7, 7, 8)] + [("a", "y", 4), ("a", "z", None), ("a", "z", None), ("b", None, None), ("b", None, 2), ("b", None, 9)], "f string, p string, n int")
+    assert sorted(map(tuple, windows.spans(rows.where("p is not null"), ["f", "p"], "n").collect()), key=str) == sorted([("a", "x", 1, 3), ("a", "x", 5, 5), ("a", "x", 7, 8), ("a", "y", 4, 4), ("a", "z", None, None)], key=str)
+    found = {(r["f"], r["p"]): (r["spans"], r["n"]) for r in reconcile.gap_spans(rows, "f", "p", "n").collect()}
+    assert found == {("a", "x"): ("1-3,5-5,7-8", 6), ("a", "y"): ("4-4", 1), ("a", "z"): ("", None), ("b", None): ("2-2,9-9", 2)}
+    plan = plans.queries()["gap_compaction"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
+    assert sum("Aggregate(" in line for line in plan) == 2 and sum(" Sort [" in line for line in plan) == 1  # the aggregate that makes rows distinct
