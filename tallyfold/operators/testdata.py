@@ -81,8 +81,9 @@ def invalid_witnesses(rows: DataFrame, layout: Sequence[Field], keys: Sequence[s
     A null field is written as JSON null. Texts are escaped as JSON texts.
     """
     value = lambda f: F.col(f.name).cast("string") if f.kind == "integer" else F.regexp_extract(F.to_json(F.struct(F.col(f.name).alias("v"))), r'(?s)^\{"v":(.*)\}$', 1)
-    base = {f.name: F.when(F.col(f.name).isNull(), "null").otherwise(value(f)) for f in layout}
-    return rows.select(*keys, F.explode(invalid_cases(layout, base)).alias("r")).select(*keys, "r.*")
+    written = {f"_written_{i}": F.when(F.col(f.name).isNull(), "null").otherwise(value(f)) for i, f in enumerate(layout)}
+    base = {f.name: F.col(c) for f, c in zip(layout, written)}
+    return rows.select(*keys, *[v.alias(c) for c, v in written.items()]).select(*keys, F.explode(invalid_cases(layout, base)).alias("r")).select(*keys, "r.*")
 
 
 def interactions(domains: Sequence[DataFrame], budget: int) -> DataFrame:

@@ -54,3 +54,9 @@ def test_spans_take_one_sort_and_keep_no_groups(spark, sf_dir):
     assert found == {("a", "x"): ("1-3,5-5,7-8", 6), ("a", "y"): ("4-4", 1), ("a", "z"): ("", None), ("b", None): ("2-2,9-9", 2)}
     plan = plans.queries()["gap_compaction"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString().split("\n")
     assert sum("Aggregate(" in line for line in plan) == 2 and sum(" Sort [" in line for line in plan) == 1  # the aggregate that makes rows distinct
+
+
+def test_invalid_witnesses_are_validated_after_repeats_are_gone(spark, sf_dir):
+    plan = plans.queries()["invalid_witnesses"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    below = plan[plan.rindex("Exchange hashpartitioning") :]
+    assert "case#" in below and "input_status" not in below
