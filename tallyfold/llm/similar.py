@@ -7,11 +7,15 @@ only decides how many texts share a prefix shingle, never which links are found.
 Only prefix shingles whose texts lie in several components count (what is linked already needs no link). In each round every
 text outside a shingle's first component meets some texts of other components there, drawn by a hash, and is compared in full with
 the one that it shares most shingles with; what this links becomes one component. These rounds see an eighth of the shingles, as
-near copies share most. At last all pairs that share any prefix shingle but lie in different components still are compared. So a
-large group of near copies takes links in proportion to its size, while texts that no link joins all meet. Two exact bounds sort
-out pairs before any text is read: how far into both prefixes the shared shingle stands, and the bits in which the parities of
-the shingle hashes differ (each is a shingle that only one of the two has). A text has about as many parity bits as shingles, so
-the bound holds for long texts, too; of two texts the finer bits are folded onto the coarser ones.
+near copies share most. At last all pairs that share any prefix shingle but lie in different components still are compared. Two exact
+bounds sort out pairs before any text is read: how far into both prefixes the shared shingle stands, and the bits in which the
+parities of the shingle hashes differ (each is a shingle that only one of the two has). A text has about as many parity bits as
+shingles, so the bound holds for long texts, too; of two texts the finer bits are folded onto the coarser ones.
+
+These last pairs are never rows of a join: the rows of a shingle are dealt into blocks, and each task compares the bits of two
+blocks by itself (``nearest``). Of each row it gives the ``NEAREST`` texts that the bounds allow. Where a row has more of them, what the
+nearest link becomes one component and the rest is looked at again; where that links nothing more, all are given. So texts that
+no link joins meet in arithmetic only, and rows grow with the texts.
 
 Words are cut at ASCII blanks and compared in lower case; a text under five words is one shingle. Null texts and texts
 without words have no link. The result has links enough to connect what is similar, not every similar pair.
@@ -24,6 +28,7 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -38,6 +43,12 @@ SAMPLE = 1 << 14
 MAX_COMMON = 200_000
 #: Rounds before all pairs are compared: one of how many shingles they see, and how many texts of each are drawn.
 ROUNDS = ((8, (4, 16, 16)),)
+#: Rows of a shingle in a block and most blocks of a shingle, texts given for each row, and pairs that a task compares at once.
+BLOCK, MOST_BLOCKS = 256, 16
+NEAREST = 4
+PAIRS = 1 << 18
+#: Words of parity bits that stand beside each row of a shingle; longer ones are folded, and ``near`` has all of them.
+FOLDED = 16
 #: Keys that are sent to all executors to pick texts; more keys are joined by a shuffle.
 MAX_SENT = 1 << 20
 
@@ -205,6 +216,95 @@ def met(left: DataFrame, right: DataFrame) -> DataFrame:
     return left.join(right, "token").where((F.col("root") != F.col("root_")) & possible())
 
 
+def dealt(rows: DataFrame, bits: DataFrame) -> DataFrame:
+    """Rows of shingles in cells (``token, x, y``), each cell in one task: two blocks of a shingle's rows (``own`` is x or y) or twice one.
+
+    A row stands in at most ``MOST_BLOCKS`` cells. ``bits`` has the parities of each ``key``; they are folded to ``FOLDED`` words.
+    """
+    parts = rows.groupBy("token").agg(F.count("*").alias("c")).where(F.col("c") > BLOCK)
+    parts = parts.select("token", F.least(F.lit(MOST_BLOCKS), F.ceil(F.col("c") / BLOCK)).cast("int").alias("parts"))
+    every = lambda i: F.aggregate(F.sequence(i, F.size("bits") - 1, F.lit(FOLDED)), F.lit(0).cast("long"), lambda acc, j: acc.bitwiseXOR(F.get("bits", j)))
+    short = bits.select("key", F.when(F.size("bits") > FOLDED, F.transform(F.sequence(F.lit(0), F.lit(FOLDED - 1)), every)).otherwise(F.col("bits")).alias("bits"))
+    out = rows.join(parts, "token", "left").withColumn("parts", F.coalesce("parts", F.lit(1))).join(short, "key")
+    out = out.withColumn("own", F.pmod(F.xxhash64("key"), "parts").cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    out = out.select("token", F.least("own", "other").alias("x"), F.greatest("own", "other").alias("y"), "own", "key", "root", "n", "at", "bits")
+    cells = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # narrow rows, much arithmetic
+    return out.repartition(cells, "token", "x", "y").sortWithinPartitions("token", "x", "y")
+
+
+def meetings(rows: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of two rows of a cell that the bounds allow, and their distance; ``rows`` holds whole cells of ``dealt``."""
+    size = len(rows)
+    token, x, y, own, root, n, at = (rows[c].to_numpy() for c in ("token", "x", "y", "own", "root", "n", "at"))
+    lists = rows["bits"].combine_chunks()
+    words = np.diff(lists.offsets.to_numpy())
+    full = np.zeros((size, max(words, default=1)), dtype="<u8")  # bitwise_count takes the absolute value of signed numbers
+    full[np.arange(full.shape[1]) < words[:, None]] = lists.flatten().to_numpy().view("<u8")
+    half = np.zeros_like(full)
+    for w in np.unique(words[words > 1]).tolist():
+        half[words == w, : w // 2] = full[words == w, : w // 2] ^ full[words == w, w // 2 : w]
+    cuts = np.flatnonzero((token[1:] != token[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+    ends = np.repeat(np.append(cuts, size), np.diff(np.concatenate(([0], cuts, [size]))))
+    later = ends - np.arange(size) - 1
+    total = np.concatenate(([0], np.cumsum(later)))
+    first = 0
+    while first < size:
+        last = max(first + 1, int(np.searchsorted(total, total[first] + PAIRS, "right")) - 1)
+        p = np.repeat(np.arange(first, last), later[first:last])
+        q = np.arange(total[first], total[last]) - total[p] + p + 1
+        first = last
+        both = n[p] + n[q]
+        keep = (root[p] != root[q]) & ((own[p] != own[q]) | (x[p] == y[p])) & (sum(SHARE) * np.minimum(n[p] - at[p], n[q] - at[q]) >= SHARE[0] * both)
+        p, q, both = p[keep], q[keep], both[keep]
+        side = lambda i, j: np.where((words[i] > words[j])[:, None], half[i], full[i])
+        distance = np.bitwise_count(side(p, q) ^ side(q, p)).sum(axis=1, dtype=np.int64)
+        keep = sum(SHARE) * distance <= (SHARE[1] - SHARE[0]) * both
+        yield p[keep], q[keep], distance[keep] / both[keep]
+
+
+def nearest_of(rows: pa.Table, most: int | None) -> Iterator[pa.RecordBatch]:
+    """Pairs (key, key_) of ``meetings``: all, or those with the ``most`` nearest of either row, and whether one of their rows has more."""
+    key, seen = rows["key"].to_numpy(), np.zeros(len(rows), dtype=np.int64)
+    held: tuple[np.ndarray, ...] = (seen[:0], seen[:0], np.zeros(0))
+    batch = lambda a, b, more: pa.RecordBatch.from_arrays([pa.array(key[a]), pa.array(key[b]), pa.array(more)], names=["key", "key_", "more"])
+    for p, q, distance in meetings(rows):
+        if most is None:
+            yield batch(p, q, np.zeros(len(p), dtype=bool))
+        elif len(p):
+            a, b, d = (np.concatenate(c) for c in zip(held, (p, q, distance), (q, p, distance), strict=True))
+            seen += np.bincount(p, minlength=len(rows)) + np.bincount(q, minlength=len(rows))
+            order = np.lexsort((key[b], d, a))
+            a, b, d = a[order], b[order], d[order]
+            keep = np.arange(len(a)) - np.searchsorted(a, a) < most
+            held = a[keep], b[keep], d[keep]
+    if len(held[0]):
+        a, b = np.divmod(np.unique(np.minimum(*held[:2]) * len(rows) + np.maximum(*held[:2])), len(rows))
+        yield batch(a, b, (seen[a] > most) | (seen[b] > most))
+
+
+def nearest(rows: DataFrame, bits: DataFrame, most: int | None) -> DataFrame:
+    """``key, key_, more``: pairs of texts of different components that share a shingle and that the bounds allow, at most ``most``
+    for each row of ``rows`` (``more`` where it has others besides) or all of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, size = [], 0
+        for batch in batches:
+            waiting.append(batch)
+            size += len(batch)
+            if size >= 1 << 14:
+                whole = pa.Table.from_batches(waiting)
+                cell = [whole[c].to_numpy() for c in ("token", "x", "y")]
+                open_from = int(np.argmax(np.logical_and.reduce([c == c[-1] for c in cell])))  # the last cell may go on; cells are sorted
+                if open_from:
+                    yield from nearest_of(whole.slice(0, open_from).combine_chunks(), most)
+                waiting = whole.slice(open_from).to_batches()
+                size = 0 if open_from else -len(whole)  # a large cell is looked at again when it has doubled
+        if waiting:
+            yield from nearest_of(pa.Table.from_batches(waiting).combine_chunks(), most)
+
+    return materialize(dealt(rows, bits).mapInArrow(run, "key long, key_ long, more boolean"))
+
+
 def linked(pairs: DataFrame, roots: DataFrame, texts: DataFrame, ids: DataFrame, sketches: DataFrame) -> DataFrame:
     """Links (a, b) of components, for the similar ones among pairs (a, b) of keys."""
     found = verified(near(pairs, sketches), texts, ids)
@@ -250,7 +350,20 @@ def links(sketches: DataFrame, roots: DataFrame, texts: DataFrame, ids: DataFram
                 roots = materialize(moved(roots, merged).select("key", "root"))
                 drop(old)
         drop(rows)
-    rows = shared_prefixes(sketches, roots)
-    compare(met(rows.where("root <> first"), rows))
-    drop(rows)
+    rows, most = shared_prefixes(sketches, roots), NEAREST
+    bits = picked(sketches.select("key", "bits"), rows.select(F.col("key").alias("a"), F.col("key").alias("b")))
+    while True:
+        pairs = nearest(rows, bits, most)
+        more = not pairs.where("more").isEmpty()
+        merged = compare(pairs.select("key", "key_"))
+        if not more:
+            break
+        if merged is None:
+            most = None
+        else:
+            old, rows = rows, materialize(open_rows(materialize(moved(rows, merged).select("token", *OWN))).select("token", "first", *OWN))
+            roots = materialize(moved(roots, merged).select("key", "root"))
+            drop(old)
+        drop(pairs)
+    drop(rows, bits, pairs)
     return roots.select(F.col("root").alias("a"), F.col("root").alias("b")).limit(0) if found is None else found

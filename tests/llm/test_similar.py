@@ -107,3 +107,44 @@ def test_repeated_rows_and_null_ids_keep_one(spark):
         got = sorted((r["doc_id"] or 0, r["mark"]) for r in simhash.keep_one(docs, similar_too=too).collect())
         assert got == [(0, "y")] * (not too) + [(1, "x"), (8, "n"), (9, "k"), (10, "m")]
     assert simhash.keep_one(docs.limit(0), similar_too=True).count() == 0
+
+
+def test_texts_that_no_link_joins_make_no_rows_of_pairs(spark, monkeypatch):
+    """Texts just below the threshold share their first shingles: their pairs are compared in tasks, not as rows."""
+    rng = random.Random(5)
+    centre = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(300):
+        copy = list(centre)
+        for place in rng.sample(range(0, 150, 10), 1 + k % 5):
+            copy[place] = f"x{k}y{place}"
+        texts.append(" ".join(copy))
+    sets = [similar.shingles(similar.words_of(t)) for t in texts]
+    fps = [simhash.fingerprint(t) for t in texts]
+    label = list(range(len(texts)))
+    find = lambda i: i if label[i] == i else find(label[i])
+    for i in range(len(texts)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]) or ((fps[i] ^ fps[j]) & (1 << 64) - 1).bit_count() <= 2:
+                label[max(find(i), find(j))] = min(find(i), find(j))
+    want = sorted({find(i) for i in range(len(texts))})
+    made = {"met": 0, "nearest": 0}
+
+    def counted(name):
+        real = getattr(similar, name, None)
+
+        def run(*args):
+            out = real(*args)
+            made[name] = max(made[name], out.count())
+            return out
+
+        monkeypatch.setattr(similar, name, run, raising=False)
+
+    counted("met")
+    counted("nearest")
+    monkeypatch.setattr(similar, "ROUNDS", ())
+    monkeypatch.setattr(similar, "BLOCK", 32, raising=False)
+    monkeypatch.setattr(similar, "NEAREST", 2, raising=False)
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r["doc_id"] for r in simhash.keep_one(docs, similar_too=True).select("doc_id").collect()) == want
+    assert len(want) > 20 and made["met"] + made["nearest"] < 100 * len(texts), made
