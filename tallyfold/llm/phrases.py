@@ -173,26 +173,25 @@ class Counter:
 
     def spilled(self, leave: int) -> Iterator[pa.RecordBatch]:
         """Subtrees as sorted runs of lang, phrase and count."""
-        names, held, n = None, [], 0
+        names, langs, held, n = None, None, [], 0
         for box in self.trie.spill(leave):
-            names = pa.array(self.names, pa.string()) if names is None else names
+            names, langs = (pa.array(self.names, pa.string()), pa.array(self.langs, pa.string())) if names is None else (names, langs)
             held.append(box)
             n += len(box)
             if n >= RUN_ROWS:
-                yield self.run(held, names)
+                yield self.run(held, names, langs)
                 held, n = [], 0
         if held:
-            yield self.run(held, names)
+            yield self.run(held, names, langs)
 
-    def run(self, boxes: list[dict[int, int]], names: pa.StringArray) -> pa.RecordBatch:
+    def run(self, boxes: list[dict[int, int]], names: pa.StringArray, langs: pa.StringArray) -> pa.RecordBatch:
         n = sum(map(len, boxes))
         keys, counts = np.fromiter(chain.from_iterable(boxes), np.int64, n), np.fromiter(chain.from_iterable(b.values() for b in boxes), np.int64, n)
         order, mask = np.argsort(keys), (1 << WORD_BITS) - 1
         keys, counts = keys[order], counts[order]
         words = [names.take(pa.array(keys >> WORD_BITS * j & mask)) for j in range(self.length - 1, -1, -1)]
         phrases = pc.binary_join_element_wise(*words, " ") if self.length > 1 else words[0]
-        langs = pa.array([self.langs[k] for k in (keys & mask).tolist()], pa.string())
-        return pa.RecordBatch.from_arrays([langs, phrases, pa.array(counts)], names=["lang", "phrase", "a"])
+        return pa.RecordBatch.from_arrays([langs.take(pa.array(keys & mask)), phrases, pa.array(counts)], names=["lang", "phrase", "a"])
 
     def emptied(self) -> Iterator[pa.RecordBatch]:
         """What is left; for single words also the number of all words, under the empty phrase."""
