@@ -68,21 +68,29 @@ def first_k_states(df: DataFrame, rule: str, state: str, order: str, k: int, see
 def global_rank(df: DataFrame, order: Sequence, name: str = "rank", sums: dict[str, str] | None = None) -> DataFrame:
     """Add an exact rank (from 1) and running sums over the whole order without a single-partition window.
 
-    Rows are range-partitioned and sorted; a window runs inside each partition and what the earlier partitions hold (one row
-    a partition) is added. ``sums`` maps new column names to the columns to add up. ``order`` must tell all rows apart, or
-    rows it does not tell apart get their ranks in any order.
+    Rows are range-partitioned and written; what the earlier partitions hold (one row a partition) is added to their place in their
+    own. Ranks alone take this one shuffle: rows are written in order, each with its place. For running sums a window runs inside
+    each partition. ``sums`` maps new column names to the columns to add up. ``order`` must tell all rows apart, or rows it does
+    not tell apart get their ranks in any order.
     """
     sums = sums or {}
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    placed = materialize(df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id()))
+    placed = df.repartitionByRange(parts, *order).withColumn("_part", F.spark_partition_id())
+    if sums:
+        placed = materialize(placed)
+        w = Window.partitionBy("_part").orderBy(*order)
+        place = F.row_number().over(w)
+    else:
+        at = placed.sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id().bitwiseAND((1 << 33) - 1))  # the row in its partition
+        placed = materialize(at.withColumns({"_run": F.shiftright("_at", 12), "_row": F.col("_at") % 4096}).drop("_at"))  # repeat, so take no room
+        place = F.shiftleft("_run", 12) + F.col("_row") + 1
     own = placed.groupBy("_part").agg(F.count("*").alias("_n"), *[F.coalesce(F.sum(c), F.lit(0)).alias(f"_sum_{s}") for s, c in sums.items()])
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
     offsets = own.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_n0"), *[F.coalesce(F.sum(f"_sum_{s}").over(before), F.lit(0)).alias(f"_before_{s}") for s in sums])
-    w = Window.partitionBy("_part").orderBy(*order)
-    out = placed.join(F.broadcast(offsets), "_part").withColumn(name, F.row_number().over(w) + F.col("_n0"))
+    out = placed.join(F.broadcast(offsets), "_part").withColumn(name, place + F.col("_n0"))
     for s, c in sums.items():
         out = out.withColumn(s, F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(0)) + F.col(f"_before_{s}"))
-    return out.drop("_part", "_n0", *[f"_before_{s}" for s in sums])
+    return out.drop("_part", "_run", "_row", "_n0", *[f"_before_{s}" for s in sums])
 
 
 def prefix_budget(df: DataFrame, order: Sequence, size: str, limit: int) -> DataFrame:
